@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotcheck.llm import simhash_dedup, suffix_dedup
+from plotcheck.llm import fingerprints, packing, simhash_dedup, suffix_dedup, token_output
 from plotcheck.llm.common import table
 
 
@@ -20,9 +21,27 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(table(spark, sf_dir, "documents"), length=200)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as byte-level BPE ids in sequences of at most 1024."""
+    return packing.best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "space", 1024, 2)
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, against their edited texts and their neighbours."""
+    return fingerprints.edit_robustness(table(spark, sf_dir, "documents"))
+
+
+def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as word BPE ids, written in bit planes and read back."""
+    return token_output.written_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word", 1)
+
+
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_token_id_output": op10_token_id_output,
 }
 
 ORACLE_SQL: dict[str, str] = {}
