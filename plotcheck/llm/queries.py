@@ -6,10 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotcheck.llm import fingerprints, packing, simhash_dedup, suffix_dedup, token_output
+from plotcheck.llm import fingerprints, langid, mixing, packing, quality, simhash_dedup, suffix_dedup, token_output, topk
 from plotcheck.llm.common import table
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every 50th vector over all others."""
+    vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by its text."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by 4-word SimHash fingerprints within 4 bits."""
     out = simhash_dedup.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -26,6 +37,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "space", 1024, 2)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by its text."""
+    return langid.predicted_languages(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, against their edited texts and their neighbours."""
     return fingerprints.edit_robustness(table(spark, sf_dir, "documents"))
@@ -37,11 +58,32 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_language_id": op7_language_id,
+    "op8_mixing_sources": op8_mixing_sources,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_token_id_output": op10_token_id_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, min(embedding) AS embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(256 * CAST(x AS DOUBLE)) > 67108864)) = 0
+  GROUP BY vec_id
+), e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM v
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s
+)
+SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
+""",
+}
