@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from plotcheck.llm.common import held_out, mix, slices, texts
 
-#: Buckets of n-grams, and their lengths in bytes.
-BUCKETS, LENGTHS = 1 << 18, (1, 2, 3, 4)
+#: Buckets of byte n-grams, and their lengths.
+GRAMS, LENGTHS = 1 << 18, (1, 2, 3, 4)
+#: Further indicators: classes of word bigrams that repeat their word, and of distinct words, each by length.
+_REPEATS, _DISTINCT, _SIZES = 6, 11, 16
+BUCKETS = GRAMS + _SIZES * (_REPEATS + _DISTINCT)
 #: Labelled texts of each class that are learnt from at most: those with the least hash of their id.
 SAMPLE = 4000
 #: Passes of dual coordinate descent, and its bound on a text's weight.
@@ -22,11 +25,24 @@ EPOCHS, BOUND = 12, 1.0
 #: Smoothing of the class counts.
 SMOOTH = 1.0
 
-_SLOTS = np.zeros(BUCKETS, np.int32)
+_SLOTS = np.zeros(GRAMS, np.int32)
+
+
+def _word_classes(text: bytes) -> list[int]:
+    """How often a word follows itself, and how many words are distinct, each with the text's length class."""
+    words = text.split()
+    n = len(words)
+    if not n:
+        return []
+    size = min(n.bit_length(), _SIZES - 1)
+    twice = sum(map(bytes.__eq__, words, words[1:]))
+    often = sum(100 * twice > limit * n for limit in (0, 1, 5, 20, 50))
+    distinct = (_DISTINCT - 1) * len(set(words)) // n
+    return [GRAMS + size * _REPEATS + often, GRAMS + _SIZES * _REPEATS + size * _DISTINCT + distinct]
 
 
 def indicators(text: bytes) -> np.ndarray:
-    """Buckets of the n-grams that occur in ``text``, each once."""
+    """Buckets of the n-grams that occur in ``text``, each once, and its word classes."""
     data = np.frombuffer(text, np.uint8).astype(np.uint64)
     found, code = [], np.zeros(len(data), np.uint64)
     for n in range(1, max(LENGTHS) + 1):
@@ -40,7 +56,7 @@ def indicators(text: bytes) -> np.ndarray:
     at = np.concatenate(found)
     order = np.arange(len(at), dtype=np.int32)
     _SLOTS[at] = order
-    return np.sort(at[_SLOTS[at] == order])
+    return np.r_[np.sort(at[_SLOTS[at] == order]), np.array(_word_classes(text), np.int32)]
 
 
 @dataclass
