@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotcheck.llm import fingerprints, langid, mixing, packing, quality, simhash_dedup, suffix_dedup, token_output, topk
+from plotcheck.llm import fingerprints, html_extract, langid, mixing, packing, quality, simhash_dedup, suffix_dedup, token_output, topk
 from plotcheck.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(table(spark, sf_dir, "documents"), length=200)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as byte-level BPE ids in sequences of at most 1024."""
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "space", 1024, 2)
@@ -62,6 +67,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op8_mixing_sources": op8_mixing_sources,
