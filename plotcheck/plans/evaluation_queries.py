@@ -34,29 +34,29 @@ def _(view):
 
 
 @query("label_candidates", f"""
-WITH {_SETS.format(a='role IN (3, 4)', b='role IN (5, 6)')},
+WITH {_SETS.format(a='role IN (3, 4)', b='role IN (8, 9)')},
 m AS (SELECT a.obj_id AS id, b.obj_id AS r_id, b.klasse, round(least({g.box_overlap('a.', 'b.')} / {g.box_area('a.')}, 2 * {g.box_overlap('a.', 'b.')} / {g.box_area('b.')}), 9) AS w FROM l a JOIN r b ON {_TOUCH} WHERE {g.box_overlap('a.', 'b.')} > 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, r_id) AS nth FROM m WHERE w >= 0.25)
 SELECT l.obj_id AS id, coalesce(k.klasse, 'nichts') AS label FROM l LEFT JOIN k ON k.id = l.obj_id AND nth = 1""")
 def _(view):
-    return e.label_candidates(boxes(view, 3, 4), boxes(view, 5, 6), 0.25)
+    return e.label_candidates(boxes(view, 3, 4), boxes(view, 8, 9), 0.25)
 
 
-_F1 = "SELECT klasse, round(2.0e0 * sum(CASE WHEN confidence >= {t} AND sicher THEN 1 ELSE 0 END) / (2 * sum(CASE WHEN confidence >= {t} AND sicher THEN 1 ELSE 0 END) + sum(CASE WHEN confidence >= {t} AND NOT sicher THEN 1 ELSE 0 END) + sum(CASE WHEN confidence < {t} AND sicher THEN 1 ELSE 0 END)), 9) AS f1 FROM footprint WHERE role = {r} GROUP BY klasse"
+_F1 = "SELECT klasse, round(2.0e0 * sum(CASE WHEN confidence >= {t} AND sicher THEN 1 ELSE 0 END) / (2 * sum(CASE WHEN confidence >= {t} AND sicher THEN 1 ELSE 0 END) + sum(CASE WHEN confidence >= {t} AND NOT sicher THEN 1 ELSE 0 END) + sum(CASE WHEN confidence < {t} AND sicher THEN 1 ELSE 0 END)), 9) AS f1 FROM footprint WHERE role % 2 = {r} GROUP BY klasse"
 
 
 def _f1(view, r, t):
-    d = role(view, r)
+    d = view("footprint").filter(F.col("role") % 2 == r)
     hit = F.col("confidence") >= t
     m = d.groupBy("klasse").agg(F.count_if(hit & F.col("sicher")).alias("tp"), F.count_if(hit & ~F.col("sicher")).alias("fp"), F.count_if(~hit & F.col("sicher")).alias("fn"))
     return rounded(e.with_rates(m), "f1", digits=9)
 
 
-_OLDNEW = f"o AS ({_F1.format(t='0.5e0', r=3)} HAVING klasse <> 'baum'), n AS ({_F1.format(t='0.4e0', r=4)} HAVING klasse <> 'pool'), c AS (SELECT coalesce(o.klasse, n.klasse) AS klasse, coalesce(o.f1, 0) AS old, coalesce(n.f1, 0) AS new FROM o FULL JOIN n ON o.klasse = n.klasse)"
+_OLDNEW = f"o AS ({_F1.format(t='0.5e0', r=1)} HAVING klasse <> 'baum'), n AS ({_F1.format(t='0.4e0', r=0)} HAVING klasse <> 'pool'), c AS (SELECT coalesce(o.klasse, n.klasse) AS klasse, coalesce(o.f1, 0) AS old, coalesce(n.f1, 0) AS new FROM o FULL JOIN n ON o.klasse = n.klasse)"
 
 
 def _old_new(view):
-    return _f1(view, 3, 0.5).filter("klasse <> 'baum'"), _f1(view, 4, 0.4).filter("klasse <> 'pool'")
+    return _f1(view, 1, 0.5).filter("klasse <> 'baum'"), _f1(view, 0, 0.4).filter("klasse <> 'pool'")
 
 
 @query("compare_versions", f"WITH {_OLDNEW} SELECT klasse, old, new, round(new - old, 9) AS gain FROM c")
@@ -145,10 +145,10 @@ def _(view):
     return e.stratified_split(view("parcel").select("parcel_id", "stratum"), "stratum", "parcel_id", 20, "s1")
 
 
-@query("quota_sample", f"""WITH k AS (SELECT obj_id, klasse, row_number() OVER (PARTITION BY klasse ORDER BY {_salt('q', 'obj_id')}, obj_id) AS nth FROM footprint WHERE role = 5)
+@query("quota_sample", f"""WITH k AS (SELECT obj_id, klasse, row_number() OVER (PARTITION BY klasse ORDER BY {_salt('q', 'obj_id')}, obj_id) AS nth FROM footprint)
 SELECT klasse, count(*) AS taken, CAST(sum(obj_id) AS BIGINT) AS ids, greatest(320 - count(*), 0) AS shortfall FROM k WHERE nth <= 320 GROUP BY klasse""")
 def _(view):
-    return e.quota_sample(role(view, 5), "klasse", "obj_id", 320, "q")
+    return e.quota_sample(view("footprint"), "klasse", "obj_id", 320, "q")
 
 
 @query("group_kfold", f"WITH r AS (SELECT plot, dense_rank() OVER (ORDER BY {_salt('k', 'plot')}, plot) % 5 AS fold FROM (SELECT DISTINCT plot FROM class_prob)) SELECT cand_id, c.plot, CAST(fold AS INTEGER) AS fold FROM class_prob c JOIN r ON r.plot = c.plot")
@@ -165,7 +165,7 @@ def _(view):
     return e.running_version(r, known)
 
 
-_JUDGED = f"""{_SETS.format(a='role IN (3, 4)', b='role IN (5, 6)')}, m AS (SELECT a.obj_id AS l_id, b.obj_id AS r_id, {_IOU} AS iou FROM l a JOIN r b ON {_TOUCH} AND a.klasse = b.klasse WHERE {_IOU} >= 0.3),
+_JUDGED = f"""{_SETS.format(a='role IN (3, 4)', b='role IN (8, 9)')}, m AS (SELECT a.obj_id AS l_id, b.obj_id AS r_id, {_IOU} AS iou FROM l a JOIN r b ON {_TOUCH} AND a.klasse = b.klasse WHERE {_IOU} >= 0.3),
 p AS (SELECT l_id, r_id, iou FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY iou DESC, r_id) AS i, row_number() OVER (PARTITION BY r_id ORDER BY iou DESC, l_id) AS j FROM m) WHERE i = 1 AND j = 1),
 judged AS (SELECT l.klasse, r_id IS NOT NULL AND coalesce(r.sicher, false) AS tp, r_id IS NULL AS fp, false AS fn, iou FROM l LEFT JOIN p ON p.l_id = l.obj_id LEFT JOIN r ON r.obj_id = p.r_id
   UNION ALL SELECT klasse, false, false, true, NULL FROM r WHERE sicher AND obj_id NOT IN (SELECT r_id FROM p))"""
@@ -174,7 +174,7 @@ _RATES = "round(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 9) AS precision, round(
 
 
 def _judged(view):
-    return e.judged(boxes(view, 3, 4), boxes(view, 5, 6))
+    return e.judged(boxes(view, 3, 4), boxes(view, 8, 9))
 
 
 @query("class_metrics", f"WITH {_JUDGED}, c AS (SELECT klasse, {_COUNTS}, round(avg(CASE WHEN tp THEN iou END), 6) AS mean_iou, round(median(CASE WHEN tp THEN iou END), 6) AS median_iou FROM judged GROUP BY klasse) SELECT *, {_RATES} FROM c")
@@ -189,21 +189,21 @@ def _(view):
 
 
 @query("blockwise_eval", f"""
-WITH {_SETS.format(a='role IN (3, 4)', b='role IN (5, 6)')}, h AS (SELECT a.obj_id AS l_id, b.obj_id AS r_id, a.klasse = b.klasse AS same FROM l a JOIN r b ON {_TOUCH} WHERE {g.box_overlap('a.', 'b.')} > 0),
+WITH {_SETS.format(a='role IN (3, 4)', b='role IN (8, 9)')}, h AS (SELECT a.obj_id AS l_id, b.obj_id AS r_id, a.klasse = b.klasse AS same FROM l a JOIN r b ON {_TOUCH} WHERE {g.box_overlap('a.', 'b.')} > 0),
 d AS (SELECT klasse, count(*) AS detected, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS correct, CAST(sum(CASE WHEN NOT ok AND other THEN 1 ELSE 0 END) AS BIGINT) AS confused FROM
   (SELECT klasse, obj_id IN (SELECT l_id FROM h WHERE same) AS ok, obj_id IN (SELECT l_id FROM h WHERE NOT same) AS other FROM l) GROUP BY klasse),
 s AS (SELECT klasse, count(*) AS sampled, CAST(sum(CASE WHEN obj_id IN (SELECT r_id FROM h WHERE same) THEN 1 ELSE 0 END) AS BIGINT) AS recalled FROM r WHERE CAST(floor(x1 / 100) * 7 + floor(y1 / 100) AS BIGINT) % 3 = 0 GROUP BY klasse)
 SELECT d.klasse, detected, correct, confused, coalesce(sampled, 0) AS sampled, coalesce(recalled, 0) AS recalled FROM d LEFT JOIN s ON s.klasse = d.klasse""")
 def _(view):
-    return e.blockwise_eval(boxes(view, 3, 4), boxes(view, 5, 6), 100.0, 3)
+    return e.blockwise_eval(boxes(view, 3, 4), boxes(view, 8, 9), 100.0, 3)
 
 
 @query("failure_funnel", f"""
-WITH ref AS (SELECT * FROM footprint WHERE role IN (5, 6)), c AS (SELECT * FROM footprint WHERE role = 3), d AS (SELECT * FROM footprint WHERE role = 4),
+WITH ref AS (SELECT * FROM footprint WHERE role IN (8, 9)), c AS (SELECT * FROM footprint WHERE role = 3), d AS (SELECT * FROM footprint WHERE role = 4),
 s AS (SELECT klasse, CASE WHEN NOT EXISTS (SELECT 1 FROM c b WHERE {g.box_overlap('a.', 'b.')} > 0) THEN 'no_candidate' WHEN NOT EXISTS (SELECT 1 FROM d b WHERE a.klasse = b.klasse AND {g.box_overlap('a.', 'b.')} > 0) THEN 'wrong_class' ELSE 'found' END AS stage FROM ref a)
 SELECT klasse, stage, count(*) AS n FROM s GROUP BY klasse, stage""")
 def _(view):
-    return e.failure_funnel(boxes(view, 5, 6), boxes(view, 3), boxes(view, 4))
+    return e.failure_funnel(boxes(view, 8, 9), boxes(view, 3), boxes(view, 4))
 
 
 _SITE = "SELECT DISTINCT obj_id % 4 AS site, CAST(floor(x1 / 10) AS BIGINT) AS col, CAST(floor(y1 / 10) AS BIGINT) AS row_ FROM footprint WHERE role = {}"
@@ -278,11 +278,11 @@ def _(view):
     return d.groupBy("t").agg(F.count("*").alias("detected")).join(recalled, "t")
 
 
-_SWEEP = "s AS (SELECT klasse, t, sum(CASE WHEN p >= t AND label THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p >= t AND NOT label THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN p < t AND label THEN 1 ELSE 0 END) AS fn FROM (SELECT klasse, confidence AS p, sicher AS label FROM footprint WHERE role = 3), (SELECT unnest([0.3e0, 0.4e0, 0.5e0, 0.6e0, 0.7e0, 0.8e0]) AS t) GROUP BY klasse, t)"
+_SWEEP = "s AS (SELECT klasse, t, sum(CASE WHEN p >= t AND label THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p >= t AND NOT label THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN p < t AND label THEN 1 ELSE 0 END) AS fn FROM (SELECT klasse, confidence AS p, sicher AS label FROM footprint WHERE role % 2 = 1), (SELECT unnest([0.3e0, 0.4e0, 0.5e0, 0.6e0, 0.7e0, 0.8e0]) AS t) GROUP BY klasse, t)"
 
 
 def _labelled(view):
-    return role(view, 3).selectExpr("klasse", "confidence AS p", "sicher AS label")
+    return view("footprint").filter("role % 2 = 1").selectExpr("klasse", "confidence AS p", "sicher AS label")
 
 
 @query("threshold_sweep", f"WITH {_SWEEP}, f AS (SELECT klasse, t, coalesce(round(2.0e0 * tp / nullif(2 * tp + fp + fn, 0), 9), 0) AS f1 FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY klasse ORDER BY f1 DESC, t) AS nth FROM f) SELECT klasse, t, f1 FROM k WHERE nth = 1")
@@ -290,15 +290,15 @@ def _(view):
     return e.threshold_sweep(_labelled(view), _thresholds(view, (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)))
 
 
-@query("confidence_sweep", "SELECT t, count(*) AS kept, round(CAST(sum(CASE WHEN sicher THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 9) AS precision FROM footprint, (SELECT unnest([0.5e0, 0.6e0, 0.7e0, 0.8e0]) AS t) WHERE role = 3 AND klasse IN ('gartenhaus', 'carport_garage') AND confidence >= t GROUP BY t")
+@query("confidence_sweep", "SELECT t, count(*) AS kept, round(CAST(sum(CASE WHEN sicher THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 9) AS precision FROM footprint, (SELECT unnest([0.5e0, 0.6e0, 0.7e0, 0.8e0]) AS t) WHERE role % 2 = 1 AND klasse IN ('gartenhaus', 'carport_garage') AND confidence >= t GROUP BY t")
 def _(view):
     rows = _labelled(view).filter("klasse IN ('gartenhaus', 'carport_garage')")
     return rounded(e.confidence_sweep(rows, _thresholds(view, (0.5, 0.6, 0.7, 0.8))), "precision", digits=9)
 
 
-@query("frozen_set", "SELECT klasse, sha256(string_agg(CAST(obj_id AS VARCHAR), ',' ORDER BY obj_id)) AS checksum, count(*) AS n FROM footprint WHERE role = 5 GROUP BY klasse")
+@query("frozen_set", "SELECT klasse, sha256(string_agg(CAST(obj_id AS VARCHAR), ',' ORDER BY obj_id)) AS checksum, count(*) AS n FROM footprint GROUP BY klasse")
 def _(view):
-    return e.frozen_checksum(role(view, 5), "klasse", "obj_id")
+    return e.frozen_checksum(view("footprint"), "klasse", "obj_id")
 
 
 @query("global_offset", "SELECT round(median(b.x1 - a.x1), 6) AS dx, round(median(b.y1 - a.y1), 6) AS dy, count(*) AS n FROM footprint a JOIN footprint b ON a.parcel_id = b.parcel_id AND a.role = 3 AND b.role = 5")
@@ -314,11 +314,11 @@ def _(view):
 
 
 @query("error_sample", f"""
-WITH k AS (SELECT obj_id, klasse, sicher, obj_id % 3 <> 0 AS judged, row_number() OVER (PARTITION BY klasse ORDER BY {_salt('e', 'obj_id')}, obj_id) AS nth FROM footprint WHERE role = 4)
+WITH k AS (SELECT obj_id, klasse, sicher, obj_id % 3 <> 0 AS judged, row_number() OVER (PARTITION BY klasse ORDER BY {_salt('e', 'obj_id')}, obj_id) AS nth FROM footprint)
 SELECT klasse, count(*) AS sampled, CAST(sum(CASE WHEN judged THEN 1 ELSE 0 END) AS BIGINT) AS judged, round(sum(CASE WHEN judged AND sicher THEN 1 ELSE 0 END) / CAST(nullif(sum(CASE WHEN judged THEN 1 ELSE 0 END), 0) AS DOUBLE), 9) AS precision FROM k WHERE nth <= 40 GROUP BY klasse""")
 def _(view):
-    verdicts = role(view, 4).filter("obj_id % 3 <> 0").select("obj_id", F.col("sicher").alias("right"))
-    return rounded(e.error_sample(role(view, 4).select("obj_id", "klasse"), "klasse", "obj_id", 40, "e", verdicts), "precision", digits=9)
+    verdicts = view("footprint").filter("obj_id % 3 <> 0").select("obj_id", F.col("sicher").alias("right"))
+    return rounded(e.error_sample(view("footprint").select("obj_id", "klasse"), "klasse", "obj_id", 40, "e", verdicts), "precision", digits=9)
 
 
 _COLOUR = "SELECT parcel_id, obj_id AS id, CASE WHEN confidence > 0.6 THEN 'green' WHEN confidence > 0.3 THEN 'yellow' ELSE 'red' END AS colour, round(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), 6) AS distance"

@@ -1 +1,348 @@
-"""Queries."""
+"""Queries of the rule operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plotcheck.functions import geometry as g
+from plotcheck.operators.rules import building as b
+from plotcheck.operators.rules import devices as d
+from plotcheck.operators.rules import limits as lim
+from plotcheck.plans.registry import query
+from plotcheck.plans.spatial_queries import _BOX, _SEGDIST, role, rounded
+
+PITCH = "CAST(30 + obj_id % 60 AS DOUBLE)"
+
+
+@query("walls", """
+WITH o AS (SELECT *, CASE WHEN x2 - x1 >= y2 - y1 THEN 0 ELSE 1 END AS axis FROM footprint WHERE role = 1),
+e AS (SELECT obj_id, axis, eaves, ridge, 0 AS seg, x1 AS ax, y1 AS ay, x2 AS bx, y1 AS by_ FROM o UNION ALL SELECT obj_id, axis, eaves, ridge, 1, x2, y1, x2, y2 FROM o UNION ALL SELECT obj_id, axis, eaves, ridge, 2, x2, y2, x1, y2 FROM o UNION ALL SELECT obj_id, axis, eaves, ridge, 3, x1, y2, x1, y1 FROM o),
+p AS (SELECT e.*, unnest(generate_series(0, 8)) AS k FROM e), q AS (SELECT *, CAST(floor((ax + (bx - ax) * k / 8) / 40) AS BIGINT) AS col, CAST(floor((ay + (by_ - ay) * k / 8) / 40) AS BIGINT) AS row_ FROM p),
+z AS (SELECT obj_id, axis, eaves, ridge, seg, avg(z) AS ground, count(*) AS n FROM q JOIN terrain_cell t ON t.col = q.col AND t.row_ = q.row_ GROUP BY obj_id, axis, eaves, ridge, seg)
+SELECT obj_id, seg, CASE WHEN ridge <= eaves THEN 'flat' WHEN seg % 2 = axis THEN 'eave' ELSE 'gable' END AS kind, round(eaves + max(ground) OVER (PARTITION BY obj_id) - ground, 6) AS height, n FROM z""")
+def _(view):
+    return rounded(b.walls(role(view, 1), view("terrain_cell")), "height")
+
+
+_H = f"eaves + CASE WHEN {PITCH} > 70 THEN ridge - eaves ELSE (ridge - eaves) / 3 END"
+
+
+@query("setback", f"SELECT obj_id, round({_H}, 6) AS h, round(greatest(3.0e0, 0.4e0 * ({_H})), 6) AS depth FROM footprint WHERE role IN (0, 1)")
+def _(view):
+    return rounded(b.setback(role(view, 0, 1).withColumn("pitch", F.expr(PITCH))).select("obj_id", "h", "depth"), "h", "depth")
+
+
+@query("boundary_wall_height", f"SELECT obj_id, round(eaves + CASE WHEN {PITCH} > 45 THEN (ridge - eaves) / 3 ELSE 0 END, 6) AS height, eaves + CASE WHEN {PITCH} > 45 THEN (ridge - eaves) / 3 ELSE 0 END <= 3 + 1e-9 AS privileged FROM footprint WHERE role IN (1, 2)")
+def _(view):
+    return rounded(b.boundary_wall_height(role(view, 1, 2).withColumn("pitch", F.expr(PITCH))).select("obj_id", "height", "privileged"), "height")
+
+
+@query("setback_check")
+def _(view):
+    objects = b.setback(role(view, 1).withColumn("pitch", F.expr(PITCH))).filter("x2 > x1 AND y2 > y1")
+    return rounded(b.setback_check(objects, view("parcel_edge")), "outside", digits=4)
+
+
+_INSIDE = f"bool_and({g.cross('ax', 'ay', 'bx', 'by_', 'aax', 'aay')} >= -1e-6)"
+_GAPS = f"gap AS (SELECT obj_id, {_INSIDE} AS inside, min({_SEGDIST}) AS distance FROM {_BOX} o JOIN parcel_edge e ON e.parcel_id = o.parcel_id WHERE role = 1 GROUP BY obj_id)"
+
+
+@query("placement_verdict", f"""
+WITH {_GAPS}, pl AS (SELECT *, (x2 - x1) * abs(y2 - y1) AS area FROM footprint WHERE role = 1),
+hit AS (SELECT DISTINCT a.obj_id FROM footprint a JOIN footprint c ON a.role = 1 AND c.role IN (0, 2) AND c.klasse NOT IN ('hecke', 'baum') AND a.x1 <= c.x2 AND c.x1 <= a.x2 AND a.y1 <= c.y2 AND c.y1 <= a.y2 WHERE {g.box_overlap('a.', 'c.')} > 0.05),
+seg AS (SELECT o.parcel_id, o.obj_id, seg, min({_SEGDIST}) AS dist FROM {_BOX} o JOIN parcel_edge e ON e.parcel_id = o.parcel_id WHERE role = 1 GROUP BY o.parcel_id, o.obj_id, seg),
+len AS (SELECT f.parcel_id, obj_id, seg, (x2 - x1) * abs(bx - ax) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) + (y2 - y1) * abs(by_ - ay) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS length FROM pl f JOIN parcel_edge e ON e.parcel_id = f.parcel_id),
+sd AS (SELECT seg.parcel_id, seg.seg, sum(length) AS side FROM seg JOIN len ON seg.obj_id = len.obj_id AND seg.seg = len.seg WHERE dist < 3 GROUP BY seg.parcel_id, seg.seg),
+oc AS (SELECT parcel_id, NOT (max(side) <= 9 + 1e-9 AND sum(side) <= 15 + 1e-9) AS bad FROM sd GROUP BY parcel_id),
+f AS (SELECT pl.obj_id, concat_ws(',', CASE WHEN NOT inside THEN 'outside' END, CASE WHEN hit.obj_id IS NOT NULL THEN 'collision' END, CASE WHEN p.zone = 'aussen' AND area * (eaves + ridge) / 2 > 20 + 1e-9 THEN 'outer_area' END,
+  CASE WHEN CASE WHEN klasse = 'carport_garage' THEN area > 50 + 1e-9 ELSE area * (eaves + ridge) / 2 > 75 + 1e-9 END THEN 'size' END, CASE WHEN distance < 3 - 1e-6 AND NOT (eaves <= 3 + 1e-9) THEN 'setback' END,
+  CASE WHEN coalesce(oc.bad, false) AND distance < 3 - 1e-6 THEN 'boundary' END) AS findings
+  FROM pl JOIN parcel p ON p.parcel_id = pl.parcel_id JOIN gap ON gap.obj_id = pl.obj_id LEFT JOIN hit ON hit.obj_id = pl.obj_id LEFT JOIN oc ON oc.parcel_id = pl.parcel_id)
+SELECT obj_id, findings, CASE WHEN findings = '' THEN 'ok' ELSE split_part(findings, ',', 1) END AS headline, CASE WHEN findings = '' THEN 'ok' ELSE 'bad' END AS status FROM f""")
+def findings(view):  # noqa: ANN001, ANN201
+    return b.placement_findings(role(view, 1), view("parcel"), view("parcel_edge"), role(view, 0, 2))
+
+
+_FIND = "SELECT obj_id, parcel_id, concat_ws(',', CASE WHEN eaves > 4 THEN 'size' END, CASE WHEN confidence > 0.7 THEN 'setback' END, CASE WHEN klasse = 'pool' THEN 'outside' END) AS findings FROM footprint WHERE role = 1"
+
+
+def _find(view):
+    return role(view, 1).selectExpr("obj_id", "parcel_id", "concat_ws(',', CASE WHEN eaves > 4 THEN 'size' END, CASE WHEN confidence > 0.7 THEN 'setback' END, CASE WHEN klasse = 'pool' THEN 'outside' END) AS findings")
+
+
+@query("procedure", f"""
+WITH f AS ({_FIND}), k AS (SELECT obj_id, CASE WHEN findings LIKE '%outside%' THEN 'lage' WHEN findings LIKE '%size%' THEN 'genehmigung' WHEN findings LIKE '%setback%' THEN 'frei_abweichung' ELSE 'frei' END AS procedure FROM f)
+SELECT obj_id, procedure, CASE procedure WHEN 'genehmigung' THEN 'lageplan,bauzeichnung,baubeschreibung' WHEN 'frei_abweichung' THEN 'lageplan,abweichungsantrag' ELSE '' END AS documents FROM k""")
+def _(view):
+    return b.procedure(_find(view))
+
+
+@query("questions_for_authority", f"""
+WITH f AS ({_FIND}), r AS (SELECT 'aussen' AS key, 'Aussenbereich?' AS question UNION ALL SELECT 'size', 'Verfahren?' UNION ALL SELECT 'rein', 'Gebietsart?'),
+k AS (SELECT obj_id, unnest(string_split(findings, ',')) AS key FROM f UNION ALL SELECT obj_id, zone FROM f JOIN parcel USING (parcel_id) UNION ALL SELECT obj_id, area_kind FROM f JOIN parcel USING (parcel_id))
+SELECT DISTINCT obj_id, question FROM k JOIN r ON r.key = k.key""")
+def _(view):
+    rules = view("region").sparkSession.createDataFrame([("aussen", "Aussenbereich?"), ("size", "Verfahren?"), ("rein", "Gebietsart?")], "key string, question string")
+    return b.questions(view("parcel"), _find(view), rules)
+
+
+@query("key_figures", """
+SELECT obj_id, (x2 - x1) * (y2 - y1) AS footprint, (x2 - x1) * (y2 - y1) * greatest(floor(eaves / 2.8), 1) AS floor_area, round((x2 - x1) * (y2 - y1) * (eaves + (ridge - eaves) / 2), 6) AS volume,
+  round((greatest(floor(eaves / 2.8), 1) - 1) * 2.8 + 1, 6) AS sill FROM footprint WHERE role = 1""")
+def _(view):
+    return rounded(rounded(b.key_figures(role(view, 1)), "footprint", "volume", "sill").withColumn("floor_area", F.col("floor_area").cast("double")), "floor_area")
+
+
+_MAIN = "(x2 - x1) * (y2 - y1) >= 12 AND eaves >= 3"
+
+
+@query("neighbourhood_stats", f"""
+WITH o AS (SELECT obj_id, parcel_id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM footprint WHERE role = 1), m AS (SELECT parcel_id, eaves, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM footprint WHERE role = 0 AND {_MAIN})
+SELECT o.obj_id, count(*) AS n, min(eaves) AS low, round(median(eaves), 6) AS median, max(eaves) AS high FROM o JOIN m ON o.parcel_id <> m.parcel_id AND sqrt((o.x - m.x) * (o.x - m.x) + (o.y - m.y) * (o.y - m.y)) <= 100 GROUP BY o.obj_id""")
+def _(view):
+    return rounded(b.neighbourhood(role(view, 1), role(view, 0)), "median")
+
+
+@query("second_row_count", f"""
+WITH h AS (SELECT *, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM footprint WHERE role = 0), r AS (SELECT obj_id AS road_id, (x1 + x2) / 2 AS tx, (y1 + y2) / 2 AS ty FROM footprint WHERE role = 8),
+m AS (SELECT h.obj_id, x, y, road_id, tx, ty, sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) AS dd FROM h JOIN r ON abs(x - tx) <= 60 AND abs(y - ty) <= 60), n AS (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY dd, road_id) AS nth FROM m WHERE dd <= 60),
+e AS (SELECT obj_id AS other, aax, aay, abx, aby FROM {_BOX} WHERE role = 0),
+c AS (SELECT n.obj_id, bool_or({g.segments_cross(('n.x', 'n.y', 'tx', 'ty'), ('aax', 'aay', 'abx', 'aby'))}) AS crossed FROM n JOIN e ON e.other <> n.obj_id AND nth = 1 AND abs(aax - n.x) <= 80 AND abs(aay - n.y) <= 80 GROUP BY n.obj_id)
+SELECT h.obj_id, CASE WHEN road_id IS NOT NULL THEN dd >= 25 AND coalesce(crossed, false) END AS second FROM h LEFT JOIN n ON n.obj_id = h.obj_id AND nth = 1 LEFT JOIN c ON c.obj_id = h.obj_id""")
+def _(view):
+    return b.second_row(role(view, 0), role(view, 8), 25.0, 60.0)
+
+
+_CELLS2 = """c AS (SELECT parcel_id, col, unnest(generate_series(CAST(floor(y0 / {r}) AS BIGINT), CAST(floor((y0 + h) / {r}) AS BIGINT))) AS row_ FROM (SELECT *, unnest(generate_series(CAST(floor(x0 / {r}) AS BIGINT), CAST(floor((x0 + w + skew) / {r}) AS BIGINT))) AS col FROM parcel WHERE parcel_id % 5 = 0)),
+d AS (SELECT c.parcel_id, col, row_, sum(CASE WHEN {ray} THEN 1 ELSE 0 END) AS n, min({dist}) AS dist, min(CASE WHEN side <> 0 THEN {dist} END) AS dist0 FROM c JOIN parcel_edge e ON e.parcel_id = c.parcel_id GROUP BY c.parcel_id, col, row_)"""
+
+
+def _cells_sql(r: int) -> str:
+    x, y = f"(col + 0.5) * {r}", f"(row_ + 0.5) * {r}"
+    return _CELLS2.format(r=r, ray=g.ray_crossing(x, y, "ax", "ay", "bx", "by_"), dist=g.point_segment_distance(x, y, "ax", "ay", "bx", "by_"))
+
+
+def _some(view):
+    return view("parcel_edge").filter("parcel_id % 5 = 0")
+
+
+_ENVELOPE = f"""{_cells_sql(2)}, bl AS (SELECT DISTINCT parcel_id, col, row_ FROM (SELECT d.parcel_id, col, row_ FROM d JOIN footprint f ON f.role = 0 AND (col + 0.5) * 2 BETWEEN x1 AND x2 AND (row_ + 0.5) * 2 BETWEEN y1 AND y2)),
+env AS (SELECT d.parcel_id, d.col, d.row_, CASE WHEN bl.col IS NOT NULL THEN 0 WHEN dist >= 3 - 1e-6 THEN dist / 0.4 ELSE 0 END AS height FROM d LEFT JOIN bl ON bl.parcel_id = d.parcel_id AND bl.col = d.col AND bl.row_ = d.row_ WHERE n % 2 = 1)"""
+
+
+@query("envelope", f"WITH {_ENVELOPE} SELECT parcel_id, col, row_, round(height, 6) AS height FROM env")
+def _(view):
+    return rounded(b.envelope(_some(view), role(view, 0), 2.0), "height")
+
+
+@query("envelope_breaches", f"""
+WITH {_ENVELOPE}, e AS (SELECT o.obj_id, o.parcel_id, f.eaves, aax, aay, abx, aby, CAST(ceil(greatest(abs(abx - aax), abs(aby - aay)) / 0.25) AS BIGINT) AS n FROM {_BOX} o JOIN footprint f ON f.obj_id = o.obj_id WHERE o.role = 1),
+p AS (SELECT *, unnest(generate_series(0, n)) AS k FROM e WHERE n > 0), q AS (SELECT *, CAST(floor((aax + (abx - aax) * k / n) / 2) AS BIGINT) AS col, CAST(floor((aay + (aby - aay) * k / n) / 2) AS BIGINT) AS row_ FROM p)
+SELECT q.obj_id, count(*) AS samples, CAST(sum(CASE WHEN eaves > height + 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS breaches FROM q JOIN env ON env.parcel_id = q.parcel_id AND env.col = q.col AND env.row_ = q.row_ GROUP BY q.obj_id""")
+def _(view):
+    return b.envelope_breaches(role(view, 1), b.envelope(_some(view), role(view, 0), 2.0), 2.0)
+
+
+@query("plant_zones", f"WITH {_cells_sql(1)} SELECT parcel_id, col, row_, CASE WHEN dist0 < 0.5 THEN 'red' WHEN dist0 < 2 THEN 'yellow' ELSE 'green' END AS colour FROM d WHERE n % 2 = 1")
+def _(view):
+    return d.plant_zones(_some(view), 1.0)
+
+
+_PLANTS = "SELECT obj_id, parcel_id, x1 - 2 AS x, y1 - 1.5 AS y, eaves AS height FROM footprint WHERE role = 7"
+_PLANT_D = f"pd AS (SELECT obj_id, height, e.side, {g.point_segment_distance('x', 'y', 'ax', 'ay', 'bx', 'by_')} AS dd FROM ({_PLANTS}) p JOIN parcel_edge e ON e.parcel_id = p.parcel_id WHERE side <> 0)"
+_NEED = "CASE WHEN height <= 2 + 1e-9 THEN 0.5 ELSE 2.0 END"
+
+
+def _plants(view):
+    return role(view, 7).selectExpr("obj_id", "parcel_id", "x1 - 2 AS x", "y1 - 1.5 AS y", "eaves AS height")
+
+
+@query("plant_verdict", f"""WITH {_PLANT_D}, m AS (SELECT obj_id, CAST({_NEED} AS DOUBLE) AS need, min(dd) AS distance FROM pd GROUP BY obj_id, height)
+SELECT obj_id, round(distance, 6) AS distance, need, CASE WHEN distance >= need - 1e-9 THEN 'ok' WHEN distance >= need - 0.1 - 1e-9 THEN 'warn' ELSE 'bad' END AS status FROM m""")
+def _(view):
+    return rounded(d.plant_verdict(_plants(view), view("parcel_edge")), "distance", "need")
+
+
+@query("existing_plants", f"""WITH {_PLANT_D}, k AS (SELECT obj_id, height, side, round(dd, 6) AS distance, row_number() OVER (PARTITION BY obj_id ORDER BY round(dd, 6), side) AS nth FROM pd)
+SELECT obj_id, side, distance, CASE WHEN distance - 0.5 >= {_NEED} THEN 'above' WHEN distance + 0.5 < {_NEED} THEN 'below' ELSE 'unclear' END AS result FROM k WHERE nth = 1""")
+def _(view):
+    return d.existing_plants(_plants(view), view("parcel_edge"), 0.5)
+
+
+@query("residential_filter", """SELECT obj_id, CASE WHEN provenance LIKE 'amt%' AND (x2 - x1) * (y2 - y1) BETWEEN 10 AND 30 THEN 1 WHEN provenance LIKE 'amt%' AND (x2 - x1) * (y2 - y1) BETWEEN 5 AND 10 THEN 2 ELSE 0 END AS pass,
+  (x2 - x1) * (y2 - y1) >= 12 AND (eaves IS NULL OR eaves >= 3) AS main FROM footprint WHERE role = 0""")
+def _(view):
+    return b.residential(role(view, 0))
+
+
+_REASON = "CASE WHEN provenance = 'erkannt' THEN 'detected' WHEN klasse IN ('baum', 'hecke') THEN 'plant' WHEN eaves > 3 THEN 'too_high' END"
+
+
+@query("counted_inventory", f"SELECT obj_id, {_REASON} IS NULL AS counts, coalesce({_REASON}, 'counts') AS reason FROM footprint WHERE role = 2")
+def _(view):
+    return b.counted_inventory(role(view, 2))
+
+
+@query("referential_check", "SELECT DISTINCT klasse AS key, 'docs' AS missing_in FROM footprint WHERE klasse NOT IN ('pool', 'baum', 'mauer') UNION ALL SELECT 'mauer', 'rules'")
+def _(view):
+    docs = view("region").sparkSession.createDataFrame([("pool",), ("baum",), ("mauer",)], "key string")
+    return b.referential_check(view("footprint").select(F.col("klasse").alias("key")), docs)
+
+
+@query("wall_from_roof", """SELECT obj_id, round(greatest(x2 - x1 - 2 * o, 0), 6) AS length, round(greatest(y2 - y1 - 2 * o, 0), 6) AS width, round(sqrt(0.01 + o * o), 6) AS span
+FROM (SELECT *, CASE provenance WHEN 'amtlich' THEN 0.2e0 WHEN 'erkannt' THEN 0.5e0 ELSE 0.3e0 END AS o FROM footprint WHERE role = 2)""")
+def _(view):
+    o = view("region").sparkSession.createDataFrame([("amtlich", 0.2), ("erkannt", 0.5)], "provenance string, overhang double")
+    return rounded(b.wall_from_roof(role(view, 2), o), "length", "width", "span")
+
+
+@query("road_offset", """
+WITH s AS (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS share), k AS (SELECT unnest(generate_series(0, 30)) AS k),
+p AS (SELECT parcel_id, seg, share, k, ax + share * (bx - ax) + (k + 0.5) * (by_ - ay) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS x, ay + share * (by_ - ay) - (k + 0.5) * (bx - ax) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS y FROM parcel_edge, s, k WHERE parcel_id % 5 = 0),
+d AS (SELECT parcel_id, seg, share, max(k) - min(k) + 1 AS depth FROM (SELECT p.parcel_id, p.seg, p.share, p.k FROM p JOIN footprint f ON f.role IN (8, 9) AND x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2) GROUP BY parcel_id, seg, share)
+SELECT parcel_id, seg, CAST(median(depth) / 2 AS DOUBLE) AS shift FROM d GROUP BY parcel_id, seg HAVING count(*) >= 2""")
+def _(view):
+    return b.road_offset(_some(view), role(view, 8, 9))
+
+
+@query("start_position", """
+WITH c AS (SELECT parcel_id, (cx + 0.5) * 2 AS x, (unnest(generate_series(CAST(floor(y0 / 2) AS BIGINT), CAST(floor((y0 + h) / 2) AS BIGINT))) + 0.5) * 2 AS y FROM (SELECT *, unnest(generate_series(CAST(floor(x0 / 2) AS BIGINT), CAST(floor((x0 + w + skew) / 2) AS BIGINT))) AS cx FROM parcel WHERE parcel_id % 5 = 0)),
+g AS (SELECT c.parcel_id, x, y, round(min(((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))), 6) AS gap FROM c JOIN parcel_edge e ON e.parcel_id = c.parcel_id GROUP BY c.parcel_id, x, y),
+f AS (SELECT * FROM g WHERE gap >= 3 AND NOT EXISTS (SELECT 1 FROM footprint o WHERE o.role IN (0, 2) AND o.parcel_id = g.parcel_id AND x - 1.5 < x2 AND x1 < x + 1.5 AND y - 1.5 < y2 AND y1 < y + 1.5)),
+k AS (SELECT *, row_number() OVER (PARTITION BY parcel_id ORDER BY gap DESC, y, x) AS nth FROM f) SELECT parcel_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, gap FROM k WHERE nth = 1""")
+def _(view):
+    return b.start_position(view("parcel").filter("parcel_id % 5 = 0"), _some(view), role(view, 0, 2), 2.0, 3.0)
+
+
+@query("project_verdict", f"""
+WITH {_GAPS}, m AS (SELECT parcel_id, eaves, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM footprint WHERE role = 0 AND {_MAIN}),
+nb AS (SELECT o.obj_id, max(m.eaves) AS high FROM (SELECT obj_id, parcel_id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM footprint WHERE role = 1) o JOIN m ON o.parcel_id <> m.parcel_id AND sqrt((o.x - m.x) * (o.x - m.x) + (o.y - m.y) * (o.y - m.y)) <= 100 GROUP BY o.obj_id),
+p AS (SELECT f.obj_id, CASE WHEN inside AND distance >= greatest(3, 0.4 * (eaves + (ridge - eaves) / 3)) - 1e-6 THEN 'ok' ELSE 'bad' END AS setback, CASE WHEN ridge <= 5 THEN 'ok' ELSE 'warn' END AS access,
+  CASE WHEN high IS NULL THEN NULL WHEN eaves <= high + 1e-9 THEN 'ok' ELSE 'warn' END AS fits, CASE WHEN (x2 - x1) * (y2 - y1) <= 100 THEN 'ok' ELSE 'warn' END AS size FROM footprint f JOIN gap ON gap.obj_id = f.obj_id LEFT JOIN nb ON nb.obj_id = f.obj_id WHERE role = 1)
+SELECT *, CASE WHEN setback = 'bad' THEN 'bad' WHEN access = 'warn' OR fits = 'warn' OR size = 'warn' THEN 'warn' WHEN fits IS NULL THEN 'open' ELSE 'ok' END AS status FROM p""")
+def _(view):
+    return b.project_verdict(role(view, 1), view("parcel_edge"), b.neighbourhood(role(view, 1), role(view, 0)))
+
+
+def _zones(view):
+    products = view("region").sparkSession.createDataFrame([("haus", 4.0, 3.0), ("carport", 6.0, 3.0)], "product string, w double, d double")
+    return b.placement_zones(view("parcel").filter("parcel_id % 5 = 0"), _some(view), role(view, 0, 2), products, 2.0, 1.0)
+
+
+@query("placement_zones")
+def _(view):
+    return _zones(view)
+
+
+@query("product_fit")
+def _(view):
+    return b.product_fit(_zones(view), view("parcel"))
+
+
+@query("clean_device_catalog", "SELECT maker, model, lw, row_id FROM device_catalog WHERE source_type LIKE 'Outdoor%' AND lw BETWEEN 35 AND 80")
+def _(view):
+    raw = view("device_catalog").withColumn("lw", F.col("lw").cast("string"))
+    return d.clean_device_catalog(raw).select("maker", "model", "lw", "row_id")
+
+
+@query("clean_device_pages", "SELECT row_id AS id, maker, lw + 20 AS lw FROM device_catalog WHERE row_id % 4 <> 3 AND lw + 20 BETWEEN 35 AND 90")
+def _(view):
+    pages = view("device_catalog").selectExpr("row_id AS id", """CASE row_id % 4 WHEN 0 THEN to_json(named_struct('supplierOrTrademark', maker, 'outdoorNoise', lw + 20))
+      WHEN 1 THEN to_json(named_struct('supplier', maker, 'noiseOutdoor', CAST(lw + 20 AS STRING))) WHEN 2 THEN to_json(named_struct('brand', maker, 'noise', lw + 20)) ELSE '{"brand": "broken' END AS page""")
+    return d.clean_device_pages(pages)
+
+
+_DEV = "SELECT obj_id AS dev, f.parcel_id, area_kind, (x1 + x2) / 2 - 1 AS x, y1 - 1 AS y, CAST(50 + obj_id % 20 AS DOUBLE) AS lw FROM footprint f JOIN parcel p ON p.parcel_id = f.parcel_id WHERE role = 1"
+
+
+def _devices(view):
+    return role(view, 1).join(view("parcel").select("parcel_id", "area_kind"), "parcel_id").selectExpr("obj_id AS dev", "parcel_id", "area_kind", "(x1 + x2) / 2 - 1 AS x", "y1 - 1 AS y", "CAST(50 + obj_id % 20 AS DOUBLE) AS lw")
+
+
+_PLACE = f"""dev AS ({_DEV}), wall AS (SELECT *, aax = abx AS upright FROM {_BOX} WHERE role = 0 AND (aax <> abx OR aay <> aby)),
+pn AS (SELECT dev, count(DISTINCT upright) AS k FROM dev JOIN wall ON abs(aax - x) <= 20 AND abs(aay - y) <= 20 AND {g.point_segment_distance('x', 'y', 'aax', 'aay', 'abx', 'aby')} < 3 GROUP BY dev),
+place AS (SELECT dev.dev, CASE WHEN k >= 2 THEN 'ecke' WHEN k = 1 THEN 'wand' ELSE 'frei' END AS place FROM dev LEFT JOIN pn ON pn.dev = dev.dev)"""
+
+
+@query("device_placement_class", f"WITH {_PLACE} SELECT dev, place FROM place")
+def _(view):
+    return d.device_placement(_devices(view), role(view, 0))
+
+
+_RECV = """rc0 AS (SELECT dev, f.obj_id AS house, x, y, least(greatest(x, x1), x2) AS rx, least(greatest(y, y1), y2) AS ry FROM dev JOIN footprint f ON f.role = 0 AND f.eaves >= 2 AND f.parcel_id <> dev.parcel_id),
+rc AS (SELECT *, sqrt((rx - x) * (rx - x) + (ry - y) * (ry - y)) AS r FROM rc0 WHERE sqrt((rx - x) * (rx - x) + (ry - y) * (ry - y)) BETWEEN 0.5 AND 35)"""
+
+
+@query("assumed_receivers", f"WITH dev AS ({_DEV}), {_RECV} SELECT dev, house, round(r, 6) AS r, rx, ry FROM rc")
+def _(view):
+    return rounded(d.assumed_receivers(_devices(view), role(view, 0)), "r")
+
+
+@query("limit_radius", "SELECT obj_id, round(pow(10, (50 + obj_id % 20 + 10 * log10(4) - 11 - 35) / 20.0e0), 6) AS r FROM footprint WHERE role = 1")
+def _(view):
+    return rounded(role(view, 1).select("obj_id", d.limit_radius(F.expr("CAST(50 + obj_id % 20 AS DOUBLE)"), F.lit(4.0), F.lit(35.0)).alias("r")), "r")
+
+
+@query("noise_verdict", f"""
+WITH {_PLACE}, {_RECV}, j AS (SELECT dev.dev, house, CASE area_kind WHEN 'rein' THEN 35.0e0 WHEN 'allgemein' THEN 40.0e0 ELSE 45.0e0 END AS lim,
+  round(lw + 10 * log10(CASE place WHEN 'frei' THEN 2 WHEN 'wand' THEN 4 ELSE 8 END) - 11 - 20 * log10(greatest(r, 0.5)) - CASE WHEN (dev.dev + house) % 4 = 0 THEN 5 ELSE 0 END, 9) AS lp FROM dev JOIN place ON place.dev = dev.dev LEFT JOIN rc ON rc.dev = dev.dev),
+k AS (SELECT *, row_number() OVER (PARTITION BY dev ORDER BY lp DESC NULLS LAST, house) AS nth FROM j)
+SELECT dev, house, lp, lim AS "limit", CASE WHEN lp IS NULL THEN 'warn' WHEN lp > lim THEN 'bad' WHEN lp > lim - 3 THEN 'warn' ELSE 'ok' END AS status FROM k WHERE nth = 1""")
+def _(view):
+    dev, houses = _devices(view), role(view, 0)
+    recv = d.assumed_receivers(dev, houses)
+    sight = recv.filter("(dev + house) % 4 = 0").select("dev", "house", F.lit(5).alias("screening"))
+    return d.noise_verdict(dev, recv.select("dev", "house", "r"), d.device_placement(dev, houses), sight)
+
+
+@query("road_distance", f"""
+WITH c AS (SELECT obj_id, aax AS x, aay AS y, row_number() OVER (PARTITION BY obj_id) AS k FROM {_BOX} WHERE role = 0), r AS (SELECT * FROM footprint WHERE role IN (8, 9)),
+m AS (SELECT c.obj_id, k, min(sqrt(pow(greatest(0, greatest(x - x2, x1 - x)), 2) + pow(greatest(0, greatest(y - y2, y1 - y)), 2))) AS dd FROM c JOIN r ON x BETWEEN x1 - 40 AND x2 + 40 AND y BETWEEN y1 - 40 AND y2 + 40 GROUP BY c.obj_id, k),
+p AS (SELECT obj_id, max(dd) AS distance FROM m GROUP BY obj_id) SELECT f.obj_id, round(distance, 6) AS distance, distance > 50 AS far FROM footprint f LEFT JOIN p ON p.obj_id = f.obj_id WHERE role = 0""")
+def _(view):
+    return rounded(d.road_distance(role(view, 0), role(view, 8, 9), 40.0), "distance")
+
+
+@query("straight_access", f"""
+WITH ln AS (SELECT o.obj_id, o.parcel_id, aax AS tx, aay AS ty, (r.x1 + r.x2) / 2 AS sx, (r.y1 + r.y2) / 2 AS sy, r.obj_id AS road, row_number() OVER (PARTITION BY o.obj_id, r.obj_id) AS k FROM {_BOX} o JOIN footprint r ON r.role = 8 AND r.parcel_id = o.parcel_id WHERE o.role = 0),
+e AS (SELECT parcel_id, aax, aay, abx, aby FROM {_BOX} WHERE role = 2),
+c AS (SELECT obj_id, road, k, coalesce(min({g.segment_distance(('sx', 'sy', 'tx', 'ty'), ('aax', 'aay', 'abx', 'aby'))}), 99) AS clear FROM ln LEFT JOIN e ON e.parcel_id = ln.parcel_id GROUP BY obj_id, road, k)
+SELECT obj_id, round(max(clear), 6) AS clearance, 2 * round(max(clear), 6) >= 1.25 AS ok FROM c GROUP BY obj_id""")
+def _(view):
+    out = rounded(d.straight_access(role(view, 0), role(view, 8), role(view, 2)), "clearance")
+    return out.withColumn("ok", 2 * F.col("clearance") >= 1.25)
+
+
+def _days(view):
+    return view("region").sparkSession.createDataFrame([(x,) for x in lim.SUN_DAYS], "day string").withColumn("day", F.to_date("day"))
+
+
+def _sun_points(view):
+    return role(view, 4).filter("obj_id % 7 = 0").selectExpr("obj_id AS pt", "klasse AS kind", "parcel_id AS room", "(x1 + x2) / 2 AS x", "(y1 + y2) / 2 AS y", "1.5D AS z")
+
+
+def _bodies(view, *roles):
+    return role(view, *roles).selectExpr("obj_id", "x1", "y1", "x2", "y2", "ridge + 3 AS height")
+
+
+@query("sun_position")
+def _(view):
+    from pyspark.sql import functions as f
+
+    times = view("contribution").select("event_id", f.col("ts").cast("timestamp").alias("t"))
+    return rounded(d.sun_position(times), "alt", "az")
+
+
+@query("sun_hours")
+def _(view):
+    return d.sun_hours(_sun_points(view), _bodies(view, 0), _days(view), 60.0)
+
+
+@query("extra_shading")
+def _(view):
+    return rounded(d.extra_shading(_sun_points(view), _bodies(view, 0), _bodies(view, 1), _days(view)), "mean")
+
+
+@query("room_sun")
+def _(view):
+    return d.room_sun(_sun_points(view), _bodies(view, 0), _days(view))
