@@ -119,4 +119,6 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not parts:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return head.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + body[15:]
     return head + (",\n" + body[4:].lstrip() if body.upper().startswith("WITH ") else "\n" + body)

@@ -17,9 +17,9 @@ def multi_region_union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
+def read_features(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """(id, properties, vertex rows) of GeoJSON polygon features: the outer ring's vertices, not closed."""
-    f = spark.read.schema(FEATURES).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    f = spark.read.schema(FEATURES).json(path, multiLine=multiline).select(F.explode("features").alias("f"))
     ring = f.select(F.col("f.properties")["id"].alias("id"), F.col("f.properties").alias("properties"), F.posexplode(F.col("f.geometry.coordinates")[0]).alias("seq", "c"), F.size(F.col("f.geometry.coordinates")[0]).alias("n"))
     return ring.filter("seq < n - 1").select("id", "properties", "seq", F.col("c")[0].alias("x"), F.col("c")[1].alias("y"))
 
@@ -40,10 +40,10 @@ def read_log_tolerant(spark: SparkSession, path: str) -> DataFrame:
     return parse_log(spark.read.text(path))
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+def read_annotations(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """(plot, nth, klasse, ring) of annotations drawn as polygon, rotated rectangle, circle (centre, diameter) or box."""
     schema = "grundstueck string, objekte array<struct<klasse:string,poly:array<array<double>>,rechteck:array<double>,kreis:array<double>,box:array<double>>>"
-    o = spark.read.schema(schema).json(path, multiLine=True).select(F.col("grundstueck").alias("plot"), F.posexplode("objekte").alias("nth", "o"))
+    o = spark.read.schema(schema).json(path, multiLine=multiline).select(F.col("grundstueck").alias("plot"), F.posexplode("objekte").alias("nth", "o"))
     r, b, k = F.col("o.rechteck"), F.col("o.box"), F.col("o.kreis")
     turn = F.radians(r[4])
     corner = lambda i, j: F.array(r[0] + i * r[2] / 2 * F.cos(turn) - j * r[3] / 2 * F.sin(turn), r[1] + i * r[2] / 2 * F.sin(turn) + j * r[3] / 2 * F.cos(turn))
