@@ -71,14 +71,16 @@ def _fold(text: str) -> str:
 
 def _table(text: list[int], width: int) -> np.ndarray:
     states, _ = automaton(text)
-    start = np.full(width, _AGAIN, np.int32)  # an unseen letter is a phrase of its own
+    lone = len(states)  # after a letter that the language does not have: a phrase of its own
+    start = np.full(width, _AGAIN | (lone * width), np.int32)
     for c, s in states[0].items():
         start[c] = _AGAIN | (s * width)
-    out = np.tile(start, (len(states), 1))
+    out = np.tile(start, (lone + 1, 1))
+    out[0] &= ~_AGAIN  # no phrase ends before the first letter of a stretch
     for i, row in enumerate(states):
         for c, s in row.items():
             out[i, c] = s * width
-    out[:, -1] = np.arange(len(states), dtype=np.int32) * width
+    out[:, -1] = np.arange(lone + 1, dtype=np.int32) * width
     return out.ravel()
 
 
@@ -138,7 +140,7 @@ def phrases(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
             step = table[state + letters]
             ended += step >> 30
             state = step & ~_AGAIN
-        # From state 0 the first letter of a stretch starts a phrase unless it is unseen; the last phrase ends with it.
+        # The last phrase of a stretch ends with it.
         out[:, k] = np.bincount(owner, weights=ended + 1, minlength=len(texts)).astype(np.int64)
     return out, size
 
