@@ -48,15 +48,15 @@ def simhash(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the SimHash of every whole text as a signed long. Null and empty texts get 0."""
+    """(doc_id, row_hash, fp): the SimHash of every whole text as a signed long, with a hash of the text. Null and empty texts get 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = pa.array([simhash(t, shingle) for t in texts(batch.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), fps], names=["doc_id", "row_hash", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
+    return src.mapInArrow(run, "doc_id long, row_hash long, fp long")
 
 
 def _blocks(n: int, radius: int) -> int:
@@ -91,15 +91,16 @@ def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
             near = np.abs(table[x] - table[y]).max(axis=1, initial=0) <= radius  # the pivots' lower bound
             x, y = x[near], y[near]
             close = np.bitwise_count(fp[x] ^ fp[y]) <= radius  # the survivors
-            for i, j in zip(x[close].tolist(), y[close].tolist()):  # noqa: B905
+            for p, q in zip(x[close].tolist(), y[close].tolist()):  # noqa: B905
+                i, j = p, q
                 while label[i] != i:
                     i = label[i]
                 while label[j] != j:
                     j = label[j]
                 if i != j:
                     label[max(i, j)] = min(i, j)
-                    out_a.append(rep[i])
-                    out_b.append(rep[j])
+                    out_a.append(rep[p])
+                    out_b.append(rep[q])
             if close.any():
                 while (flat := label[label]).tolist() != label.tolist():
                     label = flat
@@ -150,27 +151,27 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+    """(doc_id, row_hash, fp, component_id) for every row of ``docs``.
 
     component_id is the smallest doc_id reachable over links of at most ``radius`` differing bits, itself
     included. Null, empty and blank texts have fingerprint 0 and link like any other; equal fingerprints are
     compared once, through their smallest id. A row without id keeps a null component and links nothing. Rows
-    that repeat an id each get a row. Other columns of ``docs`` are not read; an empty table gives no rows.
+    that repeat an id each get a row, with the component of its own text. Other columns of ``docs`` are not read; an empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash")
     known = materialize(fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = connected_components(fingerprint_links(known, radius))
     groups = known.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    # The smallest id of a component's fingerprints, should one id occur under several.
     out = fps.join(groups, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "row_hash", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group; rows without doc_id stay.
+    """The rows of ``docs`` whose doc_id is the smallest of their text's group; rows without doc_id stay.
 
     Of rows that repeat that id, one stays.
     """
-    kept = near_duplicate_groups(docs, shingle, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    first = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    first = near_duplicate_groups(docs, shingle, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("id"), F.col("row_hash").alias("hash")).distinct()
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    kept = packed.filter("id IS NOT NULL").join(first, ["id", "hash"], "left_semi").dropDuplicates(["id"])
+    return kept.select("row").unionByName(packed.filter("id IS NULL").select("row")).select("row.*")
