@@ -129,6 +129,7 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns."""
-    out = with_copies(docs)
-    return out.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The rows of ``docs`` as often as the mix takes them, with all their columns."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
+    out = with_copies(packed, sized=with_sizes(packed).drop("text", "source"))
+    return out.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

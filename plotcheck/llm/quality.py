@@ -208,5 +208,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with their columns."""
-    return with_score(docs, learn(docs, labels)).filter(F.col("__score") >= threshold).select(*docs.columns)
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return with_score(packed, learn(docs, labels)).filter(F.col("__score") >= threshold).select("row.*")

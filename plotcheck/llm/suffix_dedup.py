@@ -344,8 +344,9 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(kept, pa.string())], names=["doc_id", "row_hash", "kept"])
 
     done = repeated_spans(docs, length).filter("spans IS NOT NULL").mapInArrow(run, "doc_id long, row_hash long, kept string").dropDuplicates(["doc_id", "row_hash"])
-    src = docs.withColumn("__row_hash", F.xxhash64("text"))
-    out = src.join(done.withColumnsRenamed({"doc_id": "__id"}), (F.col("__row_hash") == F.col("row_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    text = F.when(F.col("text").isNotNull(), F.coalesce("kept", "text"))
+    # Rows travel as one struct: no name of theirs can clash.
+    src = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    out = src.join(done.withColumnsRenamed({"doc_id": "done_id"}), (F.col("hash") == F.col("row_hash")) & F.col("id").eqNullSafe(F.col("done_id")), "left")
+    text = F.when(F.col("row.text").isNotNull(), F.coalesce("kept", "row.text"))
     new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
