@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash_dedup.keep_one_per_group(docs, shingle=5, radius=4)
+    """Of each group of near-duplicates, as op3 links them, the document with the smallest id stays."""
+    return simhash_dedup.keep_one_per_group(docs, shingle=4, radius=4)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
