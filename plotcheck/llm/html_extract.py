@@ -18,11 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotcheck.llm.common import slices
+from plotcheck.storage import materialize
 
 #: A class is valid on so many pages of a host at least, and on over half of them, with so many tokens.
 PAGES, TOKENS = 3, 3
+#: Within the main element a token is the template's on so many pages at least, and on this share of them: copies of an
+#: article on its host are no template.
+PAGES_INSIDE, SHARE_INSIDE = 10, 0.8
 #: Tokens that a task adds up before it hands them on.
 HELD = 200_000
+#: Templates of up to so many tokens in all are broadcast (8 bytes each); beyond, pages are dealt to them by host and SALTS.
+BROADCAST, SALTS = 1_000_000, 32
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<=\s)(hidden)(?=[\s/>]|\Z)")
@@ -143,10 +149,10 @@ class _Page:
     def token(place: int, text: str) -> int:
         return xxhash.xxh64_intdigest(text, place)
 
-    def main_text(self, template: set[int]) -> str:
-        """Texts of the main element, or of the template's slots where the page marks none."""
-        inside = [text for _, text, main in self.blocks if main]
-        if not inside:
+    def main_text(self, template: set[int], inner: set[int] = frozenset()) -> str:
+        """Texts in the template's slots: those of the main element, or all where the page marks none."""
+        inside = [text for place, text, main in self.blocks if main and not (inner and self.token(place, text) in inner)]
+        if not any(main for _, _, main in self.blocks):
             inside = [text for place, text, _ in self.blocks if self.token(place, text) not in template]
         return "\n".join(inside)
 
@@ -161,7 +167,7 @@ def _with_host(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the text tokens of each host's valid classes.
+    """(host, template, inner): the text tokens of each host's valid classes, and those that are so within a main element.
 
     Occurrence vectors are added up as an order-free fingerprint of (page, count) pairs, within tasks first, so that a
     host of any size costs a row for each token and task. Pages are told apart by id and url.
@@ -198,7 +204,9 @@ def templates(pages: DataFrame) -> DataFrame:
     # The class of the token that every page has tells how many pages the host has.
     per_host = classes.groupBy("host").agg(F.max("own").alias("host_pages"), F.array_agg(F.struct("pages", "size", "texts")).alias("classes"))
     valid = F.filter("classes", lambda c: (2 * c["pages"] > F.col("host_pages")) & (c["size"] >= TOKENS))
-    return per_host.select("host", F.flatten(F.transform(valid, lambda c: c["texts"])).alias("template"))
+    inner = F.filter(valid, lambda c: (c["pages"] >= PAGES_INSIDE) & (c["pages"] > SHARE_INSIDE * F.col("host_pages")))
+    tokens_of = lambda classes: F.flatten(F.transform(classes, lambda c: c["texts"]))
+    return per_host.select("host", tokens_of(valid).alias("template"), tokens_of(inner).alias("inner"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -212,9 +220,15 @@ def main_texts(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html", 2_000_000):
             found = []
-            for source, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist()):  # noqa: B905
-                found.append(_Page(source or "").main_text({t & (1 << 64) - 1 for t in template or ()}))
+            for source, *sets in zip(*(batch.column(c).to_pylist() for c in ("html", "template", "inner"))):  # noqa: B905
+                found.append(_Page(source or "").main_text(*({t & (1 << 64) - 1 for t in x or ()} for x in sets)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    known = templates(pages).filter(F.size("template") > 0)
-    return _with_host(pages).join(known, "host", "left").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    known = materialize(templates(pages).filter(F.size("template") > 0), "templates")
+    src = _with_host(pages)
+    if (known.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST:
+        met = src.join(F.broadcast(known), "host", "left")
+    else:
+        salts = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = src.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salts, ["host", "salt"], "left")
+    return met.select("page_id", "url", "html", "template", "inner").mapInArrow(run, "page_id long, url string, text string, n_chars long")
