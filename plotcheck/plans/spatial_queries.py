@@ -318,3 +318,12 @@ def _(view):
     turned = view("parcel_vertex").withColumn("seq", F.when(F.col("parcel_id") % 2 == 0, 3 - F.col("seq")).otherwise(F.col("seq")))
     # Half of the rings run clockwise before; turned back, the vertices are those of the view.
     return s.counter_clockwise(turned)
+
+
+@query("project_utm", "SELECT event_id, e, n FROM contribution")
+def _(view):
+    from plotcheck.functions.utm import from_utm, to_utm
+
+    # There and back: the coordinates again, to a millimetre.
+    geo = from_utm(view("contribution").select("event_id", "e", "n")).drop("e", "n")
+    return rounded(to_utm(geo).select("event_id", "e", "n"), "e", "n", digits=3)

@@ -98,3 +98,8 @@ def compact_json(df: DataFrame) -> DataFrame:
     digits = lambda c: F.when(F.col("provenance") == "amtlich", F.round(c, 2)).otherwise(F.round(c, 1))
     body = F.struct(F.col("obj_id").alias("i"), digits("eaves").alias("h"), F.when(F.col("ridge") > F.col("eaves"), digits("ridge")).alias("f"), F.when(F.col("klasse") != "baum", F.col("klasse")).alias("k"))
     return df.select("obj_id", F.to_json(body, {"ignoreNullFields": "true"}).alias("json"))
+
+
+def missing_columns(df: DataFrame, needed: list[str]) -> list[str]:
+    """Columns a model needs that a table lacks; none means the table fits."""
+    return sorted(set(needed) - set(df.columns))
