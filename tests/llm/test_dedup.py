@@ -113,7 +113,9 @@ def test_suffix_removal(docs, rows, no_docs):
     assert suffix_dedup.removal_digest(no_docs).count() == 0
 
 
-def test_suffix_periodic_and_shared(spark):
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_suffix_periodic_and_shared(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(3)
     letters = lambda n: "".join(rng.choice("ab") for _ in range(n))
     passage = letters(300)
