@@ -30,6 +30,8 @@ ANCHOR = 40
 STEP = 1_000_000
 #: Stretches of one anchor with different content that a flush sends to the anchor's shard at most; it knows then that the anchor repeats.
 SENT = 8
+#: An anchor of more undecided stretches is split among shards.
+HOT = 1000
 
 _BYTES = random_words(256, seed=11)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -299,13 +301,15 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     # Both joins below read the same exchange of the texts.
     dealt = src.repartition(n, "doc_id", "row_hash")
     cut = dealt.join(open_, ["doc_id", "row_hash"], "left").mapInArrow(lambda x: _cut(x, length), "doc_id long, row_hash long, a long, b long, p long, anchor long, bytes binary")
-    # A much shared anchor is split by offset: starts at different offsets from it never match.
+    # A much shared anchor is split by offset, as starts at different offsets from it never match, and by what all
+    # strings of a block of 16 offsets have in common: equal strings agree in it.
     blocks = F.sequence(F.floor((F.col("p") - F.col("b")) / 16), F.floor((F.col("p") - F.col("a")) / 16))
-    hot = decided.filter(f"kind in ({_MIXED}, {_BOTH})").groupBy("anchor").count().filter("count > 1000").select("anchor", F.lit(True).alias("hot"))
+    hot = decided.filter(f"kind in ({_MIXED}, {_BOTH})").groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
     cut = cut.join(hot, "anchor", "left").withColumn("block", F.explode(F.when(F.col("hot"), blocks).otherwise(F.array(F.lit(-1).cast("long")))))
     lo = F.when(F.col("block") < 0, F.col("a")).otherwise(F.greatest("a", F.col("p") - 16 * F.col("block") - 15))
     hi = F.when(F.col("block") < 0, F.col("b")).otherwise(F.least("b", F.col("p") - 16 * F.col("block")))
-    cut = cut.select("doc_id", "row_hash", "a", "b", lo.alias("lo"), hi.alias("hi"), "anchor", "block", "bytes").repartition(n, "anchor", "block")
+    shared = F.when(F.col("block") >= 0, F.xxhash64(F.substring("bytes", (F.col("p") - 16 * F.col("block") - F.col("a") + 1).cast("int"), F.lit(length - 15))))
+    cut = cut.select("doc_id", "row_hash", "a", "b", lo.alias("lo"), hi.alias("hi"), "anchor", "block", shared.alias("shared"), "bytes").repartition(n, "anchor", "block", "shared")
     partly = cut.mapInArrow(lambda x: _match(x, length), "doc_id long, row_hash long, a long, b long")
     spans = whole.unionByName(partly).groupBy("doc_id", "row_hash").agg(F.array_agg(F.struct("a", "b")).alias("spans"))
     out = dealt.join(spans, ["doc_id", "row_hash"], "left")
