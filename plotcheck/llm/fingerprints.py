@@ -17,9 +17,9 @@ from plotcheck.llm.common import mix, partitions, random_words, slices
 from plotcheck.storage import materialize
 
 #: Bits of a fingerprint.
-BITS = 128
+BITS = 256
 #: Words in a term.
-TERM = 3
+TERM = 2
 
 _LETTERS = random_words(256, seed=29)
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])

@@ -9,6 +9,8 @@ import pytest
 
 from plotcheck.llm import fingerprints, langid, quality, topk
 
+N = fingerprints.BITS
+
 
 def held(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
@@ -54,7 +56,7 @@ def test_edit_robustness(docs, rows, no_docs):
         half = len(t) // 2
         e = t[: len(t) - half] + nxt[:half]
         a, b, c = (fingerprints.fingerprint(x.encode()) for x in (t, e, nxt))
-        like = lambda x, y: sum(p == q for p, q in zip(f"{int.from_bytes(x):0128b}", f"{int.from_bytes(y):0128b}", strict=True)) / 128
+        like = lambda x, y: sum(p == q for p, q in zip(f"{int.from_bytes(x):0{N}b}", f"{int.from_bytes(y):0{N}b}", strict=True)) / N
         want.append((r[0], len(t), hashlib.sha256(e.encode()).hexdigest(), a.hex(), b.hex(), like(a, b), like(a, c)))
     key = lambda x: (str(x[0]), x[2], x[3])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
@@ -62,22 +64,22 @@ def test_edit_robustness(docs, rows, no_docs):
 
 def test_block_tables_find_all(spark):
     rng = random.Random(8)
-    base = [rng.getrandbits(128) for _ in range(30)]
+    base = [rng.getrandbits(N) for _ in range(30)]
     near = []
     for x in base:
         for _ in range(4):
             y = x
-            for b in rng.sample(range(128), rng.randrange(6)):
+            for b in rng.sample(range(N), rng.randrange(6)):
                 y ^= 1 << b
             near.append(y)
-    hexed = lambda xs: spark.createDataFrame([(f"{x:032x}",) for x in xs], "fingerprint string")
+    hexed = lambda xs: spark.createDataFrame([(f"{x:0{N // 4}x}",) for x in xs], "fingerprint string")
     got = {(r.query_fp, r.fp, r.distance) for r in fingerprints.near_fingerprints(hexed(base), hexed(base + near), 3).collect()}
-    want = {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in base for b in {*base, *near} if (a ^ b).bit_count() <= 3}
+    want = {(f"{a:0{N // 4}x}", f"{b:0{N // 4}x}", (a ^ b).bit_count()) for a in base for b in {*base, *near} if (a ^ b).bit_count() <= 3}
     assert got == want
 
 
 def test_terms_are_votes():
-    assert fingerprints.fingerprint(b" \n") == bytes(16)
+    assert fingerprints.fingerprint(b" \n") == bytes(N // 8)
     assert fingerprints.fingerprint(b"A b c") == fingerprints.fingerprint(b"a  b\tC")
     a, b = "one two three four five six seven " * 3, "one two three four five six eight " * 3
     assert fingerprints.likeness(fingerprints.fingerprint(a.encode()), fingerprints.fingerprint(b.encode())) > 0.6
