@@ -103,12 +103,13 @@ def day_times(df: DataFrame, day: str, minutes: int = lim.SUN_STEP_MIN) -> DataF
     return df.withColumn("t", F.explode(F.expr(f"sequence(to_timestamp({day}), to_timestamp({day}) + INTERVAL 1 DAY - INTERVAL {minutes} MINUTE, INTERVAL {minutes} MINUTE)")))
 
 
-def sun_hours(points: DataFrame, bodies: DataFrame, days: DataFrame, reach: float = 120.0) -> DataFrame:
-    """Hours of sun of each point (pt, x, y, z) and day: altitude of 5 degrees and no body (box with height) across the ray.
+def sun_places(days: DataFrame) -> DataFrame:
+    """The sun's place at each step of each day while it stands at 5 degrees at least: a table of fixed size for each day."""
+    return sun_position(day_times(days, "day")).filter(F.col("alt") >= lim.SUN_ALTITUDE).select("day", "t", "alt", "az")
+
 
-    The sun's places are a table of times, joined with points; a ray meets the bodies within reach once, by their boxes.
-    """
-    sun = sun_position(day_times(days, "day")).filter(F.col("alt") >= lim.SUN_ALTITUDE).select("day", "t", "alt", "az")
+def lit_times(points: DataFrame, bodies: DataFrame, sun: DataFrame, reach: float) -> DataFrame:
+    """(pt, day, t) at which no body (box with height) within reach stands across the ray from a point (pt, x, y, z) to the sun."""
     near = s.box_join(points.selectExpr("pt", "x", "y", "z", "x AS x1", "y AS y1", "x AS x2", "y AS y2"), bodies.select("obj_id", "x1", "y1", "x2", "y2", "height"), 60.0, reach).filter("r_height > l_z")
     ray = near.crossJoin(F.broadcast(sun)).withColumns({"dx": F.sin(F.radians("az")), "dy": F.cos(F.radians("az"))})
     lo = lambda a, o, c: F.expr(f"CASE WHEN abs({c}) < 1e-12 THEN CASE WHEN {o} BETWEEN r_{a}1 AND r_{a}2 THEN -1e18 ELSE 1e18 END ELSE least((r_{a}1 - {o}) / {c}, (r_{a}2 - {o}) / {c}) END")
@@ -116,8 +117,12 @@ def sun_hours(points: DataFrame, bodies: DataFrame, days: DataFrame, reach: floa
     enter = F.greatest(lo("x", "l_x", "dx"), lo("y", "l_y", "dy"), F.lit(0.05))
     leave = F.least(hi("x", "l_x", "dx"), hi("y", "l_y", "dy"), F.lit(reach))
     blocked = ray.filter((enter <= leave) & (F.col("l_z") + enter * F.tan(F.radians("alt")) < F.col("r_height"))).select(F.col("l_pt").alias("pt"), "day", "t").distinct()
-    lit = points.select("pt").crossJoin(F.broadcast(sun.select("day", "t"))).join(blocked, ["pt", "day", "t"], "left_anti")
-    hours = lit.groupBy("pt", "day").agg((F.count("*") * lim.SUN_STEP_MIN / 60.0).alias("hours"))
+    return points.select("pt").crossJoin(F.broadcast(sun.select("day", "t"))).join(blocked, ["pt", "day", "t"], "left_anti")
+
+
+def sun_hours(points: DataFrame, bodies: DataFrame, days: DataFrame, reach: float = 120.0) -> DataFrame:
+    """Hours of sun of each point and day."""
+    hours = lit_times(points, bodies, sun_places(days), reach).groupBy("pt", "day").agg((F.count("*") * lim.SUN_STEP_MIN / 60.0).alias("hours"))
     return points.select("pt").crossJoin(F.broadcast(days)).join(hours, ["pt", "day"], "left").select("pt", "day", F.coalesce("hours", F.lit(0.0)).alias("hours"))
 
 
@@ -129,10 +134,12 @@ def extra_shading(points: DataFrame, bodies: DataFrame, project: DataFrame, days
     return lost.groupBy("kind", "day").agg(F.max("lost").alias("most"), F.avg("lost").alias("mean"), F.count_if(F.col("lost") >= 0.25).alias("affected"))
 
 
-def room_sun(windows: DataFrame, bodies: DataFrame, days: DataFrame) -> DataFrame:
-    """Hours of sun of each room and day: lit while any of its windows is; window points carry room."""
-    h = sun_hours(windows, bodies, days)
-    return h.join(windows.select("pt", "room"), "pt").groupBy("room", "day").agg(F.max("hours").alias("hours"))
+def room_sun(windows: DataFrame, bodies: DataFrame, days: DataFrame, reach: float = 120.0) -> DataFrame:
+    """Hours of sun of each room and day: lit while any of its windows (points with room) is."""
+    lit = lit_times(windows, bodies, sun_places(days), reach).join(windows.select("pt", "room"), "pt")
+    hours = lit.groupBy("room", "day").agg((F.count_distinct("t") * lim.SUN_STEP_MIN / 60.0).alias("hours"))
+    every = windows.select("room").distinct().crossJoin(F.broadcast(days))
+    return every.join(hours, ["room", "day"], "left").select("room", "day", F.coalesce("hours", F.lit(0.0)).alias("hours"))
 
 
 def road_distance(houses: DataFrame, roads: DataFrame, reach: float) -> DataFrame:

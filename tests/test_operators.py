@@ -209,3 +209,119 @@ def test_ingest_and_erase(spark, tmp_path):
     (tmp_path / "erase" / "e.json").write_text('{"id":"a"}')
     jobs.erase_requests(jobs.log_stream(spark, p["erase"], "id string"), spark, p["ok"], files.LOG, p["new"], p["c2"]).awaitTermination()
     assert spark.read.schema(files.LOG).json(p["new"] + "/0").count() == 0
+
+
+RING = [(0.0, 0.0), (30.0, 0.0), (33.0, 25.0), (0.0, 25.0)]
+
+
+def parcel(spark):
+    ring = spark.createDataFrame([(1, i, *p) for i, p in enumerate(RING)], "parcel_id long, seq int, x double, y double")
+    flat = spark.createDataFrame([(1, 0.0, 0.0, 30.0, 25.0, 3.0)], "parcel_id long, x0 double, y0 double, w double, h double, skew double")
+    return flat, spatial.ring_edges(ring)
+
+
+def inside(x, y, gap=0.0):
+    return all(((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5 >= gap - 1e-9 for (ax, ay), (bx, by) in zip(RING, RING[1:] + RING[:1], strict=True))
+
+
+def test_setback_check_equals_clipping(spark):
+    _, edges = parcel(spark)
+    rng = random.Random(8)
+    boxes = []
+    for i in range(20):
+        x, y = rng.uniform(0, 27), rng.uniform(0, 22)
+        boxes.append((i, 1, x, y, x + rng.uniform(1, 3), y + rng.uniform(1, 3), 3.0))
+    objects = spark.createDataFrame(boxes, "obj_id long, parcel_id long, x1 double, y1 double, x2 double, y2 double, depth double")
+    got = {r.obj_id: (r.outside, r.status) for r in building.setback_check(objects, edges).collect()}
+    for i, _, x1, y1, x2, y2, d in boxes:
+        outside = 0.0
+        for a, b, c, e in ((x1, y1 - d, x2, y1), (x2, y1, x2 + d, y2), (x1, y2, x2, y2 + d), (x1 - d, y1, x1, y2)):
+            poly = [(a, b), (c, b), (c, e), (a, e)]
+            for k in range(4):
+                poly = clip(poly, RING[k], RING[(k + 1) % 4]) if poly else []
+            area = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(poly, poly[1:] + poly[:1], strict=True)) / 2 if poly else 0
+            outside += (c - a) * (e - b) - area
+        assert got[i][0] == pytest.approx(outside, abs=1e-4)
+        assert got[i][1] == ("bad" if outside > 0.05 else "ok")
+
+
+def test_placement_zones_equal_single_checks(spark):
+    flat, edges = parcel(spark)
+    obstacle = (10.0, 10.0, 14.0, 13.0)
+    obstacles = spark.createDataFrame([(1, 5, *obstacle)], "parcel_id long, obj_id long, x1 double, y1 double, x2 double, y2 double")
+    products = spark.createDataFrame([("haus", 4.0, 3.0)], "product string, w double, d double")
+    zones = building.placement_zones(flat, edges, obstacles, products, 2.0, 1.0)
+    rows = zones.collect()
+
+    def colour(x, y):
+        best = 2
+        for w, d in ((4.0, 3.0), (3.0, 4.0)):
+            corners = [(x + i * w / 2, y + j * d / 2) for i in (-1, 1) for j in (-1, 1)]
+            hit = x - w / 2 < obstacle[2] and obstacle[0] < x + w / 2 and y - d / 2 < obstacle[3] and obstacle[1] < y + d / 2
+            if not hit and all(inside(*c) for c in corners):
+                best = min(best, 0 if all(inside(*c, 3.0) for c in corners) else 1)
+        return ["green", "yellow", "red"][best]
+
+    assert {r.colour for r in rows} == {"green", "yellow", "red"}
+    assert all(r.colour == colour(r.x, r.y) for r in rows)
+    # Fine cells only next to a change of colour; the area is covered once.
+    fine = [r for r in rows if r.x % 1 == 0.5]
+    assert 0 < len(fine) < len(rows) * 4
+    fit = building.product_fit(zones, flat).collect()
+    best = min((0 if r.colour == "green" else 1, round((r.x**2 + r.y**2) ** 0.5, 6), r.x, r.y) for r in rows if r.colour != "red")
+    assert [(r.x, r.y, r.parcels) for r in fit] == [(best[2], best[3], 1)]
+
+
+def test_sun_hours_equal_rays(spark):
+    import math
+
+    days = spark.sql("SELECT date'2024-03-21' AS day UNION ALL SELECT date'2024-12-21'")
+    pts = [(1, 0.0, 0.0, 1.5, "garten", 7), (2, 20.0, 3.0, 1.5, "fenster", 7)]
+    bodies = [(1, -5.0, -12.0, 6.0, -8.0, 7.0), (2, 25.0, -3.0, 30.0, 4.0, 5.0)]
+    p = spark.createDataFrame(pts, "pt long, x double, y double, z double, kind string, room long")
+    b = spark.createDataFrame(bodies, "obj_id long, x1 double, y1 double, x2 double, y2 double, height double")
+    got = {(r.pt, str(r.day)): r.hours for r in devices.sun_hours(p, b, days, 60.0).collect()}
+    sun = [r for r in devices.sun_position(devices.day_times(days, "day")).collect() if r.alt >= 5]
+    free = {}
+    for pt, x, y, z, *_ in pts:
+        for s in sun:
+            blocked = False
+            for k in range(1, 1200):  # walk along the ray
+                d = 0.05 * k
+                px, py, pz = x + d * math.sin(math.radians(s.az)), y + d * math.cos(math.radians(s.az)), z + d * math.tan(math.radians(s.alt))
+                blocked |= any(x1 <= px <= x2 and y1 <= py <= y2 and pz < h for _, x1, y1, x2, y2, h in bodies)
+            free[pt, str(s.day)] = free.get((pt, str(s.day)), 0) + (not blocked) / 6
+    assert got == {k: pytest.approx(free.get(k, 0), abs=0.34) for k in got}
+    assert got[1, "2024-12-21"] < 3 < got[1, "2024-03-21"]
+    room = {str(r.day): r.hours for r in devices.room_sun(p, b, days).collect()}
+    assert all(room[d] >= max(got[1, d], got[2, d]) for d in room)
+    project = spark.createDataFrame([(9, -30.0, -20.0, 30.0, -15.0, 30.0)], b.schema)
+    lost = devices.extra_shading(p, b, project, days).collect()
+    assert all(r.most >= 0 and r.affected >= 0 for r in lost) and any(r.affected for r in lost)
+
+
+def test_suppression_equals_order(spark):
+    rng = random.Random(9)
+    det = []
+    for i in range(60):
+        x, y = rng.uniform(0, 20), rng.uniform(0, 20)
+        det.append((i, round(rng.random(), 1), x, y, x + rng.uniform(1, 5), y + rng.uniform(1, 5)))
+    df = spark.createDataFrame(det, "id long, confidence double, x1 double, y1 double, x2 double, y2 double")
+    got = {r.id for r in it.suppress_overlaps(df).collect()}
+    kept = []
+    for d in sorted(det, key=lambda d: (-d[1], d[0])):
+        area = lambda b: (b[4] - b[2]) * (b[5] - b[3])
+        over = lambda a, b: max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))
+        if not any(over(d, k) > 0.5 * min(area(d), area(k)) for k in kept):
+            kept.append(d)
+    assert got == {d[0] for d in kept}
+
+
+def test_spacing_holds_and_is_full(spark):
+    rng = random.Random(10)
+    pts = [(i, rng.uniform(0, 60), rng.uniform(0, 60)) for i in range(150)]
+    got = {r.id for r in it.spaced_select(spark.createDataFrame(pts, "id long, x double, y double"), 8.0, "s").collect()}
+    far = lambda a, b: (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 >= 64
+    chosen = [p for p in pts if p[0] in got]
+    assert all(far(a, b) for a in chosen for b in chosen if a != b)
+    assert all(p in chosen or not all(far(p, c) for c in chosen) for p in pts)
