@@ -63,7 +63,7 @@ _HIT = "x1 <= 700 AND x2 >= 300 AND y1 <= 500 AND y2 >= 200"
 _WALK = f"walk AS (SELECT id, parent, x1, y1, x2, y2, 0 AS level FROM tree WHERE parent IS NULL AND {_HIT} UNION ALL SELECT t.id, t.parent, t.x1, t.y1, t.x2, t.y2, level + 1 FROM walk JOIN tree t ON t.parent = walk.id WHERE t.x1 <= 700 AND t.x2 >= 300 AND t.y1 <= 500 AND t.y2 >= 200)"
 
 
-@query("descend_tree", f"WITH RECURSIVE {_TREE}, {_WALK} SELECT id, level FROM walk")
+@query("descend_tree", f"WITH RECURSIVE {_TREE}, {_WALK} SELECT CAST(id AS BIGINT) AS id, level FROM walk")
 def _(view):
     return it.descend_tree(_tree(view), (300.0, 200.0, 700.0, 500.0)).select("id", "level")
 
