@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,19 +110,28 @@ def sun_places(days: DataFrame) -> DataFrame:
     return sun_position(day_times(days, "day")).filter(F.col("alt") >= lim.SUN_ALTITUDE).select("day", "t", "alt", "az")
 
 
-def lit_times(points: DataFrame, bodies: DataFrame, sun: DataFrame, reach: float) -> DataFrame:
-    """(pt, day, t) at which no body (box with height) within reach stands across the ray from a point (pt, x, y, z) to the sun."""
-    near = s.box_join(points.selectExpr("pt", "x", "y", "z", "x AS x1", "y AS y1", "x AS x2", "y AS y2"), bodies.select("obj_id", "x1", "y1", "x2", "y2", "height"), 60.0, reach).filter("r_height > l_z")
+def lit_times(points: DataFrame, bodies: DataFrame, sun: DataFrame, reach: float | None = None) -> DataFrame:
+    """(pt, day, t) at which no body (box with height) stands across the ray from a point (pt, x, y, z) to the sun.
+
+    A body reaches as far as its shadow at the lowest sun that counts, height / tan(5 degrees) above the lowest point;
+    ``reach`` bounds it to fewer metres.
+    """
+    longest = F.greatest(F.col("height") - F.col("low"), F.lit(0.0)) / math.tan(math.radians(lim.SUN_ALTITUDE))
+    far = F.least(longest, F.lit(math.inf if reach is None else reach))
+    wide = bodies.select("obj_id", "x1", "y1", "x2", "y2", "height").crossJoin(F.broadcast(points.agg(F.min("z").alias("low")))).withColumn("far", far)
+    wide = wide.selectExpr("obj_id", "height", "far", "x1 AS bx1", "y1 AS by1", "x2 AS bx2", "y2 AS by2", "x1 - far AS x1", "y1 - far AS y1", "x2 + far AS x2", "y2 + far AS y2")
+    met = s.box_join(points.selectExpr("pt", "x", "y", "z", "x AS x1", "y AS y1", "x AS x2", "y AS y2"), wide, 60.0).filter("r_height > l_z")
+    near = met.selectExpr("l_pt", "l_x", "l_y", "l_z", "r_height", "r_far", "r_bx1 AS r_x1", "r_by1 AS r_y1", "r_bx2 AS r_x2", "r_by2 AS r_y2")
     ray = near.crossJoin(F.broadcast(sun)).withColumns({"dx": F.sin(F.radians("az")), "dy": F.cos(F.radians("az"))})
     lo = lambda a, o, c: F.expr(f"CASE WHEN abs({c}) < 1e-12 THEN CASE WHEN {o} BETWEEN r_{a}1 AND r_{a}2 THEN -1e18 ELSE 1e18 END ELSE least((r_{a}1 - {o}) / {c}, (r_{a}2 - {o}) / {c}) END")
     hi = lambda a, o, c: F.expr(f"CASE WHEN abs({c}) < 1e-12 THEN CASE WHEN {o} BETWEEN r_{a}1 AND r_{a}2 THEN 1e18 ELSE -1e18 END ELSE greatest((r_{a}1 - {o}) / {c}, (r_{a}2 - {o}) / {c}) END")
     enter = F.greatest(lo("x", "l_x", "dx"), lo("y", "l_y", "dy"), F.lit(0.05))
-    leave = F.least(hi("x", "l_x", "dx"), hi("y", "l_y", "dy"), F.lit(reach))
+    leave = F.least(hi("x", "l_x", "dx"), hi("y", "l_y", "dy"), F.col("r_far"))
     blocked = ray.filter((enter <= leave) & (F.col("l_z") + enter * F.tan(F.radians("alt")) < F.col("r_height"))).select(F.col("l_pt").alias("pt"), "day", "t").distinct()
     return points.select("pt").crossJoin(F.broadcast(sun.select("day", "t"))).join(blocked, ["pt", "day", "t"], "left_anti")
 
 
-def sun_hours(points: DataFrame, bodies: DataFrame, days: DataFrame, reach: float = 120.0) -> DataFrame:
+def sun_hours(points: DataFrame, bodies: DataFrame, days: DataFrame, reach: float | None = None) -> DataFrame:
     """Hours of sun of each point and day."""
     hours = lit_times(points, bodies, sun_places(days), reach).groupBy("pt", "day").agg((F.count("*") * lim.SUN_STEP_MIN / 60.0).alias("hours"))
     return points.select("pt").crossJoin(F.broadcast(days)).join(hours, ["pt", "day"], "left").select("pt", "day", F.coalesce("hours", F.lit(0.0)).alias("hours"))
@@ -134,7 +145,7 @@ def extra_shading(points: DataFrame, bodies: DataFrame, project: DataFrame, days
     return lost.groupBy("kind", "day").agg(F.max("lost").alias("most"), F.avg("lost").alias("mean"), F.count_if(F.col("lost") >= 0.25).alias("affected"))
 
 
-def room_sun(windows: DataFrame, bodies: DataFrame, days: DataFrame, reach: float = 120.0) -> DataFrame:
+def room_sun(windows: DataFrame, bodies: DataFrame, days: DataFrame, reach: float | None = None) -> DataFrame:
     """Hours of sun of each room and day: lit while any of its windows (points with room) is."""
     lit = lit_times(windows, bodies, sun_places(days), reach).join(windows.select("pt", "room"), "pt")
     hours = lit.groupBy("room", "day").agg((F.count_distinct("t") * lim.SUN_STEP_MIN / 60.0).alias("hours"))
