@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plotcheck.llm import mixing, packing, quality, simhash_dedup, suffix_dedup
+from plotcheck.llm import mixing, packing, quality, similar, suffix_dedup
 from plotcheck.llm.common import table
 from plotcheck.storage import shared_dir
 
@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, as op3 links them, the document with the smallest id stays."""
-    return simhash_dedup.keep_one_per_group(docs, shingle=4, radius=4)
+    """Of each group of texts linked by a five-word Jaccard similarity of 0.8 or more, the document with the smallest id stays."""
+    return similar.keep_one_per_group(docs, least=0.8, shingle=5)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
