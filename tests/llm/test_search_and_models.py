@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -16,36 +17,57 @@ def held(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
 
 
-def test_top_k(spark):
+def brute_top(rows, k):
+    """(query, rank, id, score) over rows of (id, vector); a row is known by its place."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    sound = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, (a, v) in enumerate(sound):
+        if a is not None and a % 50 == 0:
+            score = [(b, min(max(sum(x * y for x, y in zip(v, w, strict=False)), low), high)) for m, (b, w) in enumerate(sound) if m != n]
+            score.sort(key=lambda s: (-s[1], s[0] is None, s[0] or 0))
+            out += [(a, r + 1, b, s) for r, (b, s) in enumerate(score[:k])]
+    return Counter(out)
+
+
+def test_top_k(spark, monkeypatch):
     rng = random.Random(2)
     vec = [(i, [rng.uniform(-1, 1) for _ in range(10)], "x") for i in range(160)]
     vec += [(i, list(vec[7][1]), "x") for i in range(300, 340)]  # ties
-    vec += [(150, list(vec[150][1]), "x"), (None, [1.0] * 10, "x"), (200, None, "x"), (250, [1.0, None] * 5, "x"), (350, [float("nan")] * 10, "x"), (400, [float("inf")] * 10, "x"), (450, [1e30] * 10, "x"), (500, [], "x"), (550, [0.5] * 3, "x")]
+    vec += [(150, list(vec[150][1]), "x"), (150, [0.25] * 10, "x"), (None, [1.0] * 10, "x"), (200, None, "x"), (250, [1.0, None] * 5, "x"), (350, [float("nan")] * 10, "x"), (400, [float("inf")] * 10, "x"), (500, [], "x"), (550, [0.5] * 3, "x")]
+    # Products that no double holds, and scores beyond a long.
+    vec += [(600, [1e30] * 10, "x"), (601, [-1e30] * 10, "x"), (650, [3e7 + j for j in range(10)], "x"), (651, [2e6 - j for j in range(10)], "x"), (2, [1e12] * 4, "x")]
     df = spark.createDataFrame(vec, "vec_id long, embedding array<double>, score string")
+    for name, value in (("QUERIES", 3), ("CANDIDATES", 40), ("_STEP", 17)):
+        monkeypatch.setattr(topk, name, value)
     q = topk.quantized(df)
-    old = topk.QUERIES, topk.CANDIDATES, topk._STEP
-    topk.QUERIES, topk.CANDIDATES, topk._STEP = 3, 40, 17
-    try:
-        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(q, q.filter("vec_id % 50 = 0"), 5).collect()}
-    finally:
-        topk.QUERIES, topk.CANDIDATES, topk._STEP = old
-    sound = {}
-    for i, v, _ in vec:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) and abs(256 * x) <= topk.LARGEST for x in v):
-            w = [math.floor(256 * x) for x in v]
-            sound[i] = min(sound.get(i, w), w)
-    want = {}
-    for a, v in sound.items():
-        if a % 50 == 0:
-            s = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), b) for b, w in sound.items() if b != a)
-            want |= {(a, n + 1): (b, -score) for n, (score, b) in enumerate(s[:5])}
-    assert got == want
+    assert Counter(map(tuple, topk.top_k(q, q.filter("vec_id % 50 = 0"), 5).collect())) == brute_top([r[:2] for r in vec], 5)
     few = topk.quantized(spark.createDataFrame(vec[:3], df.schema))
     assert topk.top_k(few, few, 5).count() == 6
     none = topk.quantized(spark.createDataFrame([], df.schema))
     assert topk.top_k(none, none, 5).count() == 0
 
 
+def test_lists_are_read_to_the_cutoff():
+    """Where vectors differ in length, fewer components are multiplied than all pairs have; the answer is whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    v = np.floor(256 * rng.standard_normal((4000, 32)) * rng.pareto(2, (4000, 1)))
+    t = pa.table({"row": np.arange(4000), "vec_id": np.arange(4000), "v": pa.array(v.tolist(), pa.list_(pa.float64()))})
+    q, work = t.slice(0, 80), [0]
+    first = topk._score(q, t, 5, False, work)
+    low = {}
+    for i, s in zip(first["query_row"].to_pylist(), first["score"].to_pylist(), strict=True):
+        low[i] = min(s, low.get(i, s))
+    got = topk._score(q.append_column("tau", pa.array([low[i] for i in range(80)])), t, 5, True, work)
+    score = v[:80] @ v.T
+    score[np.arange(80), np.arange(80)] = -np.inf
+    assert sorted(got["score"].to_pylist()) == sorted(np.sort(score, axis=1)[:, -5:].ravel().tolist())
+    assert work[0] < 0.7 * 80 * 4000 * 32
+
+
 def test_edit_robustness(docs, rows, no_docs):
     got = fingerprints.edit_robustness(docs).collect()
     assert len(got) == len(rows) and fingerprints.edit_robustness(no_docs).count() == 0
