@@ -150,32 +150,57 @@ def test_descent_separates():
     assert all(m * s > 0 for m, s in zip(margins, y, strict=True))
 
 
-def brute_phrases(text, sample, stretch):
-    n = 0
-    for at in range(0, len(text), stretch):
-        part, i = text[at : at + stretch], 0
-        while i < len(part):
-            k = 1
-            while i + k <= len(part) and part[i : i + k] in sample:
-                k += 1
-            i += max(k - 1, 1)
-            n += 1
+def brute_phrases(text, sample):
+    n, i = 0, 0
+    while i < len(text):
+        k = 1
+        while i + k <= len(text) and text[i : i + k] in sample:
+            k += 1
+        n += 1 if k > 1 else 2
+        i += max(k - 1, 1)
     return n
 
 
-def test_cross_parsing_counts_longest_matches():
+@pytest.mark.parametrize(("dense", "stretch"), [(64, 512), (2, 16), (1, 3)])
+def test_cross_parsing_counts_longest_matches(monkeypatch, dense, stretch):
+    monkeypatch.setattr(langid, "DENSE", dense)
+    monkeypatch.setattr(langid, "STRETCH", stretch)
     rng = random.Random(7)
     text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
-    samples = {"a": [text(300, "abcd ")], "b": [text(300, "cdef ")]}
+    samples = {"a": [text(300, "abcd ")], "b": [text(300, "cdef ")], "c": ["ab" * 200], "d": [text(300, "ab")]}
     model = langid.train(samples)
-    asked = [text(n, "abcdefgh ").strip() or "a" for n in (1, 5, 255, 256, 257, 700)]
+    asked = [text(n, "abcdefgh ").strip() or "a" for n in (1, 5, 255, 256, 257, 700)] + ["ab" * 300, "ba" * 40 + "c" + "ab" * 300, text(900, "ab")]
     squeeze = lambda t: " ".join(t.split(" ")) if "  " not in t else __import__("re").sub(" +", " ", t)
     got, size = langid.phrases(asked, model)
     for t, g, s in zip(asked, got, size, strict=True):
         t = squeeze(t)
         assert s == len(t)
         for k, name in enumerate(model.languages):
-            assert g[k] == brute_phrases(t, squeeze(samples[name][0]), langid.STRETCH)
+            assert g[k] == brute_phrases(t, squeeze(samples[name][0]))
+
+
+def test_large_alphabets_are_told_apart():
+    """Two languages of 3000 letters each, none shared: a short text is enough."""
+    rng = random.Random(1)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 6000)]
+    kinds = {"x": letters[:3000], "y": letters[3000:]}
+    model = langid.train({k: ["".join(rng.choices(own, k=8000))] for k, own in kinds.items()})
+    assert len(model.points) > 5000
+    for n, least in ((5, 0.95), (20, 0.99)):
+        asked = [(k, "".join(rng.choices(own, k=n))) for k, own in kinds.items() for _ in range(300)]
+        found = langid.identify([t for _, t in asked], model)
+        assert sum(k == f for (k, _), (f, _) in zip(asked, found, strict=True)) >= least * len(asked)
+
+
+def test_samples_are_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CHARACTERS", 30)
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda samples: seen.update(samples))
+    rows = [(i, f"{i:02d}" + "a" * 8, "short") for i in range(40)] + [(i, "b" * (100 + i), "long") for i in range(100, 110)] + [(1, None, "none")]
+    langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(seen["short"]) == 3 and all(len(t) == 10 for t in seen["short"])
+    assert seen["long"] == ["b" * min(100 + i for i in range(100, 110) if not held(i))]
+    assert set(seen) == {"short", "long"}
 
 
 @pytest.mark.parametrize("bad", [None, "", "12 34 !?"])
