@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,6 @@ from plotcheck.storage import materialize
 
 #: Pieces that one task packs together, about.
 GROUP = 20_000
-#: Rounds of local search over the underfull bins of a group.
-ROUNDS = 6
 
 
 def pieces(docs: DataFrame, path: str, split: str, length: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, path: str, split: str, length: int, end_id: int, id_
 
 
 class _Bins:
-    """Bins of item numbers; items of a size are found through the bins that hold them."""
+    """Bins of item numbers, and an index of the underfull ones by the sizes, and sums of two sizes, that they hold."""
 
     def __init__(self, sizes: list[int], capacity: int) -> None:
         self.sizes, self.capacity = sizes, capacity
@@ -77,83 +77,114 @@ class _Bins:
             room[r - s].append(b)
             open_ |= 1 << (r - s)
 
+    def _list(self, b: int) -> None:
+        """Enter a bin's sizes and pair sums into the index; earlier entries of it no longer count."""
+        self.stamp[b] += 1
+        if not 0 < self.fill[b] < self.capacity:
+            return
+        entry = (self.fill[b], b, self.stamp[b])
+        own = sorted(Counter(self.sizes[i] for i in self.bins[b]).items())
+        for at, (s, n) in enumerate(own):
+            self._enter(0, s, entry)
+            for t, _ in own[:at]:
+                self._enter(1, s + t, entry)
+            if n > 1:
+                self._enter(1, 2 * s, entry)
+
+    def _enter(self, which: int, size: int, entry: tuple[int, int, int]) -> None:
+        heapq.heappush(self.holders[which].setdefault(size, []), entry)
+        self.held[which] |= 1 << size
+
+    def _other(self, which: int, size: int, b: int) -> int | None:
+        """The emptiest bin but b that holds this size (or sum of two), if it is no fuller than b."""
+        heap = self.holders[which].get(size)
+        aside = None
+        found = None
+        while heap:
+            fill, c, stamp = heap[0]
+            if stamp != self.stamp[c]:
+                heapq.heappop(heap)
+            elif c == b:
+                aside = heapq.heappop(heap)
+            else:
+                found = c if fill <= self.fill[b] else None
+                break
+        if aside:
+            heapq.heappush(heap, aside)
+        elif not heap:
+            self.held[which] &= ~(1 << size)
+        return found
+
+    def _best_step(self, b: int) -> tuple[int, int | None, int, int] | None:
+        """(gain, size that leaves b or None, size or sum that enters, bin it comes from) of the step that fills b most."""
+        gap, best = self.capacity - self.fill[b], None
+        for out in (None, *sorted({self.sizes[i] for i in self.bins[b]})):
+            x = out or 0
+            for which in (0, 1):
+                options = self.held[which] & ((1 << (x + gap + 1)) - 1)
+                while options:
+                    size = options.bit_length() - 1
+                    if size - x <= (best[0] if best else 0):
+                        break
+                    c = self._other(which, size, b)
+                    if c is not None:
+                        best = (size - x, out, size if which == 0 else -size, c)
+                        break
+                    options &= ~(1 << size)
+            if best and best[0] == gap:
+                break
+        return best
+
+    def _take(self, c: int, size: int) -> list[int]:
+        """Numbers of the item of this size in a bin, or (negative size) of two items with this sum."""
+        own = self.bins[c]
+        if size > 0:
+            return [next(i for i in own if self.sizes[i] == size)]
+        seen: dict[int, int] = {}
+        for i in own:
+            if -size - self.sizes[i] in seen:
+                return [seen[-size - self.sizes[i]], i]
+            seen[self.sizes[i]] = i
+        raise LookupError(size)
+
     def _put(self, i: int, old: int, new: int) -> None:
         self.bins[old].remove(i)
         self.bins[new].append(i)
         self.fill[old] -= self.sizes[i]
         self.fill[new] += self.sizes[i]
 
-    def improve(self) -> bool:
-        """One round over the underfull bins, fullest first: each takes from emptier ones by a move, a swap of one for
-        one, or of two for one, whichever leaves it fullest. Every step raises the sum of squared fills."""
-        sizes, fill = self.sizes, self.fill
-        under = sorted((b for b in range(len(self.bins)) if 0 < fill[b] < self.capacity), key=lambda b: -fill[b])
-        holders: dict[int, set[int]] = {}
-        for b in under:
-            for i in self.bins[b]:
-                holders.setdefault(sizes[i], set()).add(b)
-        changed = False
-
-        def other(size: int, b: int) -> tuple[int, int] | None:
-            """An item of this size in a bin that is no fuller than b."""
-            for c in list(holders.get(size, ())):
-                item = next((i for i in self.bins[c] if sizes[i] == size), None)
-                if item is None:
-                    holders[size].discard(c)
-                elif c != b and fill[c] <= fill[b]:
-                    return item, c
-            return None
-
-        def enter(i: int, b: int) -> None:
-            holders.setdefault(sizes[i], set()).add(b)
-
-        for b in under:
-            tries = 0
-            while 0 < (gap := self.capacity - fill[b]) < self.capacity and tries < 8:
-                tries += 1
-                best = None  # (gain, out, in, from)
-                for g in range(gap, 0, -1):
-                    if best and best[0] >= g:
-                        break
-                    if (hit := other(g, b)) is not None:
-                        best = (g, None, [hit[0]], hit[1])
-                        break
-                    for x in self.bins[b]:
-                        if (hit := other(sizes[x] + g, b)) is not None:
-                            best = (g, x, [hit[0]], hit[1])
-                            break
-                    if best:
-                        break
-                if best is None or best[0] < gap:
-                    for c in [c for c in under[-24:] if c != b and fill[c] <= fill[b]]:
-                        own = self.bins[c]
-                        for p in range(len(own)):
-                            for q in range(p):
-                                pair = sizes[own[p]] + sizes[own[q]]
-                                for x in (None, *self.bins[b]):
-                                    gain = pair - (sizes[x] if x is not None else 0)
-                                    if 0 < gain <= gap and (best is None or gain > best[0]):
-                                        best = (gain, x, [own[p], own[q]], c)
-                if best is None:
-                    break
-                _, out, into, c = best
-                for i in into:
-                    self._put(i, c, b)
-                    enter(i, b)
-                if out is not None:
-                    self._put(out, b, c)
-                    enter(out, c)
-                changed = True
-        return changed
-
-
-def pack(sizes: list[int], capacity: int, rounds: int = ROUNDS) -> list[list[int]]:
-    """Bins of item numbers, each of at most ``capacity``; sizes lie in 1..capacity."""
+    def improve(self) -> None:
+        """Local search until no step is left: an underfull bin, fullest first, takes from a no fuller one by a move, a
+        swap of one for one, or of two for one, whichever fills it most. Every step raises the sum of squared fills, so
+        that the search ends; bins that give all they hold are empty."""
+        n = len(self.bins)
+        self.stamp = [0] * n
+        self.holders: tuple[dict[int, list], dict[int, list]] = ({}, {})
+        self.held = [0, 0]  # bit s: some underfull bin may hold size (or sum) s
+        for b in range(n):
+            self._list(b)
+        changed = True
+        while changed:
+            changed = False
+            for b in sorted((b for b in range(n) if 0 < self.fill[b] < self.capacity), key=lambda b: (-self.fill[b], b)):
+                while 0 < self.fill[b] < self.capacity and (step := self._best_step(b)) is not None:
+                    _, out, size, c = step
+                    leaves = self._take(b, out) if out else []
+                    for i in self._take(c, size):
+                        self._put(i, c, b)
+                    for i in leaves:
+                        self._put(i, b, c)
+                    self._list(b)
+                    self._list(c)
+                    changed = True
+
+
+def pack(sizes: list[int], capacity: int, search: bool = True) -> list[list[int]]:
+    """Bins of item numbers, each of at most ``capacity``; sizes lie in 1..capacity. Without ``search``, best fit alone."""
     packed = _Bins(sizes, capacity)
     packed.best_fit()
-    for _ in range(rounds):
-        if sum(0 < f < capacity for f in packed.fill) < 2 or not packed.improve():
-            break
+    if search:
+        packed.improve()
     return [b for b in packed.bins if b]
 
 
@@ -164,16 +195,13 @@ def _place(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     t = pa.Table.from_batches(all_)
     size = t.column("length").to_numpy()
     # A fixed order, so that a task that runs again places alike.
-    order = np.lexsort((t.column("ids_crc32").to_numpy(), t.column("piece").to_numpy(), t.column("doc_id").fill_null(-1).to_numpy(), -size))
+    order = np.lexsort((t.column("ids_crc32").to_numpy(), t.column("piece").to_numpy(), t.column("doc_id").fill_null(0).to_numpy(), t.column("doc_id").is_null().to_numpy(), -size))
     seq, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-    full = order[size[order] == length]
-    seq[full] = np.arange(len(full))
-    part = order[size[order] < length]
-    for k, members in enumerate(pack(size[part].tolist(), length)):
+    for k, members in enumerate(pack(size[order].tolist(), length)):
         at = 0
         for i in members:
-            seq[part[i]], offset[part[i]] = len(full) + k, at
-            at += size[part[i]]
+            seq[order[i]], offset[order[i]] = k, at
+            at += size[order[i]]
     seq += TaskContext.get().partitionId() << 40
     for at in range(0, t.num_rows, 50_000):
         piece = t.slice(at, 50_000)
@@ -184,11 +212,16 @@ def _place(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 def best_fit_pack(docs: DataFrame, path: str, split: str = "space", length: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every piece of every document with its sequence and place.
 
-    Pieces are dealt at random to groups of about GROUP, each packed by one task: the loss against packing all
-    together is under a sequence for each group. A sequence has no gap; a piece that fills one stands alone. Rows
-    that repeat an id are documents of their own. An empty table gives no rows.
+    A piece that fills a sequence stands alone, with a negative number, and is never shuffled. The others are dealt
+    evenly to groups of about GROUP, each packed by one task: the loss against packing all together is under a
+    sequence for each group. A sequence has no gap. Rows that repeat an id, or have none, are documents of their own.
+    An empty table gives no rows.
     """
     cut = materialize(pieces(docs, path, split, length, end_id, id_col, text_col), "pieces")
-    groups = max(1, round(cut.filter(F.col("length") < length).count() / GROUP))
+    short = F.col("length") < length
+    groups = max(1, round(cut.filter(short).count() / GROUP))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return cut.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32")).mapInArrow(lambda b: _place(b, length), schema)
+    alone = cut.filter(~short).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # By place in the written table, not by content: equal rows must not meet in one group.
+    dealt = cut.filter(short).withColumn("nth", F.monotonically_increasing_id()).repartition(groups, F.xxhash64("nth")).drop("nth")
+    return dealt.mapInArrow(lambda b: _place(b, length), schema).unionByName(alone)

@@ -92,15 +92,65 @@ def test_local_search(n):
     bins = packing.pack(sizes, 1024)
     assert sorted(i for b in bins for i in b) == list(range(n))
     assert all(sum(sizes[i] for i in b) <= 1024 for b in bins)
-    assert len(bins) <= len(packing.pack(sizes, 1024, 0))
-
-
-def test_search_beats_best_fit():
-    # Best fit opens a third bin; one exchange of two for one empties it.
-    sizes = [6, 5, 5, 4, 4, 4, 2]
-    assert len(packing.pack(sizes, 10)) == 3
-    sizes = [55, 45, 40, 35, 25] * 40
-    assert len(packing.pack(sizes, 100)) <= len(packing.pack(sizes, 100, 0))
+    assert len(bins) <= len(packing.pack(sizes, 1024, search=False))
+
+
+def best_packing(sizes, capacity):
+    """The least number of bins, by trying all."""
+    best = len(sizes)
+
+    def place(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(sizes):
+            best = len(room)
+            return
+        for i in range(len(room)):
+            if room[i] >= sizes[k] and room[i] not in room[:i]:
+                place(k + 1, [*room[:i], room[i] - sizes[k], *room[i + 1 :]])
+        place(k + 1, [*room, capacity - sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def test_search_saves_bins():
+    """On small sets the search comes nearer to the optimum than best fit; on a repeated one it saves many bins."""
+    rng = random.Random(4)
+    optimum = fit = found = 0
+    for _ in range(300):
+        sizes = sorted((rng.randint(15, 50) for _ in range(9)), reverse=True)
+        optimum += best_packing(sizes, 100)
+        fit += len(packing.pack(sizes, 100, search=False))
+        found += len(packing.pack(sizes, 100))
+    assert optimum <= found < fit and found - optimum <= 0.6 * (fit - optimum)
+    sizes = [6, 5, 5, 4, 4, 4, 2] * 30
+    assert len(packing.pack(sizes, 10)) == 90
+
+
+def test_nothing_is_left_to_step():
+    """No move, swap or two-for-one swap that fills a bin from a no fuller one remains, in bins of many items too."""
+    rng = random.Random(8)
+    for low, high, n in ((1, 60, 400), (20, 60, 60), (34, 60, 60)):
+        sizes = [rng.randint(low, high) for _ in range(n)]
+        bins = [[sizes[i] for i in b] for b in packing.pack(sizes, 100)]
+        fill = list(map(sum, bins))
+        for b, own in enumerate(bins):
+            for c, other in enumerate(bins):
+                if b == c or fill[c] > fill[b] or fill[b] == 100:
+                    continue
+                pairs = [other[p] + other[q] for p in range(len(other)) for q in range(p)]
+                assert not any(0 < y - x <= 100 - fill[b] for x in (0, *own) for y in (*other, *pairs))
+
+
+def test_full_pieces_stand_alone(spark):
+    text = " ".join(f"word{i}" for i in range(4000))
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (None, text)], "doc_id long, text string")
+    got = packing.best_fit_pack(df, FILES["space"], length=64).collect()
+    full = [r for r in got if r.length == 64]
+    assert len({r.sequence_id for r in full}) == len(full) > 400 and all(r.offset == 0 for r in full)
+    assert all(r.sequence_id < 0 for r in full) and all(r.sequence_id >= 0 for r in got if r.length < 64)
 
 
 def brute_targets(sizes, weights=(3, 1, 2)):
