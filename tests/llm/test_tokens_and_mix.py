@@ -207,11 +207,116 @@ PAGE = "<html><head><title>t</title></head><body><header><h1>Site</h1></header><
         (PAGE.format("<main><ul><li>a<li>b</ul><aside>side</aside><form>x<input></form><div class='ad'>buy</div><section class='comments'><p>reader</p></section><p>c</p></main>"), "a\nb\nc"),
         (PAGE.format("<p>no main</p><div hidden>x</div><div style='display: none'>y</div>"), "no main"),
         ("<article><p>cut off <b>he", "cut off he"),
+        ("<body><form id='all' class='no-sidebar'><article class='post category-search'><p>in</p><form>x</form></article></form></body>", "in"),
+        ("<main><p>text</p><section class='comments'><article class='comment'>reader</article></section><aside><article>other</article></aside></main>", "text"),
         ("<article>a<!-- <p>no</p> -->b<style>p{}</style><noscript>n</noscript></article>", "ab"),
     ],
 )
 def test_page_text(html, text):
-    assert html_extract._Page(html or "").main_text(set()) == text
+    assert html_extract._Page(html or "").main_text(None) == text
+
+
+def brute_template(pages):
+    """{token: pages} of the valid classes of one host, from the token sequences of its distinct pages."""
+    pages = sorted(pages)
+    every = {t for p in pages for t in p}
+    classes = defaultdict(set)
+    for t in every:
+        vector = tuple(p.count(t) for p in pages)
+        if sum(map(bool, vector)) >= html_extract.PAGES and 2 * sum(map(bool, vector)) > len(pages):
+            classes[vector].add(t)
+    classes = {v: c for v, c in classes.items() if len(c) >= html_extract.TOKENS}
+    for v, c in list(classes.items()):
+        ranks = defaultdict(set)
+        for p in pages:
+            own = [t for t in p if t in c]
+            for n in range(0, len(own), len(c)):
+                time = own[n : n + len(c)]
+                for i, t in enumerate(time):
+                    ranks[t].add(i if len(set(time)) == len(c) else None)
+        classes[v] = {t for t in c if len(ranks[t]) == 1 and ranks[t] != {None}}
+    classes = {v: c for v, c in classes.items() if len(c) >= html_extract.TOKENS}
+
+    def times(p, c):
+        at = [i for i, t in enumerate(p) if t in c]
+        rows = [at[i : i + len(c)] for i in range(0, len(at), len(c))]
+        orders = {tuple(p[i] for i in r) for r in rows}
+        return rows, orders
+
+    ordered = {v: [times(p, c) for p in pages] for v, c in classes.items()}
+    sound = lambda k, v: all(len(set(o)) == len(classes[v]) for o in ordered[v][k][1]) and len(ordered[v][k][1]) <= 1
+    out = {}
+    for v, c in classes.items():
+        seen = set()
+        for k, p in enumerate(pages):
+            if not v[k]:
+                continue
+            if not sound(k, v):
+                seen.add(None)
+                continue
+            for row in ordered[v][k][0]:
+                around = []
+                for w, d in classes.items():
+                    for r in ordered[w][k][0] if w != v and sound(k, w) else ():
+                        if r[0] < row[0] < r[-1]:
+                            gap = sum(i <= row[0] for i in r)
+                            around.append((r[0], w, gap, row[-1] <= r[gap]))
+                home = max(around)[1:3] if around and all(x[3] for x in around) else None if around else (0, 0)
+                seen.add((next(iter(ordered[v][k][1])), home) if home else None)
+        if len(seen) == 1 and None not in seen:
+            out |= {t: sum(map(bool, v)) for t in c}
+    return out
+
+
+def test_classes_and_nesting(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+
+    def page(kind):
+        items = "".join(f"<li class='i'><b>{word()}</b><p class='k'>fixed</p></li>" for _ in range(rng.randrange(1, 4)))
+        swap = ["<div class='s1'>one</div>", "<div class='s2'>two</div>", "<div class='s3'>three</div>"]
+        if kind == "unordered":
+            rng.shuffle(swap)
+        late = "<div class='late'>L1</div><div class='late2'>L2</div>" if rng.random() < 0.7 else ""
+        early = "<div class='early'>E</div>" if late else ""  # one class over two gaps of the other
+        return f"<body>{early}<div class='top'>Hello</div><ul class='list'>{items}</ul>{''.join(swap)}<div class='text'>{word()} {word()}</div>{late}<div class='end'>Bye</div></body>"
+
+    data = [(i, f"http://{kind}.example/{i}", page(kind)) for kind in ("ordered", "unordered") for i in range(14)]
+    data += data[:5] * 3 + [(50 + i, "http://few.example/", page("ordered")) for i in range(2)]
+    df = spark.createDataFrame([(*d, "x", "y") for d in data], "page_id long, url string, html string, tokens string, class string")
+    got = {r.host: {t & (1 << 64) - 1: n for t, n in zip(r.tokens, r.pages, strict=True)} for r in html_extract.templates(df).collect()}
+    sizes = []
+    for kind in ("ordered", "unordered"):
+        pages = {tuple(html_extract._Page(h).tokens) for _, u, h in data if f"/{kind}." in u}
+        want = brute_template(pages)
+        assert got[f"{kind}.example"] == want and len(pages) == 14
+        sizes.append(len(want))
+    assert sizes[0] > sizes[1] > 0 and "few.example" not in got
+    out = {(r.url, r.page_id): r.text for r in html_extract.main_texts(df).collect()}
+    text = out["http://ordered.example/3", 3]
+    assert "Hello" not in text and "Bye" not in text and "one" not in text.split("\n") and len(text.split("\n")) >= 2
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    """Repeated pages count once, and an article that many pages of a host share stays on each."""
+    rng = random.Random(2)
+    para = lambda: "<p>" + " ".join(rng.choice("abcdefgh") * 4 for _ in range(12)) + "</p>"
+    shared = "".join(para() for _ in range(5))
+    page = lambda body: f"<div class='top'>Welcome</div><nav>m</nav><article><h1>T</h1>{body}</article><div class='end'>Impressum</div>"
+    data = [(i, "http://h.example/", page(shared + para() if i < 12 else "".join(para() for _ in range(4)))) for i in range(18)] + [(99, "http://h.example/", page(shared))] * 30
+    out = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert all(len(out[i].split("\n")) >= 6 for i in range(12)) and len(out[99].split("\n")) >= 5
+    assert all("Welcome" not in t and "Impressum" not in t for t in out.values())
+
+
+def test_marks_are_not_needed(spark):
+    """With article and main taken away, the slots give the same texts."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", r"</?(article|main)[^>]*>", ""))
+    a, b = ({(r.page_id, r.url): r.text for r in html_extract.main_texts(x).collect()} for x in (pages, bare))
+    assert sum(a[k] == b[k] for k in a) >= 0.95 * len(a) > 0
 
 
 def test_templates(spark):
