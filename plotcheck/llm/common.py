@@ -27,6 +27,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) in ranges of ascending doc_id, sorted within: nulls first, rows that repeat an id by the hash of their text, then the text.
+
+    The row's place is the last key of the ranges alone, so that many equal rows do not fall into one range.
+    """
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keyed = src.withColumns({"__hash": F.xxhash64("text"), "__place": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(partitions(docs.sparkSession), "doc_id", "__hash", "__place")
+    return dealt.sortWithinPartitions("doc_id", "__hash", "text").select("doc_id", "text")
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

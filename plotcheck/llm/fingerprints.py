@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plotcheck.llm.common import mix, partitions, random_words, slices
+from plotcheck.llm.common import in_order, mix, random_words, slices
 from plotcheck.storage import materialize
 
 #: Bits of a fingerprint.
 BITS = 256
 #: Words in a term.
 TERM = 2
+#: Fingerprints of one key of a block table that stay together.
+HOT = 10_000
 
 _LETTERS = random_words(256, seed=29)
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -35,7 +37,7 @@ def _term_hashes(text: bytes) -> np.ndarray:
     if not len(first):
         return np.zeros(0, np.uint64)
     # Each letter is scrambled with its place in its word; a word is the sum of its letters.
-    place = np.arange(len(data)) - np.repeat(np.r_[0, first[1:]], np.diff(np.r_[0, first[1:], len(data)]))
+    place = np.arange(len(data)) - np.repeat(first, np.diff(np.r_[0, first[1:], len(data)]))
     codes = mix(_LETTERS[data] + place.astype(np.uint64) * np.uint64(_BASE))
     total = np.r_[np.zeros(1, np.uint64), np.cumsum(codes, dtype=np.uint64)]
     words = mix(total[last] - total[first])
@@ -79,22 +81,52 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _block_tables(column: Column, blocks: int, radius: int) -> Column:
     """One key for every choice of ``radius`` blocks left out: fingerprints within the radius share one at least."""
-    digits = BITS // 4 // blocks
-    part = [F.substring(column, 1 + k * digits, digits if k < blocks - 1 else BITS // 4) for k in range(blocks)]
-    return F.array(*[F.concat_ws("-", F.lit(str(i)), *(part[k] for k in kept)) for i, kept in enumerate(combinations(range(blocks), blocks - radius))])
+    edges = [BITS // 4 * k // blocks for k in range(blocks + 1)]
+    part = [F.substring(column, 1 + a, b - a) for a, b in zip(edges, edges[1:])]  # noqa: B905
+    return F.array(*[F.xxhash64(F.lit(i), *(part[k] for k in kept)) for i, kept in enumerate(combinations(range(blocks), blocks - radius))])
 
 
-def near_fingerprints(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+def _blocks(n: int, radius: int) -> int:
+    """How many blocks to cut, so that a table's key of those that must agree tells ``n`` spread fingerprints apart."""
+    blocks = radius + 1
+    while blocks < radius + 3 and n >> min(BITS * (blocks - radius) // blocks, 62) > 16:
+        blocks += 1
+    return blocks
+
+
+def near_fingerprints(queries: DataFrame, index: DataFrame, radius: int = 8, blocks: int | None = None) -> DataFrame:
     """(query_fp, fp, distance): all distinct fingerprints of ``index`` within ``radius`` bits of each of ``queries``.
 
-    Both have a column fingerprint (hex); each distinct value counts once, so that copies add no work. The bits are
-    cut into ``blocks``; at most ``radius`` blocks differ, so tables of the others, in permuted order, find every one.
+    Both have a column fingerprint (hex); each distinct value counts once, so that copies add no work; nulls take no
+    part. The bits are cut into ``blocks`` (by the number of fingerprints, if not given); at most ``radius`` of them
+    differ, so one of the tables of the others, in permuted order, finds every one. A pair counts in the first table
+    that both share. Keys of over HOT fingerprints are dealt out in parts, which the queries visit all.
     """
-    q = queries.select(F.col("fingerprint").alias("query_fp")).distinct().withColumn("key", F.explode(_block_tables(F.col("query_fp"), blocks, radius)))
-    x = index.select(F.col("fingerprint").alias("fp")).distinct().withColumn("key", F.explode(_block_tables(F.col("fp"), blocks, radius)))
+    known = materialize(index.select(F.col("fingerprint").alias("fp")).filter("fp IS NOT NULL").distinct(), "index")
+    blocks = blocks or _blocks(known.count(), radius)
+    tables = lambda c: _block_tables(F.col(c), blocks, radius)
+    x = known.select("fp", F.posexplode(tables("fp")).alias("nth", "key"))
+    asked = queries.select(F.col("fingerprint").alias("query_fp")).filter("query_fp IS NOT NULL").distinct()
+    q = asked.select("query_fp", F.posexplode(tables("query_fp")).alias("nth", "key"))
+    hot = x.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
+    x = x.join(hot, "key", "left").select("fp", "key", F.coalesce(F.pmod(F.xxhash64("fp"), "parts").cast("int"), F.lit(0)).alias("part"))
+    q = q.join(hot, "key", "left").select("query_fp", "nth", "key", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     longs = lambda c: [F.conv(F.substring(c, 1 + 16 * k, 16), 16, -10).cast("long") for k in range(BITS // 64)]
     distance = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(longs("query_fp"), longs("fp"))), F.lit(0))  # noqa: B905
-    return q.join(x, "key").withColumn("distance", distance).filter(F.col("distance") <= radius).select("query_fp", "fp", "distance").distinct()
+    near = q.join(x, ["key", "part"]).withColumn("distance", distance).filter(F.col("distance") <= radius)
+    first = F.array_position(F.zip_with(tables("query_fp"), tables("fp"), lambda a, b: a == b), True) - 1
+    return near.filter(first == F.col("nth")).select("query_fp", "fp", "distance")
+
+
+def neighbours(docs: DataFrame, queries: DataFrame, radius: int = 8) -> DataFrame:
+    """(doc_id, fingerprint, n_near, nearest): for each row of ``queries`` the distinct fingerprints of ``docs`` within ``radius`` bits.
+
+    Both are (doc_id, fingerprint), ``queries`` some of ``docs``. n_near leaves out the own fingerprint; nearest is the
+    least distance of another one, null if none is near. Copies count once; rows that repeat an id keep a row each.
+    """
+    found = near_fingerprints(queries, docs, radius).filter("fp <> query_fp").groupBy(F.col("query_fp").alias("fingerprint"))
+    near = found.agg(F.count("*").alias("n_near"), F.min("distance").alias("nearest"))
+    return queries.select("doc_id", "fingerprint").join(near, "fingerprint", "left").select("doc_id", "fingerprint", F.coalesce("n_near", F.lit(0)).alias("n_near"), "nearest")
 
 
 _OUT = "kind int, pid int, doc_id long, text string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -116,8 +148,9 @@ def edit_robustness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """For every row: its fingerprint, and its likeness to that of its edited text and of the next document.
 
     The edited text has the last half of the characters (rounded down) replaced by as many of the first of the next
-    document, ascending doc_id (then text, nulls first); after the last comes the first. Texts are dealt out once, as
-    ranges of doc_id; a range's last row meets the next range's first in a second, small step. Null texts are empty.
+    document, ascending doc_id (nulls first, rows that repeat an id by the hash of their text); after the last comes the
+    first. Texts are dealt out once, as ranges in this order; a range's last row meets the next range's first in a
+    second, small step. Null texts are empty. An empty table gives no rows.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -148,8 +181,7 @@ def edit_robustness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             yield rows([_row(r["doc_id"], r["text"], bytes.fromhex(r["fingerprint"]), r["head"], bytes.fromhex(r["head_fp"])) for r in batch.to_pylist()], schema)
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = src.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = in_order(docs, id_col, text_col)
     done = materialize(ordered.mapInArrow(run, _OUT), "fingerprints")
     # A row for each range that has any: which one follows it.
     order = W.orderBy("pid")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plotcheck.llm import fingerprints, html_extract, langid, mixing, packing, quality, simhash_dedup, suffix_dedup, token_output, topk
 from plotcheck.llm.common import table
+from plotcheck.storage import materialize
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,12 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_robustness(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near fingerprints of every 50th document among those of all, found in the block tables of op9's method."""
+    found = materialize(fingerprints.fingerprints(table(spark, sf_dir, "documents")), "searched")
+    return fingerprints.neighbours(found, found.filter(F.col("doc_id") % 50 == 0), radius=12)
+
+
 def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as word BPE ids, written in bit planes and read back."""
     return token_output.written_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word", 1)
@@ -73,6 +80,7 @@ QUERIES = {
     "op8_mixing_sources": op8_mixing_sources,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_token_id_output": op10_token_id_output,
+    "fingerprint_neighbours": fingerprint_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {

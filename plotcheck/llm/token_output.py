@@ -2,8 +2,9 @@
 
 One file value holds whole documents:
 
-    b"TPL1" | u8 planes (8: byte planes, 1: bit planes) | u32 ids in a block | u64 documents | u64 ids | u32 blocks
-    zstandard(doc ids, i64 each) | zstandard(ids of each document, u64 each), each after its u32 size
+    b"TPL2" | u8 planes (8: byte planes, 1: bit planes) | u32 ids in a block | u64 documents | u64 ids | u32 blocks
+    zstandard(doc ids, i64 each) | zstandard(is the doc id null, u8 each) | zstandard(ids of each document, u64 each),
+    each after its u32 size
     index: for each block u32 ids and, for each of its planes, u32 compressed size
     the planes, block after block
 
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plotcheck.llm.common import partitions, slices
+from plotcheck.llm.common import in_order, slices
 from plotcheck.llm.tokens import encoder
 from plotcheck.storage import materialize
 
-MAGIC = b"TPL1"
+MAGIC = b"TPL2"
 _HEAD = struct.Struct("<4sBIQQI")
 
 
@@ -56,10 +57,11 @@ def _ids(planes: list[bytes], n: int, bits: int) -> np.ndarray:
     return raw.reshape(-1).view("<u4")
 
 
-def write_file(doc_ids: list[int], counts: list[int], ids: np.ndarray, block: int = 65_536, bits: int = 1, level: int = 3) -> bytes:
+def write_file(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, block: int = 65_536, bits: int = 1, level: int = 3) -> bytes:
     """The file value for documents with ``counts`` ids each, all in ``ids``."""
     z = zstandard.ZstdCompressor(level=level)
-    head = [z.compress(np.array(doc_ids, "<i8").tobytes()), z.compress(np.array(counts, "<u8").tobytes())]
+    none = [i is None for i in doc_ids]
+    head = [z.compress(x.tobytes()) for x in (np.array([i or 0 for i in doc_ids], "<i8"), np.array(none, "u1"), np.array(counts, "<u8"))]
     index, body = [], []
     for at in range(0, len(ids), block):
         part = ids[at : at + block]
@@ -72,13 +74,13 @@ def write_file(doc_ids: list[int], counts: list[int], ids: np.ndarray, block: in
     return b"".join([_HEAD.pack(MAGIC, bits, block, len(doc_ids), len(ids), blocks), *(struct.pack("<I", len(x)) + x for x in head), *index, *body])
 
 
-def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc ids, ids of each document, all ids) of a file value."""
+def read_file(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(doc ids, with nulls, ids of each document, all ids) of a file value."""
     magic, bits, _, docs, total, blocks = _HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a token file")
     d, at, head = zstandard.ZstdDecompressor(), _HEAD.size, []
-    for _ in range(2):
+    for _ in range(3):
         (n,) = struct.unpack_from("<I", data, at)
         head.append(d.decompress(data[at + 4 : at + 4 + n]))
         at += 4 + n
@@ -94,14 +96,15 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts.append(_ids(packed, row[0], bits))
     ids = np.concatenate(parts) if parts else np.zeros(0, "<u4")
     assert len(ids) == total
-    return np.frombuffer(head[0], "<i8", docs), np.frombuffer(head[1], "<u8", docs), ids
+    return pa.array(np.frombuffer(head[0], "<i8", docs), mask=np.frombuffer(head[1], "u1", docs).astype(bool)), np.frombuffer(head[2], "<u8", docs), ids
 
 
 def token_files(docs: DataFrame, path: str, split: str, end_id: int, file_ids: int = 2_000_000, block: int = 65_536, bits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(shard, part, n_ids, payload): the ids of all documents in ascending doc_id order, in files of about ``file_ids`` ids.
 
-    Shards are ranges of doc_id, so that (shard, part) orders the files. Equal ids keep their rows, by text; a null id
-    is written as the least long. Null and empty texts have the end id alone.
+    Shards are ranges of doc_id, so that (shard, part) orders the files. Null ids come first; rows that repeat an id come
+    in the order of their text's hash, and spread over shards where they are many. Null and empty texts have the end id
+    alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +118,7 @@ def token_files(docs: DataFrame, path: str, split: str, end_id: int, file_ids: i
         for batch in slices(batches, "text"):
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):  # noqa: B905
                 ids = enc.ids(text or "") + end
-                rows.append(-(1 << 63) if i is None else i)
+                rows.append(i)
                 counts.append(len(ids) // 4)
                 parts.append(ids)
                 size += counts[-1]
@@ -125,8 +128,7 @@ def token_files(docs: DataFrame, path: str, split: str, end_id: int, file_ids: i
         if rows:
             yield out()
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = src.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = in_order(docs, id_col, text_col)
     return ordered.mapInArrow(run, "shard int, part int, n_ids long, payload binary")
 
 
@@ -142,14 +144,16 @@ def read_documents(files: DataFrame) -> DataFrame:
                 starts = ends - n.astype(np.int64)
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]  # noqa: B905
                 rows = len(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, shard, np.int32)), pa.array(np.full(rows, part, np.int32)), pa.array(doc), pa.array(starts), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())], names=["shard", "part", "doc_id", "local", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, shard, np.int32)), pa.array(np.full(rows, part, np.int32)), doc, pa.array(starts), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())], names=["shard", "part", "doc_id", "local", "n_tokens", "ids_crc32"])
 
-    out = files.select("shard", "part", "payload").mapInArrow(run, "shard int, part int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")))
+    return files.select("shard", "part", "payload").mapInArrow(run, "shard int, part int, doc_id long, local long, n_tokens long, ids_crc32 long")
 
 
 def written_digest(docs: DataFrame, path: str, split: str = "word", end_id: int = 1) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from files written and read back. An empty table gives no rows."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from files written and read back.
+
+    Nulls and repeated ids as in ``token_files``: every row is a document of its own. An empty table gives no rows.
+    """
     files = materialize(token_files(docs, path, split, end_id), "tokens")
     # Ids before each file: within its shard, and those of the shards before; a row per shard meets in one task.
     meta = files.select("shard", "part", "n_ids")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import xxhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, row string, spans long, kept string, size long, copies int"
 
@@ -9,6 +10,12 @@ def words(rng, n, vocabulary=400):
     return " ".join(f"w{rng.randrange(vocabulary)}{'x' * rng.randrange(3)}" for _ in range(n))
 
 
+def place(row):
+    """Sort key of (doc_id, text, ...): nulls first, then by the hash of the text, then the text."""
+    hashed = 42 if row[1] is None else xxhash.xxh64_intdigest(row[1].encode(), 42)
+    return row[0] is not None, row[0] or 0, hashed - (1 << 64) if hashed >> 63 else hashed, (row[1] or "").encode()
+
+
 @pytest.fixture(scope="session")
 def rows():
     """Nulls in any column, empty, blank and long texts, repeated rows and ids, copies, shared passages, other scripts."""

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from conftest import place
 from tokenizers import Tokenizer
 
 from plotcheck.llm import html_extract, mixing, packing, token_output
@@ -40,9 +41,9 @@ def test_file_round_trip(bits):
     counts = [0, 1, 5, 70_000, 3]
     ids = rng.integers(0, 50_000, sum(counts), dtype=np.uint32)
     ids[10] = 2**32 - 1
-    data = token_output.write_file([3, -1, 7, 9, 2**40], counts, ids, block=1000, bits=bits)
+    data = token_output.write_file([3, -(2**63), None, 9, 2**40], counts, ids, block=1000, bits=bits)
     d, n, back = token_output.read_file(data)
-    assert d.tolist() == [3, -1, 7, 9, 2**40] and n.tolist() == counts and (back == ids).all()
+    assert d.to_pylist() == [3, -(2**63), None, 9, 2**40] and n.tolist() == counts and (back == ids).all()
     assert token_output.read_file(token_output.write_file([], [], ids[:0]))[2].tolist() == []
 
 
@@ -50,9 +51,15 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_extreme_ids(spark):
+    df = spark.createDataFrame([(-(2**63), "a"), (None, "b"), (2**63 - 1, "c"), (-(2**62), "d")] + [(5, "same")] * 50, "doc_id long, text string")
+    got = sorted((r.start, r.doc_id) for r in token_output.written_digest(df, FILES["word"]).collect())
+    assert [i for _, i in got] == [None, -(2**63), -(2**62), *[5] * 50, 2**63 - 1]
+
+
 def test_written_digest(docs, rows, no_docs):
     got = token_output.written_digest(docs, FILES["word"]).collect()
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    ordered = sorted(rows, key=place)
     want, start = Counter(), 0
     for r in ordered:
         ids = whole("word", r[1] or "") + [1]
