@@ -4,12 +4,12 @@ Every start of a 200-byte string belongs to one anchor: the 40-byte string in it
 strings have equal anchors at equal offsets, so suffixes are dealt to shards by anchor and never compared across
 shards. A shard indexes what it receives batch by batch: each batch becomes a suffix array, is merge-scanned against
 the arrays of the existing levels, and levels of equal size merge, so that an entry is moved a logarithmic number of
-times. The arrays order suffixes by a fingerprint of their compared prefix: any order that puts equal prefixes side by
-side finds the matches of full length, which is all that is asked.
+times.
 
-Step 1 indexes stretches (the starts of one anchor in a row, about 80) by anchor and by whole content. A stretch whose
-whole content repeats needs no more work; one whose anchor is alone has no match; the rest are looked at start by start
-in step 2, in a second family of suffix arrays.
+Step 1 indexes stretches (the starts of one anchor in a row, about 80) by anchor and by whole content (128 bits of
+XXH3). A stretch whose whole content repeats needs no more work; one whose anchor is alone has no match; the rest are
+looked at start by start in step 2, in a second family: arrays of suffixes in byte order, each cut after the 200 bytes
+that are compared, so that a match is an equality of bytes. The number of shards follows the data in both steps.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotcheck.llm.common import mix, partitions, random_words, slices, texts
@@ -32,6 +34,12 @@ STEP = 1_000_000
 SENT = 8
 #: An anchor of more undecided stretches is split among shards.
 HOT = 1000
+#: Stretches of step 1, and starts of step 2, in a shard, about.
+STRETCHES, STARTS = 500_000, 250_000
+#: Share of the stretches by which anchors that exceed a shard's fair part are found; it decides how they are dealt alone.
+SAMPLE = 0.05
+#: Strings of much shared anchors that a task remembers, to send each of them twice at most.
+KNOWN = 100_000
 
 _BYTES = random_words(256, seed=11)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -64,7 +72,7 @@ def _substrings(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 
 
 class SuffixFamily:
-    """Suffix arrays of doubling size, as sorted fingerprints with the number of their entry."""
+    """Sorted arrays of doubling size, with the number of each entry: of byte strings (suffixes in byte order) or of numbers."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -81,22 +89,30 @@ class SuffixFamily:
         twin = k[1:] == k[:-1]
         hit[order[1:][twin]] = True
         hit[order[:-1][twin]] = True
-        entry = order + self.n
         for _, other, numbers in self.levels:
             at = np.searchsorted(other, k)
             found = other[np.minimum(at, len(other) - 1)] == k
             hit[order[found]] = True
-            back = np.searchsorted(k, other)
-            met = k[np.minimum(back, len(k) - 1)] == other
-            self._mark(numbers[met])
+            met = k[found]
+            low, high = at[found], np.searchsorted(other, met, side="right")
+            # Every entry of the level that equals one of the batch; equal ones of the batch are asked once.
+            fresh = np.r_[True, met[1:] != met[:-1]] if len(met) else np.zeros(0, bool)
+            low, n = low[fresh], (high - low)[fresh]
+            self._mark(numbers[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)])
         self.hits.append(hit)
+        self.levels.append((0, k, order + self.n))
         self.n += len(keys)
-        self.levels.append((0, k, entry))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, a, x), (_, b, y) = self.levels[-2:]
-            keys_, numbers = np.concatenate([a, b]), np.concatenate([x, y])
-            order = np.argsort(keys_, kind="stable")
-            self.levels[-2:] = [(rank + 1, keys_[order], numbers[order])]
+            # Merge the shorter into the longer.
+            if len(a) < len(b):
+                a, x, b, y = b, y, a, x
+            place = np.searchsorted(a, b, side="right") + np.arange(len(b))
+            rest = np.ones(len(a) + len(b), bool)
+            rest[place] = False
+            keys_, numbers = np.empty(len(rest), a.dtype), np.empty(len(rest), np.int64)
+            keys_[place], keys_[rest], numbers[place], numbers[rest] = b, a, y, x
+            self.levels[-2:] = [(rank + 1, keys_, numbers)]
 
     def _mark(self, numbers: np.ndarray) -> None:
         starts = np.cumsum([0, *map(len, self.hits)])
@@ -110,7 +126,7 @@ class SuffixFamily:
 
 
 def _stretches(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(first start, last start, anchor, prefix sums) of the stretches of ``data``; no string crosses one of ``ends``."""
+    """(first start, last start, anchor, fingerprints of all anchors) of the stretches of ``data``; no string crosses one of ``ends``."""
     n = len(data) - length + 1
     prefix = _prefix(data)
     _, down = _powers(len(prefix))
@@ -140,10 +156,10 @@ def _stretches(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndar
     counts = np.add.reduceat(valid[:n].astype(np.int64), first)
     keep = counts > 0
     first, counts = first[keep], counts[keep]
-    return first, first + counts - 1, anchor[first], grams, prefix
+    return first, first + counts - 1, anchor[first], grams
 
 
-_SPANS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("row_hash", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("p", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64())])
+_SPANS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("row_hash", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("p", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("more", pa.int64())])
 #: Whole: all its strings repeat. Mixed: to be looked at start by start. Both: whole, and shown to the mixed ones as well.
 _SHARD, _WHOLE, _MIXED, _BOTH = 0, 1, 2, 3
 
@@ -151,16 +167,18 @@ _SHARD, _WHOLE, _MIXED, _BOTH = 0, 1, 2, 3
 def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Stretches of every text. kind 0 goes to the anchor's shard; 1 and 2 are decided within the flush."""
 
-    def flush(data: np.ndarray, ends: np.ndarray, ids: np.ndarray, hashes: np.ndarray, shift: np.ndarray) -> pa.RecordBatch | None:
-        first, last, anchor, grams, prefix = _stretches(data, ends, length)
+    def flush(joined: bytes, ends: np.ndarray, ids: np.ndarray, hashes: np.ndarray, shift: np.ndarray) -> pa.RecordBatch | None:
+        data = np.frombuffer(joined, np.uint8)
+        first, last, anchor, grams = _stretches(data, ends, length)
         if not len(first):
             return None
         key = grams[anchor]
-        content = _substrings(prefix, first, last + length) ^ mix((anchor - first).astype(np.uint64) + np.uint64(977) * (last - first).astype(np.uint64))
-        order = np.lexsort((content, key))
+        whole, digest = memoryview(joined), xxhash.xxh3_128_digest
+        content = np.frombuffer(b"".join([digest(whole[x:y]) for x, y in zip(first.tolist(), (last + length).tolist())]), np.uint64).reshape(-1, 2)  # noqa: B905
+        order = np.lexsort((content[:, 1], content[:, 0], key))
         k, c = key[order], content[order]
         new_key = np.r_[True, k[1:] != k[:-1]]
-        new_content = new_key | np.r_[True, c[1:] != c[:-1]]
+        new_content = new_key | np.r_[True, (c[1:] != c[:-1]).any(axis=1)]
         # Combine before the shuffle: of equal stretches two go to the shard, the others are known to repeat.
         at = np.flatnonzero(new_content)
         size = np.diff(np.r_[at, len(k)])
@@ -173,7 +191,7 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         kind[(variant >= SENT) & (kind == _SHARD)] = _MIXED
         doc = np.searchsorted(ends, first[order], side="right")
         base = np.r_[0, ends[:-1]][doc] - shift[doc]
-        columns = [kind, ids[doc], hashes[doc], first[order] - base, last[order] - base, anchor[order] - base, k.view(np.int64), c.view(np.int64)]
+        columns = [kind, ids[doc], hashes[doc], first[order] - base, last[order] - base, anchor[order] - base, k.view(np.int64), *np.ascontiguousarray(c.T).view(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _SPANS.types)], schema=_SPANS)  # noqa: B905
 
     for batch in slices(batches, "text", 8 * STEP):
@@ -182,7 +200,7 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         size = 0
 
         def take(parts: list) -> pa.RecordBatch | None:
-            data = np.frombuffer(b"".join(x for x, _, _ in parts), np.uint8)
+            data = b"".join(x for x, _, _ in parts)
             ends = np.cumsum([len(x) for x, _, _ in parts])
             rows = np.array([i for _, i, _ in parts])
             return flush(data, ends, ids[rows], hashes[rows], np.array([s for _, _, s in parts]))  # noqa: B023
@@ -201,15 +219,21 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard of step 1: which stretches repeat as a whole, and which share an anchor with other content."""
+    """One shard of step 1: which stretches repeat as a whole, and which share an anchor with other content.
+
+    Of an anchor that is split among shards (hot) the shard has some contents only: it is sure to repeat, and taken to
+    have several contents.
+    """
     anchors, contents, kept = SuffixFamily(), SuffixFamily(), []
     for batch in batches:
         anchors.add(batch.column("anchor").to_numpy().view(np.uint64))
-        contents.add(mix(batch.column("anchor").to_numpy().view(np.uint64)) ^ batch.column("content").to_numpy().view(np.uint64))
+        both = np.stack([batch.column(c).to_numpy().astype(">i8") for c in ("content", "more")], axis=1)
+        contents.add(np.ascontiguousarray(both).view("S16").ravel())
         kept.append(batch)
     if not kept:
         return
-    seen, kind, at = anchors.matched(), np.where(contents.matched(), _WHOLE, _MIXED).astype(np.int8), 0
+    hot = np.concatenate([b.column("hot").to_numpy(zero_copy_only=False) for b in kept])
+    seen, kind, at = anchors.matched() | hot, np.where(contents.matched(), _WHOLE, _MIXED).astype(np.int8), 0
     key, content = (np.concatenate([b.column(c).to_numpy() for b in kept]) for c in ("anchor", "content"))
     order = np.flatnonzero(seen)
     order = order[np.lexsort((content[order], key[order]))]
@@ -217,14 +241,13 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new_key = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
     new = new_key | np.r_[True, c[1:] != c[:-1]] if len(k) else new_key
     group = np.cumsum(new_key) - 1
-    several = np.bincount(group, weights=new, minlength=1)[group] > 1 if len(k) else new
+    several = (np.bincount(group, weights=new, minlength=1)[group] > 1) | hot[order] if len(k) else new
     shown = order[new & several]
     kind[shown[kind[shown] == _WHOLE]] = _BOTH
     for batch in kept:
         s, k = seen[at : at + batch.num_rows], kind[at : at + batch.num_rows]
         at += batch.num_rows
-        kind_ = pa.array(k)
-        yield pa.RecordBatch.from_arrays([kind_, *batch.columns[1:]], schema=_SPANS).filter(pa.array(s))
+        yield pa.RecordBatch.from_arrays([pa.array(k), *(batch.column(c) for c in _SPANS.names[1:])], schema=_SPANS).filter(pa.array(s))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -242,25 +265,55 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), hashes.take(pa.array(rows)), *(pa.array(x, pa.int64()) for x in (a, b, p, anchor)), pa.array(strings, pa.binary())], names=["doc_id", "row_hash", "a", "b", "p", "anchor", "bytes"])
 
 
+def _thin(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Combine before the shuffle: of equal strings over a block of a much shared anchor two go on, the others are known to repeat.
+
+    Those keep no bytes and go to any shard.
+    """
+    known: dict[tuple[int, int, bytes], int] = {}
+    for batch in slices(batches, "bytes"):
+        lo, hi, a, block, anchor = (batch.column(c).to_pylist() for c in ("lo", "hi", "a", "block", "anchor"))
+        strings, done = batch.column("bytes").to_pylist(), np.zeros(batch.num_rows, bool)
+        for i, text in enumerate(strings):
+            if block[i] >= 0:
+                key = (anchor[i], hi[i] - lo[i], text[lo[i] - a[i] : hi[i] - a[i] + length])
+                n = known.get(key, 0)
+                if n >= 2:
+                    done[i] = True
+                elif n or len(known) < KNOWN:
+                    known[key] = n + 1
+        shared = batch.column("shared").to_pylist()
+        columns = {c: batch.column(c) for c in batch.schema.names}
+        columns["bytes"] = pa.array([None if d else x for d, x in zip(done.tolist(), strings)], pa.binary())  # noqa: B905
+        columns["shared"] = pa.array([lo[i] * 31 + i if d else x for i, (d, x) in enumerate(zip(done.tolist(), shared))], pa.int64())  # noqa: B905
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def _match(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """One shard of step 2: runs of starts whose string of full length occurs elsewhere."""
     family, kept = SuffixFamily(), []
-    for batch in slices(batches, "bytes", STEP):
-        col = batch.column("bytes")
-        a, b, lo, hi = (batch.column(c).to_numpy() for c in ("a", "b", "lo", "hi"))
-        strings = texts(col)
+    for all_ in slices(batches, "bytes", STEP // 4):
+        known = all_.column("bytes").is_null()
+        done = all_.filter(known)
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays([done.column(c) for c in ("doc_id", "row_hash", "lo", "hi")], names=["doc_id", "row_hash", "a", "b"])
+        batch = all_.filter(all_.column("bytes").is_valid())
+        if not batch.num_rows:
+            continue
+        a, lo, hi = (batch.column(c).to_numpy() for c in ("a", "lo", "hi"))
+        strings = texts(batch.column("bytes"))
         data = np.frombuffer(b"".join(strings), np.uint8)
         base = np.cumsum([0, *map(len, strings)])[:-1]
         n = hi - lo + 1
         row = np.repeat(np.arange(len(n)), n)
         start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[row]
-        at = base[row] + start - a[row]
-        family.add(_substrings(_prefix(data), at, at + length))
+        suffixes = np.lib.stride_tricks.sliding_window_view(data, length)[base[row] + start - a[row]]
+        family.add(np.ascontiguousarray(suffixes).view(f"S{length}").ravel())
         kept.append((batch.select(["doc_id", "row_hash"]), row, start))
-    matched, done = family.matched(), 0
+    matched, done_ = family.matched(), 0
     for rows, row, start in kept:
-        m = matched[done : done + len(row)]
-        done += len(row)
+        m = matched[done_ : done_ + len(row)]
+        done_ += len(row)
         if not m.any():
             continue
         r, s = row[m], start[m]
@@ -281,39 +334,56 @@ def _runs(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _known_by(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """(doc_id, row_hash) by which a row is known: the id, 0 for null, and a hash of the text and of whether the id is null."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), F.xxhash64(F.col(text_col), F.col(id_col).isNull())
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_hash, text, spans) for every row: spans are the runs of starts (a, b) of repeated strings.
+    """(doc_id, row_hash, text, no_id, spans) for every row: spans are the runs of starts (a, b) of repeated strings.
 
     A string repeats if it also starts anywhere else, in the same text too. Rows are known by id and content, so
-    repeated ids, repeated rows and null ids are fine: equal rows repeat each other. Null texts count as empty and
-    have no spans, as have texts of under ``length`` bytes.
+    repeated ids, repeated rows and null ids (no_id, with doc_id 0) are fine: equal rows repeat each other, and each has
+    the spans once. Null texts count as empty and have no spans, as have texts of under ``length`` bytes. An empty table
+    gives no rows.
     """
     n = partitions(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
-    # Null ids are told apart by content alone; -1 only stands for null inside this operator.
-    src = src.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62))))
-    ddl = "kind byte, doc_id long, row_hash long, a long, b long, p long, anchor long, content long"
-    scanned = materialize(src.mapInArrow(lambda x: _scan(x, length), ddl), "stretches")
-    sharded = scanned.filter(f"kind = {_SHARD}").repartition(n, "anchor").mapInArrow(_decide, ddl)
+    doc_id, row_hash = _known_by(id_col, text_col)
+    src = docs.select(doc_id.alias("doc_id"), row_hash.alias("row_hash"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id"))
+    ddl = "kind byte, doc_id long, row_hash long, a long, b long, p long, anchor long, content long, more long"
+    scanned = materialize(src.select("doc_id", "row_hash", "text").mapInArrow(lambda x: _scan(x, length), ddl), "stretches")
+    to_shard = scanned.filter(f"kind = {_SHARD}")
+    stretches = to_shard.count()
+    shards = max(n, -(-stretches // STRETCHES))
+    # At most as many anchors as twice the shards exceed half of a fair part: they are dealt by their content as well.
+    sampled = to_shard.select("anchor").sample(SAMPLE, seed=7).groupBy("anchor").count()
+    split = sampled.filter(F.col("count") > max(SAMPLE * stretches / shards / 2, 20)).select("anchor", F.lit(True).alias("hot"))
+    to_shard = to_shard.join(F.broadcast(split), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).select(*_SPANS.names, "hot")
+    dealt_by = F.when(F.col("hot"), F.xxhash64("content", "more")).otherwise(F.lit(0))
+    sharded = to_shard.repartition(shards, "anchor", dealt_by).mapInArrow(_decide, ddl)
     decided = materialize(scanned.filter(f"kind <> {_SHARD}").unionByName(sharded), "decided")
     whole = decided.filter(f"kind in ({_WHOLE}, {_BOTH})").select("doc_id", "row_hash", "a", "b")
-    open_ = decided.filter(f"kind in ({_MIXED}, {_BOTH})").groupBy("doc_id", "row_hash").agg(F.array_agg(F.struct("a", "b", "p", "anchor")).alias("spans"))
+    mixed = decided.filter(f"kind in ({_MIXED}, {_BOTH})")
+    open_ = mixed.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("a", "b", "p", "anchor")).alias("spans"))
     # Both joins below read the same exchange of the texts.
     dealt = src.repartition(n, "doc_id", "row_hash")
-    cut = dealt.join(open_, ["doc_id", "row_hash"], "left").mapInArrow(lambda x: _cut(x, length), "doc_id long, row_hash long, a long, b long, p long, anchor long, bytes binary")
+    cut = dealt.join(open_, ["doc_id", "row_hash"], "left").select("doc_id", "row_hash", "text", "spans")
+    cut = cut.mapInArrow(lambda x: _cut(x, length), "doc_id long, row_hash long, a long, b long, p long, anchor long, bytes binary")
     # A much shared anchor is split by offset, as starts at different offsets from it never match, and by what all
     # strings of a block of 16 offsets have in common: equal strings agree in it.
     blocks = F.sequence(F.floor((F.col("p") - F.col("b")) / 16), F.floor((F.col("p") - F.col("a")) / 16))
-    hot = decided.filter(f"kind in ({_MIXED}, {_BOTH})").groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
+    hot = mixed.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
     cut = cut.join(hot, "anchor", "left").withColumn("block", F.explode(F.when(F.col("hot"), blocks).otherwise(F.array(F.lit(-1).cast("long")))))
     lo = F.when(F.col("block") < 0, F.col("a")).otherwise(F.greatest("a", F.col("p") - 16 * F.col("block") - 15))
     hi = F.when(F.col("block") < 0, F.col("b")).otherwise(F.least("b", F.col("p") - 16 * F.col("block")))
     shared = F.when(F.col("block") >= 0, F.xxhash64(F.substring("bytes", (F.col("p") - 16 * F.col("block") - F.col("a") + 1).cast("int"), F.lit(length - 15))))
-    cut = cut.select("doc_id", "row_hash", "a", "b", lo.alias("lo"), hi.alias("hi"), "anchor", "block", shared.alias("shared"), "bytes").repartition(n, "anchor", "block", "shared")
+    cut = cut.select("doc_id", "row_hash", "a", lo.alias("lo"), hi.alias("hi"), "anchor", "block", shared.alias("shared"), "bytes")
+    cut = cut.mapInArrow(lambda x: _thin(x, length), "doc_id long, row_hash long, a long, lo long, hi long, anchor long, block long, shared long, bytes binary")
+    starts = mixed.agg(F.sum(F.col("b") - F.col("a") + 1)).first()[0] or 0
+    cut = cut.repartition(max(n, -(-starts // STARTS)), "anchor", "block", "shared")
     partly = cut.mapInArrow(lambda x: _match(x, length), "doc_id long, row_hash long, a long, b long")
-    spans = whole.unionByName(partly).groupBy("doc_id", "row_hash").agg(F.array_agg(F.struct("a", "b")).alias("spans"))
-    out = dealt.join(spans, ["doc_id", "row_hash"], "left")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 62), F.col("doc_id")))
+    spans = whole.unionByName(partly).groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return dealt.join(spans, ["doc_id", "row_hash"], "left")
 
 
 def removal_digest(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,7 +396,8 @@ def removal_digest(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 runs = _runs(spans, length)
                 out.append((len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_without(text, runs)).hexdigest()))
             sizes, removed, n, sha = map(list, zip(*out))  # noqa: B905
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            ids = pc.if_else(batch.column("no_id"), None, batch.column("doc_id"))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return repeated_spans(docs, length, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -349,8 +420,9 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     done = repeated_spans(docs, length).filter("spans IS NOT NULL").mapInArrow(run, "doc_id long, row_hash long, kept string").dropDuplicates(["doc_id", "row_hash"])
     # Rows travel as one struct: no name of theirs can clash.
-    src = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
-    out = src.join(done.withColumnsRenamed({"doc_id": "done_id"}), (F.col("hash") == F.col("row_hash")) & F.col("id").eqNullSafe(F.col("done_id")), "left")
+    doc_id, row_hash = _known_by("doc_id", "text")
+    src = docs.select(F.struct(*docs.columns).alias("row"), doc_id.alias("id"), row_hash.alias("hash"))
+    out = src.join(done.toDF("id", "hash", "kept"), ["id", "hash"], "left")
     text = F.when(F.col("row.text").isNotNull(), F.coalesce("kept", "row.text"))
     new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -137,15 +137,46 @@ def test_texts_over_a_step(spark, monkeypatch):
     assert starts == {(d, i) for d, x in enumerate(texts) for i in range(len(x) - 199)}
 
 
-def test_family_of_levels():
+@pytest.mark.parametrize("kind", ["uint64", "S3"])
+def test_family_of_levels(kind):
     rng = random.Random(6)
     keys = [rng.randrange(300) for _ in range(500)]
+    keys = [k.to_bytes(3) for k in keys] if kind == "S3" else keys
     family = suffix_dedup.SuffixFamily()
     for i in range(0, 500, 37):
-        family.add(suffix_dedup.np.array(keys[i : i + 37], dtype="uint64"))
+        family.add(suffix_dedup.np.array(keys[i : i + 37], dtype=kind))
     count = Counter(keys)
     assert family.matched().tolist() == [count[k] > 1 for k in keys]
     assert len(family.levels) <= 5  # 14 batches: 8 + 4 + 2
+    assert all((level[1:] >= level[:-1]).all() for _, level, _ in family.levels)
+
+
+def test_extreme_ids_and_many_equal_rows(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh") for _ in range(3000))
+    rows = [(5, text)] * 200 + [(-(2**62), text[:400]), (None, "x" + text[:300]), (0, "y" + text[:300]), (-(2**63), "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_removed([t.encode() for _, t in rows[199:]], 200)
+    # A row stands for the 200 equal ones here: all of it repeats.
+    want[0] = (3000, 3000, 1, hashlib.sha256(b"").hexdigest())
+    assert digest(df) == Counter((5, *want[0]) for _ in range(200)) + Counter((i, *w) for (i, _), w in zip(rows[200:], want[1:], strict=True))
+    spans = suffix_dedup.repeated_spans(df).filter("doc_id = 5").selectExpr("sum(size(spans)) n").first().n
+    assert spans <= 200 * 60  # one row's spans for each row
+
+
+@pytest.mark.parametrize("known", [0, 100_000])
+def test_split_anchors_of_both_steps(spark, monkeypatch, known):
+    """Anchors over a shard's fair part, strings combined before the shuffle, and strings with zero bytes."""
+    for name, value in (("HOT", 1), ("KNOWN", known), ("SAMPLE", 1.0), ("STRETCHES", 40), ("STARTS", 500)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(12)
+    letters = lambda n, of="abcd": "".join(rng.choice(of) for _ in range(n))
+    passage = letters(330)
+    texts = [letters(rng.randrange(40)) + passage[rng.randrange(3) * 20 : 330 - rng.randrange(3) * 20] + letters(rng.randrange(40)) for _ in range(150)]
+    texts += ["\0" * 250, "a" + "\0" * 210, "b" * 199 + "\0", "b" * 199, "b" * 199 + "\0\0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    want = brute_removed([t.encode() for t in texts], 200)
+    assert digest(df) == Counter((i, *w) for i, w in enumerate(want))
 
 
 def test_remove_repeats_keeps_rows(docs, rows):
