@@ -20,8 +20,10 @@ WORDS = BITS // 64
 PIVOTS = random_words(6 * WORDS, seed=3).reshape(6, WORDS)
 #: Bits in which candidates differ at most. A similarity of 0.8 lies near 26 bits where edits are spread, near 38 where one stretch is gone.
 RADIUS = 56
-#: Fingerprints of a cell, and texts of a candidate group, that one task compares with each other at most.
-CELL, GROUP = 4096, 512
+#: Fingerprints of a cell that one task compares with each other at most.
+CELL = 4096
+#: Shingles of a candidate group's texts that one task holds, about, and compares with each other at most.
+GROUP = 200_000
 
 _FP = [f"f{i}" for i in range(WORDS)]
 
@@ -54,31 +56,70 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
         yield rest
 
 
-def _chain(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning links of the graph of all pairs within ``radius`` bits; each reached row looks at rows not yet reached only."""
-    table = np.bitwise_count(fp[:, None, :] ^ PIVOTS[None]).sum(axis=2, dtype=np.int16)
-    left, out = np.arange(len(fp)), []
-    while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            u = queue.pop()
-            near = left[np.abs(table[left] - table[u]).max(axis=1) <= radius]  # the pivots' lower bound
-            met = near[np.bitwise_count(fp[near] ^ fp[u]).sum(axis=1, dtype=np.int16) <= radius]
-            if len(met):
-                out += [(u, v) for v in met.tolist()]
-                queue += met.tolist()
-                left = np.setdiff1d(left, met, assume_unique=True)
-    return out
+def _many_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``keys``, cut only between different values of them."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        if not t.num_rows:
+            continue
+        last = np.ones(t.num_rows, bool)
+        for k in keys:
+            col = t.column(k).to_numpy()
+            last &= col == col[-1]
+        cut = int(np.argmax(last))  # the last run may go on
+        if cut:
+            yield t.slice(0, cut)
+        rest = t.slice(cut).combine_chunks()
+    if rest is not None and rest.num_rows:
+        yield rest
 
 
-def _alike(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Spanning links of the graph of all pairs whose sets have a Jaccard similarity of ``least`` or more."""
+def _chain(t: pa.Table, radius: int) -> pa.RecordBatch:
+    """Links that chain all pairs within ``radius`` bits of each run of equal (cell, part); rows come sorted by these."""
+    cell, part, node = (t.column(c).to_numpy() for c in ("cell", "part", "node"))
+    fp = np.stack([t.column(c).to_numpy() for c in _FP], axis=1).view(np.uint64)
+    new = np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])]
+    run = np.cumsum(new) - 1
+    table = np.bitwise_count(fp[:, None, :] ^ PIVOTS[None]).sum(axis=2, dtype=np.int16)
+    label, out = np.arange(len(fp)), []
+    at, step = np.arange(len(fp) - 1), 1
+    while len(at):
+        at = at[at + step < len(fp)]
+        at = at[run[at] == run[at + step]]
+        open_ = at[label[at] != label[at + step]]
+        near = open_[np.abs(table[open_] - table[open_ + step]).max(axis=1, initial=0) <= radius]  # the pivots' lower bound
+        met = near[np.bitwise_count(fp[near] ^ fp[near + step]).sum(axis=1, dtype=np.int16) <= radius]  # the survivors
+        fresh = False
+        for p in met.tolist():
+            i, j = p, p + step
+            while label[i] != i:
+                i = label[i]
+            while label[j] != j:
+                j = label[j]
+            if i != j:
+                label[max(i, j)] = min(i, j)
+                out.append((p, p + step))
+                fresh = True
+        while fresh and ((flat := label[label]) != label).any():
+            label = flat
+        step += 1
+    return _links(node, out)
+
+
+def _alike(sets: list[np.ndarray], least: float, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join all pairs whose sets have a Jaccard similarity of ``least`` or more; pairs of one label need none."""
     sizes = np.array([len(x) for x in sets])
     left, out = np.arange(len(sets)), []
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             u = queue.pop()
+            if label is not None:
+                same = label[left] == label[u]
+                queue += left[same].tolist()  # already joined: reached without a link
+                left = left[~same]
             near = left[(sizes[left] >= least * sizes[u] - 1e-9) & (least * sizes[left] <= sizes[u] + 1e-9)]
             if not len(near):
                 continue
@@ -98,9 +139,9 @@ def _links(node: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]], pa.int64()), pa.array(node[at[:, 1]], pa.int64())], names=["a", "b"])
 
 
-def _deal(rows: DataFrame, key: str, most: int, sort: str) -> DataFrame:
-    """Rows of one ``key`` together; over ``most`` of them as all pairs of parts, each pair a run of its own (column part)."""
-    hot = rows.groupBy(key).count().filter(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("parts"))
+def _deal(rows: DataFrame, key: str, most: int, sort: str, weight: Column | None = None) -> DataFrame:
+    """Rows of one ``key`` together; if they weigh over ``most`` (one each, if not given), as all pairs of parts, each pair a run of its own (column part)."""
+    hot = rows.groupBy(key).agg(F.sum(weight if weight is not None else F.lit(1)).alias("n")).filter(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("parts"))
     own = F.coalesce(F.pmod(F.xxhash64(sort, F.lit(7)), F.col("parts")).cast("int"), F.lit(0))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(F.col("own"), o) * F.col("parts") + F.greatest(F.col("own"), o))
     dealt = rows.join(hot, key, "left").withColumn("own", own)
@@ -116,10 +157,8 @@ def candidate_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         return byte(k) * 256 + byte((k + 1) % (BITS // 8)) + (k << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ("cell", "part")):
-            if t.num_rows > 1:
-                fp = np.stack([t.column(c).to_numpy() for c in _FP], axis=1).view(np.uint64)
-                yield _links(t.column("node").to_numpy(), _chain(fp, radius))
+        for t in _many_runs(batches, ("cell", "part")):
+            yield _chain(t, radius)
 
     cells = nodes.select("node", *_FP, F.explode(F.array(*[window(k) for k in range(BITS // 8)])).alias("cell"))
     return _deal(cells, "cell", CELL, "node").mapInArrow(run, "a long, b long").distinct()
@@ -146,7 +185,16 @@ def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> Dat
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs((b for batch in batches for b in slices_of_lists(batch)), ("root", "part")):
             runs = t.column("runs").combine_chunks()
-            yield _links(t.column("node").to_numpy(), _alike([x.values.to_numpy().view(np.uint64) for x in runs], least))
+            label = t.column("label").to_numpy() if "label" in t.column_names else None
+            yield _links(t.column("node").to_numpy(), _alike([x.values.to_numpy().view(np.uint64) for x in runs], least, label))
+
+    def joined(parts: list[DataFrame], nodes: DataFrame) -> DataFrame:
+        """(node, label) of all ``nodes`` over the links found so far."""
+        links = parts[0]
+        for more in parts[1:]:
+            links = links.unionByName(more)
+        roots = connected_components(links.distinct())
+        return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
 
     src = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
     fps = materialize(src.mapInArrow(wide, "doc_id long, row_hash long, " + ", ".join(f"{c} long" for c in _FP)), "wide")
@@ -155,10 +203,25 @@ def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> Dat
     chosen = near.join(known.select("node", "rep"), "node")
     mine = src.join(chosen, (src.row_hash == chosen.node) & (src.doc_id == chosen.rep)).select("node", "root", "text")
     held = materialize(mine.mapInArrow(sets, "node long, root long, runs array<long>").dropDuplicates(["node"]), "sets")
-    roots = connected_components(_deal(held, "root", GROUP, "node").mapInArrow(verify, "a long, b long").distinct())
-    joined = known.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    first = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return joined.join(first, "root").select(F.col("node").alias("row_hash"), "component_id")
+    # Groups that one task cannot hold are compared part by part first; parts of near copies leave few labels. Then one
+    # text of each label meets those of the other parts, and only groups that are still apart compare all their texts.
+    weight = F.size("runs")
+    parts = held.groupBy("root").agg(F.sum(weight).alias("n")).select("root", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
+    own = held.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.greatest("parts", F.lit(1))).cast("int"))
+    local = own.select("node", "root", "runs", "part").repartition(partitions(docs.sparkSession), "root", "part").sortWithinPartitions("root", "part")
+    links = [materialize(local.mapInArrow(verify, "a long, b long"), "local")]
+    large = held.join(parts.filter("parts > 1").select("root"), "root")
+    for whole in (False, True) if not large.isEmpty() else ():
+        labels = materialize(joined(links, held), "labels")
+        rows = large.join(labels, "node")
+        apart = rows.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("root")
+        rows = rows.join(apart, "root", "left_semi").select("node", "root", "runs", "label")
+        rows = rows if whole else rows.filter("node = label")
+        links.append(materialize(_deal(rows, "root", GROUP, "node", weight).mapInArrow(verify, "a long, b long"), "links"))
+    roots = joined(links, held).withColumnRenamed("label", "root")
+    joined_ = known.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    first = joined_.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return joined_.join(first, "root").select(F.col("node").alias("row_hash"), "component_id")
 
 
 def slices_of_lists(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
