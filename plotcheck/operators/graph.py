@@ -16,8 +16,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     null are ignored, loops keep their node, repeated edges count once. Fails after ``max_rounds`` without rest.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
-    nodes = e.select("u").union(e.select("v")).distinct()
-    e = materialize(e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    # Written once: the nodes below come from it too.
+    first = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    nodes = first.select("u").union(first.select("v")).distinct()
+    e = first.filter("u <> v")
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
