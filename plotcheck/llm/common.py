@@ -55,6 +55,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
             end = max(at + 1, int(np.searchsorted(total, done + most, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    # Workers are used again: what this task took goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

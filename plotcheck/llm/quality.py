@@ -6,8 +6,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,12 +89,14 @@ def ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """(weight, bias) of the hinge-loss machine with unit-length scaled indicators, by dual coordinate descent."""
     weight, bias, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(rows))
-    unit = [ratio[at] / (np.sqrt((ratio[at] ** 2).sum()) or 1.0) for at in rows]
-    square = [float(u @ u) + 1.0 for u in unit]
+    # Scaled indicators are formed anew for each step: held, they would take twice the memory of the sample.
+    length = [float(np.sqrt((ratio[at] ** 2).sum())) or 1.0 for at in rows]
+    square = [float(((ratio[at] / n) ** 2).sum()) + 1.0 for at, n in zip(rows, length)]  # noqa: B905
     order = np.random.default_rng(0)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            at, u = rows[i], unit[i]
+            at = rows[i]
+            u = ratio[at] / length[i]
             gradient = y[i] * (weight[at] @ u + bias) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), BOUND)
             if new != alpha[i]:
@@ -189,25 +191,34 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return Model(*(np.frombuffer(r[c], "<f4") for c in ("scaled", "square")), r["bias"], r["slope"], r["shift"])
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with __score, from 0 to 1, higher where label 1 is likelier; null and empty texts have that of no n-gram."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-
-    @F.pandas_udf("double")
-    def score(column: pd.Series) -> pd.Series:
-        m = shared.value
-        return pd.Series([m.score((t or "").encode()) for t in column])
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of ``docs``; only its text decides the score, from 0 to 1.
 
-    return docs.withColumn("__score", score("text"))
+    Null and empty texts have the score of no n-gram. Rows that repeat an id, or have none, keep a row each; equal texts
+    have equal scores. An empty table gives no rows; without labels all scores are 0.5, with one class alone all are near
+    it. predicted is 1 from ``threshold`` on.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))  # of fixed size
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            scores = [shared.value.score(t) for t in texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``; only text decides the score."""
-    out = with_score(docs.select("doc_id", "text"), learn(docs, labels))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return with_score(packed, learn(docs, labels)).filter(F.col("__score") >= threshold).select("row.*")
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; nulls and ties as in ``quality_scores``."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    packed = docs.select(F.struct(*docs.columns).alias("row"))  # so that no name can clash
+    field = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with_text = (pa.RecordBatch.from_arrays([b.column("row"), pc.struct_field(b.column("row"), [field])], names=["row", "text"]) for b in batches)
+        for batch in slices(with_text, "text"):
+            good = pa.array([shared.value.score(t) >= threshold for t in texts(batch.column("text"))], pa.bool_())
+            yield batch.select(["row"]).filter(good)
+
+    return packed.mapInArrow(run, packed.schema).select("row.*")

@@ -23,7 +23,7 @@ RADIUS = 56
 #: Fingerprints of a cell that one task compares with each other at most.
 CELL = 4096
 #: Shingles of a candidate group's texts that one task holds, about, and compares with each other at most.
-GROUP = 200_000
+GROUP = 150_000
 
 _FP = [f"f{i}" for i in range(WORDS)]
 

@@ -29,13 +29,13 @@ from plotcheck.storage import materialize
 
 ANCHOR = 40
 #: Bytes looked at in one step of an anchor scan; longer texts are read in overlapping steps.
-STEP = 1_000_000
+STEP = 500_000
 #: Stretches of one anchor with different content that a flush sends to the anchor's shard at most; it knows then that the anchor repeats.
 SENT = 8
 #: An anchor of more undecided stretches is split among shards.
 HOT = 1000
 #: Stretches of step 1, and starts of step 2, in a shard, about.
-STRETCHES, STARTS = 500_000, 250_000
+STRETCHES, STARTS = 250_000, 120_000
 #: Share of the stretches by which anchors that exceed a shard's fair part are found; it decides how they are dealt alone.
 SAMPLE = 0.05
 #: Strings of much shared anchors that a task remembers, to send each of them twice at most.
@@ -292,7 +292,7 @@ def _thin(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 def _match(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """One shard of step 2: runs of starts whose string of full length occurs elsewhere."""
     family, kept = SuffixFamily(), []
-    for all_ in slices(batches, "bytes", STEP // 4):
+    for all_ in slices(batches, "bytes", STEP // 3):
         known = all_.column("bytes").is_null()
         done = all_.filter(known)
         if done.num_rows:

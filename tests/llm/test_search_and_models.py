@@ -194,6 +194,34 @@ def test_descent_separates():
     assert all(m * s > 0 for m, s in zip(margins, y, strict=True))
 
 
+def test_descent_reaches_the_optimum():
+    """No step from the solution lowers the convex objective, bias included; words that tell nothing get ratios near 0."""
+    rng = np.random.default_rng(4)
+    rows = [np.array(sorted(rng.choice(40, 8, replace=False))) for _ in range(60)]
+    y = np.where([(r < 12).sum() + rng.normal(0, 1) > 2.4 for r in rows], 1.0, -1.0)
+    ratio = quality.ratios(rows, y)
+    counts = [sum(40 <= i for i in r) for r in rows]
+    one = np.array([1 + sum(7 in r for r, c in zip(rows, y, strict=True) if c > 0), 1 + sum(7 in r for r, c in zip(rows, y, strict=True) if c < 0)])
+    total = [quality.BUCKETS + 8 * (y > 0).sum(), quality.BUCKETS + 8 * (y < 0).sum()]
+    assert sum(counts) == 0 and abs(ratio[7] - (math.log(one[0] / total[0]) - math.log(one[1] / total[1]))) < 1e-9
+    x = np.zeros((60, 40))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+
+    def objective(w, b):
+        return (w @ w + b * b) / 2 + quality.BOUND * np.maximum(0, 1 - y * (x @ w + b)).sum()
+
+    w, b = quality.descend(rows, y, ratio, epochs=400)
+    assert not w[40:].any()
+    best = objective(w[:40], b)
+    for scale in (1e-3, 1e-2, 0.1, 1):
+        for _ in range(500):
+            d = rng.normal(0, scale, 41)
+            assert objective(w[:40] + d[:40], b + d[40]) >= best - 1e-4
+    short = objective(*(lambda v, c: (v[:40], c))(*quality.descend(rows, y, ratio)))
+    assert short <= 1.05 * best
+
+
 def brute_phrases(text, sample):
     n, i = 0, 0
     while i < len(text):
