@@ -39,7 +39,7 @@ STRETCHES, STARTS = 250_000, 120_000
 #: Share of the stretches by which anchors that exceed a shard's fair part are found; it decides how they are dealt alone.
 SAMPLE = 0.05
 #: Strings of much shared anchors that a task remembers, to send each of them twice at most.
-KNOWN = 100_000
+KNOWN = 50_000
 
 _BYTES = random_words(256, seed=11)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -250,43 +250,43 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k), *(batch.column(c) for c in _SPANS.names[1:])], schema=_SPANS).filter(pa.array(s))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of undecided stretches, one row each."""
-    for batch in slices(batches, "text"):
-        ids, hashes = batch.column("doc_id"), batch.column("row_hash")
-        rows, strings, meta = [], [], []
-        for i, (text, spans) in enumerate(zip(texts(batch.column("text")), batch.column("spans").to_pylist())):  # noqa: B905
-            for s in spans or ():
-                rows.append(i)
-                strings.append(text[s["a"] : s["b"] + length])
-                meta.append((s["a"], s["b"], s["p"], s["anchor"]))
-        if rows:
-            a, b, p, anchor = map(list, zip(*meta))  # noqa: B905
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), hashes.take(pa.array(rows)), *(pa.array(x, pa.int64()) for x in (a, b, p, anchor)), pa.array(strings, pa.binary())], names=["doc_id", "row_hash", "a", "b", "p", "anchor", "bytes"])
+_PARTS = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("a", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("anchor", pa.int64()), ("block", pa.int64()), ("shared", pa.int64()), ("bytes", pa.binary())])
 
 
-def _thin(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Combine before the shuffle: of equal strings over a block of a much shared anchor two go on, the others are known to repeat.
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of undecided stretches, one row each; stretches of a much shared anchor in blocks of 16 offsets from it.
 
-    Those keep no bytes and go to any shard.
+    Starts at different offsets from their anchor never match, and equal strings of a block agree in what all strings of
+    the block have in common (shared). Of equal strings over a block two go on, the others are known to repeat: they keep
+    no bytes and go to any shard.
     """
     known: dict[tuple[int, int, bytes], int] = {}
-    for batch in slices(batches, "bytes"):
-        lo, hi, a, block, anchor = (batch.column(c).to_pylist() for c in ("lo", "hi", "a", "block", "anchor"))
-        strings, done = batch.column("bytes").to_pylist(), np.zeros(batch.num_rows, bool)
-        for i, text in enumerate(strings):
-            if block[i] >= 0:
-                key = (anchor[i], hi[i] - lo[i], text[lo[i] - a[i] : hi[i] - a[i] + length])
-                n = known.get(key, 0)
-                if n >= 2:
-                    done[i] = True
-                elif n or len(known) < KNOWN:
-                    known[key] = n + 1
-        shared = batch.column("shared").to_pylist()
-        columns = {c: batch.column(c) for c in batch.schema.names}
-        columns["bytes"] = pa.array([None if d else x for d, x in zip(done.tolist(), strings)], pa.binary())  # noqa: B905
-        columns["shared"] = pa.array([lo[i] * 31 + i if d else x for i, (d, x) in enumerate(zip(done.tolist(), shared))], pa.int64())  # noqa: B905
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    for batch in slices(batches, "text"):
+        rows: list[int] = []
+        out: list[list] = [[] for _ in _PARTS.names[2:]]
+        for i, (text, spans) in enumerate(zip(texts(batch.column("text")), batch.column("spans").to_pylist())):  # noqa: B905
+            for s in spans or ():
+                a, b, p, anchor = s["a"], s["b"], s["p"], s["anchor"]
+                if not s["hot"]:
+                    parts = [(a, b, -1, None, text[a : b + length])]
+                else:
+                    parts = []
+                    for block in range((p - b) // 16, (p - a) // 16 + 1):
+                        lo, hi, at = max(a, p - 16 * block - 15), min(b, p - 16 * block), p - 16 * block
+                        own = text[lo : hi + length]
+                        key = (anchor, hi - lo, own)
+                        n = known.get(key, 0)
+                        if n < 2 and (n or len(known) < KNOWN):
+                            known[key] = n + 1
+                        shared = xxhash.xxh3_64_intdigest(text[at : at + length - 15]) >> 1
+                        parts.append((lo, hi, block, len(rows) + 31 * lo, None) if n >= 2 else (lo, hi, block, shared, text[a : b + length]))
+                for lo, hi, block, shared, own in parts:
+                    rows.append(i)
+                    for column, value in zip(out, (a, lo, hi, anchor, block, shared, own)):  # noqa: B905
+                        column.append(value)
+        if rows:
+            ids = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "row_hash")]
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, t) for c, t in zip(out, _PARTS.types[2:]))], schema=_PARTS)  # noqa: B905
 
 
 def _match(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -364,21 +364,13 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     decided = materialize(scanned.filter(f"kind <> {_SHARD}").unionByName(sharded), "decided")
     whole = decided.filter(f"kind in ({_WHOLE}, {_BOTH})").select("doc_id", "row_hash", "a", "b")
     mixed = decided.filter(f"kind in ({_MIXED}, {_BOTH})")
-    open_ = mixed.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("a", "b", "p", "anchor")).alias("spans"))
+    hot = mixed.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
+    flagged = mixed.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    open_ = flagged.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("a", "b", "p", "anchor", "hot")).alias("spans"))
     # Both joins below read the same exchange of the texts.
     dealt = src.repartition(n, "doc_id", "row_hash")
     cut = dealt.join(open_, ["doc_id", "row_hash"], "left").select("doc_id", "row_hash", "text", "spans")
-    cut = cut.mapInArrow(lambda x: _cut(x, length), "doc_id long, row_hash long, a long, b long, p long, anchor long, bytes binary")
-    # A much shared anchor is split by offset, as starts at different offsets from it never match, and by what all
-    # strings of a block of 16 offsets have in common: equal strings agree in it.
-    blocks = F.sequence(F.floor((F.col("p") - F.col("b")) / 16), F.floor((F.col("p") - F.col("a")) / 16))
-    hot = mixed.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
-    cut = cut.join(hot, "anchor", "left").withColumn("block", F.explode(F.when(F.col("hot"), blocks).otherwise(F.array(F.lit(-1).cast("long")))))
-    lo = F.when(F.col("block") < 0, F.col("a")).otherwise(F.greatest("a", F.col("p") - 16 * F.col("block") - 15))
-    hi = F.when(F.col("block") < 0, F.col("b")).otherwise(F.least("b", F.col("p") - 16 * F.col("block")))
-    shared = F.when(F.col("block") >= 0, F.xxhash64(F.substring("bytes", (F.col("p") - 16 * F.col("block") - F.col("a") + 1).cast("int"), F.lit(length - 15))))
-    cut = cut.select("doc_id", "row_hash", "a", lo.alias("lo"), hi.alias("hi"), "anchor", "block", shared.alias("shared"), "bytes")
-    cut = cut.mapInArrow(lambda x: _thin(x, length), "doc_id long, row_hash long, a long, lo long, hi long, anchor long, block long, shared long, bytes binary")
+    cut = cut.mapInArrow(lambda x: _cut(x, length), "doc_id long, row_hash long, a long, lo long, hi long, anchor long, block long, shared long, bytes binary")
     starts = mixed.agg(F.sum(F.col("b") - F.col("a") + 1)).first()[0] or 0
     cut = cut.repartition(max(n, -(-starts // STARTS)), "anchor", "block", "shared")
     partly = cut.mapInArrow(lambda x: _match(x, length), "doc_id long, row_hash long, a long, b long")
