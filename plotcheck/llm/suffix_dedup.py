@@ -29,7 +29,7 @@ from plotcheck.storage import materialize
 
 ANCHOR = 40
 #: Bytes looked at in one step of an anchor scan; longer texts are read in overlapping steps.
-STEP = 500_000
+STEP = 750_000
 #: Stretches of one anchor with different content that a flush sends to the anchor's shard at most; it knows then that the anchor repeats.
 SENT = 8
 #: An anchor of more undecided stretches is split among shards.
@@ -192,7 +192,9 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         doc = np.searchsorted(ends, first[order], side="right")
         base = np.r_[0, ends[:-1]][doc] - shift[doc]
         columns = [kind, ids[doc], hashes[doc], first[order] - base, last[order] - base, anchor[order] - base, k.view(np.int64), *np.ascontiguousarray(c.T).view(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _SPANS.types)], schema=_SPANS)  # noqa: B905
+        # What is decided here is written without what only the deciding needs.
+        spare = [None] * 5 + [kind == _WHOLE] * 2 + [kind != _SHARD] * 2
+        return pa.RecordBatch.from_arrays([pa.array(x, t, mask=m) for x, t, m in zip(columns, _SPANS.types, spare)], schema=_SPANS)  # noqa: B905
 
     for batch in slices(batches, "text", 8 * STEP):
         ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row_hash"))
@@ -247,7 +249,9 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in kept:
         s, k = seen[at : at + batch.num_rows], kind[at : at + batch.num_rows]
         at += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(k), *(batch.column(c) for c in _SPANS.names[1:])], schema=_SPANS).filter(pa.array(s))
+        lean = [pc.if_else(pa.array(k == _WHOLE), None, batch.column(c)) for c in ("p", "anchor")]
+        none = pa.nulls(batch.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(k), *(batch.column(c) for c in ("doc_id", "row_hash", "a", "b")), *lean, none, none], schema=_SPANS).filter(pa.array(s))
 
 
 _PARTS = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("a", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("anchor", pa.int64()), ("block", pa.int64()), ("shared", pa.int64()), ("bytes", pa.binary())])
