@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -139,20 +141,36 @@ def with_rates(df: DataFrame) -> DataFrame:
     return d.withColumn("f1", F.when(F.col("tp") + F.col("fp") + F.col("fn") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))))
 
 
-def judged(det: DataFrame, ref: DataFrame, least: float = 0.3) -> DataFrame:
-    """Rows (klasse, tp, fp, fn, iou) of detections and references of one class linked by mutually best IoU; unsure references are neutral."""
-    met = box_join(det.select("id", "klasse", "confidence", *BOX), ref.select("id", "klasse", "sicher", *BOX)).filter("l_klasse = r_klasse")
-    met = met.withColumn("iou", F.round(F.expr(g.box_iou("l_", "r_")), 9)).filter(F.col("iou") >= least)
-    by_l, by_r = W.partitionBy("l_id").orderBy(F.desc("iou"), "r_id"), W.partitionBy("r_id").orderBy(F.desc("iou"), "l_id")
-    pairs = met.withColumns({"a": F.row_number().over(by_l), "b": F.row_number().over(by_r)}).filter("a = 1 AND b = 1").select("l_id", "r_id", "iou")
-    d = det.select(F.col("id").alias("l_id"), "klasse").join(pairs, "l_id", "left").join(ref.select(F.col("id").alias("r_id"), "sicher"), "r_id", "left")
-    hits = d.select("klasse", (F.col("r_id").isNotNull() & F.coalesce("sicher", F.lit(False))).alias("tp"), F.col("r_id").isNull().alias("fp"), F.lit(False).alias("fn"), "iou")
+def judged(det: DataFrame, ref: DataFrame, match: Callable[[DataFrame], DataFrame], least: float = 0.3) -> DataFrame:
+    """Rows (klasse, tp, fp, fn, iou, dl, db, dh, held, spans) of detections and references of one class.
+
+    ``match`` links them one to one, the highest IoU first (``iterative.greedy_match``). Unsure references are neutral: one
+    that is missed counts nothing, nor does an unmatched detection that touches one of any class. Of each link: the errors
+    of length, width and height, and how many of them lie within the detection's ``span``; a null height gives none.
+    """
+    boxed = box_join(det.select("id", "klasse", *BOX), ref.select("id", "klasse", "sicher", *BOX))
+    met = boxed.filter("l_klasse = r_klasse").withColumn("iou", F.round(F.expr(g.box_iou("l_", "r_")), 9)).filter(F.col("iou") >= least)
+    pairs = match(met.select(F.col("l_id").alias("det"), F.col("r_id").alias("ref"), "iou")).withColumnsRenamed({"det": "l_id", "ref": "r_id"})
+    size = lambda c: [F.expr("greatest(x2 - x1, y2 - y1)").alias(c + "l"), F.expr("least(x2 - x1, y2 - y1)").alias(c + "b"), F.col("height").alias(c + "h")]
+    d = det.select(F.col("id").alias("l_id"), "klasse", "span", *size("d")).join(pairs, "l_id", "left").join(ref.select(F.col("id").alias("r_id"), *size("r")), "r_id", "left")
+    errors = [F.round(F.abs(F.col(f"d{k}") - F.col(f"r{k}")), 9).alias("d" + k) for k in "lbh"]
+    d = d.select("l_id", "r_id", "klasse", "iou", "span", *errors)
+    near = boxed.filter("NOT r_sicher").select("l_id").distinct().withColumn("unsure", F.lit(True))
+    d = d.join(near, "l_id", "left")
+    linked = F.col("r_id").isNotNull()
+    within = sum((F.when(F.col(c) <= F.col("span"), 1).otherwise(0) for c in ("dl", "db", "dh")), F.lit(0))
+    n = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("dl", "db", "dh")), F.lit(0))
+    hits = d.select("klasse", linked.alias("tp"), (~linked & F.col("unsure").isNull()).alias("fp"), F.lit(False).alias("fn"), "iou", "dl", "db", "dh", within.alias("held"), n.alias("spans"))
     missed = ref.filter("sicher").select(F.col("id").alias("r_id"), "klasse").join(pairs, "r_id", "left_anti")
-    return hits.unionByName(missed.select("klasse", F.lit(False).alias("tp"), F.lit(False).alias("fp"), F.lit(True).alias("fn"), F.lit(None).cast("double").alias("iou")))
+    none = [F.lit(None).cast("double").alias(c) for c in ("iou", "dl", "db", "dh")]
+    return hits.unionByName(missed.select("klasse", F.lit(False).alias("tp"), F.lit(False).alias("fp"), F.lit(True).alias("fn"), *none, F.lit(0).alias("held"), F.lit(0).alias("spans")))
 
 
 def class_metrics(rows: DataFrame) -> DataFrame:
-    return with_rates(rows.groupBy("klasse").agg(*counts(rows), F.avg(F.when(F.col("tp"), F.col("iou"))).alias("mean_iou"), F.median(F.when(F.col("tp"), F.col("iou"))).alias("median_iou")))
+    """Counts, rates, mean IoU, median errors and the share of errors within span, for each class."""
+    medians = [F.median(c).alias(k) for c, k in (("dl", "median_length"), ("db", "median_width"), ("dh", "median_height"))]
+    share = F.sum("held") / F.nullif(F.sum("spans"), F.lit(0))
+    return with_rates(rows.groupBy("klasse").agg(*counts(rows), F.avg("iou").alias("mean_iou"), *medians, share.alias("in_span")))
 
 
 def metrics_rollup(rows: DataFrame) -> DataFrame:
@@ -249,8 +267,15 @@ def release_gate(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def frozen_checksum(df: DataFrame, by: str, key: str) -> DataFrame:
-    """sha256 of each group's keys in order."""
-    return df.groupBy(by).agg(F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(key)), lambda x: x.cast("string"))), 256).alias("checksum"), F.count("*").alias("n"))
+    """(by, checksum, n): a digest of each group's keys in any order, repeats included.
+
+    Each key's sha256 is cut into eight numbers that are added up over the group, so that groups of any size combine
+    before the shuffle; the checksum is the sha256 of the sums and the count.
+    """
+    sha = F.sha2(F.col(key).cast("string"), 256)
+    part = lambda i: F.conv(F.substring(sha, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+    sums = df.groupBy(by).agg(*[F.sum(part(i)).alias(f"p{i}") for i in range(8)], F.count("*").alias("n"))
+    return sums.select(by, F.sha2(F.concat_ws("-", *[F.col(f"p{i}").cast("string") for i in range(8)], F.col("n").cast("string")), 256).alias("checksum"), "n")
 
 
 def verify_frozen(df: DataFrame, by: str, key: str, frozen: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -124,17 +124,18 @@ def flow_direction(cells: DataFrame) -> DataFrame:
 
 
 def upslope_area(flow: DataFrame) -> DataFrame:
-    """(col, row_, area): cells that drain through each cell, itself included. What arrives moves on a step a round."""
-    f = materialize(flow, "flow")
-    moving = materialize(f.select(*CELL, F.lit(1).cast("long").alias("n")), "moving")
-    seen = moving
-    for _ in range(ROUNDS):
-        on = moving.join(f.filter("to_col IS NOT NULL"), CELL).groupBy(F.col("to_col").alias("col"), F.col("to_row").alias("row_")).agg(F.sum("n").alias("n"))
-        moving = materialize(on, "moving")
-        if moving.isEmpty():
-            return seen.groupBy(*CELL).agg(F.sum("n").alias("area"))
-        seen = seen.unionByName(moving)
-    raise RuntimeError(f"flow longer than {ROUNDS} cells")
+    """(col, row_, area): cells that drain through each cell, itself included.
+
+    Pointers double: after k rounds each cell knows how many cells lie less than 2^k steps above it, and the cell 2^k steps
+    below it, so that the rounds grow with the logarithm of the longest path.
+    """
+    f = materialize(flow.select(*CELL, "to_col", "to_row", F.lit(1).cast("long").alias("n")), "flow")
+    while not f.filter("to_col IS NOT NULL").isEmpty():
+        more = f.filter("to_col IS NOT NULL").groupBy(F.col("to_col").alias("col"), F.col("to_row").alias("row_")).agg(F.sum("n").alias("more"))
+        jump = f.select(F.col("col").alias("to_col"), F.col("row_").alias("to_row"), F.col("to_col").alias("next_col"), F.col("to_row").alias("next_row"))
+        moved = f.join(more, CELL, "left").join(jump, ["to_col", "to_row"], "left")
+        f = materialize(moved.select(*CELL, F.col("next_col").alias("to_col"), F.col("next_row").alias("to_row"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "flow")
+    return f.select(*CELL, F.col("n").alias("area"))
 
 
 def roof_runoff_share(roofs: DataFrame) -> DataFrame:
@@ -143,7 +144,3 @@ def roof_runoff_share(roofs: DataFrame) -> DataFrame:
     ring = neighbours(r, "obj_id").select("obj_id", *CELL).distinct().join(r, ["obj_id", *CELL], "left_anti")
     n = r.groupBy("obj_id").agg(F.count("*").alias("roof"))
     return ring.join(n, "obj_id").select("obj_id", *CELL, (F.col("roof") / F.count("*").over(W.partitionBy("obj_id"))).alias("share"))
-
-
-def priority(*columns: str) -> Column:
-    return F.struct(*[-F.col(c) for c in columns])

@@ -63,12 +63,30 @@ def noise_verdict(devices: DataFrame, receivers: DataFrame, places: DataFrame, s
     return loud.select("dev", "house", "lp", "limit", status.alias("status"))
 
 
-def plant_verdict(plants: DataFrame, edges: DataFrame) -> DataFrame:
-    """Least distance of each plant to a side that counts (side 0 is the road) and its status: 0.5 m up to 2 m of height, else 2 m; less by 0.1 m warns."""
-    d = plants.join(edges.filter("side <> 0"), "parcel_id").groupBy("obj_id", "height").agg(F.min(F.expr(g.point_segment_distance("x", "y", "ax", "ay", "bx", "by_"))).alias("distance"))
-    need = F.when(F.col("height") <= lim.PLANT_HEIGHT + 1e-9, lim.PLANT_SMALL).otherwise(lim.PLANT_TALL)
-    status = F.when(F.col("distance") >= need - 1e-9, "ok").when(F.col("distance") >= need - lim.PLANT_WARN - 1e-9, "warn").otherwise("bad")
-    return d.select("obj_id", "distance", need.alias("need"), status.alias("status"))
+def plant_verdict(plants: DataFrame, edges: DataFrame, sides: DataFrame) -> DataFrame:
+    """(obj_id, side, distance, need, exemption, status, max_height) of each plant (x, y, height), by the side that decides.
+
+    ``sides`` (parcel_id, side, road, fence, forest) says what lies beyond: a road, and a fence at least as high as the
+    plant, exempt a side; towards a forest 0.5 m always do. Else plants up to 2 m need 0.5 m, taller ones 2 m. Below the
+    need is bad, less than 0.1 m above it warns; a plant off its parcel is bad, at distance 0. The side that decides has
+    the least distance beyond its need, exempt ones last. max_height is what all sides allow there, null without limit.
+    """
+    met = plants.join(edges, "parcel_id").withColumns({"d": F.expr(g.point_segment_distance("x", "y", "ax", "ay", "bx", "by_")), "c": F.expr(g.ray_crossing("x", "y", "ax", "ay", "bx", "by_")).cast("int")})
+    per = met.groupBy("parcel_id", "obj_id", "height", "side").agg(F.min("d").alias("d"), F.sum("c").alias("c"))
+    inside = per.groupBy("obj_id").agg((F.sum("c") % 2 == 1).alias("inside"))
+    a = per.join(sides, ["parcel_id", "side"], "left").join(inside, "obj_id")
+    forest, fence = F.coalesce("forest", F.lit(False)), F.coalesce("fence", F.lit(0.0))
+    exempt = F.when(F.coalesce("road", F.lit(False)), "road").when((fence > 0) & (F.col("height") <= fence + 1e-9), "fence")
+    a = a.withColumns({"distance": F.when(F.col("inside"), F.round("d", 6)).otherwise(0.0), "exemption": exempt})
+    need = F.when(F.col("exemption").isNotNull(), 0.0).when(forest, lim.FOREST).when(F.col("height") > lim.PLANT_HEIGHT + 1e-9, lim.PLANT_TALL).otherwise(lim.PLANT_SMALL)
+    here = F.col("distance") + 1e-9
+    most = F.when(here < lim.PLANT_SMALL, 0.0).when(forest, lim.NO_LIMIT).when(here < lim.PLANT_TALL, lim.PLANT_HEIGHT).otherwise(lim.NO_LIMIT)
+    a = a.withColumns({"need": need, "allowed": F.when(F.col("exemption") == "road", lim.NO_LIMIT).when(F.col("exemption") == "fence", F.greatest(most, fence)).otherwise(most)})
+    bad = F.when(F.col("exemption").isNotNull(), 0).when(here < F.col("need"), 2).when(F.col("distance") - F.col("need") < lim.PLANT_WARN - 1e-9, 1).otherwise(0)
+    first = F.struct(F.col("exemption").isNotNull().alias("e"), F.round(F.col("distance") - F.col("need"), 6).alias("m"), "side")
+    out = a.groupBy("obj_id").agg(F.min_by(F.struct("side", "distance", "need", "exemption"), first).alias("b"), F.max(bad).alias("bad"), F.bool_and("inside").alias("inside"), F.min("allowed").alias("allowed"))
+    status = F.when(~F.col("inside") | (F.col("bad") == 2), "bad").when(F.col("bad") == 1, "warn").otherwise("ok")
+    return out.select("obj_id", "b.side", "b.distance", "b.need", F.coalesce("b.exemption", F.lit("")).alias("exemption"), status.alias("status"), F.nullif("allowed", F.lit(lim.NO_LIMIT)).alias("max_height"))
 
 
 def existing_plants(plants: DataFrame, edges: DataFrame, span: float) -> DataFrame:

@@ -10,6 +10,9 @@ DAY = {"rein": 50.0, "allgemein": 55.0, "misch": 60.0}
 DIRECTIVITY = {"frei": 2.0, "wand": 4.0, "ecke": 8.0}
 NOISE_MARGIN, WALL_REACH, LEAST_RADIUS, RECEIVER_REACH, RECEIVER_HEIGHT = 3.0, 3.0, 0.5, 35.0, 2.0
 PLANT_SMALL, PLANT_TALL, PLANT_HEIGHT, PLANT_WARN = 0.5, 2.0, 2.0, 0.1
+FOREST, NO_LIMIT = 0.5, 99.0
+MAIN_AREA, MAIN_EAVES = 40.0, 3.0
+BUILDING_CLASSES = ("gartenhaus", "gewaechshaus", "carport_garage")
 STOREY, SILL, OVERHANG = 2.80, 1.0, 0.30
 SUN_ALTITUDE, SUN_STEP_MIN, SUN_DAYS = 5.0, 10, ("2024-03-21", "2024-12-21")
 LATITUDE, LONGITUDE = 49.5, 11.75

@@ -138,16 +138,25 @@ def collisions(objects: DataFrame, obstacles: DataFrame, tol: float = 0.05) -> D
     return met.select(F.col("l_obj_id").alias("obj_id"), F.col("r_obj_id").alias("obstacle_id"), "area", kind.alias("kind"))
 
 
-def line_of_sight(pairs: DataFrame, buildings: DataFrame, size: float = 50.0) -> DataFrame:
-    """``pairs`` (pair, sx, sy, tx, ty) with screening: 0 free, 5 crossed, 15 if the source leans on the building. Eaves below 2 m do not screen."""
+def line_of_sight(pairs: DataFrame, buildings: DataFrame, size: float = 50.0, lean: float = 3.0) -> DataFrame:
+    """``pairs`` (pair, sx, sy, tx, ty, and perhaps target) with screening: 0 free, 5 crossed, 15 if the source stands by a crossed building.
+
+    A building is crossed by the line between its ends, or by an end within it; by it stands what is nearer than ``lean``.
+    Eaves below 2 m do not screen, nor does the building named ``target``; unknown eaves do.
+    """
     box = pairs.withColumns({"x1": F.least("sx", "tx"), "y1": F.least("sy", "ty"), "x2": F.greatest("sx", "tx"), "y2": F.greatest("sy", "ty")})
-    met = box_join(box, buildings.filter("eaves >= 2"), size)
-    edges = box_edges(met.select("l_pair", "l_sx", "l_sy", "l_tx", "l_ty", F.col("r_x1").alias("x1"), F.col("r_y1").alias("y1"), F.col("r_x2").alias("x2"), F.col("r_y2").alias("y2")), "l_pair", "l_sx", "l_sy", "l_tx", "l_ty")
+    met = box_join(box, buildings.filter("eaves IS NULL OR eaves >= 2"), size)
+    if "target" in pairs.columns:
+        met = met.filter(~F.col("l_target").eqNullSafe(F.col("r_obj_id")))
+    within = lambda p: f"(l_{p}x > r_x1 AND l_{p}x < r_x2 AND l_{p}y > r_y1 AND l_{p}y < r_y2)"
+    met = met.withColumn("held", F.expr(f"{within('s')} OR {within('t')}"))
+    edges = box_edges(met.select("l_pair", "l_sx", "l_sy", "l_tx", "l_ty", "r_obj_id", "held", F.col("r_x1").alias("x1"), F.col("r_y1").alias("y1"), F.col("r_x2").alias("x2"), F.col("r_y2").alias("y2")), "l_pair", "l_sx", "l_sy", "l_tx", "l_ty", "r_obj_id", "held")
     crosses = F.expr(g.segments_cross(("l_sx", "l_sy", "l_tx", "l_ty"), ("ax", "ay", "bx", "by_")))
-    leans = F.expr(g.point_segment_distance("l_sx", "l_sy", "ax", "ay", "bx", "by_") + " < 0.5")
-    seen = edges.groupBy(F.col("l_pair").alias("pair")).agg(F.bool_or(crosses).alias("crossed"), F.bool_or(leans).alias("leans"))
-    db = F.when(F.col("crossed") & F.col("leans"), 15).when(F.col("crossed"), 5).otherwise(0)
-    return pairs.join(seen, "pair", "left").select("pair", F.coalesce(db, F.lit(0)).alias("screening"))
+    leans = F.expr(g.point_segment_distance("l_sx", "l_sy", "ax", "ay", "bx", "by_") + f" < {lean!r}")
+    each = edges.groupBy(F.col("l_pair").alias("pair"), "r_obj_id", "held").agg(F.bool_or(crosses).alias("crossed"), F.bool_or(leans).alias("leans"))
+    db = F.when(F.col("crossed") | F.col("held"), F.when(F.col("leans"), 15).otherwise(5)).otherwise(0)
+    seen = each.groupBy("pair").agg(F.max(db).alias("db"))
+    return pairs.join(seen, "pair", "left").select("pair", F.coalesce("db", F.lit(0)).alias("screening"))
 
 
 def owner_dedupe(objects: DataFrame, block: float = 250.0, halo: float = 15.0) -> DataFrame:

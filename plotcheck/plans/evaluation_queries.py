@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plotcheck.functions import geometry as g
 from plotcheck.operators import evaluation as e
+from plotcheck.operators.iterative import greedy_match
 from plotcheck.plans.registry import query
 from plotcheck.plans.spatial_queries import role, rounded
 
@@ -165,21 +166,33 @@ def _(view):
     return e.running_version(r, known)
 
 
-_JUDGED = f"""{_SETS.format(a='role IN (3, 4)', b='role IN (8, 9)')}, m AS (SELECT a.obj_id AS l_id, b.obj_id AS r_id, {_IOU} AS iou FROM l a JOIN r b ON {_TOUCH} AND a.klasse = b.klasse WHERE {_IOU} >= 0.3),
-p AS (SELECT l_id, r_id, iou FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY iou DESC, r_id) AS i, row_number() OVER (PARTITION BY r_id ORDER BY iou DESC, l_id) AS j FROM m) WHERE i = 1 AND j = 1),
-judged AS (SELECT l.klasse, r_id IS NOT NULL AND coalesce(r.sicher, false) AS tp, r_id IS NULL AS fp, false AS fn, iou FROM l LEFT JOIN p ON p.l_id = l.obj_id LEFT JOIN r ON r.obj_id = p.r_id
-  UNION ALL SELECT klasse, false, false, true, NULL FROM r WHERE sicher AND obj_id NOT IN (SELECT r_id FROM p))"""
+_JUDGED = f"""RECURSIVE {_SETS.format(a='role IN (3, 4)', b='role IN (8, 9)')}, m AS (SELECT concat(a.parcel_id, a.klasse) AS grp, a.obj_id AS l_id, b.obj_id AS r_id, {_IOU} AS iou FROM l a JOIN r b ON {_TOUCH} AND a.klasse = b.klasse WHERE {_IOU} >= 0.3),
+o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY iou DESC, l_id DESC, r_id DESC) AS nth FROM m),
+gr AS (SELECT DISTINCT grp, CAST(0 AS BIGINT) AS nth, CAST([] AS BIGINT[]) AS li, CAST([] AS BIGINT[]) AS ri FROM o UNION ALL
+  SELECT gr.grp, o.nth, CASE WHEN list_contains(li, l_id) OR list_contains(ri, r_id) THEN li ELSE list_append(li, l_id) END, CASE WHEN list_contains(li, l_id) OR list_contains(ri, r_id) THEN ri ELSE list_append(ri, r_id) END FROM gr JOIN o ON o.grp = gr.grp AND o.nth = gr.nth + 1),
+la AS (SELECT grp, unnest(li) AS l_id, unnest(ri) AS r_id FROM gr WHERE nth = (SELECT max(nth) FROM o WHERE o.grp = gr.grp)),
+p AS (SELECT la.l_id, la.r_id, iou FROM la JOIN m ON m.l_id = la.l_id AND m.r_id = la.r_id),
+un AS (SELECT DISTINCT a.obj_id FROM l a JOIN r b ON {_TOUCH} AND NOT b.sicher),
+e AS (SELECT a.klasse, b.obj_id AS rid, un.obj_id AS unsure, iou, round(abs(greatest(a.x2 - a.x1, a.y2 - a.y1) - greatest(b.x2 - b.x1, b.y2 - b.y1)), 9) AS dl, round(abs(least(a.x2 - a.x1, a.y2 - a.y1) - least(b.x2 - b.x1, b.y2 - b.y1)), 9) AS db,
+  round(abs(a.eaves - CASE WHEN b.obj_id % 3 <> 0 THEN b.eaves END), 9) AS dh FROM l a LEFT JOIN p ON p.l_id = a.obj_id LEFT JOIN r b ON b.obj_id = p.r_id LEFT JOIN un ON un.obj_id = a.obj_id),
+judged AS (SELECT klasse, rid IS NOT NULL AS tp, rid IS NULL AND unsure IS NULL AS fp, false AS fn, iou, dl, db, dh, CASE WHEN dl <= 1 THEN 1 ELSE 0 END + CASE WHEN db <= 1 THEN 1 ELSE 0 END + CASE WHEN dh <= 1 THEN 1 ELSE 0 END AS held,
+  CASE WHEN dl IS NULL THEN 0 ELSE 1 END + CASE WHEN db IS NULL THEN 0 ELSE 1 END + CASE WHEN dh IS NULL THEN 0 ELSE 1 END AS spans FROM e
+  UNION ALL SELECT klasse, false, false, true, NULL, NULL, NULL, NULL, 0, 0 FROM r WHERE sicher AND obj_id NOT IN (SELECT r_id FROM p))"""
 _COUNTS = "CAST(sum(CASE WHEN tp THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN fp THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN fn THEN 1 ELSE 0 END) AS BIGINT) AS fn"
 _RATES = "round(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 9) AS precision, round(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 9) AS recall, CASE WHEN tp + fp + fn > 0 THEN round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 9) END AS f1"
 
 
 def _judged(view):
-    return e.judged(boxes(view, 3, 4), boxes(view, 8, 9))
+    det = boxes(view, 3, 4).join(view("footprint").select(F.col("obj_id").alias("id"), F.col("eaves").alias("height")), "id").withColumn("span", F.lit(1.0))
+    height = view("footprint").select(F.col("obj_id").alias("id"), F.when(F.col("obj_id") % 3 != 0, F.col("eaves")).alias("height"))
+    return e.judged(det, boxes(view, 8, 9).join(height, "id"), greedy_match)
 
 
-@query("class_metrics", f"WITH {_JUDGED}, c AS (SELECT klasse, {_COUNTS}, round(avg(CASE WHEN tp THEN iou END), 6) AS mean_iou, round(median(CASE WHEN tp THEN iou END), 6) AS median_iou FROM judged GROUP BY klasse) SELECT *, {_RATES} FROM c")
+@query("class_metrics", f"""WITH {_JUDGED}, c AS (SELECT klasse, {_COUNTS}, round(avg(iou), 6) AS mean_iou, round(median(dl), 6) AS median_length, round(median(db), 6) AS median_width, round(median(dh), 6) AS median_height,
+  round(sum(held) / CAST(nullif(sum(spans), 0) AS DOUBLE), 9) AS in_span FROM judged GROUP BY klasse) SELECT *, {_RATES} FROM c""")
 def _(view):
-    return rounded(rounded(e.class_metrics(_judged(view)), "mean_iou", "median_iou"), "precision", "recall", "f1", digits=9)
+    out = rounded(e.class_metrics(_judged(view)), "mean_iou", "median_length", "median_width", "median_height")
+    return rounded(out, "precision", "recall", "f1", "in_span", digits=9)
 
 
 @query("metrics_rollup", f"""
@@ -275,7 +288,8 @@ def _(view):
     d = e.cross_scenarios(role(view, 3), _thresholds(view, (0.2, 0.4, 0.6))).filter("confidence >= t")
     r = e.cross_scenarios(role(view, 5).select("parcel_id"), _thresholds(view, (0.2, 0.4, 0.6)))
     recalled = r.join(d.select("t", "parcel_id"), ["t", "parcel_id"], "left_semi").groupBy("t").agg(F.count("*").alias("recalled"))
-    return d.groupBy("t").agg(F.count("*").alias("detected")).join(recalled, "t")
+    found = _thresholds(view, (0.2, 0.4, 0.6)).join(d.groupBy("t").agg(F.count("*").alias("detected")), "t", "left").join(recalled, "t", "left")
+    return found.select("t", F.coalesce("detected", F.lit(0)).alias("detected"), F.coalesce("recalled", F.lit(0)).alias("recalled"))
 
 
 _SWEEP = "s AS (SELECT klasse, t, sum(CASE WHEN p >= t AND label THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p >= t AND NOT label THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN p < t AND label THEN 1 ELSE 0 END) AS fn FROM (SELECT klasse, confidence AS p, sicher AS label FROM footprint WHERE role % 2 = 1), (SELECT unnest([0.3e0, 0.4e0, 0.5e0, 0.6e0, 0.7e0, 0.8e0]) AS t) GROUP BY klasse, t)"
@@ -296,7 +310,10 @@ def _(view):
     return rounded(e.confidence_sweep(rows, _thresholds(view, (0.5, 0.6, 0.7, 0.8))), "precision", digits=9)
 
 
-@query("frozen_set", "SELECT klasse, sha256(string_agg(CAST(obj_id AS VARCHAR), ',' ORDER BY obj_id)) AS checksum, count(*) AS n FROM footprint GROUP BY klasse")
+_PARTS = ", ".join(f"sum(CAST(concat('0x', substr(sha256(CAST(obj_id AS VARCHAR)), {8 * i + 1}, 8)) AS BIGINT)) AS p{i}" for i in range(8))
+
+
+@query("frozen_set", f"SELECT klasse, sha256(concat_ws('-', {', '.join(f'p{i}' for i in range(8))}, n)) AS checksum, n FROM (SELECT klasse, {_PARTS}, count(*) AS n FROM footprint GROUP BY klasse)")
 def _(view):
     return e.frozen_checksum(view("footprint"), "klasse", "obj_id")
 

@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plotcheck.functions import geometry as g
+from plotcheck.operators import spatial as s
 from plotcheck.operators.rules import building as b
 from plotcheck.operators.rules import devices as d
 from plotcheck.operators.rules import limits as lim
 from plotcheck.plans.registry import query
-from plotcheck.plans.spatial_queries import _BOX, _SEGDIST, role, rounded
+from plotcheck.plans.spatial_queries import _BOX, _SEGDIST, role, rounded, sight_sql
 
 PITCH = "CAST(30 + obj_id % 60 AS DOUBLE)"
 
 
-@query("walls", """
+WALLS = """
 WITH o AS (SELECT *, CASE WHEN x2 - x1 >= y2 - y1 THEN 0 ELSE 1 END AS axis FROM footprint WHERE role = 1),
 e AS (SELECT obj_id, axis, eaves, ridge, 0 AS seg, x1 AS ax, y1 AS ay, x2 AS bx, y1 AS by_ FROM o UNION ALL SELECT obj_id, axis, eaves, ridge, 1, x2, y1, x2, y2 FROM o UNION ALL SELECT obj_id, axis, eaves, ridge, 2, x2, y2, x1, y2 FROM o UNION ALL SELECT obj_id, axis, eaves, ridge, 3, x1, y2, x1, y1 FROM o),
 p AS (SELECT e.*, unnest(generate_series(0, 8)) AS k FROM e), q AS (SELECT *, CAST(floor((ax + (bx - ax) * k / 8) / 40) AS BIGINT) AS col, CAST(floor((ay + (by_ - ay) * k / 8) / 40) AS BIGINT) AS row_ FROM p),
 z AS (SELECT obj_id, axis, eaves, ridge, seg, avg(z) AS ground, count(*) AS n FROM q JOIN terrain_cell t ON t.col = q.col AND t.row_ = q.row_ GROUP BY obj_id, axis, eaves, ridge, seg)
-SELECT obj_id, seg, CASE WHEN ridge <= eaves THEN 'flat' WHEN seg % 2 = axis THEN 'eave' ELSE 'gable' END AS kind, round(eaves + max(ground) OVER (PARTITION BY obj_id) - ground, 6) AS height, n FROM z""")
+SELECT obj_id, seg, CASE WHEN ridge <= eaves THEN 'flat' WHEN seg % 2 = axis THEN 'eave' ELSE 'gable' END AS kind, round(eaves + max(ground) OVER (PARTITION BY obj_id) - ground, 6) AS height, n FROM z"""
+
+
+@query("walls", WALLS)
 def _(view):
     return rounded(b.walls(role(view, 1), view("terrain_cell")), "height")
 
@@ -32,9 +36,18 @@ def _(view):
     return rounded(b.setback(role(view, 0, 1).withColumn("pitch", F.expr(PITCH))).select("obj_id", "h", "depth"), "h", "depth")
 
 
-@query("boundary_wall_height", f"SELECT obj_id, round(eaves + CASE WHEN {PITCH} > 45 THEN (ridge - eaves) / 3 ELSE 0 END, 6) AS height, eaves + CASE WHEN {PITCH} > 45 THEN (ridge - eaves) / 3 ELSE 0 END <= 3 + 1e-9 AS privileged FROM footprint WHERE role IN (1, 2)")
+_SLOPE = "CAST(35 + obj_id % 50 AS DOUBLE)"
+
+
+@query("boundary_wall_height", f"""
+WITH w AS (SELECT w.obj_id, seg, kind, height AS mean, ridge - eaves AS rise, CAST(35 + w.obj_id % 50 AS DOUBLE) AS pitch FROM ({WALLS}) w JOIN footprint f ON f.obj_id = w.obj_id),
+h AS (SELECT obj_id, seg, rise > 0 AND pitch > 45 AND kind <> 'eave' AS open, mean + CASE WHEN rise <= 0 OR pitch <= 45 THEN 0 WHEN kind = 'eave' THEN rise * CASE WHEN pitch > 70 THEN 1 ELSE 1 / 3e0 END
+  ELSE greatest(rise / 2, rise * CASE WHEN pitch > 70 THEN 1 ELSE 1 / 3e0 END) END AS height FROM w)
+SELECT obj_id, seg, round(height, 6) AS height, open, round(height, 6) <= 3 + 1e-9 AS privileged FROM h""")
 def _(view):
-    return rounded(b.boundary_wall_height(role(view, 1, 2).withColumn("pitch", F.expr(PITCH))).select("obj_id", "height", "privileged"), "height")
+    w = rounded(b.walls(role(view, 1), view("terrain_cell")), "height").withColumnRenamed("height", "mean")
+    roof = role(view, 1).select("obj_id", (F.col("ridge") - F.col("eaves")).alias("rise"), F.expr(_SLOPE).alias("pitch"))
+    return rounded(b.boundary_wall_height(w.join(roof, "obj_id")).select("obj_id", "seg", "height", "open"), "height").withColumn("privileged", F.col("height") <= lim.BOUNDARY_HEIGHT + 1e-9)
 
 
 @query("setback_check")
@@ -93,14 +106,20 @@ def _(view):
     return rounded(rounded(b.key_figures(role(view, 1)), "footprint", "volume", "sill").withColumn("floor_area", F.col("floor_area").cast("double")), "floor_area")
 
 
-_MAIN = "(x2 - x1) * (y2 - y1) >= 12 AND eaves >= 3"
+#: Houses in true size: the derived footprints, three times as long each way.
+_HOUSE = "SELECT obj_id, parcel_id, x1, y1, x1 + 3 * (x2 - x1) AS x2, y1 + 3 * (y2 - y1) AS y2, eaves, ridge, CASE obj_id % 4 WHEN 0 THEN '31001_2010' WHEN 1 THEN '51009_1610' ELSE '31001_1000' END AS kind FROM footprint WHERE role = 0"
+_MAIN = "(x2 - x1) * (y2 - y1) >= 40 AND (eaves IS NULL OR eaves >= 3)"
+
+
+def _houses(view):
+    return role(view, 0).selectExpr("obj_id", "parcel_id", "x1", "y1", "x1 + 3 * (x2 - x1) AS x2", "y1 + 3 * (y2 - y1) AS y2", "eaves", "ridge", "CASE obj_id % 4 WHEN 0 THEN '31001_2010' WHEN 1 THEN '51009_1610' ELSE '31001_1000' END AS kind")
 
 
 @query("neighbourhood_stats", f"""
-WITH o AS (SELECT obj_id, parcel_id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM footprint WHERE role = 1), m AS (SELECT parcel_id, eaves, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM footprint WHERE role = 0 AND {_MAIN})
+WITH o AS (SELECT obj_id, parcel_id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM footprint WHERE role = 1), m AS (SELECT parcel_id, eaves, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM ({_HOUSE}) WHERE {_MAIN})
 SELECT o.obj_id, count(*) AS n, min(eaves) AS low, round(median(eaves), 6) AS median, max(eaves) AS high FROM o JOIN m ON o.parcel_id <> m.parcel_id AND sqrt((o.x - m.x) * (o.x - m.x) + (o.y - m.y) * (o.y - m.y)) <= 100 GROUP BY o.obj_id""")
 def _(view):
-    return rounded(b.neighbourhood(role(view, 1), role(view, 0)), "median")
+    return rounded(b.neighbourhood(role(view, 1), _houses(view)), "median")
 
 
 @query("second_row_count", f"""
@@ -113,20 +132,20 @@ def _(view):
     return b.second_row(role(view, 0), role(view, 8), 25.0, 60.0)
 
 
-_CELLS2 = """c AS (SELECT parcel_id, col, unnest(generate_series(CAST(floor(y0 / {r}) AS BIGINT), CAST(floor((y0 + h) / {r}) AS BIGINT))) AS row_ FROM (SELECT *, unnest(generate_series(CAST(floor(x0 / {r}) AS BIGINT), CAST(floor((x0 + w + skew) / {r}) AS BIGINT))) AS col FROM parcel WHERE parcel_id % 5 = 0)),
+_CELLS2 = """c AS (SELECT parcel_id, col, unnest(generate_series(CAST(floor(y0 / {r}) AS BIGINT), CAST(floor((y0 + h) / {r}) AS BIGINT))) AS row_ FROM (SELECT *, unnest(generate_series(CAST(floor(x0 / {r}) AS BIGINT), CAST(floor((x0 + w + skew) / {r}) AS BIGINT))) AS col FROM parcel)),
 d AS (SELECT c.parcel_id, col, row_, sum(CASE WHEN {ray} THEN 1 ELSE 0 END) AS n, min({dist}) AS dist, min(CASE WHEN side <> 0 THEN {dist} END) AS dist0 FROM c JOIN parcel_edge e ON e.parcel_id = c.parcel_id GROUP BY c.parcel_id, col, row_)"""
 
 
-def _cells_sql(r: int) -> str:
+def _cells_sql(r: float) -> str:
     x, y = f"(col + 0.5) * {r}", f"(row_ + 0.5) * {r}"
     return _CELLS2.format(r=r, ray=g.ray_crossing(x, y, "ax", "ay", "bx", "by_"), dist=g.point_segment_distance(x, y, "ax", "ay", "bx", "by_"))
 
 
-#: Grid steps of the survey (K13, K16, K18). The SQL still has 2 m and a fifth of the parcels; tests/test_whole_tables.py holds the whole.
+#: Grid steps of the survey (K13, K16, K18).
 STEP, COARSE = 0.5, 1.0
 
 
-_ENVELOPE = f"""{_cells_sql(2)}, bl AS (SELECT DISTINCT parcel_id, col, row_ FROM (SELECT d.parcel_id, col, row_ FROM d JOIN footprint f ON f.role = 0 AND (col + 0.5) * 2 BETWEEN x1 AND x2 AND (row_ + 0.5) * 2 BETWEEN y1 AND y2)),
+_ENVELOPE = f"""{_cells_sql(0.5)}, bl AS (SELECT DISTINCT parcel_id, col, row_ FROM (SELECT d.parcel_id, col, row_ FROM d JOIN footprint f ON f.role = 0 AND (col + 0.5) * 0.5e0 BETWEEN x1 AND x2 AND (row_ + 0.5) * 0.5e0 BETWEEN y1 AND y2)),
 env AS (SELECT d.parcel_id, d.col, d.row_, CASE WHEN bl.col IS NOT NULL THEN 0 WHEN dist >= 3 - 1e-6 THEN dist / 0.4 ELSE 0 END AS height FROM d LEFT JOIN bl ON bl.parcel_id = d.parcel_id AND bl.col = d.col AND bl.row_ = d.row_ WHERE n % 2 = 1)"""
 
 
@@ -137,7 +156,7 @@ def _(view):
 
 @query("envelope_breaches", f"""
 WITH {_ENVELOPE}, e AS (SELECT o.obj_id, o.parcel_id, f.eaves, aax, aay, abx, aby, CAST(ceil(greatest(abs(abx - aax), abs(aby - aay)) / 0.25) AS BIGINT) AS n FROM {_BOX} o JOIN footprint f ON f.obj_id = o.obj_id WHERE o.role = 1),
-p AS (SELECT *, unnest(generate_series(0, n)) AS k FROM e WHERE n > 0), q AS (SELECT *, CAST(floor((aax + (abx - aax) * k / n) / 2) AS BIGINT) AS col, CAST(floor((aay + (aby - aay) * k / n) / 2) AS BIGINT) AS row_ FROM p)
+p AS (SELECT *, unnest(generate_series(0, n)) AS k FROM e WHERE n > 0), q AS (SELECT *, CAST(floor((aax + (abx - aax) * k / n) / 0.5e0) AS BIGINT) AS col, CAST(floor((aay + (aby - aay) * k / n) / 0.5e0) AS BIGINT) AS row_ FROM p)
 SELECT q.obj_id, count(*) AS samples, CAST(sum(CASE WHEN eaves > height + 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS breaches FROM q JOIN env ON env.parcel_id = q.parcel_id AND env.col = q.col AND env.row_ = q.row_ GROUP BY q.obj_id""")
 def _(view):
     return b.envelope_breaches(role(view, 1), b.envelope(view("parcel_edge"), role(view, 0), STEP), STEP)
@@ -157,10 +176,23 @@ def _plants(view):
     return role(view, 7).selectExpr("obj_id", "parcel_id", "x1 - 2 AS x", "y1 - 1.5 AS y", "eaves AS height")
 
 
-@query("plant_verdict", f"""WITH {_PLANT_D}, m AS (SELECT obj_id, CAST({_NEED} AS DOUBLE) AS need, min(dd) AS distance FROM pd GROUP BY obj_id, height)
-SELECT obj_id, round(distance, 6) AS distance, need, CASE WHEN distance >= need - 1e-9 THEN 'ok' WHEN distance >= need - 0.1 - 1e-9 THEN 'warn' ELSE 'bad' END AS status FROM m""")
+_SIDES = "SELECT parcel_id, side, side = 0 AND parcel_id % 2 = 0 AS road, CASE WHEN (parcel_id + side) % 4 = 1 THEN 1.8e0 END AS fence, (parcel_id + side) % 7 = 3 AS forest FROM parcel_edge"
+
+
+@query("plant_verdict", f"""
+WITH p AS ({_PLANTS}), sd AS (SELECT DISTINCT * FROM ({_SIDES})),
+i AS (SELECT obj_id, sum(CASE WHEN {g.ray_crossing('x', 'y', 'ax', 'ay', 'bx', 'by_')} THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM p JOIN parcel_edge e ON e.parcel_id = p.parcel_id GROUP BY obj_id),
+d AS (SELECT p.obj_id, height, e.parcel_id, side, min({g.point_segment_distance('x', 'y', 'ax', 'ay', 'bx', 'by_')}) AS dd FROM p JOIN parcel_edge e ON e.parcel_id = p.parcel_id GROUP BY p.obj_id, height, e.parcel_id, side),
+a AS (SELECT d.obj_id, d.side, CASE WHEN inside THEN round(dd, 6) ELSE 0 END AS distance, forest, fence, CASE WHEN road THEN 'road' WHEN fence > 0 AND height <= fence + 1e-9 THEN 'fence' END AS exemption,
+  CASE WHEN forest THEN 0.5e0 WHEN height > 2 + 1e-9 THEN 2.0e0 ELSE 0.5e0 END AS need0, inside FROM d JOIN sd ON sd.parcel_id = d.parcel_id AND sd.side = d.side JOIN i ON i.obj_id = d.obj_id),
+v AS (SELECT *, CASE WHEN exemption IS NULL THEN need0 ELSE 0e0 END AS need, CASE WHEN distance + 1e-9 < 0.5 THEN 0e0 WHEN forest THEN 99e0 WHEN distance + 1e-9 < 2 THEN 2e0 ELSE 99e0 END AS most FROM a),
+w AS (SELECT *, CASE WHEN exemption IS NOT NULL THEN 0 WHEN distance + 1e-9 < need THEN 2 WHEN distance - need < 0.1 - 1e-9 THEN 1 ELSE 0 END AS bad, CASE exemption WHEN 'road' THEN 99e0 WHEN 'fence' THEN greatest(most, fence) ELSE most END AS allowed,
+  row_number() OVER (PARTITION BY obj_id ORDER BY exemption IS NOT NULL, round(distance - need, 6), side) AS nth FROM v),
+t AS (SELECT obj_id, CASE WHEN NOT bool_and(inside) THEN 'bad' ELSE CASE max(bad) WHEN 2 THEN 'bad' WHEN 1 THEN 'warn' ELSE 'ok' END END AS status, nullif(min(allowed), 99) AS max_height FROM w GROUP BY obj_id)
+SELECT w.obj_id, side, distance, need, coalesce(exemption, '') AS exemption, status, max_height FROM w JOIN t ON t.obj_id = w.obj_id WHERE nth = 1""")
 def _(view):
-    return rounded(d.plant_verdict(_plants(view), view("parcel_edge")), "distance", "need")
+    sides = view("parcel_edge").selectExpr("parcel_id", "side", "side = 0 AND parcel_id % 2 = 0 AS road", "CASE WHEN (parcel_id + side) % 4 = 1 THEN 1.8D END AS fence", "(parcel_id + side) % 7 = 3 AS forest").distinct()
+    return d.plant_verdict(_plants(view), view("parcel_edge"), sides)
 
 
 @query("existing_plants", f"""WITH {_PLANT_D}, k AS (SELECT obj_id, height, side, round(dd, 6) AS distance, row_number() OVER (PARTITION BY obj_id ORDER BY round(dd, 6), side) AS nth FROM pd)
@@ -169,18 +201,20 @@ def _(view):
     return d.existing_plants(_plants(view), view("parcel_edge"), 0.5)
 
 
-@query("residential_filter", """SELECT obj_id, CASE WHEN provenance LIKE 'amt%' AND (x2 - x1) * (y2 - y1) BETWEEN 10 AND 30 THEN 1 WHEN provenance LIKE 'amt%' AND (x2 - x1) * (y2 - y1) BETWEEN 5 AND 10 THEN 2 ELSE 0 END AS pass,
-  (x2 - x1) * (y2 - y1) >= 12 AND (eaves IS NULL OR eaves >= 3) AS main FROM footprint WHERE role = 0""")
+@query("residential_filter", f"""SELECT obj_id, CASE WHEN kind LIKE '31001_1%' AND (x2 - x1) * (y2 - y1) BETWEEN 60 AND 300 THEN 1 WHEN (kind LIKE '31001_1%' OR kind LIKE '31001_2%') AND (x2 - x1) * (y2 - y1) BETWEEN 40 AND 800 THEN 2 ELSE 0 END AS pass,
+  {_MAIN} AS main FROM ({_HOUSE})""")
 def _(view):
-    return b.residential(role(view, 0))
-
-
-_REASON = "CASE WHEN provenance = 'erkannt' THEN 'detected' WHEN klasse IN ('baum', 'hecke') THEN 'plant' WHEN eaves > 3 THEN 'too_high' END"
+    return b.residential(_houses(view))
 
 
-@query("counted_inventory", f"SELECT obj_id, {_REASON} IS NULL AS counts, coalesce({_REASON}, 'counts') AS reason FROM footprint WHERE role = 2")
+@query("counted_inventory", f"""
+WITH o AS (SELECT obj_id, klasse, provenance, parcel_id, (x1 + x2) / 2 + CASE WHEN obj_id % 3 = 0 THEN 12 ELSE 0 END AS x, (y1 + y2) / 2 AS y FROM footprint WHERE role = 2),
+i AS (SELECT obj_id, klasse, provenance FROM o JOIN parcel_edge e ON e.parcel_id = o.parcel_id GROUP BY obj_id, klasse, provenance HAVING sum(CASE WHEN {g.ray_crossing('x', 'y', 'ax', 'ay', 'bx', 'by_')} THEN 1 ELSE 0 END) % 2 = 1),
+k AS (SELECT obj_id, CASE WHEN klasse NOT IN ('gartenhaus', 'gewaechshaus', 'carport_garage') THEN 'no_building' WHEN provenance = 'nutzerbestätigt' THEN 'confirmed' WHEN provenance = 'erfasst per Tipp' THEN 'tapped' ELSE 'hint' END AS reason FROM i)
+SELECT obj_id, reason IN ('confirmed', 'tapped') AS counts, reason FROM k""")
 def _(view):
-    return b.counted_inventory(role(view, 2))
+    moved = role(view, 2).withColumn("dx", F.when(F.col("obj_id") % 3 == 0, 12).otherwise(0)).withColumns({"x1": F.col("x1") + F.col("dx"), "x2": F.col("x2") + F.col("dx")})
+    return b.counted_inventory(moved, view("parcel_edge"))
 
 
 @query("referential_check", "SELECT DISTINCT klasse AS key, 'docs' AS missing_in FROM footprint WHERE klasse NOT IN ('pool', 'baum', 'mauer') UNION ALL SELECT 'mauer', 'rules'")
@@ -197,16 +231,23 @@ def _(view):
 
 
 @query("road_offset", """
-WITH s AS (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS share), k AS (SELECT unnest(generate_series(0, 30)) AS k),
-p AS (SELECT parcel_id, seg, share, k, ax + share * (bx - ax) + (k + 0.5) * (by_ - ay) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS x, ay + share * (by_ - ay) - (k + 0.5) * (bx - ax) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS y FROM parcel_edge, s, k WHERE parcel_id % 5 = 0),
-d AS (SELECT parcel_id, seg, share, max(k) - min(k) + 1 AS depth FROM (SELECT p.parcel_id, p.seg, p.share, p.k FROM p JOIN footprint f ON f.role IN (8, 9) AND x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2) GROUP BY parcel_id, seg, share)
-SELECT parcel_id, seg, CAST(median(depth) / 2 AS DOUBLE) AS shift FROM d GROUP BY parcel_id, seg HAVING count(*) >= 2""")
+WITH s AS (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS share), k AS (SELECT unnest(generate_series(1, 30)) * 0.02e0 AS s0),
+p AS (SELECT parcel_id, seg, share, ax + share * (bx - ax) AS mx, ay + share * (by_ - ay) AS my, (by_ - ay) / len AS nx, (ax - bx) / len AS ny FROM (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS len FROM parcel_edge), s WHERE len >= 1),
+b AS (SELECT p.parcel_id, seg, share, greatest(CASE WHEN nx = 0 THEN CASE WHEN mx BETWEEN x1 AND x2 THEN -1e9 ELSE 1e9 END ELSE least((x1 - mx) / nx, (x2 - mx) / nx) END, CASE WHEN ny = 0 THEN CASE WHEN my BETWEEN y1 AND y2 THEN -1e9 ELSE 1e9 END ELSE least((y1 - my) / ny, (y2 - my) / ny) END) AS a,
+  least(CASE WHEN nx = 0 THEN 1e9 ELSE greatest((x1 - mx) / nx, (x2 - mx) / nx) END, CASE WHEN ny = 0 THEN 1e9 ELSE greatest((y1 - my) / ny, (y2 - my) / ny) END) AS z
+  FROM p JOIN footprint f ON f.role IN (8, 9) AND x1 <= greatest(mx, mx + 60 * nx) AND x2 >= least(mx, mx + 60 * nx) AND y1 <= greatest(my, my + 60 * ny) AND y2 >= least(my, my + 60 * ny)),
+r AS (SELECT parcel_id, seg, share, round(a, 6) AS a, least(round(z, 6), 60e0) AS z FROM b WHERE a <= z AND z >= 0),
+e AS (SELECT parcel_id, seg, share, min(s0) AS s0 FROM r, k WHERE s0 BETWEEN a AND z GROUP BY parcel_id, seg, share),
+x AS (SELECT e.parcel_id, e.seg, e.share, e.s0, min(r.z) AS s1 FROM e JOIN r ON r.parcel_id = e.parcel_id AND r.seg = e.seg AND r.share = e.share AND r.z >= e.s0
+  WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.parcel_id = r.parcel_id AND o.seg = r.seg AND o.share = r.share AND o.a <= r.z AND r.z < o.z) GROUP BY e.parcel_id, e.seg, e.share, e.s0),
+m AS (SELECT parcel_id, seg, list_sort(list((CASE WHEN s0 <= 0.04 THEN 0 ELSE s0 END + s1) / 2)) AS mids FROM x GROUP BY parcel_id, seg)
+SELECT q.parcel_id, q.seg, CASE WHEN len(mids) >= 2 THEN round(least(30, greatest(0, mids[CAST(floor(len(mids) / 2) AS INTEGER) + 1])), 6) ELSE 0e0 END AS shift FROM parcel_edge q LEFT JOIN m ON m.parcel_id = q.parcel_id AND m.seg = q.seg""")
 def _(view):
-    return b.road_offset(view("parcel_edge"), role(view, 8, 9))
+    return rounded(b.road_offset(view("parcel_edge"), role(view, 8, 9)), "shift")
 
 
 @query("start_position", """
-WITH c AS (SELECT parcel_id, (cx + 0.5) * 2 AS x, (unnest(generate_series(CAST(floor(y0 / 2) AS BIGINT), CAST(floor((y0 + h) / 2) AS BIGINT))) + 0.5) * 2 AS y FROM (SELECT *, unnest(generate_series(CAST(floor(x0 / 2) AS BIGINT), CAST(floor((x0 + w + skew) / 2) AS BIGINT))) AS cx FROM parcel WHERE parcel_id % 5 = 0)),
+WITH c AS (SELECT parcel_id, (cx + 0.5) * 0.5e0 AS x, (unnest(generate_series(CAST(floor(y0 / 0.5e0) AS BIGINT), CAST(floor((y0 + h) / 0.5e0) AS BIGINT))) + 0.5) * 0.5e0 AS y FROM (SELECT *, unnest(generate_series(CAST(floor(x0 / 0.5e0) AS BIGINT), CAST(floor((x0 + w + skew) / 0.5e0) AS BIGINT))) AS cx FROM parcel)),
 g AS (SELECT c.parcel_id, x, y, round(min(((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))), 6) AS gap FROM c JOIN parcel_edge e ON e.parcel_id = c.parcel_id GROUP BY c.parcel_id, x, y),
 f AS (SELECT * FROM g WHERE gap >= 3 AND NOT EXISTS (SELECT 1 FROM footprint o WHERE o.role IN (0, 2) AND o.parcel_id = g.parcel_id AND x - 1.5 < x2 AND x1 < x + 1.5 AND y - 1.5 < y2 AND y1 < y + 1.5)),
 k AS (SELECT *, row_number() OVER (PARTITION BY parcel_id ORDER BY gap DESC, y, x) AS nth FROM f) SELECT parcel_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, gap FROM k WHERE nth = 1""")
@@ -215,13 +256,13 @@ def _(view):
 
 
 @query("project_verdict", f"""
-WITH {_GAPS}, m AS (SELECT parcel_id, eaves, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM footprint WHERE role = 0 AND {_MAIN}),
+WITH {_GAPS}, m AS (SELECT parcel_id, eaves, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM ({_HOUSE}) WHERE {_MAIN}),
 nb AS (SELECT o.obj_id, max(m.eaves) AS high FROM (SELECT obj_id, parcel_id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM footprint WHERE role = 1) o JOIN m ON o.parcel_id <> m.parcel_id AND sqrt((o.x - m.x) * (o.x - m.x) + (o.y - m.y) * (o.y - m.y)) <= 100 GROUP BY o.obj_id),
 p AS (SELECT f.obj_id, CASE WHEN inside AND distance >= greatest(3, 0.4 * (eaves + (ridge - eaves) / 3)) - 1e-6 THEN 'ok' ELSE 'bad' END AS setback, CASE WHEN ridge <= 5 THEN 'ok' ELSE 'warn' END AS access,
   CASE WHEN high IS NULL THEN NULL WHEN eaves <= high + 1e-9 THEN 'ok' ELSE 'warn' END AS fits, CASE WHEN (x2 - x1) * (y2 - y1) <= 100 THEN 'ok' ELSE 'warn' END AS size FROM footprint f JOIN gap ON gap.obj_id = f.obj_id LEFT JOIN nb ON nb.obj_id = f.obj_id WHERE role = 1)
 SELECT *, CASE WHEN setback = 'bad' THEN 'bad' WHEN access = 'warn' OR fits = 'warn' OR size = 'warn' THEN 'warn' WHEN fits IS NULL THEN 'open' ELSE 'ok' END AS status FROM p""")
 def _(view):
-    return b.project_verdict(role(view, 1), view("parcel_edge"), b.neighbourhood(role(view, 1), role(view, 0)))
+    return b.project_verdict(role(view, 1), view("parcel_edge"), b.neighbourhood(role(view, 1), _houses(view)))
 
 
 def _zones(view):
@@ -284,14 +325,17 @@ def _(view):
 
 
 @query("noise_verdict", f"""
-WITH {_PLACE}, {_RECV}, j AS (SELECT dev.dev, house, CASE area_kind WHEN 'rein' THEN 35.0e0 WHEN 'allgemein' THEN 40.0e0 ELSE 45.0e0 END AS lim,
-  round(lw + 10 * log10(CASE place WHEN 'frei' THEN 2 WHEN 'wand' THEN 4 ELSE 8 END) - 11 - 20 * log10(greatest(r, 0.5)) - CASE WHEN (dev.dev + house) % 4 = 0 THEN 5 ELSE 0 END, 9) AS lp FROM dev JOIN place ON place.dev = dev.dev LEFT JOIN rc ON rc.dev = dev.dev),
+WITH {_PLACE}, {_RECV}, np AS (SELECT dev * 1000000 + house AS pair, house AS target, x AS sx, y AS sy, rx AS tx, ry AS ty FROM rc), {sight_sql('np')},
+j AS (SELECT dev.dev, house, CASE area_kind WHEN 'rein' THEN 35.0e0 WHEN 'allgemein' THEN 40.0e0 ELSE 45.0e0 END AS lim,
+  round(lw + 10 * log10(CASE place WHEN 'frei' THEN 2 WHEN 'wand' THEN 4 ELSE 8 END) - 11 - 20 * log10(greatest(r, 0.5)) - coalesce(s, 0), 9) AS lp FROM dev JOIN place ON place.dev = dev.dev LEFT JOIN rc ON rc.dev = dev.dev LEFT JOIN sv ON sv.pair = rc.dev * 1000000 + rc.house),
 k AS (SELECT *, row_number() OVER (PARTITION BY dev ORDER BY lp DESC NULLS LAST, house) AS nth FROM j)
 SELECT dev, house, lp, lim AS "limit", CASE WHEN lp IS NULL THEN 'warn' WHEN lp > lim THEN 'bad' WHEN lp > lim - 3 THEN 'warn' ELSE 'ok' END AS status FROM k WHERE nth = 1""")
 def _(view):
     dev, houses = _devices(view), role(view, 0)
     recv = d.assumed_receivers(dev, houses)
-    sight = recv.filter("(dev + house) % 4 = 0").select("dev", "house", F.lit(5).alias("screening"))
+    lines = recv.join(dev.select("dev", F.col("x").alias("sx"), F.col("y").alias("sy")), "dev").withColumn("pair", F.col("dev") * 1000000 + F.col("house"))
+    seen = s.line_of_sight(lines.select("pair", F.col("house").alias("target"), "sx", "sy", F.col("rx").alias("tx"), F.col("ry").alias("ty")), houses)
+    sight = lines.select("pair", "dev", "house").join(seen, "pair").select("dev", "house", "screening")
     return d.noise_verdict(dev, recv.select("dev", "house", "r"), d.device_placement(dev, houses), sight)
 
 

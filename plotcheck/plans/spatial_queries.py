@@ -176,18 +176,21 @@ def _(view):
     return rounded(s.collisions(role(view, 1), role(view, 0, 2)), "area")
 
 
-_SIGHT = f"""pairs AS (SELECT a.obj_id * 1000000 + b.obj_id AS pair, a.x AS sx, a.y AS sy, b.x AS tx, b.y AS ty FROM (SELECT obj_id, parcel_id, {CENTRE} FROM footprint WHERE role = 1) a
+_SIGHT = f"""pairs AS (SELECT a.obj_id * 1000000 + b.obj_id AS pair, NULL AS target, a.x AS sx, a.y AS sy, b.x AS tx, b.y AS ty FROM (SELECT obj_id, parcel_id, {CENTRE} FROM footprint WHERE role = 1) a
   JOIN (SELECT obj_id, parcel_id, {CENTRE} FROM footprint WHERE role = 4) b ON a.parcel_id = b.parcel_id)"""
 
 
-@query("line_of_sight", f"""
-WITH {_SIGHT}, e AS (SELECT o.*, f.eaves FROM {_BOX} o JOIN footprint f ON f.obj_id = o.obj_id WHERE o.role = 0 AND f.eaves >= 2),
-m AS (SELECT pair, e.obj_id, bool_or({g.segments_cross(('sx', 'sy', 'tx', 'ty'), ('aax', 'aay', 'abx', 'aby'))}) AS crossed, bool_or({g.point_segment_distance('sx', 'sy', 'aax', 'aay', 'abx', 'aby')} < 0.5) AS leans
-  FROM pairs JOIN e ON least(aax, abx) <= greatest(sx, tx) + 20 AND greatest(aax, abx) >= least(sx, tx) - 20 AND least(aay, aby) <= greatest(sy, ty) + 20 AND greatest(aay, aby) >= least(sy, ty) - 20 GROUP BY pair, e.obj_id),
-b AS (SELECT pair, m.obj_id, crossed, leans FROM m JOIN pairs USING (pair) JOIN footprint f ON f.obj_id = m.obj_id
-  WHERE x1 <= greatest(sx, tx) AND x2 >= least(sx, tx) AND y1 <= greatest(sy, ty) AND y2 >= least(sy, ty)),
-v AS (SELECT pair, bool_or(crossed) AS crossed, bool_or(leans) AS leans FROM b GROUP BY pair)
-SELECT pairs.pair, CASE WHEN crossed AND leans THEN 15 WHEN crossed THEN 5 ELSE 0 END AS screening FROM pairs LEFT JOIN v USING (pair)""")
+def sight_sql(pairs: str) -> str:
+    """(pair, s): the screening that buildings give the lines of the table ``pairs``, where it is not 0."""
+    within = lambda p: f"({p}x > x1 AND {p}x < x2 AND {p}y > y1 AND {p}y < y2)"
+    return f"""se AS (SELECT o.* FROM {_BOX} o JOIN footprint f ON f.obj_id = o.obj_id WHERE o.role = 0 AND (f.eaves IS NULL OR f.eaves >= 2)),
+sm AS (SELECT pair, se.obj_id, bool_or({g.segments_cross(('sx', 'sy', 'tx', 'ty'), ('aax', 'aay', 'abx', 'aby'))}) AS crossed, bool_or({g.point_segment_distance('sx', 'sy', 'aax', 'aay', 'abx', 'aby')} < 3) AS leans
+  FROM {pairs} JOIN se ON least(aax, abx) <= greatest(sx, tx) + 20 AND greatest(aax, abx) >= least(sx, tx) - 20 AND least(aay, aby) <= greatest(sy, ty) + 20 AND greatest(aay, aby) >= least(sy, ty) - 20 GROUP BY pair, se.obj_id),
+sv AS (SELECT sm.pair, max(CASE WHEN crossed OR {within('s')} OR {within('t')} THEN CASE WHEN leans THEN 15 ELSE 5 END ELSE 0 END) AS s FROM sm JOIN {pairs} q ON q.pair = sm.pair JOIN footprint f ON f.obj_id = sm.obj_id
+  WHERE coalesce(target, -1) <> sm.obj_id AND x1 <= greatest(sx, tx) AND x2 >= least(sx, tx) AND y1 <= greatest(sy, ty) AND y2 >= least(sy, ty) GROUP BY sm.pair)"""
+
+
+@query("line_of_sight", f"WITH {_SIGHT}, {sight_sql('pairs')} SELECT pairs.pair, coalesce(s, 0) AS screening FROM pairs LEFT JOIN sv ON sv.pair = pairs.pair")
 def _(view):
     a, b = centres(role(view, 1)), centres(role(view, 4))
     pairs = a.select("parcel_id", F.col("obj_id").alias("i"), F.col("x").alias("sx"), F.col("y").alias("sy")).join(b.select("parcel_id", F.col("obj_id").alias("j"), F.col("x").alias("tx"), F.col("y").alias("ty")), "parcel_id")
@@ -222,7 +225,7 @@ def _(view):
 
 
 @query("sample_raster", f"""
-WITH c AS (SELECT parcel_id, x0 + w / 2 AS x, y0 + h / 2 AS y FROM parcel WHERE parcel_id % 7 = 0), p AS (SELECT DISTINCT {PT} AS pt, x, y FROM laser_point)
+WITH c AS (SELECT parcel_id, x0 + w / 2 AS x, y0 + h / 2 AS y FROM parcel), p AS (SELECT DISTINCT {PT} AS pt, x, y FROM laser_point)
 SELECT c.parcel_id, pt, coalesce(z, 400.0e0) AS z FROM c JOIN p ON sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)) <= 12
 LEFT JOIN terrain_cell t ON t.col = CAST(floor(p.x / 40) AS BIGINT) AND t.row_ = CAST(floor(p.y / 40) AS BIGINT)""")
 def _(view):

@@ -68,12 +68,11 @@ def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """(col, row_, x, y, z) of the cells of an ASCII grid; no-data cells are null."""
     text = spark.read.text(path, wholetext=True)
     head = {k: F.regexp_extract("value", rf"(?i)(?m)^\s*{k}\s+(\S+)", 1).cast("double") for k in ("xllcorner", "yllcorner", "cellsize", "NODATA_value")}
-    t = text.select(*[v.alias(k) for k, v in head.items()], F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda s: s.rlike(r"^\s*[-+0-9.]"))).alias("row_", "line"), F.lit(1).alias("one"))
-    cells = t.select("*", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v"))
     rows = F.regexp_extract("value", r"(?i)nrows\s+(\d+)", 1).cast("int")
-    n = text.select(rows.alias("nrows"))
+    t = text.select(*[v.alias(k) for k, v in head.items()], F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda s: s.rlike(r"^\s*[-+0-9.]"))).alias("row_", "line"), rows.alias("nrows"))
+    cells = t.select("*", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v"))
     z = F.col("v").cast("double")
-    out = cells.crossJoin(n).withColumn("z", F.when(z != F.col("NODATA_value"), z))
+    out = cells.withColumn("z", F.when(z != F.col("NODATA_value"), z))
     return out.select("col", "row_", (F.col("xllcorner") + (F.col("col") + 0.5) * F.col("cellsize")).alias("x"), (F.col("yllcorner") + (F.col("nrows") - F.col("row_") - 0.5) * F.col("cellsize")).alias("y"), "z")
 
 
