@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         links = large.join(low, "u")
         small = links.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = materialize(small.filter("u <> v").distinct(), "edges")
+        e = materialize(small.filter("u <> v").distinct(), "edges", replaces=e)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.count_distinct("u")).first()
         if tuple(now) == before and now[0] == now[2]:
             roots = e.groupBy("u").agg(F.min("v").alias("root"))

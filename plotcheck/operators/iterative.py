@@ -13,8 +13,6 @@ from plotcheck.operators.raster import CELL
 from plotcheck.operators.spatial import box_join, within_distance
 from plotcheck.storage import materialize
 
-ROUNDS = 200
-
 
 def first_come(nodes: DataFrame, beats: DataFrame) -> DataFrame:
     """Ids that a greedy choice in the order of priority keeps: ``beats`` (hi, lo) are conflicts, hi comes first.
@@ -22,16 +20,15 @@ def first_come(nodes: DataFrame, beats: DataFrame) -> DataFrame:
     Each round keeps what nothing undecided beats and drops what that beats; equal to going through all in order.
     """
     open_, lost = materialize(beats.select("hi", "lo").distinct(), "beats"), None
-    for _ in range(ROUNDS):
+    while True:
         won = open_.select(F.col("hi").alias("id")).distinct().join(open_.select(F.col("lo").alias("id")), "id", "left_anti")
         out = materialize(open_.join(won.select(F.col("id").alias("hi")), "hi", "left_semi").select(F.col("lo").alias("id")).distinct(), "lost")
         lost = out if lost is None else lost.unionByName(out)
         # Conflicts of a winner are settled; those of a loser no longer count.
         rest = open_.join(won.select(F.col("id").alias("hi")), "hi", "left_anti").join(out.select(F.col("id").alias("hi")), "hi", "left_anti").join(out.select(F.col("id").alias("lo")), "lo", "left_anti")
-        open_ = materialize(rest.select("hi", "lo"), "beats")
+        open_ = materialize(rest.select("hi", "lo"), "beats", replaces=open_)
         if open_.isEmpty():
             return nodes.join(lost.distinct(), "id", "left_anti")
-    raise RuntimeError(f"greedy choice not settled after {ROUNDS} rounds")
 
 
 def suppress_overlaps(det: DataFrame, share: float = 0.5) -> DataFrame:
@@ -56,14 +53,13 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
     """
     order = [F.desc("iou"), F.desc("det"), F.desc("ref")]
     open_, linked = materialize(pairs.select("det", "ref", "iou"), "pairs"), None
-    for _ in range(ROUNDS):
+    while True:
         a, b = (F.row_number().over(W.partitionBy(k).orderBy(*order)) for k in ("det", "ref"))
         best = materialize(open_.withColumns({"a": a, "b": b}).filter("a = 1 AND b = 1").select("det", "ref", "iou"), "linked")
         linked = best if linked is None else linked.unionByName(best)
-        open_ = materialize(open_.join(best.select("det"), "det", "left_anti").join(best.select("ref"), "ref", "left_anti").select("det", "ref", "iou"), "pairs")
+        open_ = materialize(open_.join(best.select("det"), "det", "left_anti").join(best.select("ref"), "ref", "left_anti").select("det", "ref", "iou"), "pairs", replaces=open_)
         if open_.isEmpty():
             return linked
-    raise RuntimeError(f"matching not settled after {ROUNDS} rounds")
 
 
 def components(cells: DataFrame) -> DataFrame:
@@ -134,7 +130,7 @@ def upslope_area(flow: DataFrame) -> DataFrame:
         more = f.filter("to_col IS NOT NULL").groupBy(F.col("to_col").alias("col"), F.col("to_row").alias("row_")).agg(F.sum("n").alias("more"))
         jump = f.select(F.col("col").alias("to_col"), F.col("row_").alias("to_row"), F.col("to_col").alias("next_col"), F.col("to_row").alias("next_row"))
         moved = f.join(more, CELL, "left").join(jump, ["to_col", "to_row"], "left")
-        f = materialize(moved.select(*CELL, F.col("next_col").alias("to_col"), F.col("next_row").alias("to_row"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "flow")
+        f = materialize(moved.select(*CELL, F.col("next_col").alias("to_col"), F.col("next_row").alias("to_row"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "flow", replaces=f)
     return f.select(*CELL, F.col("n").alias("area"))
 
 

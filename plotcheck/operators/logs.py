@@ -71,16 +71,28 @@ def rate_limit(requests: DataFrame, seconds: int, most: int) -> DataFrame:
     return n.select("client", F.col("w.start").alias("start"), "n", F.greatest(F.col("n") - most, F.lit(0)).alias("refused"))
 
 
-def accept_answers(answers: DataFrame, revocations: DataFrame, grace_h: int = 14) -> DataFrame:
-    """(event_id, status): expired after the end of the link's last day and the grace, revoked, or accepted."""
-    a = answers.join(revocations, "link", "left")
+def accept_answers(answers: DataFrame, revocations: DataFrame, grace_h: int = 14, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(event_id, link, status): expired after the end of the link's last day and the grace, revoked, or accepted.
+
+    A link's first revocation counts, however often it is revoked.
+    """
+    a = answers.join(revocations.groupBy("link").agg(F.min("revoked_at").alias("revoked_at")), "link", "left")
     end = F.date_add("bis", 1).cast("timestamp_ntz") + F.expr(f"INTERVAL {grace_h} HOURS")
     status = F.when(F.col("ts") >= end, "expired").when(F.col("ts") > F.col("revoked_at"), "revoked").otherwise("accepted")
-    return a.select("event_id", "link", status.alias("status"))
+    return a.select("event_id", "link", *keep, status.alias("status"))
+
+
+def answer_counts() -> list[Column]:
+    return [F.count("*").alias("n"), F.count_if(F.col("antwort") == "passt").alias("fits"), F.min("ts").alias("first"), F.max("ts").alias("last")]
 
 
 def answers_by_link(answers: DataFrame) -> DataFrame:
-    return answers.groupBy("link").agg(F.count("*").alias("n"), F.count_if(F.col("antwort") == "passt").alias("fits"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return answers.groupBy("link").agg(*answer_counts())
+
+
+def sum_days(days: DataFrame) -> DataFrame:
+    """Counts of each link from those of its days."""
+    return days.groupBy("link").agg(F.sum("n").alias("n"), F.sum("fits").alias("fits"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def retention(answers: DataFrame, now: str, days: int = 400) -> DataFrame:
@@ -92,20 +104,31 @@ def revoke_and_purge(answers: DataFrame, revocations: DataFrame) -> DataFrame:
     return answers.join(revocations.groupBy("link").agg(F.min("revoked_at").alias("at")), "link", "left_anti")
 
 
+def windows_around(requests: DataFrame, *keep: str) -> DataFrame:
+    """(client, wx, wy, far) of the nine windows round each request's."""
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    return requests.withColumn("s", step).select("client", (F.col("wx") + F.col("s.i")).alias("wx"), (F.col("wy") + F.col("s.j")).alias("wy"), F.expr("abs(s.i) + abs(s.j)").alias("far"), *keep)
+
+
 def prepare_windows(requests: DataFrame, ready: DataFrame) -> DataFrame:
     """Windows (wx, wy) round each request's, without those ready, each once, nearest first for each client."""
-    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    w = requests.withColumn("s", step).select("client", (F.col("wx") + F.col("s.i")).alias("wx"), (F.col("wy") + F.col("s.j")).alias("wy"), F.expr("abs(s.i) + abs(s.j)").alias("far"))
-    w = w.groupBy("client", "wx", "wy").agg(F.min("far").alias("far")).join(ready, ["wx", "wy"], "left_anti")
+    w = windows_around(requests).groupBy("client", "wx", "wy").agg(F.min("far").alias("far")).join(ready, ["wx", "wy"], "left_anti")
     return w.withColumn("place", F.row_number().over(W.partitionBy("client").orderBy("far", "wx", "wy")))
 
 
+def activity(events: DataFrame, kind: str) -> DataFrame:
+    """(kind, key, start, n): counts of each action in tumbling or sliding hours, or of each client in sessions of a quarter hour of quiet."""
+    if kind == "session":
+        key, window = F.col("client").cast("string"), F.session_window("ts", "15 minutes")
+    else:
+        key, window = F.col("action"), F.window("ts", "1 hour") if kind == "tumbling" else F.window("ts", "2 hours", "1 hour")
+    n = events.groupBy(window.alias("w"), key.alias("key")).agg(F.count("*").alias("n"))
+    return n.select(F.lit(kind).alias("kind"), "key", F.col("w.start").alias("start"), "n")
+
+
 def activity_windows(events: DataFrame) -> DataFrame:
-    """Counts of each action in tumbling hours and in sessions of a quarter hour of quiet for each client."""
-    t = events.groupBy(F.window("ts", "1 hour").alias("w"), "action").agg(F.count("*").alias("n")).select(F.lit("tumbling").alias("kind"), F.col("action").alias("key"), F.col("w.start").alias("start"), "n")
-    s = events.groupBy(F.window("ts", "2 hours", "1 hour").alias("w"), "action").agg(F.count("*").alias("n")).select(F.lit("sliding").alias("kind"), F.col("action").alias("key"), F.col("w.start").alias("start"), "n")
-    u = events.groupBy(F.session_window("ts", "15 minutes").alias("w"), F.col("client").cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit("session").alias("kind"), "key", F.col("w.start").alias("start"), "n")
-    return t.unionByName(s).unionByName(u)
+    """All three kinds of ``activity``."""
+    return activity(events, "tumbling").unionByName(activity(events, "sliding")).unionByName(activity(events, "session"))
 
 
 def fresh_contributions(log: DataFrame, done: DataFrame) -> DataFrame:

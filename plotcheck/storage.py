@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where it is unset (tests) a fresh temporary one."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; without one there is no place that all machines see."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named
+
 
+def materialize(df: DataFrame, label: str = "cut", replaces: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
 
-def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    ``replaces`` is a table of an earlier round that nothing reads any more; it is deleted once the new one is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    old = getattr(replaces, "written_at", None)
+    if old:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out

@@ -15,12 +15,12 @@ def log_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def ingest_contributions(spark: SparkSession, source: str, accepted: str, refused: str, checkpoint: str) -> StreamingQuery:
-    """Append clean contributions to a log and the others with their reason beside it."""
+    """Clean contributions to a log and the others with their reason beside it; a batch that runs again writes its own folder anew."""
 
     def both(batch: DataFrame, batch_id: int) -> None:
         ok, bad = logs.clean_contribution(batch)
-        ok.withColumn("batch", F.lit(batch_id)).write.mode("append").json(accepted)
-        bad.withColumn("batch", F.lit(batch_id)).write.mode("append").json(refused)
+        ok.write.mode("overwrite").json(f"{accepted}/batch={batch_id}")
+        bad.write.mode("overwrite").json(f"{refused}/batch={batch_id}")
 
     stream = spark.readStream.schema(LOG).json(source)
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -31,33 +31,66 @@ def dedupe_contributions(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
 
 
+def _without(log: DataFrame, asked: str, schema: str, batch_id: int, key: str) -> DataFrame:
+    """``log`` without the keys of all batches up to this one, each of which has its own folder under ``asked``."""
+    gone = log.sparkSession.read.schema(f"{schema}, batch long").json(asked).filter(F.col("batch") <= batch_id)
+    return log.join(gone.select(key).distinct(), key, "left_anti")
+
+
 def erase_requests(stream: DataFrame, spark: SparkSession, log: str, schema: str, target: str, checkpoint: str) -> StreamingQuery:
-    """For each batch of erase requests (id) write the log without those ids."""
+    """For each batch of erase requests (id) write the log, as it is then, without the ids of this and all batches before to ``target``/kept/<batch>.
+
+    The requests are kept under ``target``/asked; a batch that runs again writes the same.
+    """
 
     def rewrite(batch: DataFrame, batch_id: int) -> None:
-        kept = spark.read.schema(schema).json(log).join(batch.select("id").distinct(), "id", "left_anti")
-        kept.write.mode("overwrite").json(f"{target}/{batch_id}")
+        batch.select("id").distinct().write.mode("overwrite").json(f"{target}/asked/batch={batch_id}")
+        kept = _without(spark.read.schema(schema).json(log), f"{target}/asked", "id string", batch_id, "id")
+        kept.write.mode("overwrite").json(f"{target}/kept/{batch_id}")
 
     return stream.writeStream.foreachBatch(rewrite).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def revoke_and_purge(stream: DataFrame, spark: SparkSession, answers: str, schema: str, target: str, checkpoint: str) -> StreamingQuery:
+    """For each batch of revocations (link) write the answers without those of links revoked so far to ``target``/kept/<batch>."""
+
+    def rewrite(batch: DataFrame, batch_id: int) -> None:
+        batch.select("link").distinct().write.mode("overwrite").json(f"{target}/asked/batch={batch_id}")
+        kept = _without(spark.read.schema(schema).json(answers), f"{target}/asked", "link long", batch_id, "link")
+        kept.write.mode("overwrite").json(f"{target}/kept/{batch_id}")
+
+    return stream.writeStream.foreachBatch(rewrite).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def retention(stream: DataFrame, now: str, days: int = 400) -> DataFrame:
+    """Answers not older than ``days`` at the time ``now``; keeps no state."""
+    return logs.retention(stream, now, days)
+
+
+def prepare_windows(stream: DataFrame, ready: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """(client, wx, wy, far, ts): windows round each request (client, wx, wy, ts) that are not ready, each once for a client within ``delay``."""
+    wanted = logs.windows_around(stream.withWatermark("ts", delay), "ts").join(ready, ["wx", "wy"], "left_anti")
+    return wanted.dropDuplicatesWithinWatermark(["client", "wx", "wy"])
+
+
 def rate_limit(stream: DataFrame, seconds: int = 60, most: int = 30, delay: str = "1 minute") -> DataFrame:
     return logs.rate_limit(stream.withWatermark("ts", delay), seconds, most)
 
 
 def accept_answers(stream: DataFrame, revocations: DataFrame, delay: str = "14 hours") -> DataFrame:
-    """Answers against the static revocations; those later than the watermark are late data to what follows."""
-    return logs.accept_answers(stream, revocations)
+    """Answers (with ts) against the static revocations; those later than the watermark are late data to what follows."""
+    return logs.accept_answers(stream.withWatermark("ts", delay), revocations, keep=("ts",))
 
 
-def answers_by_link(stream: DataFrame) -> DataFrame:
-    return logs.answers_by_link(stream)
+def answers_by_link(stream: DataFrame, delay: str = "14 hours") -> DataFrame:
+    """Counts of each link and day; days that the watermark has passed leave the state. ``logs.sum_days`` gives those of a link."""
+    day = stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), "link")
+    return day.agg(*logs.answer_counts()).select("link", F.col("w.start").alias("day"), "n", "fits", "first", "last")
 
 
-def activity(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Tumbling counts of each action."""
-    w = stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "action").agg(F.count("*").alias("n"))
-    return w.select("action", F.col("window.start").alias("start"), "n")
+def activity(stream: DataFrame, kind: str = "tumbling", delay: str = "1 hour") -> DataFrame:
+    """Counts of each action in tumbling hours, or in sliding ones, or of each client in sessions: as ``logs.activity_windows``."""
+    return logs.activity(stream.withWatermark("ts", delay), kind)
 
 
 def to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

@@ -19,16 +19,20 @@ def one(spark, expr, **columns):
     return spark.createDataFrame([tuple(columns.values())], list(columns)).select(expr.alias("v")).first().v
 
 
-@pytest.mark.parametrize(("height", "ok"), [(3.0, True), (3.05, False), (None, None)])
-def test_boundary_height(spark, height, ok):
-    df = spark.createDataFrame([(height, height, 30.0)], "eaves double, ridge double, pitch double")
+@pytest.mark.parametrize(("mean", "ok"), [(3.0, True), (3.05, False), (None, None)])
+def test_boundary_height(spark, mean, ok):
+    df = spark.createDataFrame([("eave", mean, 0.0, 30.0)], "kind string, mean double, rise double, pitch double")
     assert building.boundary_wall_height(df).first().privileged is ok
 
 
-@pytest.mark.parametrize(("pitch", "h"), [(45.0, 3.0), (50.0, 4.0)])
-def test_roof_counts_above_45(spark, pitch, h):
-    df = spark.createDataFrame([(3.0, 6.0, pitch)], "eaves double, ridge double, pitch double")
-    assert building.boundary_wall_height(df).first().height == h
+@pytest.mark.parametrize(
+    ("kind", "pitch", "h", "open_"),
+    [("eave", 45.0, 3.0, False), ("eave", 50.0, 4.0, False), ("eave", 71.0, 6.0, False), ("gable", 45.0, 3.0, False), ("gable", 50.0, 4.5, True), ("gable", 71.0, 6.0, True)],
+)
+def test_roof_counts_above_45(spark, kind, pitch, h, open_):
+    df = spark.createDataFrame([(kind, 3.0, 3.0, pitch)], "kind string, mean double, rise double, pitch double")
+    got = building.boundary_wall_height(df).first()
+    assert got.height == pytest.approx(h) and got.open is open_
 
 
 @pytest.mark.parametrize(("eaves", "pitch", "depth"), [(7.5, 30.0, 3.0), (7.6, 30.0, 3.04), (3.0, 71.0, 3.0)])
@@ -51,11 +55,56 @@ def test_side_contact(spark, gap, side):
     assert [r.side for r in spatial.side_contact(obj, spatial.ring_edges(ring)).collect()] == [side]
 
 
-@pytest.mark.parametrize(("height", "y", "status"), [(2.0, 0.5, "ok"), (2.0, 0.4, "warn"), (2.0, 0.39, "bad"), (2.01, 2.0, "ok"), (2.01, 0.5, "bad")])
-def test_plants(spark, height, y, status):
-    edges = spark.createDataFrame([(1, 1, 0.0, 0.0, 40.0, 0.0)], "parcel_id long, side int, ax double, ay double, bx double, by_ double")
+@pytest.mark.parametrize(
+    ("height", "y", "side", "status", "most"),
+    [
+        (2.0, 0.61, (False, None, False), "ok", 2.0),
+        (2.0, 0.6, (False, None, False), "ok", 2.0),
+        (2.0, 0.59, (False, None, False), "warn", 2.0),
+        (2.0, 0.5, (False, None, False), "warn", 2.0),
+        (2.0, 0.49, (False, None, False), "bad", 0.0),
+        (2.01, 2.0, (False, None, False), "warn", None),
+        (2.01, 1.99, (False, None, False), "bad", 2.0),
+        (5.0, 0.7, (False, None, True), "ok", None),
+        (1.8, 0.1, (False, 1.8, False), "ok", 1.8),
+        (1.9, 0.1, (False, 1.8, False), "bad", 1.8),
+        (9.0, 0.1, (True, None, False), "ok", None),
+        (1.0, -0.5, (False, None, False), "bad", 0.0),
+    ],
+)
+def test_plants(spark, height, y, side, status, most):
+    ring = [(0.0, 0.0), (40.0, 0.0), (40.0, 40.0), (0.0, 40.0)]
+    edges = spark.createDataFrame([(1, i, *ring[i], *ring[(i + 1) % 4]) for i in range(4)], "parcel_id long, side int, ax double, ay double, bx double, by_ double")
+    sides = spark.createDataFrame([(1, 0, *side)], "parcel_id long, side int, road boolean, fence double, forest boolean")
     plants = spark.createDataFrame([(1, 3, 20.0, y, height)], "parcel_id long, obj_id long, x double, y double, height double")
-    assert devices.plant_verdict(plants, edges).first().status == status
+    got = devices.plant_verdict(plants, edges, sides).first()
+    assert got.status == status
+    if side[1] is None or height <= side[1]:
+        assert got.max_height == most
+
+
+@pytest.mark.parametrize(
+    ("road", "shift"),
+    [((0.0, -6.0, 40.0, 0.0), 3.0), ((0.0, -6.5, 40.0, -0.5), 3.5), ((0.0, -6.0, 40.0, -0.7), 0.0), ((0.0, -90.0, 40.0, 0.0), 30.0), ((0.0, -6.0, 12.0, 0.0), 0.0), ((0.0, -6.0, 22.0, 0.0), 3.0)],
+)
+def test_road_offset(spark, road, shift):
+    edges = spark.createDataFrame([(1, 0, 0.0, 0.0, 40.0, 0.0)], "parcel_id long, seg int, ax double, ay double, bx double, by_ double")
+    roads = spark.createDataFrame([(1, *road)], "obj_id long, x1 double, y1 double, x2 double, y2 double")
+    assert building.road_offset(edges, roads).first()["shift"] == pytest.approx(shift)
+
+
+@pytest.mark.parametrize(("source", "db"), [((0.0, 5.0), 5), ((7.5, 5.0), 15), ((10.5, 5.0), 15), ((0.0, 20.0), 0)])
+def test_line_of_sight(spark, source, db):
+    pairs = spark.createDataFrame([(1, 8, *source, 40.0, source[1])], "pair long, target long, sx double, sy double, tx double, ty double")
+    houses = spark.createDataFrame([(7, 10.0, 2.0, 14.0, 8.0, None), (8, 20.0, 2.0, 24.0, 8.0, 9.0), (9, 30.0, 2.0, 34.0, 8.0, 1.9)], "obj_id long, x1 double, y1 double, x2 double, y2 double, eaves double")
+    assert spatial.line_of_sight(pairs, houses).first().screening == db
+
+
+def test_upslope_area_of_a_long_path(spark):
+    """700 cells in a row: more than any fixed number of rounds, and a side arm."""
+    rows = [(i, 0, i + 1 if i < 699 else None, 0 if i < 699 else None) for i in range(700)] + [(5, 1, 5, 0)]
+    area = {(r.col, r.row_): r.area for r in it.upslope_area(spark.createDataFrame(rows, "col long, row_ long, to_col long, to_row long")).collect()}
+    assert area == {(i, 0): i + 1 + (i >= 5) for i in range(700)} | {(5, 1): 1}
 
 
 @pytest.mark.parametrize(("ratio", "building_", "shape"), [(0.55, False, "outline"), (0.60, True, "rectangle"), (0.60, False, "outline"), (0.65, False, "rectangle"), (0.54, True, "outline")])
@@ -169,6 +218,8 @@ def test_ascii_grid(spark, tmp_path):
     (tmp_path / "g.asc").write_text("ncols 3\nnrows 2\nxllcorner 100\nyllcorner 200\ncellsize 5\nNODATA_value -9999\n1 2 3\n4 -9999 6\n")
     got = {(r.col, r.row_): (r.x, r.y, r.z) for r in files.read_ascii_grid(spark, str(tmp_path / "g.asc")).collect()}
     assert got[0, 0] == (102.5, 207.5, 1.0) and got[2, 1] == (112.5, 202.5, 6.0) and got[1, 1][2] is None and len(got) == 6
+    (tmp_path / "h.asc").write_text("ncols 1\nnrows 1\nxllcorner 0\nyllcorner 0\ncellsize 5\nNODATA_value -9999\n7\n")
+    assert files.read_ascii_grid(spark, str(tmp_path / "*.asc")).count() == 7
 
 
 def test_csv_with_mark(spark, tmp_path):
@@ -186,12 +237,22 @@ def test_streams_equal_their_twins(spark, tmp_path):
     df.repartition(3).write.json(str(tmp_path / "in"))
     stream = jobs.log_stream(spark, str(tmp_path / "in"), df.schema.simpleString()[7:-1].replace(":", " "))
     jobs.to_table(jobs.answers_by_link(stream), "by_link", str(tmp_path / "c1"), "complete").awaitTermination()
-    assert sorted(map(tuple, spark.table("by_link").collect())) == sorted(map(tuple, logs.answers_by_link(df).collect()))
+    assert sorted(map(tuple, logs.sum_days(spark.table("by_link")).collect())) == sorted(map(tuple, logs.answers_by_link(df).collect()))
     jobs.to_table(jobs.rate_limit(stream, 300, 2), "limited", str(tmp_path / "c2"), "complete").awaitTermination()
     assert sorted(map(tuple, spark.table("limited").collect())) == sorted(map(tuple, logs.rate_limit(df, 300, 2).collect()))
-    jobs.to_table(jobs.activity(stream), "active", str(tmp_path / "c3"), "complete").awaitTermination()
-    twin = logs.activity_windows(df).filter("kind = 'tumbling'").select("key", "start", "n")
-    assert sorted(map(tuple, spark.table("active").collect())) == sorted(map(tuple, twin.collect()))
+    for kind in ("tumbling", "sliding", "session"):
+        jobs.to_table(jobs.activity(stream, kind), f"active_{kind}", str(tmp_path / f"c3{kind}"), "complete").awaitTermination()
+        twin = logs.activity_windows(df).filter(F.col("kind") == kind)
+        assert sorted(map(tuple, spark.table(f"active_{kind}").collect())) == sorted(map(tuple, twin.collect()))
+    asked = jobs.log_stream(spark, str(tmp_path / "in"), "client long, event_id long, ts timestamp").selectExpr("client", "event_id % 4 AS wx", "0L AS wy", "ts")
+    ready = spark.createDataFrame([(1, 0)], "wx long, wy long")
+    jobs.to_table(jobs.prepare_windows(asked, ready), "windows", str(tmp_path / "c5")).awaitTermination()
+    twin = logs.prepare_windows(df.selectExpr("client", "event_id % 4 AS wx", "0L AS wy"), ready)
+    got = spark.table("windows").select("client", "wx", "wy").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, twin.select("client", "wx", "wy").collect()))
+    kept = jobs.retention(jobs.log_stream(spark, str(tmp_path / "in"), "event_id long, ts timestamp").withColumn("ts", F.col("ts").cast("timestamp_ntz")), "2024-01-01 00:10:00", 0)
+    jobs.to_table(kept, "kept", str(tmp_path / "c6")).awaitTermination()
+    assert {r.event_id for r in spark.table("kept").collect()} == {i for i in range(60) if 40 * i >= 600}
     doubled = jobs.log_stream(spark, str(tmp_path / "in"), "client long, ts timestamp").selectExpr("CAST(client AS STRING) AS id", "ts")
     jobs.to_table(jobs.dedupe_contributions(doubled), "once", str(tmp_path / "c4")).awaitTermination()
     assert sorted(r.id for r in spark.table("once").collect()) == ["0", "1", "2"]
@@ -208,7 +269,31 @@ def test_ingest_and_erase(spark, tmp_path):
     (tmp_path / "erase").mkdir()
     (tmp_path / "erase" / "e.json").write_text('{"id":"a"}')
     jobs.erase_requests(jobs.log_stream(spark, p["erase"], "id string"), spark, p["ok"], files.LOG, p["new"], p["c2"]).awaitTermination()
-    assert spark.read.schema(files.LOG).json(p["new"] + "/0").count() == 0
+    assert spark.read.schema(files.LOG).json(p["new"] + "/kept/0").count() == 0
+    # Erased ids stay erased in later batches, and what arrived meanwhile is there.
+    (tmp_path / "in" / "y.json").write_text("\n".join(good.replace('"a"', f'"{k}"') for k in "de"))
+    jobs.ingest_contributions(spark, p["in"], p["ok"], p["bad"], p["c1"]).awaitTermination()
+    (tmp_path / "erase" / "f.json").write_text('{"id":"d"}')
+    jobs.erase_requests(jobs.log_stream(spark, p["erase"], "id string"), spark, p["ok"], files.LOG, p["new"], p["c2"]).awaitTermination()
+    assert [r.id for r in spark.read.schema(files.LOG).json(p["new"] + "/kept/1").collect()] == ["e"]
+
+
+def test_answers_and_revocations(spark, tmp_path):
+    rows = [(i, i % 3, 1_704_067_200 + 3600 * i) for i in range(12)]
+    df = spark.createDataFrame(rows, "event_id long, link long, s long").selectExpr("event_id", "link", "CAST(timestamp_seconds(s) AS TIMESTAMP_NTZ) AS ts", "date'2024-01-01' AS bis")
+    df.write.json(str(tmp_path / "in"))
+    twice = spark.createDataFrame([(1, "2024-01-01 05:00:00"), (1, "2024-01-01 09:00:00")], "link long, at string").selectExpr("link", "CAST(at AS TIMESTAMP_NTZ) AS revoked_at")
+    batch = {r.event_id: r.status for r in logs.accept_answers(df, twice).collect()}
+    assert len(batch) == 12 and batch == {i: "revoked" if i % 3 == 1 and i > 5 else "accepted" for i in range(12)}
+    stream = jobs.log_stream(spark, str(tmp_path / "in"), "event_id long, link long, ts timestamp, bis date")
+    jobs.to_table(jobs.accept_answers(stream, twice), "answered", str(tmp_path / "c1")).awaitTermination()
+    assert {r.event_id: r.status for r in spark.table("answered").collect()} == batch
+    (tmp_path / "rev").mkdir()
+    for n, link in enumerate((1, 2)):
+        (tmp_path / "rev" / f"{n}.json").write_text(f'{{"link":{link}}}')
+        jobs.revoke_and_purge(jobs.log_stream(spark, str(tmp_path / "rev"), "link long"), spark, str(tmp_path / "in"), "event_id long, link long", str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
+    assert {r.link for r in spark.read.json(str(tmp_path / "out" / "kept" / "0")).collect()} == {0, 2}
+    assert {r.link for r in spark.read.json(str(tmp_path / "out" / "kept" / "1")).collect()} == {0}
 
 
 RING = [(0.0, 0.0), (30.0, 0.0), (33.0, 25.0), (0.0, 25.0)]

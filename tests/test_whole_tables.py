@@ -1,41 +1,15 @@
-"""Queries work on all parcels and points, at the survey's grid steps, whatever smaller part their registered SQL has."""
+"""Queries without SQL work on all parcels and points, at the survey's grid steps."""
 
 import math
-import re
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
-from test_queries import QUERIES, SF, SQL, plain
+from test_queries import QUERIES, SF
 
 from plotcheck.operators.rules import devices
 from plotcheck.plans import fixtures
 
 
-@pytest.fixture(scope="module")
-def con():
-    c = duckdb.connect()
-    c.execute("SET TimeZone='UTC'")
-    for t in fixtures.BASE:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return c
-
-
-def whole(name, step):
-    """The registered SQL over all parcels, at another grid step."""
-    sql, n = re.subn(r"parcel_id % [57] = 0", "true", SQL[name])
-    assert n == 1
-    return sql if step is None else re.sub(r"\) \* 2\b", f") * {step}", re.sub(r"/ 2\)", f"/ {step})", sql))
-
-
-@pytest.mark.parametrize(("name", "step"), [("envelope", 0.5), ("envelope_breaches", 0.5), ("start_position", 0.5), ("plant_zones", None), ("road_offset", None), ("sample_raster", None)])
-def test_all_parcels(spark, con, name, step):
-    df = QUERIES[name](spark, SF)
-    columns = sorted(df.columns)
-    out = con.execute(f"SELECT {', '.join(columns)} FROM ({whole(name, step)})").fetchall()
-    assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(map(plain, r)) for r in out)
-
-
 def test_zones_and_fit_cover_all_parcels(spark):
     zones = QUERIES["placement_zones"](spark, SF)
     parcels = {r.parcel_id for r in fixtures.view(spark, SF, "parcel").collect()}
