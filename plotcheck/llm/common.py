@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: So that memory that a Python worker frees goes back to the machine, not to the worker's own store.
+LEAN = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers that start from now on hand freed memory back: jobs of many steps share executors with the JVM's heap."""
+    spark.sparkContext.environment.update(LEAN)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
