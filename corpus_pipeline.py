@@ -40,7 +40,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 1024 ids."""
     lean_workers(spark)
-    return packing.best_fit_pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "space", 1024, 2)
+    return packing.best_fit_pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "space", 1024, 2, cached=60_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

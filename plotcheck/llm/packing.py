@@ -14,21 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotcheck.llm.common import slices
-from plotcheck.llm.tokens import encoder
+from plotcheck.llm.tokens import CACHED, encoder
 from plotcheck.storage import materialize
 
 #: Pieces that one task packs together, about.
 GROUP = 20_000
 
 
-def pieces(docs: DataFrame, path: str, split: str, length: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, split: str, length: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids with ``end_id`` appended, cut only where longer than ``length``.
 
     The first piece takes what is not a multiple of ``length``. Null and empty texts have the end id alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path, split), end_id.to_bytes(4, "little")
+        enc, end = encoder(path, split, cached), end_id.to_bytes(4, "little")
         for batch in slices(batches, "text"):
             rows, piece, start, size, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -209,15 +209,15 @@ def _place(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield from out.combine_chunks().to_batches()
 
 
-def best_fit_pack(docs: DataFrame, path: str, split: str = "space", length: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_pack(docs: DataFrame, path: str, split: str = "space", length: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED) -> DataFrame:
     """Every piece of every document with its sequence and place.
 
     A piece that fills a sequence stands alone, with a negative number, and is never shuffled. The others are dealt
     evenly to groups of about GROUP, each packed by one task: the loss against packing all together is under a
     sequence for each group. A sequence has no gap. Rows that repeat an id, or have none, are documents of their own.
-    An empty table gives no rows.
+    An empty table gives no rows. ``cached`` words are kept with their ids in each Python worker.
     """
-    cut = materialize(pieces(docs, path, split, length, end_id, id_col, text_col), "pieces")
+    cut = materialize(pieces(docs, path, split, length, end_id, id_col, text_col, cached), "pieces")
     short = F.col("length") < length
     groups = max(1, round(cut.filter(short).count() / GROUP))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

@@ -9,14 +9,14 @@ import struct
 
 import regex
 
-#: Words, and pieces of the tokenizer's own splitting, kept with their ids in a worker; others are encoded each time.
-CACHED, CACHED_PIECES = 300_000, 800_000
+#: Words kept with their ids in a worker, and pieces of the tokenizer's own splitting for each of them; others are encoded each time.
+CACHED, PIECES_EACH = 300_000, 8 / 3
 #: Longer stretches without white space are not kept.
 LONGEST = 64
 #: How a byte-level pre-tokenizer without a pattern of its own splits (fixed value, public).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str, int], Encoder] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -29,14 +29,14 @@ def _byte_letters() -> dict[int, str]:
 class _Pieces(dict):
     """Ids of pieces, as little-endian uint32 bytes."""
 
-    def __init__(self, tokenize) -> None:  # noqa: ANN001
+    def __init__(self, tokenize, cached: int) -> None:  # noqa: ANN001
         super().__init__()
-        self.tokenize, self.letters = tokenize, _byte_letters()
+        self.tokenize, self.letters, self.cached = tokenize, _byte_letters(), cached
 
     def __missing__(self, piece: str) -> bytes:
         tokens = self.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         out = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        if len(self) < CACHED_PIECES and len(piece) <= LONGEST:
+        if len(self) < self.cached and len(piece) <= LONGEST:
             self[piece] = out
         return out
 
@@ -48,21 +48,22 @@ class Encoder(dict):
     "space": before a single space or line feed between other characters (white space is kept in the ids);
     "word": at spaces and line feeds, which leave no ids (text is composed and lower-cased before);
     "none": nowhere, each text goes through the tokenizer whole. Tests hold all against whole encoding.
+    ``cached`` words are kept: about 700 bytes each with their pieces. It changes time and memory only.
     """
 
-    def __init__(self, path: str, split: str) -> None:
+    def __init__(self, path: str, split: str, cached: int = CACHED) -> None:
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = split
+        self.split, self.cached = split, cached
         self.normalize = self.tokenizer.normalizer and self.tokenizer.normalizer.normalize_str
         steps = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
         own = [s["pattern"]["Regex"] for s in (steps or {}).get("pretokenizers", [steps or {}]) if "pattern" in s]
         self.findall = regex.compile(own[0] if own else BYTE_LEVEL).findall
-        self.pieces = _Pieces(self.tokenizer.model.tokenize)
+        self.pieces = _Pieces(self.tokenizer.model.tokenize, int(cached * PIECES_EACH))
         self.odd = re.compile(r"\s\s|\s\Z|[\x00\x1c-\x1f]").search
         self.control = re.compile(r"[\x1c-\x1f]").search
         self.cuts = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -85,7 +86,7 @@ class Encoder(dict):
             out = self.whole(part)
         else:
             out = b"".join([pieces[p] for p in self.findall(text)])
-        if len(self) < CACHED and len(part) <= LONGEST:
+        if len(self) < self.cached and len(part) <= LONGEST:
             self[part] = out
         return out
 
@@ -101,8 +102,8 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, parts))
 
 
-def encoder(path: str, split: str) -> Encoder:
+def encoder(path: str, split: str, cached: int = CACHED) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    if (path, split) not in _ENCODERS:
-        _ENCODERS[path, split] = Encoder(path, split)
-    return _ENCODERS[path, split]
+    if (path, split, cached) not in _ENCODERS:
+        _ENCODERS[path, split, cached] = Encoder(path, split, cached)
+    return _ENCODERS[path, split, cached]
