@@ -77,12 +77,16 @@ def as_outline(edges: DataFrame, *keys: str) -> DataFrame:
     return edges.select(*keys, F.col("ax").alias("aax"), F.col("ay").alias("aay"), F.col("bx").alias("abx"), F.col("by_").alias("aby"))
 
 
-def side_occupancy(objects: DataFrame, edges: DataFrame, reach: float = 3.0, side_limit: float = 9.0, total_limit: float = 15.0) -> DataFrame:
-    """Build-up of each parcel's boundary: objects nearer than ``reach`` count with their extent along the side; with both limits."""
+def side_lengths(objects: DataFrame, edges: DataFrame, reach: float = 3.0) -> DataFrame:
+    """(parcel_id, seg, side): metres of each side of a parcel along which its objects nearer than ``reach`` stand; sides without any have no row."""
     length = projected_length(box_corners(objects, "parcel_id", "obj_id"), edges)
     near = polygon_distance(as_outline(box_edges(objects, "parcel_id", "obj_id"), "parcel_id", "obj_id"), edges, "parcel_id", ("parcel_id", "obj_id", "seg")).filter(F.col("distance") < reach)
-    sides = length.join(near, ["parcel_id", "obj_id", "seg"]).groupBy("parcel_id", "seg").agg(F.sum("length").alias("side"))
-    out = sides.groupBy("parcel_id").agg(F.max("side").alias("longest_side"), F.sum("side").alias("total"))
+    return length.join(near, ["parcel_id", "obj_id", "seg"]).groupBy("parcel_id", "seg").agg(F.sum("length").alias("side"))
+
+
+def side_occupancy(objects: DataFrame, edges: DataFrame, reach: float = 3.0, side_limit: float = 9.0, total_limit: float = 15.0) -> DataFrame:
+    """Build-up of each parcel's boundary: objects nearer than ``reach`` count with their extent along the side; with both limits."""
+    out = side_lengths(objects, edges, reach).groupBy("parcel_id").agg(F.max("side").alias("longest_side"), F.sum("side").alias("total"))
     ok = (F.col("longest_side") <= side_limit + 1e-9) & (F.col("total") <= total_limit + 1e-9)
     return out.withColumn("status", F.when(ok, "ok").otherwise("bad"))
 

@@ -267,7 +267,9 @@ def _(view):
 
 def _zones(view):
     products = view("region").sparkSession.createDataFrame([("haus", 4.0, 3.0), ("carport", 6.0, 3.0)], "product string, w double, d double")
-    return b.placement_zones(view("parcel"), view("parcel_edge"), role(view, 0, 2), products, COARSE, COARSE / 4)
+    edges = view("parcel_edge")
+    built = edges.join(s.side_lengths(role(view, 2), edges).withColumnRenamed("side", "used"), ["parcel_id", "seg"], "left")
+    return b.placement_zones(view("parcel"), built, role(view, 0, 2), products, COARSE, COARSE / 4)
 
 
 @query("placement_zones")

@@ -330,30 +330,77 @@ def test_setback_check_equals_clipping(spark):
         assert got[i][1] == ("bad" if outside > 0.05 else "ok")
 
 
+def clipped_area(poly, box):
+    """Area of a convex polygon within an upright box, by cutting it side by side."""
+    for axis, sign, limit in ((0, 1, box[0]), (1, 1, box[1]), (0, -1, box[2]), (1, -1, box[3])):
+        kept = []
+        for p, q in zip(poly, poly[1:] + poly[:1], strict=True):
+            a, b = sign * (p[axis] - limit), sign * (q[axis] - limit)
+            if a >= 0:
+                kept.append(p)
+            if a * b < 0:
+                kept.append(tuple(u + (v - u) * a / (a - b) for u, v in zip(p, q, strict=True)))
+        poly = kept
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(poly, poly[1:] + poly[:1], strict=True))) / 2
+
+
 def test_placement_zones_equal_single_checks(spark):
+    import math
+
     flat, edges = parcel(spark)
+    edges = edges.withColumn("used", F.when(F.col("seg") == 0, 5.5).when(F.col("seg") == 1, 0.0))
     obstacle = (10.0, 10.0, 14.0, 13.0)
     obstacles = spark.createDataFrame([(1, 5, *obstacle)], "parcel_id long, obj_id long, x1 double, y1 double, x2 double, y2 double")
-    products = spark.createDataFrame([("haus", 4.0, 3.0)], "product string, w double, d double")
-    zones = building.placement_zones(flat, edges, obstacles, products, 2.0, 1.0)
-    rows = zones.collect()
-
-    def colour(x, y):
-        best = 2
-        for w, d in ((4.0, 3.0), (3.0, 4.0)):
-            corners = [(x + i * w / 2, y + j * d / 2) for i in (-1, 1) for j in (-1, 1)]
-            hit = x - w / 2 < obstacle[2] and obstacle[0] < x + w / 2 and y - d / 2 < obstacle[3] and obstacle[1] < y + d / 2
-            if not hit and all(inside(*c) for c in corners):
-                best = min(best, 0 if all(inside(*c, 3.0) for c in corners) else 1)
-        return ["green", "yellow", "red"][best]
-
-    assert {r.colour for r in rows} == {"green", "yellow", "red"}
-    assert all(r.colour == colour(r.x, r.y) for r in rows)
-    # Fine cells only next to a change of colour; the area is covered once.
-    fine = [r for r in rows if r.x % 1 == 0.5]
-    assert 0 < len(fine) < len(rows) * 4
+    w, d = 4.0, 3.0
+    products = spark.createDataFrame([("haus", w, d)], "product string, w double, d double")
+    zones = building.placement_zones(flat, edges, obstacles, products, 2.0, 1.0).cache()
+    got = {(r.x, r.y): (r.colour, r.angle and round(math.degrees(r.angle), 6)) for r in zones.collect()}
+    sides = list(zip(RING, RING[1:] + RING[:1], strict=True))
+    angles = building.orientations(edges).first().angles
+    wanted = [0.0]
+    for (ax, ay), (bx, by) in sides:
+        wanted += [math.degrees(math.atan2(by - ay, bx - ax)) % 180] * (math.hypot(bx - ax, by - ay) >= 2)
+    kept = []
+    for a in [*wanted, 0, 45, 90, 135]:
+        kept += [a] * all(min(abs(a - k), 180 - abs(a - k)) >= 3 for k in kept)
+    assert [math.degrees(a) for a in angles] == pytest.approx(kept)
+
+    def stands(x, y, angle):
+        c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+        corners = [(x + i * w / 2 * c - j * d / 2 * s, y + i * w / 2 * s + j * d / 2 * c) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+        if not all(inside(*p) for p in corners) or clipped_area(corners, obstacle) > 1e-7:
+            return False
+        used, total, over, met = [5.5, 0, 0, 0], 5.5, False, False
+        for k, ((ax, ay), (bx, by)) in enumerate(sides):
+            n = math.hypot(bx - ax, by - ay)
+            if min(((bx - ax) * (q - ay) - (by - ay) * (p - ax)) / n for p, q in corners) < 3 - 1e-6:
+                along = [((p - ax) * (bx - ax) + (q - ay) * (by - ay)) / n for p, q in corners]
+                total, met = total + max(along) - min(along), True
+                over |= used[k] + max(along) - min(along) > 9 + 1e-9
+        return not over and not (met and total > 15 + 1e-9)
+
+    def colour(x, y, tried):
+        if not inside(x, y):
+            return "grey", None
+        for a in [0, *tried]:
+            if stands(x, y, kept[a]):
+                return ("yellow" if a else "green"), round(kept[a], 6)
+        return "red", None
+
+    coarse = {(i, j): colour(2 * i + 1, 2 * j + 1, range(len(kept))) for i in range(-1, 18) for j in range(-1, 14) if min(p[0] for p in RING) < 2 * i + 2 and 2 * i <= max(p[0] for p in RING) and min(p[1] for p in RING) < 2 * j + 2 and 2 * j <= max(p[1] for p in RING)}
+    expected = {}
+    for (i, j), own in coarse.items():
+        around = [coarse[i + a, j + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if (i + a, j + b) in coarse]
+        if len({c for c, _ in around}) == 1:
+            expected[2 * i + 1, 2 * j + 1] = own
+            continue
+        fit = sorted({kept.index(next(k for k in kept if round(k, 6) == a)) for _, a in around if a is not None})
+        for x, y in ((2 * i + a, 2 * j + b) for a in (0.5, 1.5) for b in (0.5, 1.5)):
+            expected[x, y] = colour(x, y, fit or range(len(kept)))
+    assert {c for c, _ in expected.values()} == {"green", "yellow", "red", "grey"}
+    assert got == expected
     fit = building.product_fit(zones, flat).collect()
-    best = min((0 if r.colour == "green" else 1, round((r.x**2 + r.y**2) ** 0.5, 6), r.x, r.y) for r in rows if r.colour != "red")
+    best = min((0 if c == "green" else 1, round((x**2 + y**2) ** 0.5, 6), x, y) for (x, y), (c, _) in got.items() if c in ("green", "yellow"))
     assert [(r.x, r.y, r.parcels) for r in fit] == [(best[2], best[3], 1)]
 
 
