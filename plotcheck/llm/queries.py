@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotcheck.llm import fingerprints, html_extract, langid, mixing, packing, quality, simhash_dedup, suffix_dedup, token_output, topk
+from plotcheck.llm import fingerprints, html_extract, langid, mixing, packing, periodic_runs, quality, simhash_dedup, spelling, suffix_dedup, token_output, topk
 from plotcheck.llm.common import table
 from plotcheck.storage import materialize
 
@@ -69,6 +69,16 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.written_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word", 1)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of seven letters and more, with what they are a misspelling of."""
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), least=7, repeats=2, ratio=10)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document."""
+    return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_quality_classifier": op2_quality_classifier,
@@ -80,6 +90,8 @@ QUERIES = {
     "op8_mixing_sources": op8_mixing_sources,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_token_id_output": op10_token_id_output,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
     "fingerprint_neighbours": fingerprint_neighbours,
 }
 
