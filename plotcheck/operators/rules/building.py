@@ -139,26 +139,6 @@ def second_row(houses: DataFrame, roads: DataFrame, least: float, reach: float)
     return near.join(crossed, "obj_id", "left").select("obj_id", F.when(F.col("road_id").isNotNull(), (F.col("distance") >= least) & F.coalesce("crossed", F.lit(False))).alias("second"))
 
 
-def envelope(edges: DataFrame, buildings: DataFrame, res: float) -> DataFrame:
-    """Greatest height at each cell of a parcel: distance / 0.4 from 3 m on, else 0; cells in buildings are 0."""
-    c = s.cells_in_polygons(edges, res=res).withColumns({"x": (F.col("col") + 0.5) * res, "y": (F.col("row_") + 0.5) * res})
-    d = c.join(edges, "parcel_id").groupBy("parcel_id", "col", "row_", "x", "y").agg(F.min(F.expr(g.point_segment_distance("x", "y", "ax", "ay", "bx", "by_"))).alias("d"))
-    as_box = d.select("parcel_id", "col", "row_", "d", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    built = s.box_join(as_box, buildings.select("obj_id", "x1", "y1", "x2", "y2")).select(F.col("l_parcel_id").alias("parcel_id"), F.col("l_col").alias("col"), F.col("l_row_").alias("row_")).distinct().withColumn("built", F.lit(True))
-    out = d.join(built, ["parcel_id", "col", "row_"], "left")
-    return out.select("parcel_id", "col", "row_", F.when(F.col("built"), 0.0).when(F.col("d") >= lim.SETBACK_LEAST - 1e-6, F.col("d") / lim.SETBACK_FACTOR).otherwise(0.0).alias("height"))
-
-
-def envelope_breaches(objects: DataFrame, height: DataFrame, res: float, step: float = 0.25) -> DataFrame:
-    """How many samples along an object's walls stand higher than the envelope."""
-    e = s.box_edges(objects, "obj_id", "parcel_id", "eaves")
-    n = F.ceil(F.expr(f"greatest(abs(bx - ax), abs(by_ - ay)) / {step!r}"))
-    p = e.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n")))).filter("n > 0")
-    p = p.withColumns({"col": F.floor(F.expr(f"(ax + (bx - ax) * k / n) / {res!r}")), "row_": F.floor(F.expr(f"(ay + (by_ - ay) * k / n) / {res!r}"))})
-    j = p.join(height, ["parcel_id", "col", "row_"])
-    return j.groupBy("obj_id").agg(F.count("*").alias("samples"), F.count_if(F.col("eaves") > F.col("height") + 0.01).alias("breaches"))
-
-
 def orientations(edges: DataFrame, least: float = 2.0, apart: float = 3.0) -> DataFrame:
     """(parcel_id, ring, angles): the outline as one array, and the orientations to try, as radians below pi.
 

@@ -98,13 +98,6 @@ def existing_plants(plants: DataFrame, edges: DataFrame, span: float) -> DataFra
     return near.select("obj_id", "m.side", F.col("m.d").alias("distance"), c.alias("result"))
 
 
-def plant_zones(edges: DataFrame, res: float) -> DataFrame:
-    """Cells of a parcel: red under 0.5 m, yellow under 2 m, green beyond."""
-    c = s.cells_in_polygons(edges, res=res).withColumns({"x": (F.col("col") + 0.5) * res, "y": (F.col("row_") + 0.5) * res})
-    d = c.join(edges.filter("side <> 0"), "parcel_id").groupBy("parcel_id", "col", "row_").agg(F.min(F.expr(g.point_segment_distance("x", "y", "ax", "ay", "bx", "by_"))).alias("d"))
-    return d.select("parcel_id", "col", "row_", F.when(F.col("d") < lim.PLANT_SMALL, "red").when(F.col("d") < lim.PLANT_TALL, "yellow").otherwise("green").alias("colour"))
-
-
 def sun_position(times: DataFrame, lat: float = lim.LATITUDE, lon: float = lim.LONGITUDE) -> DataFrame:
     """Altitude and azimuth in degrees at UTC times ``t``, by the series of the Astronomical Almanac."""
     n = (F.unix_seconds("t") - 946728000) / 86400.0

@@ -8,6 +8,7 @@ from plotcheck.functions import geometry as g
 from plotcheck.operators import spatial as s
 from plotcheck.operators.rules import building as b
 from plotcheck.operators.rules import devices as d
+from plotcheck.operators.rules import envelope as env
 from plotcheck.operators.rules import limits as lim
 from plotcheck.plans.registry import query
 from plotcheck.plans.spatial_queries import _BOX, _SEGDIST, role, rounded, sight_sql
@@ -132,39 +133,93 @@ def _(view):
     return b.second_row(role(view, 0), role(view, 8), 25.0, 60.0)
 
 
-_CELLS2 = """c AS (SELECT parcel_id, col, unnest(generate_series(CAST(floor(y0 / {r}) AS BIGINT), CAST(floor((y0 + h) / {r}) AS BIGINT))) AS row_ FROM (SELECT *, unnest(generate_series(CAST(floor(x0 / {r}) AS BIGINT), CAST(floor((x0 + w + skew) / {r}) AS BIGINT))) AS col FROM parcel)),
-d AS (SELECT c.parcel_id, col, row_, sum(CASE WHEN {ray} THEN 1 ELSE 0 END) AS n, min({dist}) AS dist, min(CASE WHEN side <> 0 THEN {dist} END) AS dist0 FROM c JOIN parcel_edge e ON e.parcel_id = c.parcel_id GROUP BY c.parcel_id, col, row_)"""
-
-
-def _cells_sql(r: float) -> str:
-    x, y = f"(col + 0.5) * {r}", f"(row_ + 0.5) * {r}"
-    return _CELLS2.format(r=r, ray=g.ray_crossing(x, y, "ax", "ay", "bx", "by_"), dist=g.point_segment_distance(x, y, "ax", "ay", "bx", "by_"))
+_CELLS = """c AS (SELECT parcel_id, col, unnest(generate_series(CAST(floor(y0 / {r}) AS BIGINT), CAST(floor((y0 + h) / {r}) AS BIGINT))) AS row_ FROM (SELECT *, unnest(generate_series(CAST(floor(x0 / {r}) AS BIGINT), CAST(floor((x0 + w + skew) / {r}) AS BIGINT))) AS col FROM parcel))"""
 
 
 #: Grid steps of the survey (K13, K16, K18).
 STEP, COARSE = 0.5, 1.0
 
 
-_ENVELOPE = f"""{_cells_sql(0.5)}, bl AS (SELECT DISTINCT parcel_id, col, row_ FROM (SELECT d.parcel_id, col, row_ FROM d JOIN footprint f ON f.role = 0 AND (col + 0.5) * 0.5e0 BETWEEN x1 AND x2 AND (row_ + 0.5) * 0.5e0 BETWEEN y1 AND y2)),
-env AS (SELECT d.parcel_id, d.col, d.row_, CASE WHEN bl.col IS NOT NULL THEN 0 WHEN dist >= 3 - 1e-6 THEN dist / 0.4 ELSE 0 END AS height FROM d LEFT JOIN bl ON bl.parcel_id = d.parcel_id AND bl.col = d.col AND bl.row_ = d.row_ WHERE n % 2 = 1)"""
+_ROAD_OFFSET = """
+WITH s AS (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS share), k AS (SELECT unnest(generate_series(1, 30)) * 0.02e0 AS s0),
+p AS (SELECT parcel_id, seg, share, ax + share * (bx - ax) AS mx, ay + share * (by_ - ay) AS my, (by_ - ay) / len AS nx, (ax - bx) / len AS ny FROM (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS len FROM parcel_edge), s WHERE len >= 1),
+b AS (SELECT p.parcel_id, seg, share, greatest(CASE WHEN nx = 0 THEN CASE WHEN mx BETWEEN x1 AND x2 THEN -1e9 ELSE 1e9 END ELSE least((x1 - mx) / nx, (x2 - mx) / nx) END, CASE WHEN ny = 0 THEN CASE WHEN my BETWEEN y1 AND y2 THEN -1e9 ELSE 1e9 END ELSE least((y1 - my) / ny, (y2 - my) / ny) END) AS a,
+  least(CASE WHEN nx = 0 THEN 1e9 ELSE greatest((x1 - mx) / nx, (x2 - mx) / nx) END, CASE WHEN ny = 0 THEN 1e9 ELSE greatest((y1 - my) / ny, (y2 - my) / ny) END) AS z
+  FROM p JOIN footprint f ON f.role IN (8, 9) AND x1 <= greatest(mx, mx + 60 * nx) AND x2 >= least(mx, mx + 60 * nx) AND y1 <= greatest(my, my + 60 * ny) AND y2 >= least(my, my + 60 * ny)),
+r AS (SELECT parcel_id, seg, share, round(a, 6) AS a, least(round(z, 6), 60e0) AS z FROM b WHERE a <= z AND z >= 0),
+e AS (SELECT parcel_id, seg, share, min(s0) AS s0 FROM r, k WHERE s0 BETWEEN a AND z GROUP BY parcel_id, seg, share),
+x AS (SELECT e.parcel_id, e.seg, e.share, e.s0, min(r.z) AS s1 FROM e JOIN r ON r.parcel_id = e.parcel_id AND r.seg = e.seg AND r.share = e.share AND r.z >= e.s0
+  WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.parcel_id = r.parcel_id AND o.seg = r.seg AND o.share = r.share AND o.a <= r.z AND r.z < o.z) GROUP BY e.parcel_id, e.seg, e.share, e.s0),
+m AS (SELECT parcel_id, seg, list_sort(list((CASE WHEN s0 <= 0.04 THEN 0 ELSE s0 END + s1) / 2)) AS mids FROM x GROUP BY parcel_id, seg)
+SELECT q.parcel_id, q.seg, CASE WHEN len(mids) >= 2 THEN round(least(30, greatest(0, mids[CAST(floor(len(mids) / 2) AS INTEGER) + 1])), 6) ELSE 0e0 END AS shift FROM parcel_edge q LEFT JOIN m ON m.parcel_id = q.parcel_id AND m.seg = q.seg"""
 
 
-@query("envelope", f"WITH {_ENVELOPE} SELECT parcel_id, col, row_, round(height, 6) AS height FROM env")
+@query("road_offset", _ROAD_OFFSET)
 def _(view):
-    return rounded(b.envelope(view("parcel_edge"), role(view, 0), STEP), "height")
+    return rounded(b.road_offset(view("parcel_edge"), role(view, 8, 9)), "shift")
+
+
+#: Own houses, some of them without known eaves, and the setback depth that their walls take.
+_OWN = "SELECT obj_id, parcel_id, x1, y1, x2, y2, CASE WHEN obj_id % 70 <> 0 THEN eaves END AS eaves, ridge FROM footprint WHERE role = 0"
+_DEPTH = "greatest(3e0, 0.4e0 * (eaves + greatest(0, ridge - eaves) / 3))"
+_GAP_TO = "sqrt(pow(greatest(0, ({x1}) - px, px - ({x2})), 2) + pow(greatest(0, ({y1}) - py, py - ({y2})), 2))"
+_RINGS = [dict(zip(("x1", "y1", "x2", "y2"), r, strict=True)) for r in (("x1", "y1", "x2", "y2"), ("x1", "y1 - t", "x2", "y1"), ("x2", "y1", "x2 + t", "y2"), ("x1", "y2", "x2", "y2 + t"), ("x1 - t", "y1", "x1", "y2"))]
+
+
+def _heights_sql(points: str) -> str:
+    """CTEs that end in hp (the columns of ``points``, height): points have pid, parcel_id, px, py."""
+    return f"""ro AS ({_ROAD_OFFSET}), ln AS (SELECT e.parcel_id, e.seg, ax + shift * (by_ - ay) / len AS x, ay - shift * (bx - ax) / len AS y, (bx - ax) / len AS dx, (by_ - ay) / len AS dy
+  FROM (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS len FROM parcel_edge) e JOIN ro ON ro.parcel_id = e.parcel_id AND ro.seg = e.seg),
+cn AS (SELECT l.parcel_id, l.seg, p.x + p.dx * ((l.x - p.x) * l.dy - (l.y - p.y) * l.dx) / (p.dx * l.dy - p.dy * l.dx) AS x, p.y + p.dy * ((l.x - p.x) * l.dy - (l.y - p.y) * l.dx) / (p.dx * l.dy - p.dy * l.dx) AS y FROM ln l JOIN ln p ON p.parcel_id = l.parcel_id AND p.seg = (l.seg + 3) % 4),
+ra AS (SELECT c.parcel_id, c.seg, c.x AS ax, c.y AS ay, d.x AS bx, d.y AS by_ FROM cn c JOIN cn d ON d.parcel_id = c.parcel_id AND d.seg = (c.seg + 1) % 4),
+ow AS (SELECT *, {_DEPTH} AS t FROM ({_OWN})), iv0 AS (SELECT obj_id, parcel_id, x1, y1, x2, y2 FROM footprint WHERE role = 2 AND klasse IN ('gartenhaus', 'gewaechshaus', 'carport_garage') AND provenance IN ('nutzerbestätigt', 'erfasst per Tipp')),
+iv AS (SELECT i.* FROM iv0 i JOIN (SELECT i.obj_id FROM iv0 i JOIN parcel_edge e ON e.parcel_id = i.parcel_id GROUP BY i.obj_id HAVING sum(CASE WHEN {g.ray_crossing('x1', 'y1', 'ax', 'ay', 'bx', 'by_')} THEN 1 ELSE 0 END) % 2 = 1) k ON k.obj_id = i.obj_id),
+po AS ({points}),
+dr AS (SELECT pid, sum(CASE WHEN {g.ray_crossing('px', 'py', 'ax', 'ay', 'bx', 'by_')} THEN 1 ELSE 0 END) % 2 = 1 AS within, min({g.point_segment_distance('px', 'py', 'ax', 'ay', 'bx', 'by_')}) AS d FROM po JOIN ra ON ra.parcel_id = po.parcel_id GROUP BY pid),
+do_ AS (SELECT pid, min(least({_GAP_TO.format(**_RINGS[0])}, CASE WHEN eaves IS NULL THEN 1e9 ELSE least({', '.join(_GAP_TO.format(**r) for r in _RINGS[1:])}) END)) AS d FROM po JOIN ow ON ow.parcel_id = po.parcel_id GROUP BY pid),
+dc AS (SELECT DISTINCT pid FROM po JOIN iv ON iv.parcel_id = po.parcel_id AND px >= x1 AND px < x2 AND py >= y1 AND py < y2),
+hp AS (SELECT po.*, CASE WHEN NOT within OR dc.pid IS NOT NULL THEN 0e0 WHEN least(dr.d, coalesce(do_.d, 1e9)) >= 3 - 1e-9 THEN least(dr.d, coalesce(do_.d, 1e9)) / 0.4e0 ELSE 0e0 END AS height FROM po JOIN dr ON dr.pid = po.pid LEFT JOIN do_ ON do_.pid = po.pid LEFT JOIN dc ON dc.pid = po.pid)"""
+
 
+def _model(view):
+    edges = view("parcel_edge")
+    shift = rounded(b.road_offset(edges, role(view, 8, 9)), "shift")
+    own = role(view, 0).withColumn("eaves", F.expr("CASE WHEN obj_id % 70 <> 0 THEN eaves END"))
+    confirmed = role(view, 2).filter(F.col("klasse").isin(*lim.BUILDING_CLASSES) & F.col("provenance").isin("nutzerbestätigt", "erfasst per Tipp"))
+    return env.models(edges.join(shift, ["parcel_id", "seg"]), s.box_edges(own, "parcel_id", "obj_id", "eaves", "ridge"), s.box_edges(confirmed, "parcel_id", "obj_id"))
+
+
+_GRID = f"""SELECT row_number() OVER () AS pid, k.*, col * 0.5e0 AS px, row_ * 0.5e0 AS py FROM (SELECT c.parcel_id, col, row_ FROM c JOIN parcel_edge e ON e.parcel_id = c.parcel_id GROUP BY c.parcel_id, col, row_
+  HAVING sum(CASE WHEN {g.ray_crossing('col * 0.5e0', 'row_ * 0.5e0', 'ax', 'ay', 'bx', 'by_')} THEN 1 ELSE 0 END) % 2 = 1) k"""
 
-@query("envelope_breaches", f"""
-WITH {_ENVELOPE}, e AS (SELECT o.obj_id, o.parcel_id, f.eaves, aax, aay, abx, aby, CAST(ceil(greatest(abs(abx - aax), abs(aby - aay)) / 0.25) AS BIGINT) AS n FROM {_BOX} o JOIN footprint f ON f.obj_id = o.obj_id WHERE o.role = 1),
-p AS (SELECT *, unnest(generate_series(0, n)) AS k FROM e WHERE n > 0), q AS (SELECT *, CAST(floor((aax + (abx - aax) * k / n) / 0.5e0) AS BIGINT) AS col, CAST(floor((aay + (aby - aay) * k / n) / 0.5e0) AS BIGINT) AS row_ FROM p)
-SELECT q.obj_id, count(*) AS samples, CAST(sum(CASE WHEN eaves > height + 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS breaches FROM q JOIN env ON env.parcel_id = q.parcel_id AND env.col = q.col AND env.row_ = q.row_ GROUP BY q.obj_id""")
+
+@query("envelope", f"WITH {_CELLS.format(r=0.5)}, {_heights_sql(_GRID)} SELECT parcel_id, col, row_, round(height, 6) AS height FROM hp")
 def _(view):
-    return b.envelope_breaches(role(view, 1), b.envelope(view("parcel_edge"), role(view, 0), STEP), STEP)
+    return rounded(env.envelope(_model(view), STEP), "height")
+
+
+_SAMPLES = f"""SELECT row_number() OVER () AS pid, obj_id, parcel_id, eaves + CASE WHEN pitch > 70 THEN ridge - eaves ELSE (ridge - eaves) / 3 END AS top, aax + (abx - aax) * (k / n) AS px, aay + (aby - aay) * (k / n) AS py
+  FROM (SELECT *, unnest(generate_series(0, CAST(n AS BIGINT))) AS k FROM (SELECT o.obj_id, o.parcel_id, f.eaves, f.ridge, CAST(30 + o.obj_id % 60 AS DOUBLE) AS pitch, aax, aay, abx, aby, greatest(1, ceil(sqrt((abx - aax) * (abx - aax) + (aby - aay) * (aby - aay)) / 0.25e0)) AS n FROM {_BOX} o JOIN footprint f ON f.obj_id = o.obj_id WHERE o.role = 1))"""
 
 
-@query("plant_zones", f"WITH {_cells_sql(1)} SELECT parcel_id, col, row_, CASE WHEN dist0 < 0.5 THEN 'red' WHEN dist0 < 2 THEN 'yellow' ELSE 'green' END AS colour FROM d WHERE n % 2 = 1")
+@query("envelope_breaches", f"WITH {_heights_sql(_SAMPLES)} SELECT obj_id, count(*) AS samples, CAST(sum(CASE WHEN top - height > 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS breaches, round(greatest(0e0, max(top - height)), 6) AS excess FROM hp GROUP BY obj_id")
 def _(view):
-    return d.plant_zones(view("parcel_edge"), 1.0)
+    roof = b.roof_share(F.expr(PITCH), F.col("ridge") - F.col("eaves"))
+    walls = s.box_edges(role(view, 1).withColumns({"ha": F.col("eaves"), "hb": F.col("eaves"), "roof": roof}), "parcel_id", "obj_id", "ha", "hb", "roof")
+    return rounded(env.envelope_breaches(walls, _model(view)), "excess")
+
+
+_SIDES = "SELECT parcel_id, side, side = 0 AND parcel_id % 2 = 0 AS road, CASE WHEN (parcel_id + side) % 4 = 1 THEN 1.8e0 END AS fence, (parcel_id + side) % 7 = 3 AS forest FROM parcel_edge"
+_PX, _PY = "(col + 0.5) * 1", "(row_ + 0.5) * 1"
+_TO_SIDE = g.point_segment_distance(_PX, _PY, "ax", "ay", "bx", "by_")
+
+
+@query("plant_zones", f"""
+WITH {_CELLS.format(r=1)}, d AS (SELECT c.parcel_id, col, row_, sum(CASE WHEN {g.ray_crossing(_PX, _PY, 'ax', 'ay', 'bx', 'by_')} THEN 1 ELSE 0 END) AS n, min(CASE WHEN NOT (side = 0 AND e.parcel_id % 2 = 0) THEN {_TO_SIDE} END) AS every_,
+  min(CASE WHEN NOT (side = 0 AND e.parcel_id % 2 = 0) AND (e.parcel_id + side) % 7 <> 3 THEN {_TO_SIDE} END) AS open_ FROM c JOIN parcel_edge e ON e.parcel_id = c.parcel_id GROUP BY c.parcel_id, col, row_)
+SELECT parcel_id, col, row_, CASE WHEN every_ + 1e-9 < 0.5 THEN 'red' WHEN open_ + 1e-9 < 2 THEN 'yellow' ELSE 'green' END AS colour FROM d WHERE n % 2 = 1""")
+def _(view):
+    return env.plant_zones(view("parcel_edge").selectExpr("*", "side = 0 AND parcel_id % 2 = 0 AS road", "(parcel_id + side) % 7 = 3 AS forest"), 1.0)
 
 
 _PLANTS = "SELECT obj_id, parcel_id, x1 - 2 AS x, y1 - 1.5 AS y, eaves AS height FROM footprint WHERE role = 7"
@@ -176,9 +231,6 @@ def _plants(view):
     return role(view, 7).selectExpr("obj_id", "parcel_id", "x1 - 2 AS x", "y1 - 1.5 AS y", "eaves AS height")
 
 
-_SIDES = "SELECT parcel_id, side, side = 0 AND parcel_id % 2 = 0 AS road, CASE WHEN (parcel_id + side) % 4 = 1 THEN 1.8e0 END AS fence, (parcel_id + side) % 7 = 3 AS forest FROM parcel_edge"
-
-
 @query("plant_verdict", f"""
 WITH p AS ({_PLANTS}), sd AS (SELECT DISTINCT * FROM ({_SIDES})),
 i AS (SELECT obj_id, sum(CASE WHEN {g.ray_crossing('x', 'y', 'ax', 'ay', 'bx', 'by_')} THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM p JOIN parcel_edge e ON e.parcel_id = p.parcel_id GROUP BY obj_id),
@@ -230,22 +282,6 @@ def _(view):
     return rounded(b.wall_from_roof(role(view, 2), o), "length", "width", "span")
 
 
-@query("road_offset", """
-WITH s AS (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS share), k AS (SELECT unnest(generate_series(1, 30)) * 0.02e0 AS s0),
-p AS (SELECT parcel_id, seg, share, ax + share * (bx - ax) AS mx, ay + share * (by_ - ay) AS my, (by_ - ay) / len AS nx, (ax - bx) / len AS ny FROM (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS len FROM parcel_edge), s WHERE len >= 1),
-b AS (SELECT p.parcel_id, seg, share, greatest(CASE WHEN nx = 0 THEN CASE WHEN mx BETWEEN x1 AND x2 THEN -1e9 ELSE 1e9 END ELSE least((x1 - mx) / nx, (x2 - mx) / nx) END, CASE WHEN ny = 0 THEN CASE WHEN my BETWEEN y1 AND y2 THEN -1e9 ELSE 1e9 END ELSE least((y1 - my) / ny, (y2 - my) / ny) END) AS a,
-  least(CASE WHEN nx = 0 THEN 1e9 ELSE greatest((x1 - mx) / nx, (x2 - mx) / nx) END, CASE WHEN ny = 0 THEN 1e9 ELSE greatest((y1 - my) / ny, (y2 - my) / ny) END) AS z
-  FROM p JOIN footprint f ON f.role IN (8, 9) AND x1 <= greatest(mx, mx + 60 * nx) AND x2 >= least(mx, mx + 60 * nx) AND y1 <= greatest(my, my + 60 * ny) AND y2 >= least(my, my + 60 * ny)),
-r AS (SELECT parcel_id, seg, share, round(a, 6) AS a, least(round(z, 6), 60e0) AS z FROM b WHERE a <= z AND z >= 0),
-e AS (SELECT parcel_id, seg, share, min(s0) AS s0 FROM r, k WHERE s0 BETWEEN a AND z GROUP BY parcel_id, seg, share),
-x AS (SELECT e.parcel_id, e.seg, e.share, e.s0, min(r.z) AS s1 FROM e JOIN r ON r.parcel_id = e.parcel_id AND r.seg = e.seg AND r.share = e.share AND r.z >= e.s0
-  WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.parcel_id = r.parcel_id AND o.seg = r.seg AND o.share = r.share AND o.a <= r.z AND r.z < o.z) GROUP BY e.parcel_id, e.seg, e.share, e.s0),
-m AS (SELECT parcel_id, seg, list_sort(list((CASE WHEN s0 <= 0.04 THEN 0 ELSE s0 END + s1) / 2)) AS mids FROM x GROUP BY parcel_id, seg)
-SELECT q.parcel_id, q.seg, CASE WHEN len(mids) >= 2 THEN round(least(30, greatest(0, mids[CAST(floor(len(mids) / 2) AS INTEGER) + 1])), 6) ELSE 0e0 END AS shift FROM parcel_edge q LEFT JOIN m ON m.parcel_id = q.parcel_id AND m.seg = q.seg""")
-def _(view):
-    return rounded(b.road_offset(view("parcel_edge"), role(view, 8, 9)), "shift")
-
-
 @query("start_position", """
 WITH c AS (SELECT parcel_id, (cx + 0.5) * 0.5e0 AS x, (unnest(generate_series(CAST(floor(y0 / 0.5e0) AS BIGINT), CAST(floor((y0 + h) / 0.5e0) AS BIGINT))) + 0.5) * 0.5e0 AS y FROM (SELECT *, unnest(generate_series(CAST(floor(x0 / 0.5e0) AS BIGINT), CAST(floor((x0 + w + skew) / 0.5e0) AS BIGINT))) AS cx FROM parcel)),
 g AS (SELECT c.parcel_id, x, y, round(min(((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))), 6) AS gap FROM c JOIN parcel_edge e ON e.parcel_id = c.parcel_id GROUP BY c.parcel_id, x, y),
