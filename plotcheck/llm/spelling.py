@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotcheck.llm.common import partitions, slices, texts
+from plotcheck.llm.common import partitions, random_words, slices, texts
 from plotcheck.storage import materialize
 
 #: Letters of a word: A-Z, a-z and U+00C0 to U+00FF, here in UTF-8 with A-Z in lower case.
@@ -26,8 +27,8 @@ _RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
 _SPACED = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
 #: Dimensions of the letter counts: code points modulo this. Letters of the runs above all differ; others may meet, which only adds pairs to verify.
 LETTERS = 160
-#: Words of a block that one task holds at most; the words compared with them stream by in slices of as many.
-BLOCK = 2048
+#: Words of a block that one task holds at most; the words compared with them stream by in slices.
+BLOCK, SLICE = 2048, 512
 #: Distinct words that a task counts before it hands the counts on.
 HELD = 200_000
 
@@ -78,17 +79,11 @@ def vocabulary(docs: DataFrame, least: int = 7, repeats: int = 2, every: int = 3
     return src.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= repeats)
 
 
-def _codes(words: list[str]) -> np.ndarray:
+def _codes(words: pa.Array) -> np.ndarray:
     """Code points of words of one length, a row each."""
-    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
-
-
-def _counts(words: list[str]) -> np.ndarray:
-    """Letter counts, a row for each word; exact as floats up to 4000 letters, else in double precision."""
-    sizes = np.array([len(w) for w in words])
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32) % LETTERS
-    at = np.repeat(np.arange(len(words)), sizes) * LETTERS + codes
-    return np.bincount(at, minlength=len(words) * LETTERS).reshape(-1, LETTERS).astype(np.float32 if sizes.max(initial=0) < 4000 else np.float64)
+    data, at = words.buffers()[2], np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+    text = bytes(memoryview(data)[at[0] : at[-1]]).decode() if len(words) else ""
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(words), -1)
 
 
 def _one_edit(short: np.ndarray, long: np.ndarray) -> np.ndarray:
@@ -100,62 +95,90 @@ def _one_edit(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     return head + tail >= short.shape[1]
 
 
-def _near_in_block(homes: list[str], h: np.ndarray, guests: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(guest, home) numbers of pairs one edit apart: guests as long as the homes, or one letter shorter; ``h``: counts of the homes."""
-    size, used = len(homes[0]), np.flatnonzero(h.any(axis=0))
-    g = _counts(guests)
-    # Two more columns each, so that the product is minus half of the squared distance.
-    norm = lambda x: (x * x).sum(axis=1, keepdims=True) / -2
-    x = np.hstack([g[:, used], norm(g), np.ones((len(g), 1), g.dtype)])
-    y = np.hstack([h[:, used], np.ones((len(h), 1), h.dtype), norm(h)])
-    lengths = np.array([len(w) for w in guests])
-    for less in (0, 1):
-        who = np.flatnonzero(lengths == size - less)
-        if not len(who):
-            continue
-        a, b = np.divmod(np.flatnonzero(x[who] @ y.T >= less / 2 - 1), len(homes))  # at most 2 apart, or 1 where a letter is missing
-        a = who[a]
-        step = max(1, 1_000_000 // size)
+class _Homes:
+    """The words of a block, all of one length, with their letter counts."""
+
+    def __init__(self, words: pa.Array, n: np.ndarray) -> None:
+        self.words, self.n, self.codes = words, n, _codes(words)
+        letters = np.unique(self.codes % LETTERS)
+        # Letters that no home has count together: a word with two of them is near none.
+        self.column = np.full(LETTERS, len(letters))
+        self.column[letters] = np.arange(len(letters))
+        self.width = len(letters) + 1
+        h = self.counts(self.codes)
+        self.right = np.ascontiguousarray(np.hstack([h, np.ones((len(h), 1), h.dtype), (h * h).sum(axis=1, keepdims=True) / -2]).T)
+
+    def counts(self, codes: np.ndarray) -> np.ndarray:
+        """Letter counts, a row for each word; exact as floats up to 4000 letters, else in double precision."""
+        at = np.repeat(np.arange(len(codes)) * self.width, codes.shape[1]) + self.column[codes.ravel() % LETTERS]
+        return np.bincount(at, minlength=len(codes) * self.width).reshape(-1, self.width).astype(np.float32 if codes.shape[1] < 4000 else np.float64)
+
+    def near(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(guest, home) numbers of pairs one edit apart; guests are as long as the homes, or one letter shorter."""
+        less = self.codes.shape[1] - codes.shape[1]
+        g = self.counts(codes)
+        # Two more columns each, so that the product is minus half of the squared distance.
+        left = np.hstack([g, (g * g).sum(axis=1, keepdims=True) / -2, np.ones((len(g), 1), g.dtype)])
+        a, b = np.divmod(np.flatnonzero(left @ self.right >= less / 2 - 1), len(self.codes))  # at most 2 apart, or 1 where a letter is missing
+        step = max(1, 1_000_000 // self.codes.shape[1])
         for at in range(0, len(a), step):
             i, j = a[at : at + step], b[at : at + step]
-            met = _one_edit(_codes([guests[k] for k in i.tolist()]), _codes([homes[k] for k in j.tolist()]))
+            met = _one_edit(codes[i], self.codes[j])
             yield i[met], j[met]
 
 
+#: What a word is in a block: home, guest in its own block, guest of the homes' length, guest one letter shorter.
+_HOME, _OWN, _MOVED, _SHORTER = range(4)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of every (block, part): rows come sorted, homes before guests. A pair within a block counts once, the smaller word first."""
-    key, homes, counts, h = None, [], [], None
+    key, held, homes = None, [], None
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        blocks, parts, guest = (t.column(c).to_numpy() for c in ("block", "part", "guest"))
-        words, n = t.column("word"), t.column("n")
-        new = np.r_[True, (blocks[1:] != blocks[:-1]) | (parts[1:] != parts[:-1]) | (guest[1:] != guest[:-1])] if len(blocks) else np.zeros(0, bool)
+        if not batch.num_rows:
+            continue
+        blocks, parts, guest, n = (batch.column(c).to_numpy() for c in ("block", "part", "guest", "n"))
+        words = batch.column("word").cast(pa.string())
+        new = np.r_[True, (blocks[1:] != blocks[:-1]) | (parts[1:] != parts[:-1]) | (guest[1:] != guest[:-1])]
         cuts = [*np.flatnonzero(new).tolist(), len(blocks)]
         for a, b in zip(cuts, cuts[1:]):  # noqa: B905
             mine = (blocks[a], parts[a])
             if mine != key:
-                key, homes, counts, h = mine, [], [], None
-            if guest[a] == 0:
-                homes += words.slice(a, b - a).to_pylist()
-                counts += n.slice(a, b - a).to_pylist()
+                key, held, homes = mine, [], None
+            if guest[a] == _HOME:
+                held.append((words.slice(a, b - a), n[a:b]))
                 continue
-            if h is None and homes:
-                h = _counts(homes)
-            for at in range(a, b, BLOCK) if homes else ():
-                visitors, m = (c.slice(at, min(BLOCK, b - at)).to_pylist() for c in (words, n))
-                stays = guest[a] == 1
-                for x, y in _near_in_block(homes, h, visitors):
-                    pairs = [(visitors[i], m[i], homes[j], counts[j]) for i, j in zip(x.tolist(), y.tolist()) if not stays or visitors[i] < homes[j]]  # noqa: B905
-                    if pairs:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, s) for c, s in zip(zip(*pairs), (pa.string(), pa.int64()) * 2)], names=["a", "n_a", "b", "n_b"])  # noqa: B905
-
-
-def _group_counts(word: Column, groups: int) -> list[Column]:
-    """How many letters of each group of letters (code point modulo LETTERS, then modulo the number of groups) a word has."""
-    letters = F.filter(F.split(word, ""), lambda c: c != "")
-    of = lambda c: F.pmod(F.pmod(F.ascii(c), F.lit(LETTERS)), F.lit(groups))
-    in_group = lambda k: F.size(F.filter(letters, lambda c: of(c) == k))
-    return [in_group(k) for k in range(groups)]
+            if homes is None and held:
+                homes = _Homes(pa.concat_arrays([w for w, _ in held]), np.concatenate([k for _, k in held]))
+            for at in range(a, b, SLICE) if held else ():
+                visitors = words.slice(at, min(SLICE, b - at))
+                for x, y in homes.near(_codes(visitors)):
+                    if not len(x):
+                        continue
+                    one, two = visitors.take(pa.array(x)), homes.words.take(pa.array(y))
+                    out = pa.RecordBatch.from_arrays([one, pa.array(n[at + x]), two, pa.array(homes.n[y])], names=["a", "n_a", "b", "n_b"])
+                    yield out.filter(pc.less(one.cast(pa.binary()), two.cast(pa.binary()))) if guest[a] == _OWN else out
+
+
+def _visits(batches: Iterator[pa.RecordBatch], groups: int, homes: bool) -> Iterator[pa.RecordBatch]:
+    """(block, guest, word, n): each word as home of its block, and (unless ``homes``) as guest of those that its near words may lie in.
+
+    Letters fall into groups by their code point modulo LETTERS. A block is the hash of a word's counts in these, and of nothing else.
+    """
+    factor = random_words(groups, seed=17)
+    unit = lambda add, drop: (factor[add] if add is not None else np.uint64(0)) - (factor[drop] if drop is not None else np.uint64(0))
+    # To its own block, to those with a letter moved to a later group, and to those with a letter more.
+    moves = [(_OWN, np.uint64(0))] + [(_MOVED, unit(j, i)) for i in range(groups) for j in range(i + 1, groups)] + [(_SHORTER, unit(i, None)) for i in range(groups)]
+    for whole in batches:
+        for batch in slices(iter([whole]), "word", 1_000_000):
+            words, n = batch.column("word").cast(pa.string()), batch.column("n")
+            codes = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32) % LETTERS % groups
+            size = pc.utf8_length(words).to_numpy()
+            at = np.repeat(np.arange(len(size)) * groups, size) + codes
+            with np.errstate(over="ignore"):
+                own = (np.bincount(at, minlength=len(size) * groups).reshape(-1, groups).astype(np.uint64) * factor).sum(axis=1, dtype=np.uint64)
+                for guest, by in [(_HOME, np.uint64(0))] + ([] if homes else moves):
+                    yield pa.RecordBatch.from_arrays([pa.array((own + by).view(np.int64)), pa.array(np.full(len(size), guest, np.int32)), words, n], names=["block", "guest", "word", "n"])
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -168,16 +191,12 @@ def near_words(words: DataFrame) -> DataFrame:
     groups = 1
     while groups < 10 and n >> (2 * groups) > 2000:
         groups += 1
-    own = words.filter("word <> ''").select("word", "n", F.array(*_group_counts(F.col("word"), groups)).alias("k"))
-    unit = lambda add, drop: [1 if i == add else -1 if i == drop else 0 for i in range(groups)]
-    # To its own block (as home and as guest), to those with a letter more, and to those with a letter moved to a later group.
-    moves = [(0, [0] * groups), (1, [0] * groups)] + [(2, unit(i, None)) for i in range(groups)] + [(2, unit(j, i)) for i in range(groups) for j in range(i + 1, groups)]
-    visits = F.array(*[F.struct(F.lit(g).alias("guest"), F.xxhash64(*[F.col("k")[i] + F.lit(d) for i, d in enumerate(by)]).alias("block")) for g, by in moves])
-    rows = own.select("word", "n", F.explode(visits).alias("v")).select("word", "n", "v.guest", "v.block")
-    sizes = rows.filter("guest = 0").groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    some = words.filter("word <> ''").select("word", "n")
+    visits = lambda homes: some.mapInArrow(lambda b: _visits(b, groups, homes), "block long, guest int, word string, n long")
+    sizes = visits(True).groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     # Blocks without homes are left out by the join.
-    part = F.when(F.col("guest") == 0, F.array(F.pmod(F.xxhash64("word", F.lit(5)), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = rows.join(sizes, "block").select("block", F.explode(part).alias("part"), "guest", "word", "n")
+    part = F.when(F.col("guest") == _HOME, F.array(F.pmod(F.xxhash64("word", F.lit(5)), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = visits(False).join(sizes, "block").select("block", F.explode(part).alias("part"), "guest", "word", "n")
     dealt = dealt.repartition(partitions(words.sparkSession), "block", "part").sortWithinPartitions("block", "part", "guest")
     return dealt.mapInArrow(_compare, "a string, n_a long, b string, n_b long")
 
