@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotcheck.llm import fingerprints, html_extract, langid, mixing, packing, periodic_runs, quality, simhash_dedup, spelling, suffix_dedup, token_output, topk
+from plotcheck.llm import fingerprints, html_extract, langid, jaccard_join, mixing, packing, periodic_runs, quality, simhash_dedup, spelling, suffix_dedup, token_output, topk
 from plotcheck.llm.common import table
 from plotcheck.storage import materialize
 
@@ -69,6 +69,11 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.written_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word", 1)
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by a Jaccard similarity of 0.8 of their five-word shingles."""
+    return jaccard_join.similar_sets(table(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of seven letters and more, with what they are a misspelling of."""
     return spelling.spelling_groups(table(spark, sf_dir, "documents"), least=7, repeats=2, ratio=10)
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_mixing_sources": op8_mixing_sources,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_token_id_output": op10_token_id_output,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_periodic_runs": op13_periodic_runs,
     "fingerprint_neighbours": fingerprint_neighbours,

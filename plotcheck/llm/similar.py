@@ -164,19 +164,12 @@ def candidate_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return _deal(cells, "cell", CELL, "node").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(row_hash, component_id) for every distinct text that has a doc_id.
+def verified_links(src: DataFrame, known: DataFrame, near: DataFrame, least: float, shingle: int) -> DataFrame:
+    """(node, root) of the nodes of ``near`` (node, root: what candidates chain together): the smallest node reachable over pairs of similarity ``least`` or more.
 
-    component_id is the smallest doc_id of the texts reachable over pairs of Jaccard similarity ``least`` or more of their
-    sets of ``shingle`` words. Texts without words are alike. Candidates meet as candidate_links says; whatever chains of
-    candidates join is compared exactly, so no link is false and a missed candidate is the only way to miss one.
+    ``src``: (doc_id, row_hash, text); ``known``: (node, rep, row_hash) names the row of it whose text stands for a node.
     """
 
-    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            fp = np.frombuffer(b"".join(fingerprint(t) for t in texts(batch.column("text"))), np.int64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(WORDS))], names=["doc_id", "row_hash", *_FP])
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             own = [shingles(t, shingle).view(np.int64) for t in texts(batch.column("text"))]
@@ -196,19 +189,15 @@ def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> Dat
         roots = connected_components(links.distinct())
         return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
 
-    src = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
-    fps = materialize(src.mapInArrow(wide, "doc_id long, row_hash long, " + ", ".join(f"{c} long" for c in _FP)), "wide")
-    known = materialize(fps.groupBy(F.col("row_hash").alias("node")).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in _FP]), "texts")
-    near = materialize(connected_components(candidate_links(known)).select("node", "root"), "near")
-    chosen = near.join(known.select("node", "rep"), "node")
-    mine = src.join(chosen, (src.row_hash == chosen.node) & (src.doc_id == chosen.rep)).select("node", "root", "text")
+    chosen = near.join(known.select("node", "rep", F.col("row_hash").alias("hash")), "node")
+    mine = src.join(chosen, (src.row_hash == chosen.hash) & (src.doc_id == chosen.rep)).select("node", "root", "text")
     held = materialize(mine.mapInArrow(sets, "node long, root long, runs array<long>").dropDuplicates(["node"]), "sets")
     # Groups that one task cannot hold are compared part by part first; parts of near copies leave few labels. Then one
     # text of each label meets those of the other parts, and only groups that are still apart compare all their texts.
     weight = F.size("runs")
     parts = held.groupBy("root").agg(F.sum(weight).alias("n")).select("root", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
     own = held.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.greatest("parts", F.lit(1))).cast("int"))
-    local = own.select("node", "root", "runs", "part").repartition(partitions(docs.sparkSession), "root", "part").sortWithinPartitions("root", "part")
+    local = own.select("node", "root", "runs", "part").repartition(partitions(src.sparkSession), "root", "part").sortWithinPartitions("root", "part")
     links = [materialize(local.mapInArrow(verify, "a long, b long"), "local")]
     large = held.join(parts.filter("parts > 1").select("root"), "root")
     for whole in (False, True) if not large.isEmpty() else ():
@@ -218,7 +207,27 @@ def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> Dat
         rows = rows.join(apart, "root", "left_semi").select("node", "root", "runs", "label")
         rows = rows if whole else rows.filter("node = label")
         links.append(materialize(_deal(rows, "root", GROUP, "node", weight).mapInArrow(verify, "a long, b long"), "links"))
-    roots = joined(links, held).withColumnRenamed("label", "root")
+    return joined(links, held).withColumnRenamed("label", "root")
+
+
+def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(row_hash, component_id) for every distinct text that has a doc_id.
+
+    component_id is the smallest doc_id of the texts reachable over pairs of Jaccard similarity ``least`` or more of their
+    sets of ``shingle`` words. Texts without words are alike. Candidates meet as candidate_links says; whatever chains of
+    candidates join is compared exactly, so no link is false and a missed candidate is the only way to miss one.
+    """
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            fp = np.frombuffer(b"".join(fingerprint(t) for t in texts(batch.column("text"))), np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(WORDS))], names=["doc_id", "row_hash", *_FP])
+
+    src = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
+    fps = materialize(src.mapInArrow(wide, "doc_id long, row_hash long, " + ", ".join(f"{c} long" for c in _FP)), "wide")
+    known = materialize(fps.groupBy(F.col("row_hash").alias("node")).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in _FP]), "texts")
+    near = materialize(connected_components(candidate_links(known)).select("node", "root"), "near")
+    roots = verified_links(src, known.withColumn("row_hash", F.col("node")), near, least, shingle)
     joined_ = known.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     first = joined_.groupBy("root").agg(F.min("rep").alias("component_id"))
     return joined_.join(first, "root").select(F.col("node").alias("row_hash"), "component_id")
