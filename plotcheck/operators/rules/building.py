@@ -9,22 +9,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotcheck.functions import geometry as g
+from plotcheck.functions import rings as r
 from plotcheck.operators import spatial as s
 from plotcheck.operators.rules import limits as lim
 from plotcheck.storage import materialize
 
 
 def walls(placements: DataFrame, terrain: DataFrame, res: float = 40.0) -> DataFrame:
-    """Four walls of each placement: kind, and mean height above the ground at nine samples of each."""
+    """Four walls of each placement: kind, mean height above the ground at nine samples, and height at both ends (start, end).
+
+    The floor lies at the highest corner. Samples without terrain do not count (``n`` do); a wall without any has no row.
+    """
     e = s.box_edges(placements, "obj_id", "eaves", "ridge")
     long = F.expr("CASE WHEN x2 - x1 >= y2 - y1 THEN 0 ELSE 1 END")
     axis = placements.select("obj_id", long.alias("axis"))
     kind = F.when(F.col("ridge") <= F.col("eaves"), "flat").when(F.col("seg") % 2 == F.col("axis"), "eave").otherwise("gable")
     at = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumns({"x": F.expr("ax + (bx - ax) * k / 8"), "y": F.expr("ay + (by_ - ay) * k / 8")})
     z = at.withColumns({"col": F.floor(F.col("x") / res), "row_": F.floor(F.col("y") / res)}).join(terrain.select("col", "row_", "z"), ["col", "row_"])
-    ground = z.groupBy("obj_id", "seg", "eaves", "ridge").agg(F.avg("z").alias("ground"), F.count("*").alias("n"))
-    top = ground.groupBy("obj_id").agg(F.max("ground").alias("floor_"))
-    return ground.join(top, "obj_id").join(axis, "obj_id").select("obj_id", "seg", kind.alias("kind"), (F.col("eaves") + F.col("floor_") - F.col("ground")).alias("height"), "n")
+    end = lambda k: F.max(F.when(F.col("k") == k, F.col("z")))
+    ground = z.groupBy("obj_id", "seg", "eaves", "ridge").agg(F.avg("z").alias("ground"), F.count("*").alias("n"), end(0).alias("z0"), end(8).alias("z8"))
+    top = ground.groupBy("obj_id").agg(F.max("z0").alias("floor_"))
+    over = lambda c: F.col("eaves") + F.col("floor_") - F.col(c)
+    return ground.join(top, "obj_id").join(axis, "obj_id").select("obj_id", "seg", kind.alias("kind"), over("ground").alias("height"), over("z0").alias("start"), over("z8").alias("end"), "n")
 
 
 def roof_share(pitch: Column, rise: Column) -> Column:
@@ -58,43 +64,156 @@ def parcel_gap(objects: DataFrame, edges: DataFrame) -> DataFrame:
     return inside.join(d, "obj_id")
 
 
-def setback_check(objects: DataFrame, edges: DataFrame) -> DataFrame:
-    """Area of the four setback rectangles of each object that lies outside its own parcel, and the status: over 0.05 m2 is bad.
+def setback_walls(objects: DataFrame, terrain: DataFrame) -> DataFrame:
+    """(obj_id, walls): what the law asks of each wall of planned ``objects`` (obj_id, box, eaves, ridge, pitch), one array an object.
 
-    ``objects`` have depth. On parcels, convex and counter-clockwise, the rectangle's part inside is clipped exactly.
+    Each wall has its ends, kind, ``h7`` (mean height with the roof's share at the boundary), ``h4`` (the higher end with the
+    roof's share for the setback), and its setback area on the ground: a trapezoid, as depths at both ends differ on a
+    slope, as ``ring`` and ``edges`` (counter-clockwise). Where terrain is missing under an object, its ground is level.
     """
-    rect = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("x1").alias("x1"), (F.col("y1") - F.col("depth")).alias("y1"), F.col("x2").alias("x2"), F.col("y1").alias("y2")),
-        F.struct(F.lit(1).alias("side"), F.col("x2").alias("x1"), F.col("y1").alias("y1"), (F.col("x2") + F.col("depth")).alias("x2"), F.col("y2").alias("y2")),
-        F.struct(F.lit(2).alias("side"), F.col("x1").alias("x1"), F.col("y2").alias("y1"), F.col("x2").alias("x2"), (F.col("y2") + F.col("depth")).alias("y2")),
-        F.struct(F.lit(3).alias("side"), (F.col("x1") - F.col("depth")).alias("x1"), F.col("y1").alias("y1"), F.col("x1").alias("x2"), F.col("y2").alias("y2")),
-    )
-    r = objects.select("obj_id", "parcel_id", F.explode(rect).alias("r")).select("obj_id", "parcel_id", "r.*").withColumn("a_id", F.col("obj_id") * 4 + F.col("side"))
-    e = edges.withColumnRenamed("parcel_id", "b_id")
-    inside = s.overlap_area(s.box_edges(r, "a_id"), e, r.select("a_id", F.col("parcel_id").alias("b_id"))).select("a_id", F.col("area").alias("inside"))
-    out = r.join(inside, "a_id", "left").withColumn("outside", F.expr("(x2 - x1) * (y2 - y1)") - F.coalesce("inside", F.lit(0.0)))
-    return out.groupBy("obj_id").agg(F.sum("outside").alias("outside")).withColumn("status", F.when(F.col("outside") > 0.05, "bad").otherwise("ok"))
-
-
-def placement_findings(objects: DataFrame, parcels: DataFrame, edges: DataFrame, obstacles: DataFrame) -> DataFrame:
-    """All findings of each planned object, the first as headline: outside, collision, outer area, size, setback, boundary."""
-    gap = parcel_gap(objects, edges)
-    hit = s.collisions(objects, obstacles).filter("kind = 'collision'").select("obj_id").distinct().withColumn("hit", F.lit(True))
-    occupied = s.side_occupancy(objects, edges).select("parcel_id", F.col("status").alias("boundary"))
-    o = objects.join(parcels.select("parcel_id", "zone"), "parcel_id").join(gap, "obj_id").join(hit, "obj_id", "left").join(occupied, "parcel_id", "left")
-    area, volume = F.expr("(x2 - x1) * (y2 - y1)"), F.expr("(x2 - x1) * (y2 - y1) * (eaves + ridge) / 2")
-    privileged = F.col("eaves") <= lim.BOUNDARY_HEIGHT + 1e-9
-    checks = [
-        ("outside", ~F.col("inside")),
-        ("collision", F.coalesce("hit", F.lit(False))),
-        ("outer_area", (F.col("zone") == "aussen") & (volume > lim.OUTER_VOLUME + 1e-9)),
-        ("size", F.when(F.col("klasse") == "carport_garage", area > lim.CARPORT_AREA + 1e-9).otherwise(volume > lim.SHED_VOLUME + 1e-9)),
-        ("setback", (F.col("distance") < lim.SETBACK_LEAST - 1e-6) & ~privileged),
-        ("boundary", F.coalesce(F.col("boundary") == "bad", F.lit(False)) & (F.col("distance") < lim.SETBACK_LEAST - 1e-6)),
+    w = walls(objects, terrain)
+    known = w.groupBy("obj_id").agg((F.sum("n") == 36).alias("known"))
+    roof = objects.select("obj_id", (F.col("ridge") - F.col("eaves")).alias("rise"), "pitch", F.col("eaves").alias("level"))
+    flat = F.when(F.col("ridge") <= F.col("eaves"), "flat").when(F.col("seg") % 2 == F.col("axis"), "eave").otherwise("gable")
+    e = s.box_edges(objects.withColumn("axis", F.expr("CASE WHEN x2 - x1 >= y2 - y1 THEN 0 ELSE 1 END")), "obj_id", "eaves", "ridge", "axis").withColumn("kind", flat).drop("eaves", "ridge", "axis")
+    j = e.join(w.drop("kind", "n"), ["obj_id", "seg"], "left").join(known, "obj_id", "left").join(roof, "obj_id")
+    height = lambda c: F.when(F.coalesce("known", F.lit(False)), F.col(c)).otherwise(F.col("level"))
+    j = j.withColumns({"mean": height("height"), "start": height("start"), "end": height("end")})
+    j = boundary_wall_height(j).withColumnRenamed("height", "h7")
+    add = F.when(F.col("kind") == "flat", 0.0).otherwise(roof_share(F.col("pitch"), F.col("rise")))
+    depth = lambda c: F.greatest(F.lit(lim.SETBACK_LEAST), lim.SETBACK_FACTOR * (F.col(c) + add))
+    length = F.expr("sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))")
+    j = j.withColumns({"nx": F.expr("by_ - ay") / length, "ny": F.expr("ax - bx") / length, "ta": depth("start"), "tb": depth("end"), "h4": F.greatest("start", "end") + add})
+    p = lambda x, y, t: r.point(F.col(x) + F.col("nx") * t, F.col(y) + F.col("ny") * t)
+    j = j.withColumn("ring", F.array(p("ax", "ay", F.lit(0.0)), p("ax", "ay", F.col("ta")), p("bx", "by_", F.col("tb")), p("bx", "by_", F.lit(0.0))))
+    j = j.withColumn("edges", r.edges_of(F.col("ring")))
+    wall = F.struct("seg", "kind", "h7", "open", "h4", *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by_")], "ring", "edges")
+    return j.groupBy("obj_id").agg(F.array_sort(F.collect_list(wall)).alias("walls"))
+
+
+def house_areas(buildings: DataFrame) -> DataFrame:
+    """(parcel_id, house, house_ring, house_edges, house_walls) of standing ``buildings`` (boxes with eaves and ridge): their outline, and the setback area of each wall over 0.3 m.
+
+    Pitch is unknown: the roof counts by a third. Without eaves a building has no setback areas.
+    """
+    depth = F.greatest(F.lit(lim.SETBACK_LEAST), lim.SETBACK_FACTOR * (F.col("eaves") + F.greatest(F.lit(0.0), F.coalesce("ridge", "eaves") - F.col("eaves")) / 3))
+    corner = [r.point(F.col(x), F.col(y)) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))]
+    b = buildings.select("parcel_id", F.col("obj_id").alias("house"), F.array(*corner).alias("house_ring"), depth.alias("t"), F.col("eaves").isNotNull().alias("known")).withColumn("house_edges", r.edges_of(F.col("house_ring")))
+    length = lambda e: F.hypot(e["bx"] - e["ax"], e["by_"] - e["ay"])
+
+    def area_before(e: Column) -> Column:
+        nx, ny = (e["by_"] - e["ay"]) / length(e) * F.col("t"), (e["ax"] - e["bx"]) / length(e) * F.col("t")
+        ring = F.array(r.point(e["ax"], e["ay"]), r.point(e["ax"] + nx, e["ay"] + ny), r.point(e["bx"] + nx, e["by_"] + ny), r.point(e["bx"], e["by_"]))
+        return F.struct(e["ax"].alias("ax"), e["ay"].alias("ay"), e["bx"].alias("bx"), e["by_"].alias("by_"), ring.alias("ring"), r.edges_of(ring).alias("edges"))
+
+    areas = F.transform(F.filter("house_edges", lambda e: length(e) > 0.3), area_before)
+    return b.select("parcel_id", "house", "house_ring", "house_edges", F.when(F.col("known"), areas).otherwise(F.array()).alias("house_walls"))
+
+
+#: Area in square metres that counts as an overlap of setback areas.
+SHARED = 0.05
+#: Walls that meet at more degrees may have setback areas in common.
+WALL_ANGLE = 75.0
+
+
+def setback_check(objects: DataFrame, edges: DataFrame, terrain: DataFrame, own: DataFrame) -> DataFrame:
+    """Setback areas of planned objects against their parcel (convex or not) and against the own buildings ``own`` on it.
+
+    outside: the most square metres of one wall's area beyond the parcel; overlap: the most that it shares with the area of a
+    building's wall at 75 degrees or less to it; in_house: the object stands in a building's area; house_in: a building stands
+    in the object's. Status is bad if any of them holds, by over 0.05 m2. Objects of parcels without outline have no row.
+    """
+    plot = edges.groupBy("parcel_id").agg(F.array_sort(F.collect_list(F.struct("seg", *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by_")]))).alias("plot"))
+    corner = [r.point(F.col(x), F.col(y)) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))]
+    o = objects.select("obj_id", "parcel_id", F.array(*corner).alias("fp")).join(plot, "parcel_id").join(setback_walls(objects, terrain), "obj_id")
+    beyond = F.transform("walls", lambda w: F.greatest(F.lit(0.0), r.area(w["ring"]) - r.clip_area(r.ring_of(F.col("plot")), w["edges"])))
+    o = o.withColumn("outside", F.array_max(beyond))
+    met = o.select("obj_id", "parcel_id", "fp", "walls").join(house_areas(own), "parcel_id")
+    turn = lambda a, b: F.abs(F.degrees(F.atan2(a["by_"] - a["ay"], a["bx"] - a["ax"]) - F.atan2(b["by_"] - b["ay"], b["bx"] - b["ax"]))) % 180
+    angle = lambda a, b: F.least(turn(a, b), 180 - turn(a, b))
+    shared = F.flatten(F.transform("walls", lambda w: F.transform(F.filter("house_walls", lambda h: angle(w, h) <= WALL_ANGLE), lambda h: r.clip_area(h["ring"], w["edges"]))))
+    in_house = F.exists("house_walls", lambda h: r.clip_area(F.col("fp"), h["edges"]) > SHARED)
+    house_in = F.exists("walls", lambda w: (r.clip_area(F.col("house_ring"), w["edges"]) > SHARED) | F.exists("house_ring", lambda p: r.contains(w["edges"], p)))
+    each = met.select("obj_id", F.coalesce(F.array_max(shared), F.lit(0.0)).alias("overlap"), in_house.alias("in_house"), house_in.alias("house_in"))
+    houses = each.groupBy("obj_id").agg(F.max("overlap").alias("overlap"), F.bool_or("in_house").alias("in_house"), F.bool_or("house_in").alias("house_in"))
+    no = F.lit(False)
+    out = o.select("obj_id", "outside").join(houses, "obj_id", "left").select("obj_id", "outside", F.coalesce("overlap", F.lit(0.0)).alias("overlap"), F.coalesce("in_house", no).alias("in_house"), F.coalesce("house_in", no).alias("house_in"))
+    bad = (F.col("outside") > SHARED) | (F.col("overlap") > SHARED) | F.col("in_house") | F.col("house_in")
+    return out.withColumn("status", F.when(bad, "bad").otherwise("ok"))
+
+
+#: Findings in their order; the first is the headline.
+FINDINGS = ("outside", "collision", "outer_area", "size", "setback_neighbour", "setback_house", "boundary_room", "boundary_height", "boundary_side", "boundary_total")
+
+
+def boundary_segments(objects: DataFrame, edges: DataFrame) -> DataFrame:
+    """(parcel_id, obj_id, seg, side, distance, length) of boxes against each edge of their parcel."""
+    e = edges if "side" in edges.columns else edges.withColumn("side", F.col("seg"))
+    length = s.projected_length(s.box_corners(objects, "parcel_id", "obj_id"), e)
+    d = s.polygon_distance(s.as_outline(s.box_edges(objects, "parcel_id", "obj_id"), "parcel_id", "obj_id"), e, "parcel_id", ("parcel_id", "obj_id", "seg", "side"))
+    return d.join(length, ["parcel_id", "obj_id", "seg"])
+
+
+def placement_findings(objects: DataFrame, parcels: DataFrame, edges: DataFrame, buildings: DataFrame, inventory: DataFrame, terrain: DataFrame) -> DataFrame:
+    """(obj_id, findings, headline, status) of planned sheds and carports (klasse; room, fireplace, pitch), as FINDINGS orders them.
+
+    ``buildings``: all houses, those of the object's own parcel count for setbacks; ``inventory``: small objects with klasse and
+    provenance. An object is near an edge if it keeps less than its wall facing it asks for, or 3 m. Up to 3 m of mean wall
+    height, without room and fireplace, it needs no setback area. Boundary build-up counts all planned objects and the confirmed
+    inventory of a parcel. Without a finding, a room or fireplace warns: fire safety is not judged.
+    """
+    walls_ = setback_walls(objects, terrain)
+    plot = edges.groupBy("parcel_id").agg(F.array_sort(F.collect_list(F.struct("seg", *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by_")]))).alias("plot"))
+    corner = [r.point(F.col(x), F.col(y)) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))]
+    within = objects.select("obj_id", "parcel_id", F.array(*corner).alias("fp")).join(plot, "parcel_id").select("obj_id", r.inside(F.col("fp"), r.edges_of(F.col("fp")), r.ring_of(F.col("plot"))).alias("inside"))
+    # Collisions: houses, other planned objects of the parcel, and inventory that a person has seen.
+    solid = inventory.filter((F.col("provenance") != "erkannt") & F.col("klasse").isin(*lim.BUILDING_CLASSES, "pool", "teich"))
+    boxes = lambda d, of: d.select("obj_id", of.alias("of"), "x1", "y1", "x2", "y2")
+    none = F.lit(None).cast("long")
+    block = boxes(buildings, none).unionByName(boxes(solid, none)).unionByName(boxes(objects, F.col("parcel_id").cast("long")))
+    met = s.box_join(objects.select("obj_id", F.col("parcel_id").cast("long").alias("of"), "x1", "y1", "x2", "y2"), block).filter((F.col("l_obj_id") != F.col("r_obj_id")) & (F.col("r_of").isNull() | (F.col("r_of") == F.col("l_of"))))
+    hit = met.filter(F.expr(g.box_overlap("l_", "r_")) > 0.01).select(F.col("l_obj_id").alias("obj_id")).distinct().withColumn("hit", F.lit(True))
+    # Boundary build-up: each object with its longest extent along a side.
+    counted = inventory.join(counted_inventory(inventory, edges).filter("counts").select("obj_id"), "obj_id")
+    small = lambda d: d.select("parcel_id", "obj_id", "x1", "y1", "x2", "y2")
+    segs = boundary_segments(small(objects).unionByName(small(counted)), edges)
+    most = segs.filter(F.col("distance") < lim.SETBACK_LEAST - 1e-6).groupBy("parcel_id", "obj_id", "side").agg(F.max("length").alias("length"))
+    sides = most.groupBy("parcel_id", "side").agg(F.sum("length").alias("sum"))
+    total = sides.groupBy("parcel_id").agg(F.sum("sum").alias("total"))
+    # The wall that faces an edge: its middle is nearest, the first of equal ones.
+    mine = segs.join(objects.select("obj_id"), "obj_id", "left_semi").join(walls_.select("obj_id", "walls"), "obj_id").join(edges.select("parcel_id", "seg", "ax", "ay", "bx", "by_"), ["parcel_id", "seg"])
+    middle = F.transform("walls", lambda w: F.struct(((w["ax"] + w["bx"]) / 2).alias("mx"), ((w["ay"] + w["by_"]) / 2).alias("my"), w["h7"].alias("h7"), w["h4"].alias("h4")))
+    mine = mine.withColumn("w", F.explode(middle)).select("obj_id", "parcel_id", "seg", "side", "distance", "w.*", F.expr(g.point_segment_distance("w.mx", "w.my", "ax", "ay", "bx", "by_")).alias("d"), F.monotonically_increasing_id().alias("nth"))
+    gathered = mine.groupBy("obj_id", "parcel_id", "seg", "side", "distance").agg(F.array_sort(F.collect_list(F.struct("nth", "d", "h7", "h4"))).alias("w"))
+    start = F.struct(F.lit(float("inf")).alias("d"), F.lit(0.0).alias("h7"), F.lit(0.0).alias("h4"))
+    facing = F.aggregate("w", start, lambda best, w: F.when(w["d"] < best["d"] - 1e-6, F.struct(w["d"].alias("d"), w["h7"].alias("h7"), w["h4"].alias("h4"))).otherwise(best))
+    near = gathered.withColumn("face", facing).filter(F.col("distance") < F.greatest(F.lit(lim.SETBACK_LEAST), lim.SETBACK_FACTOR * F.col("face.h4")) - 1e-6)
+    near = near.join(sides, ["parcel_id", "side"], "left").groupBy("obj_id").agg(F.lit(True).alias("near"), F.bool_or(F.col("face.h7") > lim.BOUNDARY_HEIGHT + 1e-9).alias("high"), F.bool_or(F.coalesce("sum", F.lit(0.0)) > lim.SIDE_LIMIT + 1e-6).alias("side_over"))
+    check = setback_check(objects, edges, terrain, buildings).select("obj_id", "outside", ((F.col("overlap") > SHARED) | F.col("in_house") | F.col("house_in")).alias("by_house"))
+    o = objects.join(parcels.select("parcel_id", "zone"), "parcel_id").join(within, "obj_id").join(walls_.select("obj_id", F.array_max(F.transform("walls", lambda w: w["h7"])).alias("h7")), "obj_id").join(check, "obj_id")
+    o = o.join(hit, "obj_id", "left").join(near, "obj_id", "left").join(total, "parcel_id", "left")
+    size, outer = F.expr("(x2 - x1) * (y2 - y1)"), F.col("zone") == "aussen"
+    volume = size * (F.col("eaves") + F.greatest(F.lit(0.0), F.col("ridge") - F.col("eaves")) / 2)
+    carport = F.col("klasse") == "carport_garage"
+    plain = carport | ~(F.coalesce("room", F.lit(False)) | F.coalesce("fireplace", F.lit(False)))
+    is_near = F.coalesce("near", F.lit(False))
+    asks = ~(plain & (F.col("h7") <= lim.BOUNDARY_HEIGHT + 1e-9)) & ~is_near
+    holds = [
+        ~F.col("inside"),
+        F.coalesce("hit", F.lit(False)),
+        outer,
+        F.when(carport, size > lim.CARPORT_AREA + 1e-9).otherwise(volume > F.when(outer, lim.OUTER_VOLUME).otherwise(lim.SHED_VOLUME) + 1e-9),
+        asks & (F.col("outside") > SHARED),
+        asks & F.col("by_house"),
+        is_near & ~plain,
+        is_near & F.col("high"),
+        is_near & F.col("side_over"),
+        is_near & (F.coalesce("total", F.lit(0.0)) > lim.TOTAL_LIMIT + 1e-6),
     ]
-    found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks]))
-    o = o.withColumn("found", found)
-    return o.select("obj_id", F.array_join("found", ",").alias("findings"), F.coalesce(F.get("found", F.lit(0)), F.lit("ok")).alias("headline"), F.when(F.size("found") == 0, "ok").otherwise("bad").alias("status"))
+    o = o.select("obj_id", plain.alias("plain"), F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in zip(FINDINGS, holds, strict=True)])).alias("found"))
+    some = F.size("found") > 0
+    headline = F.when(some, F.get("found", F.lit(0))).when(F.col("plain"), "ok").otherwise("fire_safety")
+    return o.select("obj_id", F.array_join("found", ",").alias("findings"), headline.alias("headline"), F.when(some, "bad").when(F.col("plain"), "ok").otherwise("warn").alias("status"))
 
 
 def key_figures(objects: DataFrame) -> DataFrame:

@@ -20,13 +20,14 @@ WALLS = """
 WITH o AS (SELECT *, CASE WHEN x2 - x1 >= y2 - y1 THEN 0 ELSE 1 END AS axis FROM footprint WHERE role = 1),
 e AS (SELECT obj_id, axis, eaves, ridge, 0 AS seg, x1 AS ax, y1 AS ay, x2 AS bx, y1 AS by_ FROM o UNION ALL SELECT obj_id, axis, eaves, ridge, 1, x2, y1, x2, y2 FROM o UNION ALL SELECT obj_id, axis, eaves, ridge, 2, x2, y2, x1, y2 FROM o UNION ALL SELECT obj_id, axis, eaves, ridge, 3, x1, y2, x1, y1 FROM o),
 p AS (SELECT e.*, unnest(generate_series(0, 8)) AS k FROM e), q AS (SELECT *, CAST(floor((ax + (bx - ax) * k / 8) / 40) AS BIGINT) AS col, CAST(floor((ay + (by_ - ay) * k / 8) / 40) AS BIGINT) AS row_ FROM p),
-z AS (SELECT obj_id, axis, eaves, ridge, seg, avg(z) AS ground, count(*) AS n FROM q JOIN terrain_cell t ON t.col = q.col AND t.row_ = q.row_ GROUP BY obj_id, axis, eaves, ridge, seg)
-SELECT obj_id, seg, CASE WHEN ridge <= eaves THEN 'flat' WHEN seg % 2 = axis THEN 'eave' ELSE 'gable' END AS kind, round(eaves + max(ground) OVER (PARTITION BY obj_id) - ground, 6) AS height, n FROM z"""
+z AS (SELECT obj_id, axis, eaves, ridge, seg, avg(z) AS ground, count(*) AS n, max(CASE WHEN k = 0 THEN z END) AS z0, max(CASE WHEN k = 8 THEN z END) AS z8 FROM q JOIN terrain_cell t ON t.col = q.col AND t.row_ = q.row_ GROUP BY obj_id, axis, eaves, ridge, seg),
+f AS (SELECT *, eaves + max(z0) OVER (PARTITION BY obj_id) AS top FROM z)
+SELECT obj_id, seg, CASE WHEN ridge <= eaves THEN 'flat' WHEN seg % 2 = axis THEN 'eave' ELSE 'gable' END AS kind, round(top - ground, 6) AS height, round(top - z0, 6) AS "start", round(top - z8, 6) AS "end", n FROM f"""
 
 
 @query("walls", WALLS)
 def _(view):
-    return rounded(b.walls(role(view, 1), view("terrain_cell")), "height")
+    return rounded(b.walls(role(view, 1), view("terrain_cell")), "height", "start", "end")
 
 
 _H = f"eaves + CASE WHEN {PITCH} > 70 THEN ridge - eaves ELSE (ridge - eaves) / 3 END"
@@ -51,30 +52,84 @@ def _(view):
     return rounded(b.boundary_wall_height(w.join(roof, "obj_id")).select("obj_id", "seg", "height", "open"), "height").withColumn("privileged", F.col("height") <= lim.BOUNDARY_HEIGHT + 1e-9)
 
 
-@query("setback_check")
-def _(view):
-    objects = b.setback(role(view, 1).withColumn("pitch", F.expr(PITCH))).filter("x2 > x1 AND y2 > y1")
-    return rounded(b.setback_check(objects, view("parcel_edge")), "outside", digits=4)
+#: Own houses, some of them without known eaves, and the setback depth that their walls take.
+_OWN = "SELECT obj_id, parcel_id, x1, y1, x2, y2, CASE WHEN obj_id % 70 <> 0 THEN eaves END AS eaves, ridge FROM footprint WHERE role = 0"
+_DEPTH = "greatest(3e0, 0.4e0 * (eaves + greatest(0, ridge - eaves) / 3))"
+
+
+def _own(view):
+    return role(view, 0).withColumn("eaves", F.expr("CASE WHEN obj_id % 70 <> 0 THEN eaves END"))
+
+
+_SHARE = "CASE WHEN pitch > 70 THEN 1 ELSE 1 / 3e0 END"
+_EDGES4 = "SELECT {c}, 0 AS seg, x1 AS ax, y1 AS ay, x2 AS bx, y1 AS by_ FROM {t} UNION ALL SELECT {c}, 1, x2, y1, x2, y2 FROM {t} UNION ALL SELECT {c}, 2, x2, y2, x1, y2 FROM {t} UNION ALL SELECT {c}, 3, x1, y2, x1, y1 FROM {t}"
+#: CTEs of the setback areas: wl (walls of planned objects), ar (areas that two polygons share), chk (the check).
+#: Polygons pg: T a wall's area, P a parcel, H the area of a house's wall, B a house, F a planned object.
+_AREAS = f"""o1 AS (SELECT *, {PITCH} AS pitch, CASE WHEN x2 - x1 >= y2 - y1 THEN 0 ELSE 1 END AS axis, ridge - eaves AS rise FROM footprint WHERE role = 1),
+e1 AS ({_EDGES4.format(c='obj_id, parcel_id, eaves, ridge, pitch, axis, rise', t='o1')}),
+k1 AS (SELECT e1.*, unnest(generate_series(0, 8)) AS k FROM e1), q1 AS (SELECT *, CAST(floor((ax + (bx - ax) * k / 8) / 40) AS BIGINT) AS col, CAST(floor((ay + (by_ - ay) * k / 8) / 40) AS BIGINT) AS row_ FROM k1),
+z1 AS (SELECT obj_id, seg, avg(z) AS ground, count(z) AS n, max(CASE WHEN k = 0 THEN z END) AS z0, max(CASE WHEN k = 8 THEN z END) AS z8 FROM q1 LEFT JOIN terrain_cell t ON t.col = q1.col AND t.row_ = q1.row_ GROUP BY obj_id, seg),
+n1 AS (SELECT obj_id, sum(n) = 36 AS known, max(z0) AS top FROM z1 GROUP BY obj_id),
+w0 AS (SELECT e1.*, CASE WHEN known THEN eaves + top - ground ELSE eaves END AS mean, CASE WHEN known THEN eaves + top - z0 ELSE eaves END AS wa, CASE WHEN known THEN eaves + top - z8 ELSE eaves END AS wb, CASE WHEN ridge <= eaves THEN 'flat' WHEN e1.seg % 2 = axis THEN 'eave' ELSE 'gable' END AS kind,
+  sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS len FROM e1 JOIN z1 ON z1.obj_id = e1.obj_id AND z1.seg = e1.seg JOIN n1 ON n1.obj_id = e1.obj_id),
+w1 AS (SELECT *, CASE WHEN kind = 'flat' THEN 0e0 ELSE rise * {_SHARE} END AS plus, mean + CASE WHEN rise <= 0 OR pitch <= 45 THEN 0 WHEN kind = 'eave' THEN rise * {_SHARE} ELSE greatest(rise / 2, rise * {_SHARE}) END AS h7, (by_ - ay) / len AS nx, (ax - bx) / len AS ny FROM w0),
+wl AS (SELECT *, greatest(wa, wb) + plus AS h4, greatest(3e0, 0.4e0 * (wa + plus)) AS ta, greatest(3e0, 0.4e0 * (wb + plus)) AS tb FROM w1),
+ho AS (SELECT *, {_DEPTH} AS t FROM ({_OWN})), he AS ({_EDGES4.format(c='obj_id, parcel_id, t', t='ho WHERE eaves IS NOT NULL')}),
+hw AS (SELECT *, sign(by_ - ay) AS nx, sign(ax - bx) AS ny FROM he),
+pg AS (SELECT concat('T', obj_id, '_', seg) AS id, 0 AS k, ax AS x, ay AS y FROM wl UNION ALL SELECT concat('T', obj_id, '_', seg), 1, ax + nx * ta, ay + ny * ta FROM wl UNION ALL SELECT concat('T', obj_id, '_', seg), 2, bx + nx * tb, by_ + ny * tb FROM wl UNION ALL SELECT concat('T', obj_id, '_', seg), 3, bx, by_ FROM wl
+  UNION ALL SELECT concat('H', obj_id, '_', seg), 0, ax, ay FROM hw UNION ALL SELECT concat('H', obj_id, '_', seg), 1, ax + nx * t, ay + ny * t FROM hw UNION ALL SELECT concat('H', obj_id, '_', seg), 2, bx + nx * t, by_ + ny * t FROM hw UNION ALL SELECT concat('H', obj_id, '_', seg), 3, bx, by_ FROM hw
+  UNION ALL SELECT concat('P', parcel_id), seg, ax, ay FROM parcel_edge UNION ALL SELECT concat('F', obj_id), seg, ax, ay FROM e1 UNION ALL SELECT concat('B', obj_id), seg, ax, ay FROM ({_EDGES4.format(c='obj_id', t='ho')})),
+pe AS (SELECT id, k, x AS ax, y AS ay, coalesce(lead(x) OVER (PARTITION BY id ORDER BY k), first_value(x) OVER (PARTITION BY id ORDER BY k)) AS bx, coalesce(lead(y) OVER (PARTITION BY id ORDER BY k), first_value(y) OVER (PARTITION BY id ORDER BY k)) AS by_ FROM pg),
+pr AS (SELECT 'plot' AS kind, obj_id, concat('T', obj_id, '_', seg) AS a, concat('P', parcel_id) AS b FROM wl UNION ALL SELECT 'wall', wl.obj_id, concat('T', wl.obj_id, '_', wl.seg), concat('H', hw.obj_id, '_', hw.seg) FROM wl JOIN hw ON hw.parcel_id = wl.parcel_id AND (wl.seg + hw.seg) % 2 = 0
+  UNION ALL SELECT 'in_house', o1.obj_id, concat('F', o1.obj_id), concat('H', hw.obj_id, '_', hw.seg) FROM o1 JOIN hw ON hw.parcel_id = o1.parcel_id UNION ALL SELECT 'house_in', wl.obj_id, concat('T', wl.obj_id, '_', wl.seg), concat('B', ho.obj_id) FROM wl JOIN ho ON ho.parcel_id = wl.parcel_id
+  UNION ALL SELECT 'inside', obj_id, concat('F', obj_id), concat('P', parcel_id) FROM o1),
+me AS (SELECT pr.kind, pr.obj_id, pr.a, pr.b, p.k AS pk, q.k AS qk, p.ax AS pax, p.ay AS pay, p.bx AS pbx, p.by_ AS pby, q.ax AS qax, q.ay AS qay, q.bx AS qbx, q.by_ AS qby FROM pr JOIN pe p ON p.id = pr.a JOIN pe q ON q.id = pr.b),
+co AS (SELECT a, b, pax AS x, pay AS y FROM me GROUP BY a, b, pk, pax, pay HAVING bool_and({g.cross('qax', 'qay', 'qbx', 'qby', 'pax', 'pay')} >= -1e-9) UNION ALL SELECT a, b, qax, qay FROM me GROUP BY a, b, qk, qax, qay HAVING bool_and({g.cross('pax', 'pay', 'pbx', 'pby', 'qax', 'qay')} >= -1e-9)
+  UNION ALL SELECT a, b, pax + t * (pbx - pax), pay + t * (pby - pay) FROM (SELECT *, ((qax - pax) * (qby - qay) - (qay - pay) * (qbx - qax)) / nullif((pbx - pax) * (qby - qay) - (pby - pay) * (qbx - qax), 0) AS t, ((qax - pax) * (pby - pay) - (qay - pay) * (pbx - pax)) / nullif((pbx - pax) * (qby - qay) - (pby - pay) * (qbx - qax), 0) AS u FROM me) WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1),
+cd AS (SELECT DISTINCT a, b, round(x, 9) AS x, round(y, 9) AS y FROM co), cm AS (SELECT *, avg(x) OVER (PARTITION BY a, b) AS mx, avg(y) OVER (PARTITION BY a, b) AS my FROM cd), ca AS (SELECT *, atan2(y - my, x - mx) AS turn FROM cm),
+cn1 AS (SELECT *, coalesce(lead(x) OVER (PARTITION BY a, b ORDER BY turn, x, y), first_value(x) OVER (PARTITION BY a, b ORDER BY turn, x, y)) AS tx, coalesce(lead(y) OVER (PARTITION BY a, b ORDER BY turn, x, y), first_value(y) OVER (PARTITION BY a, b ORDER BY turn, x, y)) AS ty FROM ca),
+ar0 AS (SELECT a, b, sum(x * ty - tx * y) / 2 AS area FROM cn1 GROUP BY a, b), ar AS (SELECT pr.*, coalesce(area, 0) AS area FROM pr LEFT JOIN ar0 ON ar0.a = pr.a AND ar0.b = pr.b),
+ch AS (SELECT obj_id, bool_or(odd) AS held FROM (SELECT obj_id, a, qk, sum(CASE WHEN {g.ray_crossing('qax', 'qay', 'pax', 'pay', 'pbx', 'pby')} THEN 1 ELSE 0 END) % 2 = 1 AS odd FROM me WHERE kind = 'house_in' GROUP BY obj_id, a, b, qk) GROUP BY obj_id),
+chk AS (SELECT o1.obj_id, max(CASE WHEN ar.kind = 'plot' THEN greatest(0, len * (ta + tb) / 2 - area) END) AS outside, coalesce(max(CASE WHEN ar.kind = 'wall' THEN area END), 0) AS overlap, coalesce(bool_or(ar.kind = 'in_house' AND area > 0.05), false) AS in_house,
+  coalesce(bool_or(ar.kind = 'house_in' AND area > 0.05), false) OR coalesce(bool_or(held), false) AS house_in FROM o1 JOIN ar ON ar.obj_id = o1.obj_id LEFT JOIN wl ON ar.kind = 'plot' AND ar.a = concat('T', wl.obj_id, '_', wl.seg) LEFT JOIN ch ON ch.obj_id = o1.obj_id GROUP BY o1.obj_id)"""
+
+
+@query("setback_check", f"WITH {_AREAS} SELECT obj_id, round(outside, 4) + 0.0e0 AS outside, round(overlap, 4) + 0.0e0 AS overlap, in_house, house_in, CASE WHEN outside > 0.05 OR overlap > 0.05 OR in_house OR house_in THEN 'bad' ELSE 'ok' END AS status FROM chk")
+def _(view):
+    objects = role(view, 1).withColumn("pitch", F.expr(PITCH))
+    return rounded(b.setback_check(objects, view("parcel_edge"), view("terrain_cell"), _own(view)), "outside", "overlap", digits=4)
 
 
 _INSIDE = f"bool_and({g.cross('ax', 'ay', 'bx', 'by_', 'aax', 'aay')} >= -1e-6)"
 _GAPS = f"gap AS (SELECT obj_id, {_INSIDE} AS inside, min({_SEGDIST}) AS distance FROM {_BOX} o JOIN parcel_edge e ON e.parcel_id = o.parcel_id WHERE role = 1 GROUP BY obj_id)"
+_KNOWN = "provenance IN ('nutzerbestätigt', 'erfasst per Tipp') AND klasse IN ('gartenhaus', 'gewaechshaus', 'carport_garage')"
 
 
 @query("placement_verdict", f"""
-WITH {_GAPS}, pl AS (SELECT *, (x2 - x1) * abs(y2 - y1) AS area FROM footprint WHERE role = 1),
-hit AS (SELECT DISTINCT a.obj_id FROM footprint a JOIN footprint c ON a.role = 1 AND c.role IN (0, 2) AND c.klasse NOT IN ('hecke', 'baum') AND a.x1 <= c.x2 AND c.x1 <= a.x2 AND a.y1 <= c.y2 AND c.y1 <= a.y2 WHERE {g.box_overlap('a.', 'c.')} > 0.05),
-seg AS (SELECT o.parcel_id, o.obj_id, seg, min({_SEGDIST}) AS dist FROM {_BOX} o JOIN parcel_edge e ON e.parcel_id = o.parcel_id WHERE role = 1 GROUP BY o.parcel_id, o.obj_id, seg),
-len AS (SELECT f.parcel_id, obj_id, seg, (x2 - x1) * abs(bx - ax) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) + (y2 - y1) * abs(by_ - ay) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS length FROM pl f JOIN parcel_edge e ON e.parcel_id = f.parcel_id),
-sd AS (SELECT seg.parcel_id, seg.seg, sum(length) AS side FROM seg JOIN len ON seg.obj_id = len.obj_id AND seg.seg = len.seg WHERE dist < 3 GROUP BY seg.parcel_id, seg.seg),
-oc AS (SELECT parcel_id, NOT (max(side) <= 9 + 1e-9 AND sum(side) <= 15 + 1e-9) AS bad FROM sd GROUP BY parcel_id),
-f AS (SELECT pl.obj_id, concat_ws(',', CASE WHEN NOT inside THEN 'outside' END, CASE WHEN hit.obj_id IS NOT NULL THEN 'collision' END, CASE WHEN p.zone = 'aussen' AND area * (eaves + ridge) / 2 > 20 + 1e-9 THEN 'outer_area' END,
-  CASE WHEN CASE WHEN klasse = 'carport_garage' THEN area > 50 + 1e-9 ELSE area * (eaves + ridge) / 2 > 75 + 1e-9 END THEN 'size' END, CASE WHEN distance < 3 - 1e-6 AND NOT (eaves <= 3 + 1e-9) THEN 'setback' END,
-  CASE WHEN coalesce(oc.bad, false) AND distance < 3 - 1e-6 THEN 'boundary' END) AS findings
-  FROM pl JOIN parcel p ON p.parcel_id = pl.parcel_id JOIN gap ON gap.obj_id = pl.obj_id LEFT JOIN hit ON hit.obj_id = pl.obj_id LEFT JOIN oc ON oc.parcel_id = pl.parcel_id)
-SELECT obj_id, findings, CASE WHEN findings = '' THEN 'ok' ELSE split_part(findings, ',', 1) END AS headline, CASE WHEN findings = '' THEN 'ok' ELSE 'bad' END AS status FROM f""")
+WITH {_AREAS}, cx AS (SELECT obj_id, parcel_id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM footprint WHERE role = 2 AND {_KNOWN}),
+ct AS (SELECT parcel_id, obj_id FROM footprint WHERE role = 1 UNION ALL SELECT cx.parcel_id, obj_id FROM cx JOIN parcel_edge e ON e.parcel_id = cx.parcel_id GROUP BY cx.parcel_id, obj_id HAVING sum(CASE WHEN {g.ray_crossing('x', 'y', 'ax', 'ay', 'bx', 'by_')} THEN 1 ELSE 0 END) % 2 = 1),
+sg AS (SELECT o.parcel_id, o.obj_id, seg, side, min({_SEGDIST}) AS dist FROM {_BOX} o JOIN ct ON ct.obj_id = o.obj_id JOIN parcel_edge e ON e.parcel_id = o.parcel_id GROUP BY o.parcel_id, o.obj_id, seg, side),
+ln AS (SELECT sg.*, ((x2 - x1) * abs(bx - ax) + (y2 - y1) * abs(by_ - ay)) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS length FROM sg JOIN footprint f ON f.obj_id = sg.obj_id JOIN parcel_edge e ON e.parcel_id = sg.parcel_id AND e.seg = sg.seg),
+sd AS (SELECT parcel_id, side, sum(length) AS side_sum FROM (SELECT parcel_id, obj_id, side, max(length) AS length FROM ln WHERE dist < 3 - 1e-6 GROUP BY parcel_id, obj_id, side) GROUP BY parcel_id, side),
+tt AS (SELECT parcel_id, sum(side_sum) AS total FROM sd GROUP BY parcel_id),
+fw AS (SELECT wl.obj_id, e.seg, max(CASE WHEN wl.seg = 0 THEN dd END) AS d0, max(CASE WHEN wl.seg = 1 THEN dd END) AS d1, max(CASE WHEN wl.seg = 2 THEN dd END) AS d2, max(CASE WHEN wl.seg = 3 THEN dd END) AS d3
+  FROM (SELECT wl.*, e.seg AS eseg, {g.point_segment_distance('(wl.ax + wl.bx) / 2', '(wl.ay + wl.by_) / 2', 'e.ax', 'e.ay', 'e.bx', 'e.by_')} AS dd FROM wl JOIN parcel_edge e ON e.parcel_id = wl.parcel_id) wl JOIN parcel_edge e ON e.parcel_id = wl.parcel_id AND e.seg = wl.eseg GROUP BY wl.obj_id, e.seg),
+f1 AS (SELECT *, CASE WHEN d1 < d0 - 1e-6 THEN 1 ELSE 0 END AS b1, CASE WHEN d1 < d0 - 1e-6 THEN d1 ELSE d0 END AS m1 FROM fw), f2 AS (SELECT *, CASE WHEN d2 < m1 - 1e-6 THEN 2 ELSE b1 END AS b2, CASE WHEN d2 < m1 - 1e-6 THEN d2 ELSE m1 END AS m2 FROM f1),
+f3 AS (SELECT obj_id, seg, CASE WHEN d3 < m2 - 1e-6 THEN 3 ELSE b2 END AS wall FROM f2),
+nr AS (SELECT ln.obj_id, bool_or(h7 > 3 + 1e-9) AS high, bool_or(coalesce(side_sum, 0) > 9 + 1e-6) AS side_over FROM ln JOIN f3 ON f3.obj_id = ln.obj_id AND f3.seg = ln.seg JOIN wl ON wl.obj_id = ln.obj_id AND wl.seg = f3.wall LEFT JOIN sd ON sd.parcel_id = ln.parcel_id AND sd.side = ln.side
+  WHERE dist < greatest(3e0, 0.4e0 * h4) - 1e-6 GROUP BY ln.obj_id),
+hit AS (SELECT DISTINCT a.obj_id FROM footprint a JOIN footprint c ON a.role = 1 AND a.obj_id <> c.obj_id AND (c.role = 0 OR c.role = 2 AND c.provenance <> 'erkannt' AND c.klasse IN ('gartenhaus', 'gewaechshaus', 'carport_garage', 'pool', 'teich') OR c.role = 1 AND c.parcel_id = a.parcel_id) AND a.x1 <= c.x2 AND c.x1 <= a.x2 AND a.y1 <= c.y2 AND c.y1 <= a.y2 WHERE {g.box_overlap('a.', 'c.')} > 0.01),
+ins AS (SELECT obj_id, area FROM ar WHERE kind = 'inside'), m7 AS (SELECT obj_id, max(h7) AS h7 FROM wl GROUP BY obj_id),
+pl AS (SELECT o1.*, klasse = 'carport_garage' AS carport, klasse = 'carport_garage' OR NOT (o1.obj_id % 3 = 0 OR o1.obj_id % 7 = 0) AS plain, (x2 - x1) * (y2 - y1) AS size, zone = 'aussen' AS outer_ FROM o1 JOIN parcel p ON p.parcel_id = o1.parcel_id),
+f AS (SELECT pl.obj_id, plain, concat_ws(',', CASE WHEN NOT ins.area >= size - 0.005 THEN 'outside' END, CASE WHEN hit.obj_id IS NOT NULL THEN 'collision' END, CASE WHEN outer_ THEN 'outer_area' END,
+  CASE WHEN CASE WHEN carport THEN size > 50 + 1e-9 ELSE size * (eaves + greatest(0, ridge - eaves) / 2) > CASE WHEN outer_ THEN 20 ELSE 75 END + 1e-9 END THEN 'size' END,
+  CASE WHEN NOT (plain AND m7.h7 <= 3 + 1e-9) AND nr.obj_id IS NULL AND outside > 0.05 THEN 'setback_neighbour' END, CASE WHEN NOT (plain AND m7.h7 <= 3 + 1e-9) AND nr.obj_id IS NULL AND (overlap > 0.05 OR in_house OR house_in) THEN 'setback_house' END,
+  CASE WHEN nr.obj_id IS NOT NULL AND NOT plain THEN 'boundary_room' END, CASE WHEN high THEN 'boundary_height' END, CASE WHEN side_over THEN 'boundary_side' END, CASE WHEN nr.obj_id IS NOT NULL AND coalesce(total, 0) > 15 + 1e-6 THEN 'boundary_total' END) AS findings
+  FROM pl JOIN chk ON chk.obj_id = pl.obj_id JOIN ins ON ins.obj_id = pl.obj_id JOIN m7 ON m7.obj_id = pl.obj_id LEFT JOIN nr ON nr.obj_id = pl.obj_id LEFT JOIN hit ON hit.obj_id = pl.obj_id LEFT JOIN tt ON tt.parcel_id = pl.parcel_id)
+SELECT obj_id, findings, CASE WHEN findings <> '' THEN split_part(findings, ',', 1) WHEN plain THEN 'ok' ELSE 'fire_safety' END AS headline, CASE WHEN findings <> '' THEN 'bad' WHEN plain THEN 'ok' ELSE 'warn' END AS status FROM f""")
 def findings(view):  # noqa: ANN001, ANN201
-    return b.placement_findings(role(view, 1), view("parcel"), view("parcel_edge"), role(view, 0, 2))
+    objects = role(view, 1).withColumns({"pitch": F.expr(PITCH), "room": F.expr("obj_id % 3 = 0"), "fireplace": F.expr("obj_id % 7 = 0")})
+    return b.placement_findings(objects, view("parcel"), view("parcel_edge"), _own(view), role(view, 2), view("terrain_cell"))
 
 
 _FIND = "SELECT obj_id, parcel_id, concat_ws(',', CASE WHEN eaves > 4 THEN 'size' END, CASE WHEN confidence > 0.7 THEN 'setback' END, CASE WHEN klasse = 'pool' THEN 'outside' END) AS findings FROM footprint WHERE role = 1"
@@ -159,9 +214,7 @@ def _(view):
     return rounded(b.road_offset(view("parcel_edge"), role(view, 8, 9)), "shift")
 
 
-#: Own houses, some of them without known eaves, and the setback depth that their walls take.
-_OWN = "SELECT obj_id, parcel_id, x1, y1, x2, y2, CASE WHEN obj_id % 70 <> 0 THEN eaves END AS eaves, ridge FROM footprint WHERE role = 0"
-_DEPTH = "greatest(3e0, 0.4e0 * (eaves + greatest(0, ridge - eaves) / 3))"
+#: Distance of a point to a box.
 _GAP_TO = "sqrt(pow(greatest(0, ({x1}) - px, px - ({x2})), 2) + pow(greatest(0, ({y1}) - py, py - ({y2})), 2))"
 _RINGS = [dict(zip(("x1", "y1", "x2", "y2"), r, strict=True)) for r in (("x1", "y1", "x2", "y2"), ("x1", "y1 - t", "x2", "y1"), ("x2", "y1", "x2 + t", "y2"), ("x1", "y2", "x2", "y2 + t"), ("x1 - t", "y1", "x1", "y2"))]
 
@@ -184,9 +237,8 @@ hp AS (SELECT po.*, CASE WHEN NOT within OR dc.pid IS NOT NULL THEN 0e0 WHEN lea
 def _model(view):
     edges = view("parcel_edge")
     shift = rounded(b.road_offset(edges, role(view, 8, 9)), "shift")
-    own = role(view, 0).withColumn("eaves", F.expr("CASE WHEN obj_id % 70 <> 0 THEN eaves END"))
     confirmed = role(view, 2).filter(F.col("klasse").isin(*lim.BUILDING_CLASSES) & F.col("provenance").isin("nutzerbestätigt", "erfasst per Tipp"))
-    return env.models(edges.join(shift, ["parcel_id", "seg"]), s.box_edges(own, "parcel_id", "obj_id", "eaves", "ridge"), s.box_edges(confirmed, "parcel_id", "obj_id"))
+    return env.models(edges.join(shift, ["parcel_id", "seg"]), s.box_edges(_own(view), "parcel_id", "obj_id", "eaves", "ridge"), s.box_edges(confirmed, "parcel_id", "obj_id"))
 
 
 _GRID = f"""SELECT row_number() OVER () AS pid, k.*, col * 0.5e0 AS px, row_ * 0.5e0 AS py FROM (SELECT c.parcel_id, col, row_ FROM c JOIN parcel_edge e ON e.parcel_id = c.parcel_id GROUP BY c.parcel_id, col, row_
