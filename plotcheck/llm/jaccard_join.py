@@ -374,7 +374,7 @@ def similar_sets(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
     # Rows without id have a set, but put nothing into the index.
     lone = src.filter("doc_id IS NULL")
     found = src.filter("doc_id IS NOT NULL").mapInArrow(lambda b: _index(b, shingle, percent, shards), _INDEX)
-    dealt = found.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = found.repartitionById(shards, "shard").sortWithinPartitions("shard")
     table = materialize(dealt.mapInArrow(_count, _SHARED), "lists")
     sets = table.filter("kind = 0").select("doc_id", "row_hash", "node", "n")
     lists = table.filter("kind = 1")

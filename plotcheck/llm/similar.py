@@ -139,12 +139,22 @@ def _links(node: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]], pa.int64()), pa.array(node[at[:, 1]], pa.int64())], names=["a", "b"])
 
 
+#: Parts in which rows of one key meet what is known of the key.
+SALTS = 16
+
+
+def _known_of(rows: DataFrame, facts: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one row of ``facts`` of their ``key``; the rows of a crowded key are dealt out by ``by``."""
+    each = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by, F.lit(3)), F.lit(SALTS)).cast("int")).join(each, [key, "__salt"], how).drop("__salt")
+
+
 def _deal(rows: DataFrame, key: str, most: int, sort: str, weight: Column | None = None) -> DataFrame:
     """Rows of one ``key`` together; if they weigh over ``most`` (one each, if not given), as all pairs of parts, each pair a run of its own (column part)."""
     hot = rows.groupBy(key).agg(F.sum(weight if weight is not None else F.lit(1)).alias("n")).filter(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("parts"))
     own = F.coalesce(F.pmod(F.xxhash64(sort, F.lit(7)), F.col("parts")).cast("int"), F.lit(0))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(F.col("own"), o) * F.col("parts") + F.greatest(F.col("own"), o))
-    dealt = rows.join(hot, key, "left").withColumn("own", own)
+    dealt = _known_of(rows, hot, key, sort, "left").withColumn("own", own)
     dealt = dealt.select(*rows.columns, F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("part"))
     return dealt.repartition(partitions(rows.sparkSession), key, "part").sortWithinPartitions(key, "part")
 
@@ -196,15 +206,15 @@ def verified_links(src: DataFrame, known: DataFrame, near: DataFrame, least: flo
     # text of each label meets those of the other parts, and only groups that are still apart compare all their texts.
     weight = F.size("runs")
     parts = held.groupBy("root").agg(F.sum(weight).alias("n")).select("root", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
-    own = held.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.greatest("parts", F.lit(1))).cast("int"))
+    own = _known_of(held, parts, "root", "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.greatest("parts", F.lit(1))).cast("int"))
     local = own.select("node", "root", "runs", "part").repartition(partitions(src.sparkSession), "root", "part").sortWithinPartitions("root", "part")
     links = [materialize(local.mapInArrow(verify, "a long, b long"), "local")]
-    large = held.join(parts.filter("parts > 1").select("root"), "root")
+    large = _known_of(held, parts.filter("parts > 1").select("root"), "root", "node")
     for whole in (False, True) if not large.isEmpty() else ():
         labels = materialize(joined(links, held), "labels")
         rows = large.join(labels, "node")
         apart = rows.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("root")
-        rows = rows.join(apart, "root", "left_semi").select("node", "root", "runs", "label")
+        rows = _known_of(rows, apart, "root", "node").select("node", "root", "runs", "label")
         rows = rows if whole else rows.filter("node = label")
         links.append(materialize(_deal(rows, "root", GROUP, "node", weight).mapInArrow(verify, "a long, b long"), "links"))
     return joined(links, held).withColumnRenamed("label", "root")
