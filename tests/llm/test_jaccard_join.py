@@ -96,3 +96,18 @@ def test_narrow_sets_link(spark, docs, monkeypatch):
         rows += [(10 * i, " ".join(w), "en", "s0", 1), (10 * i + 1, " ".join([*w[:-1], "other"]), "en", "s0", 1)]
     df = spark.createDataFrame([(*r, "a", "b", 7, "c", 8, 9) for r in rows], docs.schema)
     assert Counter(map(tuple, jaccard_join.similar_sets(df, 1, 80).collect())) == brute(rows, 1, 80)
+
+
+@pytest.mark.parametrize("name", ["op11_ngram_jaccard_join", "op12_spelling_variants"])
+def test_equals_sql(spark, name):
+    import duckdb
+
+    from plotcheck.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = queries.QUERIES[name](spark, sf)
+    out = con.execute(queries.ORACLE_SQL[name])
+    at = [[d[0] for d in out.description].index(c) for c in got.columns]
+    assert Counter(map(tuple, got.collect())) == Counter(tuple(r[i] for i in at) for r in out.fetchall())
