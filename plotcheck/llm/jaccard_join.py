@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotcheck.llm.common import mix, partitions, slices, texts
-from plotcheck.llm.similar import shingles, verified_links
-from plotcheck.operators.graph import connected_components
+from plotcheck.llm.similar import shingles, smallest_reachable, verified_links
 from plotcheck.storage import materialize
 
 #: Bytes of text whose signatures one shard of the index holds, about.
@@ -173,7 +172,7 @@ def _index(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, shards
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([0] * k + [1] * e, pa.int32()),
-                join(pa.array(np.abs(node % shards).astype(np.int32)), pa.array(used, pa.int32())),
+                join(pa.array((mix(batch.column("doc_id").to_numpy().view(np.uint64)) % np.uint64(shards)).astype(np.int32)), pa.array(used, pa.int32())),
                 join(batch.column("doc_id").cast(pa.int64()), null),
                 join(batch.column("row_hash").cast(pa.int64()), null),
                 join(pa.array(node), null),
@@ -381,7 +380,7 @@ def similar_sets(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
     asked = lists.select("node", "level", "spare", "sig", "flags", "same", "less").repartition(partitions(spark), "node")
     asked = asked.sortWithinPartitions("node", "level", F.col("sig").bitwiseAND(F.lit(0xFFFF)))
     met = asked.mapInArrow(_allocate, "sig long, node long, role int").repartition(partitions(spark), "sig").sortWithinPartitions("sig")
-    candidates = connected_components(materialize(met.mapInArrow(_meet, "a long, b long").distinct(), "candidates")).select("node", "root")
+    candidates = smallest_reachable(met.mapInArrow(_meet, "a long, b long"))
     known = materialize(sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("one")).select("node", F.col("one.doc_id").alias("rep"), F.col("one.row_hash").alias("row_hash")), "texts")
     roots = verified_links(src, known, materialize(candidates, "near"), percent / 100, shingle)
     chained = known.join(roots, "node").select("node", "root", "rep")

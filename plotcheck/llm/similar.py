@@ -8,11 +8,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotcheck.llm.common import partitions, random_words, slices, texts
 from plotcheck.llm.fingerprints import BITS, fingerprint
-from plotcheck.operators.graph import connected_components
 from plotcheck.storage import materialize
 
 WORDS = BITS // 64
@@ -174,6 +174,46 @@ def candidate_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return _deal(cells, "cell", CELL, "node").mapInArrow(run, "a long, b long").distinct()
 
 
+def smallest_reachable(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(node, root): the smallest node reachable over ``links`` (a, b), for every node of them.
+
+    Large-star and small-star rounds as in ``graph.connected_components``, but the least neighbour is found by a window: a
+    round shuffles each link twice, and once more to drop repeated ones.
+    """
+    e = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
+    nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
+    nodes, before = materialize(nodes, "nodes"), None
+    least = F.min("v").over(W.partitionBy("u"))
+    for _ in range(max_rounds):
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("m", F.least("u", least)).filter("v > u")
+        large = both.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", least).select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        e = materialize(small.filter("u <> v").distinct(), "links", replaces=e)
+        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.count_distinct("u")).first())
+        if now == before and now[0] == now[2]:
+            return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        before = now
+    raise RuntimeError(f"components not settled after {max_rounds} rounds")
+
+
+def _labels(node: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """For each node the smallest one that ``pairs`` (of numbers) join it to."""
+    up = list(range(len(node)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, j in pairs:
+        up[top(i)] = top(j)
+    roots = np.array([top(i) for i in range(len(node))], np.int64)
+    low = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(low, roots, node)
+    return low[roots]
+
+
 def verified_links(src: DataFrame, known: DataFrame, near: DataFrame, least: float, shingle: int) -> DataFrame:
     """(node, root) of the nodes of ``near`` (node, root: what candidates chain together): the smallest node reachable over pairs of similarity ``least`` or more.
 
@@ -185,39 +225,50 @@ def verified_links(src: DataFrame, known: DataFrame, near: DataFrame, least: flo
             own = [shingles(t, shingle).view(np.int64) for t in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array(own, pa.list_(pa.int64()))], names=["node", "root", "runs"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
         for t in _runs((b for batch in batches for b in slices_of_lists(batch)), ("root", "part")):
-            runs = t.column("runs").combine_chunks()
-            label = t.column("label").to_numpy() if "label" in t.column_names else None
-            yield _links(t.column("node").to_numpy(), _alike([x.values.to_numpy().view(np.uint64) for x in runs], least, label))
-
-    def joined(parts: list[DataFrame], nodes: DataFrame) -> DataFrame:
-        """(node, label) of all ``nodes`` over the links found so far."""
-        links = parts[0]
-        for more in parts[1:]:
-            links = links.unionByName(more)
-        roots = connected_components(links.distinct())
-        return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+            yield t, [x.values.to_numpy().view(np.uint64) for x in t.column("runs").combine_chunks()]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, root, label, parts): what a part joins by itself."""
+        for t, runs in groups(batches):
+            label = _labels(t.column("node").to_numpy(), _alike(runs, least))
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("node", "root")), pa.array(label), t.column("parts").combine_chunks()], names=["node", "root", "label", "parts"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between labels."""
+        for t, runs in groups(batches):
+            label = t.column("label").to_numpy()
+            yield _links(label, _alike(runs, least, label))
 
     chosen = near.join(known.select("node", "rep", F.col("row_hash").alias("hash")), "node")
     mine = src.join(chosen, (src.row_hash == chosen.hash) & (src.doc_id == chosen.rep)).select("node", "root", "text")
     held = materialize(mine.mapInArrow(sets, "node long, root long, runs array<long>").dropDuplicates(["node"]), "sets")
-    # Groups that one task cannot hold are compared part by part first; parts of near copies leave few labels. Then one
-    # text of each label meets those of the other parts, and only groups that are still apart compare all their texts.
+    # A group that one task can hold is settled at once. A larger one is settled part by part; parts of near copies leave few
+    # labels. Then one text of each label meets those of the other parts, and only groups that are still apart compare all.
     weight = F.size("runs")
-    parts = held.groupBy("root").agg(F.sum(weight).alias("n")).select("root", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
-    own = _known_of(held, parts, "root", "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.greatest("parts", F.lit(1))).cast("int"))
-    local = own.select("node", "root", "runs", "part").repartition(partitions(src.sparkSession), "root", "part").sortWithinPartitions("root", "part")
-    links = [materialize(local.mapInArrow(verify, "a long, b long"), "local")]
-    large = _known_of(held, parts.filter("parts > 1").select("root"), "root", "node")
-    for whole in (False, True) if not large.isEmpty() else ():
-        labels = materialize(joined(links, held), "labels")
-        rows = large.join(labels, "node")
-        apart = rows.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("root")
-        rows = _known_of(rows, apart, "root", "node").select("node", "root", "runs", "label")
-        rows = rows if whole else rows.filter("node = label")
-        links.append(materialize(_deal(rows, "root", GROUP, "node", weight).mapInArrow(verify, "a long, b long"), "links"))
-    return joined(links, held).withColumnRenamed("label", "root")
+    parts = held.groupBy("root").agg(F.sum(weight).alias("n")).select("root", F.greatest(F.ceil(F.col("n") / GROUP), F.lit(1)).cast("int").alias("parts"))
+    own = _known_of(held, parts, "root", "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    local = own.select("node", "root", "runs", "parts", "part").repartition(partitions(src.sparkSession), "root", "part").sortWithinPartitions("root", "part")
+    done = materialize(local.mapInArrow(settle, "node long, root long, label long, parts int"), "settled")
+    large = done.filter("parts > 1").select("node", "root", "label")
+    if large.isEmpty():
+        return done.select("node", F.col("label").alias("root"))
+    rows = held.select("node", "runs").join(large, "node").select("node", "root", "runs", "label")
+    links = materialize(_deal(rows.filter("node = label"), "root", GROUP, "node", weight).mapInArrow(join, "a long, b long"), "joined")
+
+    def renamed(labels: DataFrame, found: DataFrame) -> DataFrame:
+        """(node, root, label): every label as the smallest one that ``found`` joins it to."""
+        top = smallest_reachable(found).select(F.col("node").alias("label"), F.col("root").alias("top"))
+        return labels.join(top, "label", "left").select("node", "root", F.coalesce("top", "label").alias("label"))
+
+    large = materialize(renamed(large, links), "labels")
+    apart = large.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("root")
+    rows = _known_of(held.select("node", "runs").join(large, "node"), apart, "root", "node").select("node", "root", "runs", "label")
+    more = materialize(_deal(rows, "root", GROUP, "node", weight).mapInArrow(join, "a long, b long"), "joined")
+    if not more.isEmpty():
+        large = renamed(large, more)
+    return done.filter("parts = 1").select("node", F.col("label").alias("root")).unionByName(large.select("node", F.col("label").alias("root")))
 
 
 def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -236,7 +287,7 @@ def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> Dat
     src = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
     fps = materialize(src.mapInArrow(wide, "doc_id long, row_hash long, " + ", ".join(f"{c} long" for c in _FP)), "wide")
     known = materialize(fps.groupBy(F.col("row_hash").alias("node")).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in _FP]), "texts")
-    near = materialize(connected_components(candidate_links(known)).select("node", "root"), "near")
+    near = materialize(smallest_reachable(candidate_links(known)), "near")
     roots = verified_links(src, known.withColumn("row_hash", F.col("node")), near, least, shingle)
     joined_ = known.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     first = joined_.groupBy("root").agg(F.min("rep").alias("component_id"))
