@@ -151,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     """Fit on at most ``sample`` labelled texts of each class, none of them held out.
 
     The chosen ids (of a fixed number) are broadcast, so no text is shuffled but the sample's. Labels other than 0 and 1,
-    and rows with a null id, are not used; should an id have both labels, 0 counts. No label at all gives scores of 0.5.
+    and rows with a null id, are not used; should an id have both labels, 0 counts. Of rows that repeat an id one is learnt from. No label at all gives scores of 0.5.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
@@ -184,7 +184,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         packed = [x.astype("<f4").tobytes() for x in (model.scaled, model.square)]
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*packed, model.bias, model.slope, model.shift)], names=["scaled", "square", "bias", "slope", "shift"])
 
-    found = rows.mapInArrow(features, "doc_id long, y int, at array<int>").repartition(1).mapInArrow(solve, "scaled binary, square binary, bias double, slope double, shift double").collect()
+    # A row for each id: of rows that repeat it, the one whose text has the least hash, however many there are.
+    each = rows.mapInArrow(features, "doc_id long, y int, at array<int>").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("at").alias("hash"), "at")).alias("one"))
+    found = each.select("doc_id", "y", "one.at").repartition(1).mapInArrow(solve, "scaled binary, square binary, bias double, slope double, shift double").collect()
     if not found:
         return fit([], np.zeros(0), prior)
     r = found[0]

@@ -292,3 +292,14 @@ def test_languages(spark, docs, rows, no_docs):
     assert len(got) == len(rows)
     assert {r.doc_id for r in got if r.lang_pred == "und"} == {100, 101, 102}
     assert langid.predicted_languages(no_docs).count() == 0
+
+
+def test_an_id_is_learnt_once(spark):
+    """However many rows repeat an id, the sample has one of them."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("alpha beta gamma delta".split() if i % 2 else "uno dos tres cuatro".split()) for _ in range(30))) for i in range(40)]
+    schema = "doc_id long, text string"
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = quality.learn(spark.createDataFrame(rows, schema), marks)
+    again = quality.learn(spark.createDataFrame(rows + [next(r for r in rows if not held(r[0]))] * 3000, schema), marks)
+    assert np.array_equal(once.scaled, again.scaled) and once.bias == again.bias
