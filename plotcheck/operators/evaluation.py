@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotcheck.functions import geometry as g
+from plotcheck.operators.quantiles import exact_quantiles
 from plotcheck.operators.spatial import box_join
+from plotcheck.storage import materialize
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -228,8 +230,10 @@ def latency_summary(df: DataFrame, value: str, by: str, limit: float) -> DataFra
 
 def per_key_summary(df: DataFrame, key: str) -> DataFrame:
     """Median, 90th percentile and maximum of the rows for each key."""
-    n = df.groupBy(key).agg(F.count("*").alias("n"))
-    return n.agg(F.count("*").alias("keys"), F.sum("n").alias("rows"), F.expr("percentile(n, 0.5)").alias("median"), F.expr("percentile(n, 0.9)").alias("p90"), F.max("n").alias("most"))
+    n = materialize(df.groupBy(key).agg(F.count("*").alias("n")).select("n"), "per_key")
+    q = exact_quantiles(n, {"median": ("n", 0.5), "p90": ("n", 0.9)})
+    value = lambda x: F.lit(q[x]).cast("double").alias(x)
+    return n.agg(F.count("*").alias("keys"), F.sum("n").alias("rows"), F.max("n").alias("most")).select("keys", "rows", value("median"), value("p90"), "most")
 
 
 def tape_comparison(pairs: DataFrame) -> DataFrame:
@@ -286,7 +290,9 @@ def verify_frozen(df: DataFrame, by: str, key: str, frozen: DataFrame) -> DataFr
 
 def global_offset(pairs: DataFrame) -> DataFrame:
     """Median shift between linked outlines."""
-    return pairs.agg(F.median("dx").alias("dx"), F.median("dy").alias("dy"), F.count("*").alias("n"))
+    shifts = materialize(pairs.select("dx", "dy"), "shifts")
+    q = exact_quantiles(shifts, {"dx": ("dx", 0.5), "dy": ("dy", 0.5)})
+    return shifts.agg(F.count("*").alias("n")).select(F.lit(q["dx"]).cast("double").alias("dx"), F.lit(q["dy"]).cast("double").alias("dy"), "n")
 
 
 def random_cap(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:

@@ -41,9 +41,47 @@ def suppress_overlaps(det: DataFrame, share: float = 0.5) -> DataFrame:
 
 def spaced_select(points: DataFrame, least: float, seed: str) -> DataFrame:
     """Points (id, x, y) chosen in a random-looking order, each at least ``least`` from those chosen before."""
-    p = points.withColumn("key", salted(seed, "id"))
-    met = within_distance(p.select("id", "key", "x", "y"), p.select("id", "key", "x", "y"), least).filter((F.col("distance") < least) & (F.col("l_key") < F.col("r_key")))
-    return first_come(points, met.select(F.col("l_id").alias("hi"), F.col("r_id").alias("lo")))
+    return first_come(points, _too_near(points.withColumn("key", salted(seed, "id")), least))
+
+
+def _too_near(keyed: DataFrame, least: float) -> DataFrame:
+    """(hi, lo): pairs of points (id, key, x, y) nearer than ``least``, the one of smaller key first."""
+    met = within_distance(keyed.select("id", "key", "x", "y"), keyed.select("id", "key", "x", "y"), least).filter((F.col("distance") < least) & (F.struct("l_key", "l_id") < F.struct("r_key", "r_id")))
+    return met.select(F.col("l_id").alias("hi"), F.col("r_id").alias("lo"))
+
+
+def spaced_quota(points: DataFrame, quotas: DataFrame, least: float, seed: str) -> DataFrame:
+    """Points (id, stratum, x, y) chosen in a random-looking order: each at least ``least`` from those chosen before, and no more of a stratum than its quota (stratum, quota).
+
+    Equal to going through all in order. In a round a point is taken if no undecided point before it is too near, and if all of
+    its stratum before it, taken or undecided, leave it a place; one is dropped if a taken point is too near, or if its
+    stratum is full before it. The first undecided point is always one of these, so each round settles some. Points of strata
+    without quota, or without a place in the plane, are never chosen.
+    """
+    keyed = points.join(quotas.filter("quota > 0"), "stratum").filter("x IS NOT NULL AND y IS NOT NULL").withColumn("key", salted(seed, "id"))
+    rank = F.struct("key", "id").alias("rank")
+    open_ = materialize(keyed.select("id", "stratum", "quota", rank), "open")
+    beats = materialize(_too_near(keyed, least), "beats")
+    taken = materialize(open_.limit(0), "taken")
+
+    def full_at(rows: DataFrame) -> DataFrame:
+        """(stratum, edge): the rank of the quota-th of the rows of each stratum that has so many."""
+        nth = F.row_number().over(W.partitionBy("stratum").orderBy("rank"))
+        most = quotas.agg(F.max("quota")).first()[0]
+        return rows.withColumn("nth", nth).filter(F.col("nth") <= most).filter("nth = quota").select("stratum", F.col("rank").alias("edge"))
+
+    while not open_.isEmpty():
+        room = full_at(open_.unionByName(taken))
+        safe = open_.join(room, "stratum", "left").filter(F.col("edge").isNull() | (F.col("rank") <= F.col("edge"))).drop("edge")
+        won = materialize(safe.join(beats.select(F.col("lo").alias("id")).distinct(), "id", "left_anti").select("id", "stratum", "quota", "rank"), "won")
+        taken = materialize(taken.unionByName(won), "taken", replaces=taken)
+        near = beats.join(won.select(F.col("id").alias("hi")), "hi", "left_semi").select(F.col("lo").alias("id")).distinct()
+        full = full_at(taken)
+        rest = open_.join(won.select("id"), "id", "left_anti").join(near, "id", "left_anti").join(full, "stratum", "left").filter(F.col("edge").isNull() | (F.col("rank") <= F.col("edge"))).drop("edge")
+        open_ = materialize(rest.select("id", "stratum", "quota", "rank"), "open", replaces=open_)
+        ids = lambda c: open_.select(F.col("id").alias(c))  # noqa: B023, E731
+        beats = materialize(beats.join(ids("hi"), "hi", "left_semi").join(ids("lo"), "lo", "left_semi").select("hi", "lo"), "beats", replaces=beats)
+    return points.join(taken.select("id"), "id", "left_semi")
 
 
 def greedy_match(pairs: DataFrame) -> DataFrame:

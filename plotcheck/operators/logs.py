@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,11 +67,41 @@ def campaign_eligibility(recipients: DataFrame, unsubscribed: DataFrame, today:
     return r.filter("reason IS NOT NULL").select("id", "reason").unionByName(ok).unionByName(late)
 
 
+def next_in_window(start: int | None, n: int, at: int, span: int) -> tuple[int, int]:
+    """Start of the window that a request falls into, and its number there: a window begins with a request and holds what comes up to ``span`` later."""
+    return (start, n + 1) if start is not None and at - start <= span else (at, 1)
+
+
+def limit_requests(requests: DataFrame, seconds: int, most: int) -> DataFrame:
+    """(client, event_id, ts, start, nth, refused) of every request: a client's window starts at its first request, and the next with the first one over ``seconds`` later.
+
+    Within a window the first ``most`` pass. Requests of a client are gone through in the order of ts, then event_id, as a
+    stream of constant memory; those without ts are dropped.
+    """
+    kind = dict(requests.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, start, n = None, None, 0
+        for batch in batches:
+            starts, numbers = [], []
+            for who, at in zip(batch.column("client").to_pylist(), batch.column("at").to_pylist()):  # noqa: B905
+                if who != client:
+                    client, start, n = who, None, 0
+                start, n = next_in_window(start, n, at, seconds * 1_000_000)
+                starts.append(start)
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column("client"), batch.column("event_id"), batch.column("at"), pa.array(starts, pa.int64()), pa.array(numbers, pa.int64())], names=["client", "event_id", "at", "from", "nth"])
+
+    rows = requests.filter("ts IS NOT NULL").select("client", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    dealt = rows.repartition("client").sortWithinPartitions("client", "at", "event_id")
+    out = dealt.mapInArrow(run, f"client {kind['client']}, event_id {kind['event_id']}, at long, from long, nth long")
+    return out.select("client", "event_id", F.timestamp_micros("at").alias("ts"), F.timestamp_micros("from").alias("start"), "nth", (F.col("nth") > most).alias("refused"))
+
+
 def rate_limit(requests: DataFrame, seconds: int, most: int) -> DataFrame:
-    """Requests of each client and tumbling window, and how many are refused."""
-    w = F.window("ts", f"{seconds} seconds")
-    n = requests.groupBy("client", w.alias("w")).agg(F.count("*").alias("n"))
-    return n.select("client", F.col("w.start").alias("start"), "n", F.greatest(F.col("n") - most, F.lit(0)).alias("refused"))
+    """Requests of each client and window, and how many are refused; windows start with a request, as ``limit_requests`` says."""
+    each = limit_requests(requests, seconds, most)
+    return each.groupBy("client", "start").agg(F.count("*").alias("n"), F.count_if("refused").alias("refused"))
 
 
 def accept_answers(answers: DataFrame, revocations: DataFrame, grace_h: int = 14, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +10,6 @@ from plotcheck.functions import geometry as g
 from plotcheck.functions import rings as r
 from plotcheck.operators import spatial as s
 from plotcheck.operators.rules import limits as lim
-from plotcheck.storage import materialize
 
 
 def walls(placements: DataFrame, terrain: DataFrame, res: float = 40.0) -> DataFrame:
@@ -258,111 +255,6 @@ def second_row(houses: DataFrame, roads: DataFrame, least: float, reach: float)
     return near.join(crossed, "obj_id", "left").select("obj_id", F.when(F.col("road_id").isNotNull(), (F.col("distance") >= least) & F.coalesce("crossed", F.lit(False))).alias("second"))
 
 
-def orientations(edges: DataFrame, least: float = 2.0, apart: float = 3.0) -> DataFrame:
-    """(parcel_id, ring, angles): the outline as one array, and the orientations to try, as radians below pi.
-
-    First the current one (0), then along each edge of ``least`` metres or more, then steps of 45 degrees; one that lies
-    less than ``apart`` degrees from an earlier one is left out. ``used`` metres of an edge count as built already.
-    """
-    used = F.coalesce(F.col("used"), F.lit(0.0)) if "used" in edges.columns else F.lit(0.0)
-    ring = edges.groupBy("parcel_id").agg(F.array_sort(F.collect_list(F.struct("seg", "ax", "ay", "bx", "by_", used.alias("used")))).alias("ring"))
-    long = F.filter("ring", lambda e: F.hypot(e["bx"] - e["ax"], e["by_"] - e["ay"]) >= least)
-    along = F.transform(long, lambda e: F.pmod(F.atan2(e["by_"] - e["ay"], e["bx"] - e["ax"]), F.lit(math.pi)))
-    wanted = F.concat(F.array(F.lit(0.0)), along, F.array(*[F.lit(k * math.pi / 4) for k in range(4)]))
-    near = lambda x, y: F.least(F.abs(x - y), math.pi - F.abs(x - y)) < math.radians(apart)
-    angles = F.aggregate(wanted, F.array().cast("array<double>"), lambda seen, a: F.when(F.exists(seen, lambda x: near(x, a)), seen).otherwise(F.concat(seen, F.array(a))))
-    return ring.withColumn("angles", angles)
-
-
-#: Stands for "the centre lies within the parcel" among the numbers of orientations.
-INSIDE = 1_000_000
-
-
-def _stances(edges: DataFrame, products: DataFrame) -> DataFrame:
-    """A row for each parcel, product and orientation (number ``at``), and one of a bare point (INSIDE).
-
-    ``side``: nx * x + ny * y + k is the gap between a box around (x, y) and a side, which must be ``least`` or more: 3 m
-    where the box would take the side's build-up over 9 m. ``many``: build-up of all sides could pass 15 m.
-    """
-    point = F.array(F.struct(F.lit(INSIDE).alias("at"), F.lit(None).cast("double").alias("angle")))
-    turns = F.concat(F.transform("angles", lambda a, i: F.struct(i.alias("at"), a.alias("angle"))), point)
-    s_ = orientations(edges).crossJoin(F.broadcast(products.select("product", "w", "d"))).withColumn("turn", F.explode(turns)).select("*", "turn.*")
-    bare = F.col("at") == INSIDE
-    s_ = s_.withColumns({"w": F.when(bare, 0.0).otherwise(F.col("w")), "d": F.when(bare, 0.0).otherwise(F.col("d")), "c": F.coalesce(F.cos("angle"), F.lit(1.0)), "s": F.coalesce(F.sin("angle"), F.lit(0.0))})
-    length = lambda e: F.hypot(e["bx"] - e["ax"], e["by_"] - e["ay"])
-    along = lambda e: F.abs((e["bx"] - e["ax"]) * F.col("c") + (e["by_"] - e["ay"]) * F.col("s")) / length(e)
-    across = lambda e: F.abs((e["bx"] - e["ax"]) * F.col("s") - (e["by_"] - e["ay"]) * F.col("c")) / length(e)
-    extent = lambda e: along(e) * F.col("w") + across(e) * F.col("d")
-    k = lambda e: ((e["by_"] - e["ay"]) * e["ax"] - (e["bx"] - e["ax"]) * e["ay"]) / length(e) - across(e) * F.col("w") / 2 - along(e) * F.col("d") / 2
-    least = lambda e: F.when(~bare & (e["used"] + extent(e) > lim.SIDE_LIMIT + 1e-9), lim.SETBACK_LEAST - 1e-6).otherwise(-1e-9)
-    side = F.transform("ring", lambda e: F.struct(((e["ay"] - e["by_"]) / length(e)).alias("nx"), ((e["bx"] - e["ax"]) / length(e)).alias("ny"), k(e).alias("k"), least(e).alias("least"), extent(e).alias("extent"), e["used"].alias("used")))
-    s_ = s_.withColumn("side", side).withColumn("many", ~bare & (F.aggregate("side", F.lit(0.0), lambda n, e: n + e["used"] + e["extent"]) > lim.TOTAL_LIMIT + 1e-9))
-    return s_.select("parcel_id", "product", "at", "angle", "w", "d", "c", "s", "side", "many")
-
-
-def placement_zones(parcels: DataFrame, edges: DataFrame, obstacles: DataFrame, products: DataFrame, coarse: float, fine: float) -> DataFrame:
-    """(parcel_id, product, x, y, colour, angle) of the centres where a product (w by d metres) may stand on a convex, counter-clockwise parcel.
-
-    Green: it may stand there as it is turned now (angle 0). Yellow: only in another of the parcel's orientations; the first
-    that fits is ``angle``. Red: in none. Grey: the centre lies outside the parcel. It may stand where it lies within the
-    parcel, meets no obstacle, and nearer than 3 m to a side keeps that side's build-up within 9 m and the parcel's within
-    15 m, each with what the edges' optional column ``used`` counts. All orientations are tried on a coarse grid; cells
-    with another colour among their eight neighbours are cut into the fine one, where those tried are the current one and
-    those that fit in the neighbourhood (all, if none does). Empty tables give no rows.
-    """
-    keys = ["parcel_id", "product", "cx", "cy"]
-    shape = _stances(edges, products)
-
-    def judged(rows: DataFrame, size: float) -> DataFrame:
-        """``keys``, at, angle and colour of the cells lo..hi of each grid row cy; ``try`` holds the orientations to try (null: all)."""
-        y = (F.col("cy") + 0.5) * size
-        rest = lambda e: e["ny"] * y + e["k"] - e["least"]
-        flat = lambda e: F.abs(e["nx"]) < 1e-12
-        # What the sides leave of a grid row is one interval.
-        left = F.array_max(F.transform("side", lambda e: F.when(flat(e), F.when(rest(e) < 0, 1e12).otherwise(-1e12)).when(e["nx"] > 0, -rest(e) / e["nx"]).otherwise(-1e12)))
-        right = F.array_min(F.transform("side", lambda e: F.when(~flat(e) & (e["nx"] < 0), -rest(e) / e["nx"]).otherwise(1e12)))
-        turned = rows.join(shape, ["parcel_id", "product"]).filter((F.col("at") == INSIDE) | (F.col("at") == 0) | F.col("try").isNull() | F.array_contains("try", F.col("at")))
-        turned = turned.withColumns({"a": F.greatest("lo", F.ceil(left / size - 0.5)), "z": F.least("hi", F.floor(right / size - 0.5))}).filter("a <= z")
-        cells = turned.withColumn("cx", F.explode(F.sequence("a", "z"))).withColumns({"x": (F.col("cx") + 0.5) * size, "y": y})
-        near = lambda e: e["nx"] * F.col("x") + e["ny"] * F.col("y") + e["k"] < lim.SETBACK_LEAST - 1e-6
-        built = F.aggregate("side", F.lit(0.0), lambda n, e: n + e["used"] + F.when(near(e), e["extent"]).otherwise(0.0))
-        fits = cells.filter(~(F.col("many") & F.exists("side", near) & (built > lim.TOTAL_LIMIT + 1e-9))).select(*keys, "x", "y", "at", "angle", "w", "d", "c", "s")
-        o = obstacles.selectExpr("parcel_id", "(x1 + x2) / 2 AS ox", "(y1 + y2) / 2 AS oy", "(x2 - x1) / 2 AS ow", "(y2 - y1) / 2 AS oh")
-        # Two boxes are apart if they are along one of their four axes.
-        apart = "abs(x - ox) >= ow + w / 2 * abs(c) + d / 2 * abs(s) - 1e-9 OR abs(y - oy) >= oh + w / 2 * abs(s) + d / 2 * abs(c) - 1e-9 OR abs((x - ox) * c + (y - oy) * s) >= w / 2 + ow * abs(c) + oh * abs(s) - 1e-9 OR abs((y - oy) * c - (x - ox) * s) >= d / 2 + ow * abs(s) + oh * abs(c) - 1e-9"
-        hit = fits.filter(F.col("at") < INSIDE).join(o, "parcel_id").filter(f"NOT ({apart})").select(*keys, "at")
-        free = fits.join(hit, [*keys, "at"], "left_anti").select(*keys, "at", "angle")
-        all_ = rows.select("parcel_id", "product", F.explode(F.sequence("lo", "hi")).alias("cx"), "cy", F.lit(INSIDE + 1).alias("at"), F.lit(None).cast("double").alias("angle"))
-        best = free.unionByName(all_).groupBy(*keys).agg(F.min(F.struct("at", "angle")).alias("b"))
-        colour = F.when(F.col("b.at") > INSIDE, 0).when(F.col("b.at") == INSIDE, 3).when(F.col("b.at") == 0, 1).otherwise(2)
-        return best.select(*keys, F.when(F.col("b.at") < INSIDE, F.col("b.at")).alias("at"), "b.angle", colour.alias("colour"))
-
-    ext = edges.join(parcels.select("parcel_id"), "parcel_id", "left_semi").groupBy("parcel_id").agg(F.min("ax").alias("x1"), F.min("ay").alias("y1"), F.max("ax").alias("x2"), F.max("ay").alias("y2"))
-    cell = lambda c: F.floor(F.col(c) / coarse)
-    grid = ext.select("parcel_id", F.explode(F.sequence(cell("y1"), cell("y2"))).alias("cy"), cell("x1").alias("lo"), cell("x2").alias("hi"))
-    grid = grid.crossJoin(F.broadcast(products.select("product"))).withColumn("try", F.lit(None).cast("array<int>"))
-    # Each cell tells its eight neighbours; only cells of the grid hear themselves.
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    told = judged(grid, coarse).withColumn("n", around)
-    own = F.when(F.expr("n.i = 0 AND n.j = 0"), F.struct("colour", "angle")).alias("own")
-    told = told.select("parcel_id", "product", (F.col("cx") + F.col("n.i")).alias("cx"), (F.col("cy") + F.col("n.j")).alias("cy"), "colour", "at", own)
-    first = materialize(told.groupBy(*keys).agg(F.max("own").alias("own"), (F.min("colour") != F.max("colour")).alias("mixed"), F.collect_set("at").alias("ats")).filter("own IS NOT NULL"), "zones")
-    k = round(coarse / fine)
-    cut = first.filter("mixed").select("parcel_id", "product", F.explode(F.sequence(F.col("cy") * k, F.col("cy") * k + (k - 1))).alias("cy"), (F.col("cx") * k).alias("lo"), (F.col("cx") * k + (k - 1)).alias("hi"), F.when(F.size("ats") > 0, F.col("ats")).alias("try"))
-    name = F.element_at(F.array(*map(F.lit, ("grey", "green", "yellow", "red"))), F.col("colour") + 1)
-    out = lambda d, size: d.select("parcel_id", "product", ((F.col("cx") + 0.5) * size).alias("x"), ((F.col("cy") + 0.5) * size).alias("y"), name.alias("colour"), "angle")
-    return out(first.filter("NOT mixed").select(*keys, "own.colour", "own.angle"), coarse).unionByName(out(judged(cut, fine), fine))
-
-
-def product_fit(zones: DataFrame, parcels: DataFrame) -> DataFrame:
-    """For each product how many parcels have a green or yellow place, and each parcel's best place (green first) nearest its first corner."""
-    z = zones.join(parcels.select("parcel_id", "x0", "y0"), "parcel_id").filter("colour IN ('green', 'yellow')")
-    d = F.round(F.expr("sqrt((x - x0) * (x - x0) + (y - y0) * (y - y0))"), 6)
-    rank = F.when(F.col("colour") == "green", 0).otherwise(1)
-    best = z.groupBy("product", "parcel_id").agg(F.min(F.struct(rank.alias("rank"), d.alias("d"), "x", "y", "angle")).alias("b"))
-    return best.select("product", "parcel_id", "b.x", "b.y", F.when(F.col("b.rank") == 0, "green").otherwise("yellow").alias("colour"), "b.angle", F.count("*").over(W.partitionBy("product")).alias("parcels"))
-
-
 def wall_from_roof(roofs: DataFrame, overhang: DataFrame) -> DataFrame:
     """Wall extents from roof extents minus the overhang on both sides, with the span sqrt(edge^2 + overhang^2)."""
     j = roofs.join(overhang, "provenance", "left").withColumn("o", F.coalesce("overhang", F.lit(lim.OVERHANG)))

@@ -7,12 +7,18 @@ sides to the cells that they cover, join on the cell, test exactly, and keep a p
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotcheck.functions import geometry as g
+from plotcheck.functions.grid import row_spans
+from plotcheck.operators.quantiles import exact_quantiles
+from plotcheck.storage import materialize
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -26,14 +32,60 @@ def with_cells(df: DataFrame, size: float, x1: str = "x1", y1: str = "y1", x2: s
     return df.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
 
 
+#: Boxes of one side in a cell that one task compares with those of the other side at most, about.
+CROWD = 4096
+#: Levels of cells: each doubles the size, so that the largest holds any box of a map.
+LEVELS = 24
+
+
+def _dealt(boxes: DataFrame, p: str, size: float, reach: float) -> DataFrame:
+    """Boxes with their level: the first at which a cell is as large as the box, so that it covers four cells at most."""
+    wide = F.greatest(F.col(f"{p}x2") - F.col(f"{p}x1"), F.col(f"{p}y2") - F.col(f"{p}y1")) + 2 * reach
+    level = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(wide, F.lit(1e-9)) / size)))).cast("int")
+    return boxes.withColumn("own_level", level)
+
+
+def _in_cells(boxes: DataFrame, levels: DataFrame, p: str, size: float, reach: float) -> DataFrame:
+    """A row for each cell (level, cx, cy) of a box, at its own level and at the higher ones among ``levels`` (level, native)."""
+    at = lambda c, m: F.floor((F.col(p + c) + m) / (size * F.pow(F.lit(2.0), F.col("level"))))
+    rows = boxes.join(F.broadcast(levels), F.col("level") >= F.col("own_level"))
+    return rows.withColumn("cx", F.explode(F.sequence(at("x1", -reach), at("x2", reach)))).withColumn("cy", F.explode(F.sequence(at("y1", -reach), at("y2", reach))))
+
+
+#: What two boxes that may meet share: a cell, and a part of it where it is crowded.
+MEETING = ["level", "cx", "cy", "i", "j"]
+
+
+def _meeting(left: DataFrame, right: DataFrame, size: float, reach: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a box join, dealt to cells and parts of crowded cells (MEETING)."""
+    a, b = _dealt(prefixed(left, "l_"), "l_", size, reach), _dealt(prefixed(right, "r_"), "r_", size, 0.0)
+    # At most LEVELS + 1 rows.
+    levels = a.select(F.col("own_level").alias("level")).union(b.select("own_level")).filter("level IS NOT NULL").distinct()
+    a = _in_cells(a, levels, "l_", size, reach).withColumnRenamed("own_level", "l_level")
+    b = _in_cells(b, levels, "r_", size, 0.0).withColumnRenamed("own_level", "r_level")
+    cell = MEETING[:3]
+    each = a.select(*cell, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(b.select(*cell, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    parts = lambda c: F.ceil(F.sum(c) / CROWD).cast("int")
+    crowded = each.groupBy(*cell).agg(parts("l").alias("pl"), parts("r").alias("pr")).filter("(pl > 1 OR pr > 1) AND pl > 0 AND pr > 0")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(c), F.lit(1)) - 1))
+    own = lambda d, p, c: F.pmod(F.xxhash64(*[x for x in d.columns if x.startswith(p)]), F.coalesce(F.col(c), F.lit(1))).cast("int")
+    a = a.join(crowded, cell, "left").withColumn("i", own(a, "l_", "pl")).withColumn("j", every("pr")).drop("pl", "pr")
+    b = b.join(crowded, cell, "left").withColumn("j", own(b, "r_", "pr")).withColumn("i", every("pl")).drop("pl", "pr")
+    return a, b
+
+
 def box_join(left: DataFrame, right: DataFrame, size: float = 50.0, reach: float = 0.0) -> DataFrame:
-    """Pairs (l_*, r_*) of boxes that touch or lie within ``reach`` of each other in both directions, each once."""
-    a = with_cells(prefixed(left, "l_"), size, "l_x1", "l_y1", "l_x2", "l_y2", reach)
-    b = with_cells(prefixed(right, "r_"), size, "r_x1", "r_y1", "r_x2", "r_y2")
-    own = lambda p, q: F.floor(F.greatest(F.col(p) - reach, F.col(q)) / size)
+    """Pairs (l_*, r_*) of boxes that touch or lie within ``reach`` of each other in both directions, each once.
+
+    Boxes are dealt to cells of their own size; two of different size meet at the level of the larger, where the smaller one
+    is dealt as well. A pair counts in one of the cells that both cover. Cells with over CROWD boxes of a side are dealt out
+    in parts, which the boxes of the other side visit all. Boxes with null corners meet none.
+    """
+    a, b = _meeting(left, right, size, reach)
+    own = lambda p, q: F.floor(F.greatest(F.col(p) - reach, F.col(q)) / (size * F.pow(F.lit(2.0), F.col("level"))))
     near = f"l_x1 - {reach!r} <= r_x2 AND r_x1 <= l_x2 + {reach!r} AND l_y1 - {reach!r} <= r_y2 AND r_y1 <= l_y2 + {reach!r}"
-    met = a.join(b, ["cx", "cy"]).filter(near).filter((F.col("cx") == own("l_x1", "r_x1")) & (F.col("cy") == own("l_y1", "r_y1")))
-    return met.drop("cx", "cy")
+    met = a.join(b, MEETING).filter("greatest(l_level, r_level) = level").filter(near).filter((F.col("cx") == own("l_x1", "r_x1")) & (F.col("cy") == own("l_y1", "r_y1")))
+    return met.drop(*MEETING, "l_level", "r_level")
 
 
 def ring_edges(vertices: DataFrame, key: str = "parcel_id") -> DataFrame:
@@ -77,11 +129,25 @@ def as_outline(edges: DataFrame, *keys: str) -> DataFrame:
     return edges.select(*keys, F.col("ax").alias("aax"), F.col("ay").alias("aay"), F.col("bx").alias("abx"), F.col("by_").alias("aby"))
 
 
+def box_to_edge(box: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2")) -> str:
+    """Distance of a box to an edge (ax, ay, bx, by_), 0 if they meet: corners to the edge, ends to the box."""
+    x1, y1, x2, y2 = box
+    corners = [(x1, y1), (x2, y1), (x2, y2), (x1, y2)]
+    turns = [g.cross("ax", "ay", "bx", "by_", x, y) for x, y in corners]
+    meets = f"least(ax, bx) <= {x2} AND greatest(ax, bx) >= {x1} AND least(ay, by_) <= {y2} AND greatest(ay, by_) >= {y1} AND least({', '.join(turns)}) <= 0 AND greatest({', '.join(turns)}) >= 0"
+    ends = [f"sqrt(pow(greatest(0D, {x1} - {x}, {x} - {x2}), 2) + pow(greatest(0D, {y1} - {y}, {y} - {y2}), 2))" for x, y in (("ax", "ay"), ("bx", "by_"))]
+    return f"CASE WHEN {meets} THEN 0D ELSE least({', '.join([*(g.point_segment_distance(x, y, 'ax', 'ay', 'bx', 'by_') for x, y in corners), *ends])}) END"
+
+
 def side_lengths(objects: DataFrame, edges: DataFrame, reach: float = 3.0) -> DataFrame:
-    """(parcel_id, seg, side): metres of each side of a parcel along which its objects nearer than ``reach`` stand; sides without any have no row."""
-    length = projected_length(box_corners(objects, "parcel_id", "obj_id"), edges)
-    near = polygon_distance(as_outline(box_edges(objects, "parcel_id", "obj_id"), "parcel_id", "obj_id"), edges, "parcel_id", ("parcel_id", "obj_id", "seg")).filter(F.col("distance") < reach)
-    return length.join(near, ["parcel_id", "obj_id", "seg"]).groupBy("parcel_id", "seg").agg(F.sum("length").alias("side"))
+    """(parcel_id, seg, side): metres of each side of a parcel along which its objects nearer than ``reach`` stand; sides without any have no row.
+
+    An object meets the edges of its parcel in one join; extent and distance are one expression each.
+    """
+    # A box extends along a direction by its sides' shares of it.
+    length = F.expr("((x2 - x1) * abs(bx - ax) + (y2 - y1) * abs(by_ - ay)) / sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))")
+    met = objects.select("parcel_id", "x1", "y1", "x2", "y2").join(edges.select("parcel_id", "seg", "ax", "ay", "bx", "by_"), "parcel_id")
+    return met.filter(F.expr(box_to_edge()) < reach).groupBy("parcel_id", "seg").agg(F.sum(length).alias("side"))
 
 
 def side_occupancy(objects: DataFrame, edges: DataFrame, reach: float = 3.0, side_limit: float = 9.0, total_limit: float = 15.0) -> DataFrame:
@@ -102,11 +168,18 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, key: str = "parcel_i
 
 
 def cells_in_polygons(edges: DataFrame, key: str = "parcel_id", res: float = 1.0) -> DataFrame:
-    """(key, col, row_) of the grid cells whose centre lies in the polygon."""
-    box = edges.groupBy(key).agg(F.min("ax").alias("x1"), F.min("ay").alias("y1"), F.max("ax").alias("x2"), F.max("ay").alias("y2"))
-    cells = with_cells(box, res).select(key, F.col("cx").alias("col"), F.col("cy").alias("row_"), ((F.col("cx") + 0.5) * res).alias("x"), ((F.col("cy") + 0.5) * res).alias("y"))
-    hit = F.expr(g.ray_crossing("x", "y", "ax", "ay", "bx", "by_")).cast("int")
-    return cells.join(edges, key).groupBy(key, "col", "row_").agg(F.sum(F.coalesce(hit, F.lit(0))).alias("n")).filter("n % 2 = 1").drop("n")
+    """(key, col, row_) of the grid cells whose centre lies in the polygon, by the even-odd rule: between the crossings of each grid row."""
+    ring = edges.groupBy(key).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by_")])).alias("ring"))
+    kind = dict(edges.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            for i, ring_ in enumerate(batch.column(1).to_pylist()):
+                col, row = row_spans(np.array([[e[c] for c in ("ax", "ay", "bx", "by_")] for e in ring_], np.float64), res, 0.5)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.full(len(col), i))), pa.array(col), pa.array(row)], names=[key, "col", "row_"])
+
+    return ring.mapInArrow(run, f"{key} {kind}, col long, row_ long")
 
 
 def within_distance(a: DataFrame, b: DataFrame, r: float) -> DataFrame:
@@ -302,22 +375,34 @@ def tile_qc(points: DataFrame, size: float = 1000.0) -> DataFrame:
     return t.groupBy("kx", "ky").agg(F.count("*").alias("n"), (F.count("*") / (size * size)).alias("density"), F.min("x").alias("x1"), F.max("x").alias("x2"), F.bool_and(inside).alias("inside"))
 
 
+def nearest_gap(a: DataFrame, b: DataFrame, key: str, r: float, first: float = 2.5) -> DataFrame:
+    """(key, distance) from each point of ``a`` to the nearest of ``b`` within ``r``; points without one have no row.
+
+    Looks within ``first`` metres, then four times as far for those that found none, and so on: in dense clouds a point meets few others.
+    """
+    left, found, reach = materialize(a.select(key, "x", "y"), "points"), None, min(first, r)
+    others = materialize(b.select("x", "y"), "points")
+    while True:
+        met = within_distance(left, others, reach).groupBy(F.col(f"l_{key}").alias(key)).agg(F.min("distance").alias("distance"))
+        met = materialize(met, "gaps")
+        found = met if found is None else found.unionByName(met)
+        if reach >= r:
+            return found
+        left = materialize(left.join(met.select(key), key, "left_anti"), "points")
+        reach = min(r, 4 * reach)
+
+
 def cloud_distance(a: DataFrame, b: DataFrame, r: float = 40.0) -> DataFrame:
-    """Median and 90th percentile of the nearest distance from ``a`` to ``b`` and back, within ``r``."""
+    """Median and 90th percentile of the nearest distance from ``a`` to ``b`` and back, within ``r``, over points (pt, x, y)."""
 
     def one(p: DataFrame, q: DataFrame, name: str) -> DataFrame:
-        d = within_distance(p.select("pt", "x", "y"), q.select("x", "y"), r).groupBy("l_pt").agg(F.min("distance").alias("d"))
-        return d.agg(F.lit(name).alias("direction"), F.count("*").alias("n"), F.expr("percentile(d, 0.5)").alias("median"), F.expr("percentile(d, 0.9)").alias("p90"))
+        d = nearest_gap(p, q, "pt", r)
+        at = exact_quantiles(d, {"median": ("distance", 0.5), "p90": ("distance", 0.9)})
+        return d.agg(F.count("*").alias("n")).select(F.lit(name).alias("direction"), "n", F.lit(at["median"]).cast("double").alias("median"), F.lit(at["p90"]).cast("double").alias("p90"))
 
     return one(a, b, "accuracy").unionByName(one(b, a, "completeness"))
 
 
-def tile_scan(df: DataFrame, bbox: tuple[float, float, float, float], tile_m: float, kx: Column, ky: Column) -> DataFrame:
-    """Rows of the tiles that touch the half-open box."""
-    x1, y1, x2, y2 = bbox
-    return df.filter((kx * tile_m < x2) & ((kx + 1) * tile_m > x1) & (ky * tile_m < y2) & ((ky + 1) * tile_m > y1))
-
-
 def grid_blocks(cells: DataFrame, k: int) -> DataFrame:
     """Cells with the block of ``k`` cells that they belong to; a cell on a shared edge belongs to both blocks."""
     own = lambda c: F.array_distinct(F.array(F.floor(F.col(c) / k), F.greatest(F.floor((F.col(c) - 1) / k), F.lit(0))))

@@ -21,6 +21,13 @@ def _(view):
     return it.spaced_select(centres(view("footprint")).select(F.col("obj_id").alias("id"), "x", "y"), 12.0, "w9")
 
 
+@query("spaced_quota")
+def _(view):
+    points = centres(view("footprint")).select(F.col("obj_id").alias("id"), F.col("klasse").alias("stratum"), "x", "y")
+    quotas = points.groupBy("stratum").agg(F.ceil(F.count("*") / 20).cast("int").alias("quota"))
+    return it.spaced_quota(points, quotas, 12.0, "w9")
+
+
 @query("greedy_match")
 def _(view):
     m = overlaps(boxes(view, 3, 4), boxes(view, 0, 1, 2, 5, 6, 7, 8, 9))

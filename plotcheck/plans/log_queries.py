@@ -74,7 +74,9 @@ def _events(view):
 
 
 @query("rate_limit", """
-SELECT user_id AS client, time_bucket(INTERVAL '3600 seconds', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, greatest(count(*) - 2, 0) AS refused FROM contribution GROUP BY 1, 2""")
+WITH RECURSIVE r AS (SELECT user_id AS client, ts FROM contribution), w AS (SELECT client, min(ts) AS start FROM r GROUP BY client
+  UNION ALL SELECT w.client, min(r.ts) FROM w JOIN r ON r.client = w.client AND r.ts > w.start + INTERVAL 3600 SECONDS GROUP BY w.client)
+SELECT w.client, start, count(*) AS n, greatest(count(*) - 2, 0) AS refused FROM w JOIN r ON r.client = w.client AND r.ts >= start AND r.ts <= start + INTERVAL 3600 SECONDS GROUP BY w.client, start""")
 def _(view):
     return logs.rate_limit(_events(view), 3600, 2).withColumn("start", F.col("start").cast("timestamp_ntz"))
 

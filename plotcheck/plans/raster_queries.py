@@ -99,7 +99,7 @@ def _(view):
 
 
 @query("raster_bilinear", f"""
-WITH p AS (SELECT DISTINCT {PT} AS pt, x, y FROM laser_point), u AS (SELECT pt, least(greatest(x / 40 - 0.5, 0.0e0), 49.0e0) AS u, least(greatest(y / 40 - 0.5, 0.0e0), 39.0e0) AS v FROM p),
+WITH p AS (SELECT {PT} AS pt, x, y FROM laser_point), u AS (SELECT pt, least(greatest(x / 40 - 0.5, 0.0e0), 49.0e0) AS u, least(greatest(y / 40 - 0.5, 0.0e0), 39.0e0) AS v FROM p),
 c AS (SELECT *, CAST(least(floor(u), 48) AS BIGINT) AS c0, CAST(least(floor(v), 38) AS BIGINT) AS r0 FROM u)
 SELECT pt, round((1 - (u - c0)) * (1 - (v - r0)) * a.z + (u - c0) * (1 - (v - r0)) * b.z + (1 - (u - c0)) * (v - r0) * c1.z + (u - c0) * (v - r0) * d.z, 9) AS z
 FROM c JOIN terrain_cell a ON a.col = c0 AND a.row_ = r0 JOIN terrain_cell b ON b.col = c0 + 1 AND b.row_ = r0 JOIN terrain_cell c1 ON c1.col = c0 AND c1.row_ = r0 + 1 JOIN terrain_cell d ON d.col = c0 + 1 AND d.row_ = r0 + 1""")
@@ -219,7 +219,7 @@ _GAP = "greatest(greatest(x1 - x, x - x2), greatest(y1 - y, y - y2))"
 
 
 @query("reference_height", f"""
-WITH p AS (SELECT DISTINCT {PT} AS pt, x, y, cls, height FROM laser_point),
+WITH p AS (SELECT {PT} AS pt, x, y, cls, height FROM laser_point),
 m AS (SELECT obj_id, cls, height, {_GAP} AS gap FROM (SELECT * FROM footprint WHERE role = 0) f JOIN p ON x BETWEEN x1 - 3 AND x2 + 3 AND y BETWEEN y1 - 3 AND y2 + 3),
 a AS (SELECT obj_id, CAST(sum(CASE WHEN gap <= 0 AND cls <> 2 THEN 1 ELSE 0 END) AS BIGINT) AS n, quantile_cont(CASE WHEN gap <= 0 AND cls <> 2 THEN height END, 0.99) AS top,
   median(CASE WHEN gap BETWEEN 0.5 AND 3 AND cls = 2 THEN height END) AS ground FROM m GROUP BY obj_id)
@@ -256,7 +256,7 @@ def _(view):
 
 
 @query("roof_edge_offset", f"""
-WITH p AS (SELECT DISTINCT {PT} AS pt, x, y FROM laser_point WHERE cls = 20),
+WITH p AS (SELECT {PT} AS pt, x, y FROM laser_point WHERE cls = 20),
 m AS (SELECT obj_id, y - y1 AS d0, x2 - x AS d1, y2 - y AS d2, x - x1 AS d3 FROM (SELECT * FROM footprint WHERE role IN (0, 2)) f JOIN p ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2),
 u AS (SELECT obj_id, 0 AS side, d0 AS d FROM m UNION ALL SELECT obj_id, 1, d1 FROM m UNION ALL SELECT obj_id, 2, d2 FROM m UNION ALL SELECT obj_id, 3, d3 FROM m),
 g AS (SELECT obj_id, side, median(d) AS m, count(*) AS n FROM u WHERE d BETWEEN 0 AND 1.5 GROUP BY obj_id, side)

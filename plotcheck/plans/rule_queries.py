@@ -10,6 +10,7 @@ from plotcheck.operators.rules import building as b
 from plotcheck.operators.rules import devices as d
 from plotcheck.operators.rules import envelope as env
 from plotcheck.operators.rules import limits as lim
+from plotcheck.operators.rules import zones
 from plotcheck.plans.registry import query
 from plotcheck.plans.spatial_queries import _BOX, _SEGDIST, role, rounded, sight_sql
 
@@ -357,7 +358,7 @@ def _zones(view):
     products = view("region").sparkSession.createDataFrame([("haus", 4.0, 3.0), ("carport", 6.0, 3.0)], "product string, w double, d double")
     edges = view("parcel_edge")
     built = edges.join(s.side_lengths(role(view, 2), edges).withColumnRenamed("side", "used"), ["parcel_id", "seg"], "left")
-    return b.placement_zones(view("parcel"), built, role(view, 0, 2), products, COARSE, COARSE / 4)
+    return zones.placement_zones(view("parcel"), built, role(view, 0, 2), products, COARSE, COARSE / 4)
 
 
 @query("placement_zones")
@@ -367,7 +368,7 @@ def _(view):
 
 @query("product_fit")
 def _(view):
-    return b.product_fit(_zones(view), view("parcel"))
+    return zones.product_fit(_zones(view), view("parcel"))
 
 
 @query("clean_device_catalog", "SELECT maker, model, lw, row_id FROM device_catalog WHERE source_type LIKE 'Outdoor%' AND lw BETWEEN 35 AND 80")

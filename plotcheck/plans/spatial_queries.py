@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotcheck.functions import geometry as g
 from plotcheck.operators import spatial as s
 from plotcheck.plans.registry import query
+from plotcheck.sources import tiles
 
 
 def rounded(df, *columns: str, digits: int = 6):  # noqa: ANN001, ANN201
@@ -23,12 +25,15 @@ def centres(df):  # noqa: ANN001, ANN201
 
 
 def numbered(points):  # noqa: ANN001, ANN201
-    """Laser points with an id that tells repeated rows apart only if they differ."""
-    return points.select("x", "y", "cls", "height").distinct().withColumn("pt", F.concat_ws("_", F.col("x").cast("decimal(12,1)"), F.col("y").cast("decimal(12,1)"), "cls", F.col("height").cast("decimal(12,1)")))
+    """Laser points with an id; rows that repeat all of a point are numbered."""
+    w = W.partitionBy("x", "y", "cls", "height").orderBy("x")
+    exact = [F.col(c).cast("decimal(12,1)") for c in ("x", "y", "height")]
+    return points.select("x", "y", "cls", "height").withColumn("pt", F.concat_ws("_", exact[0], exact[1], "cls", exact[2], F.row_number().over(w)))
 
 
 #: The same id in SQL.
-PT = "concat_ws('_', CAST(CAST(x AS DECIMAL(12,1)) AS VARCHAR), CAST(CAST(y AS DECIMAL(12,1)) AS VARCHAR), CAST(cls AS VARCHAR), CAST(CAST(height AS DECIMAL(12,1)) AS VARCHAR))"
+_POINT = "concat_ws('_', CAST(CAST(x AS DECIMAL(12,1)) AS VARCHAR), CAST(CAST(y AS DECIMAL(12,1)) AS VARCHAR), CAST(cls AS VARCHAR), CAST(CAST(height AS DECIMAL(12,1)) AS VARCHAR))"
+PT = f"concat({_POINT}, '_', CAST(row_number() OVER (PARTITION BY x, y, cls, height) AS VARCHAR))"
 CENTRE = "(x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y"
 LEN = "sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))"
 
@@ -116,7 +121,7 @@ def _(view):
 
 
 @query("points_in_polygons", f"""
-WITH p AS (SELECT DISTINCT {PT} AS pt, x, y FROM laser_point),
+WITH p AS (SELECT {PT} AS pt, x, y FROM laser_point),
 n AS (SELECT pt, q.parcel_id, sum(CASE WHEN {g.ray_crossing('x', 'y', 'ax', 'ay', 'bx', 'by_')} THEN 1 ELSE 0 END) AS n
   FROM p JOIN parcel q ON x BETWEEN x0 AND x0 + w + skew AND y BETWEEN y0 AND y0 + h JOIN parcel_edge e ON e.parcel_id = q.parcel_id GROUP BY pt, q.parcel_id)
 SELECT pt, parcel_id FROM n WHERE n % 2 = 1""")
@@ -225,7 +230,7 @@ def _(view):
 
 
 @query("sample_raster", f"""
-WITH c AS (SELECT parcel_id, x0 + w / 2 AS x, y0 + h / 2 AS y FROM parcel), p AS (SELECT DISTINCT {PT} AS pt, x, y FROM laser_point)
+WITH c AS (SELECT parcel_id, x0 + w / 2 AS x, y0 + h / 2 AS y FROM parcel), p AS (SELECT {PT} AS pt, x, y FROM laser_point)
 SELECT c.parcel_id, pt, coalesce(z, 400.0e0) AS z FROM c JOIN p ON sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)) <= 12
 LEFT JOIN terrain_cell t ON t.col = CAST(floor(p.x / 40) AS BIGINT) AND t.row_ = CAST(floor(p.y / 40) AS BIGINT)""")
 def _(view):
@@ -266,15 +271,16 @@ def _(view):
     return s.tile_qc(view("laser_point"))
 
 
+_NEAR = "(SELECT pt, min(d) AS d FROM (SELECT u.pt, sqrt((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y)) AS d FROM {u} u JOIN {v} v ON v.cx BETWEEN u.cx - 1 AND u.cx + 1 AND v.cy = u.cy UNION ALL SELECT u.pt, sqrt((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y)) FROM {u} u JOIN {v} v ON v.cx BETWEEN u.cx - 1 AND u.cx + 1 AND v.cy = u.cy - 1 UNION ALL SELECT u.pt, sqrt((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y)) FROM {u} u JOIN {v} v ON v.cx BETWEEN u.cx - 1 AND u.cx + 1 AND v.cy = u.cy + 1) WHERE d <= 40 GROUP BY pt)"
+
+
 @query("cloud_distance", f"""
-WITH a AS (SELECT DISTINCT {PT} AS pt, x, y FROM laser_point WHERE cls = 6 AND x < 300 AND y < 300), b AS (SELECT DISTINCT x, y FROM laser_point WHERE cls = 20 AND x < 300 AND y < 300),
-p AS (SELECT pt, min({_AB}) AS d FROM a JOIN b ON {_AB} <= 40 GROUP BY pt),
-c AS (SELECT DISTINCT {PT} AS pt, x, y FROM laser_point WHERE cls = 20 AND x < 300 AND y < 300),
-q AS (SELECT c.pt, min(sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y))) AS d FROM c JOIN a ON sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y)) <= 40 GROUP BY c.pt)
+WITH k AS (SELECT {PT} AS pt, x, y, cls, floor(x / 40) AS cx, floor(y / 40) AS cy FROM laser_point), a AS (SELECT * FROM k WHERE cls = 6), b AS (SELECT * FROM k WHERE cls = 20),
+p AS {_NEAR.format(u='a', v='b')}, q AS {_NEAR.format(u='b', v='a')}
 SELECT 'accuracy' AS direction, count(*) AS n, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.9), 6) AS p90 FROM p
 UNION ALL SELECT 'completeness', count(*), round(quantile_cont(d, 0.5), 6), round(quantile_cont(d, 0.9), 6) FROM q""")
 def _(view):
-    pts = numbered(view("laser_point")).filter("x < 300 AND y < 300")
+    pts = numbered(view("laser_point"))
     return rounded(s.cloud_distance(pts.filter("cls = 6"), pts.filter("cls = 20")), "median", "p90")
 
 
@@ -299,8 +305,10 @@ def _(view):
 
 @query("tile_scan", "SELECT obj_id, x1, y1 FROM footprint WHERE floor(x1 / 100) * 100 < 700 AND (floor(x1 / 100) + 1) * 100 > 250 AND floor(y1 / 100) * 100 < 600 AND (floor(y1 / 100) + 1) * 100 > 100")
 def _(view):
-    f = view("footprint").withColumns({"kx": F.floor(F.col("x1") / 100), "ky": F.floor(F.col("y1") / 100)})
-    return s.tile_scan(f, (250.0, 100.0, 700.0, 600.0), 100.0, F.col("kx"), F.col("ky")).select("obj_id", "x1", "y1")
+    f = view("footprint").select("obj_id", "x1", "y1")
+    folder = tiles.tile_folder(f.sparkSession, "footprint")
+    tiles.write_tiles(f, folder, 100.0, "x1", "y1")
+    return tiles.read_tiles(f.sparkSession, folder, (250.0, 100.0, 700.0, 600.0), 100.0).select("obj_id", "x1", "y1")
 
 
 @query("grid_blocks", """

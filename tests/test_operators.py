@@ -11,6 +11,7 @@ from plotcheck.operators import logs, raster, spatial
 from plotcheck.operators.evaluation import rectangle_decision, release_gate
 from plotcheck.operators.graph import connected_components
 from plotcheck.operators.rules import building, devices
+from plotcheck.operators.rules import zones as zones_
 from plotcheck.sources import files
 from plotcheck.streaming import jobs
 
@@ -231,6 +232,132 @@ def test_missing_columns(spark):
     assert files.missing_columns(spark.range(1), ["id", "b", "a"]) == ["a", "b"]
 
 
+def test_rate_limit_equals_replay(spark, tmp_path):
+    """Windows start with a client's request, over several batches; ties of time go by event_id."""
+    rng = random.Random(3)
+    at, events = 1_704_067_200, []
+    for i in range(400):
+        at += rng.choice([0, 1, 5, 20, 60])
+        events.append((i, rng.randrange(5), at))
+    seen, want = {}, {}
+    for i, client, t in events:
+        start, n = seen.get(client, (None, 0))
+        start, n = (start, n + 1) if start is not None and t - start <= 60 else (t, 1)
+        seen[client] = (start, n)
+        want[i] = (client, start, n, n > 2)
+    rows = lambda d: {r.event_id: (r.client, r.s, r.nth, r.refused) for r in d.selectExpr("event_id", "client", "unix_seconds(start) AS s", "nth", "refused").collect()}
+    df = spark.createDataFrame(events, "event_id long, client long, s long").selectExpr("event_id", "client", "timestamp_seconds(s) AS ts")
+    assert rows(logs.limit_requests(df, 60, 2)) == want
+    windows = {}
+    for client, start, _, refused in want.values():
+        n, k = windows.get((client, start), (0, 0))
+        windows[client, start] = (n + 1, k + refused)
+    assert {(r.client, int(r.start.timestamp())): (r.n, r.refused) for r in logs.rate_limit(df, 60, 2).collect()} == windows
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(4):  # one batch each
+            df.filter(f"event_id BETWEEN {100 * k} AND {100 * k + 99}").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+            stream = jobs.log_stream(spark, str(tmp_path / "in"), "event_id long, client long, ts timestamp")
+            query = jobs.limit_requests(stream, 60, 2, idle=3600).writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    assert rows(spark.read.schema("client long, event_id long, start timestamp, nth long, refused boolean").json(str(tmp_path / "out"))) == want
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    """Ranks are bracketed in several passes; many equal values, nulls, an empty column."""
+    from plotcheck.operators import quantiles
+
+    rng = random.Random(7)
+    values = [(rng.choice([None, 1.0, rng.gauss(0, 5), rng.expovariate(1) ** 9, -7.5]), i % 4) for i in range(20_000)]
+    df = spark.createDataFrame(values, "x double, k int").withColumn("none", F.lit(None).cast("double"))
+    shares = [0.0, 0.1, 0.5, 0.77, 1.0]
+    want = df.selectExpr("percentile(x, array(0.0D, 0.1D, 0.5D, 0.77D, 1.0D)) AS p", "percentile(k, 0.37D) AS k").first()
+    monkeypatch.setattr(quantiles, "LAST", 20)
+    got = quantiles.exact_quantiles(df, {**{str(p): ("x", p) for p in shares}, "k": ("k", 0.37), "none": ("none", 0.5)})
+    assert [got[str(p)] for p in shares] == pytest.approx(list(want.p), rel=1e-12)
+    assert got["k"] == want.k and got["none"] is None
+
+
+def test_box_join_of_all_sizes(spark, monkeypatch):
+    """Boxes from points to 5 km, and a crowded cell dealt in parts: the pairs of all against all."""
+    rng = random.Random(6)
+
+    def boxes(n, crowd):
+        out = []
+        for i in range(n):
+            x, y = (rng.uniform(0, 40), rng.uniform(0, 40)) if i < crowd else (rng.uniform(-3000, 3000), rng.uniform(-3000, 3000))
+            w, h = rng.choice([(0.0, 0.0), (5.0, 3.0), (49.0, 10.0), (51.0, 200.0), (900.0, 5.0), (5000.0, 5000.0) if i % 7 == 0 else (1.0, 1.0)])
+            out.append((i, x, y, x + w, y + h))
+        return [*out, (n, None, 1.0, 2.0, 3.0)]
+
+    a, b = boxes(150, 60), boxes(200, 80)
+    schema = "id long, x1 double, y1 double, x2 double, y2 double"
+    left, right = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    for reach in (0.0, 20.0):
+        want = sorted((p[0], q[0]) for p in a[:-1] for q in b[:-1] if p[1] - reach <= q[3] and q[1] <= p[3] + reach and p[2] - reach <= q[4] and q[2] <= p[4] + reach)
+        for crowd in (spatial.CROWD, 10):
+            monkeypatch.setattr(spatial, "CROWD", crowd)
+            assert sorted((r.l_id, r.r_id) for r in spatial.box_join(left, right, reach=reach).select("l_id", "r_id").collect()) == want
+
+
+def test_spaced_quota_goes_in_order(spark):
+    rng = random.Random(4)
+    points = [(i, "abcd"[i % 4], rng.uniform(0, 60), rng.uniform(0, 60)) for i in range(300)] + [(900, "a", None, 1.0)]
+    quotas = {"a": 5, "b": 12, "c": 1000}
+    df = spark.createDataFrame(points, "id long, stratum string, x double, y double")
+    q = spark.createDataFrame(list(quotas.items()), "stratum string, quota int")
+    order = [(r.key, r.id) for r in df.withColumn("key", it.salted("w9", "id")).collect()]
+    at = {p[0]: p for p in points}
+    chosen, n = [], dict.fromkeys("abcd", 0)
+    for _, i in sorted(order):
+        _, s_, x, y = at[i]
+        if x is not None and n[s_] < quotas.get(s_, 0) and all((x - at[j][2]) ** 2 + (y - at[j][3]) ** 2 >= 16 for j in chosen):
+            chosen.append(i)
+            n[s_] += 1
+    assert sorted(r.id for r in it.spaced_quota(df, q, 4.0, "w9").collect()) == sorted(chosen)
+    assert n["a"] == 5 and n["b"] == 12 and 12 < n["c"] < 75
+    assert it.spaced_quota(df.limit(0), q, 4.0, "w9").count() == 0
+
+
+def test_tiles_are_pruned(spark, tmp_path, capsys):
+    from plotcheck.sources import tiles
+
+    rng = random.Random(2)
+    points = [(i, rng.uniform(0, 1000), rng.uniform(0, 1000)) for i in range(2000)] + [(9999, None, 1.0)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    path = str(tmp_path / "tiles")
+    tiles.write_tiles(df, path, 100.0)
+    box = (250.0, 100.0, 701.0, 300.0)
+    got = tiles.read_tiles(spark, path, box, 100.0)
+    assert {r.id for r in got.collect()} == {i for i, x, y in points if x is not None and 200 <= x < 800 and 100 <= y < 300}
+    got.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(kx" in plan and "(kx" in plan.split("PartitionFilters")[1]
+    assert {f.split("/kx=")[1].split("/")[0] for (f,) in got.select(F.input_file_name()).distinct().collect()} == {str(k) for k in range(2, 8)}
+    windows = [(1, 120.0, 120.0, 180.0, 260.0), (2, 150.0, 150.0, 150.0, 150.0)]
+    w = spark.createDataFrame(windows, "win long, x1 double, y1 double, x2 double, y2 double")
+    near = tiles.near_windows(spark.read.parquet(path), w, 100.0)
+    assert {(r.id, r.w_win) for r in near.collect()} == {(i, 1) for i, x, y in points if x is not None and 120 <= x < 180 and 120 <= y < 260}
+    near.explain("formatted")
+    assert "dynamicpruning" in capsys.readouterr().out.lower()
+
+
+def test_large_boxes_take_few_cells_and_crowds_are_dealt(spark):
+    wide = spark.createDataFrame([(1, 0.0, 0.0, 5000.0, 5000.0)], "id long, l_x1 double, l_y1 double, l_x2 double, l_y2 double")
+    levels = spark.createDataFrame([(k,) for k in range(12)], "level int")
+    assert spatial._in_cells(spatial._dealt(wide, "l_", 50.0, 0.0), levels, "l_", 50.0, 0.0).count() <= 4 * 12
+    crowd = spark.range(100_000).selectExpr("id", "CAST(id % 45 AS DOUBLE) AS x1", "1D AS y1", "CAST(id % 45 AS DOUBLE) AS x2", "2D AS y2")
+    few = spark.range(3).selectExpr("id", "0D AS x1", "0D AS y1", "0D AS x2", "5D AS y2")
+    met = spatial.box_join(few, crowd)
+    assert met.count() == 3 * sum(1 for i in range(100_000) if i % 45 == 0)
+    # What one task joins at once stays small on both sides.
+    for side in spatial._meeting(few, crowd, 50.0, 0.0):
+        assert max(r["count"] for r in side.groupBy(*spatial.MEETING).count().collect()) < 2 * spatial.CROWD
+
+
 def test_streams_equal_their_twins(spark, tmp_path):
     rows = [(i, i % 3, ["neu", "kaputt"][i % 2], 1_704_067_200 + 40 * i) for i in range(60)]
     df = spark.createDataFrame(rows, "event_id long, client long, action string, s long").selectExpr("event_id", "client", "client AS link", "action", "timestamp_seconds(s) AS ts", "IF(event_id % 2 = 0, 'passt', 'frage') AS antwort")
@@ -238,8 +365,6 @@ def test_streams_equal_their_twins(spark, tmp_path):
     stream = jobs.log_stream(spark, str(tmp_path / "in"), df.schema.simpleString()[7:-1].replace(":", " "))
     jobs.to_table(jobs.answers_by_link(stream), "by_link", str(tmp_path / "c1"), "complete").awaitTermination()
     assert sorted(map(tuple, logs.sum_days(spark.table("by_link")).collect())) == sorted(map(tuple, logs.answers_by_link(df).collect()))
-    jobs.to_table(jobs.rate_limit(stream, 300, 2), "limited", str(tmp_path / "c2"), "complete").awaitTermination()
-    assert sorted(map(tuple, spark.table("limited").collect())) == sorted(map(tuple, logs.rate_limit(df, 300, 2).collect()))
     for kind in ("tumbling", "sliding", "session"):
         jobs.to_table(jobs.activity(stream, kind), f"active_{kind}", str(tmp_path / f"c3{kind}"), "complete").awaitTermination()
         twin = logs.activity_windows(df).filter(F.col("kind") == kind)
@@ -309,25 +434,89 @@ def inside(x, y, gap=0.0):
     return all(((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5 >= gap - 1e-9 for (ax, ay), (bx, by) in zip(RING, RING[1:] + RING[:1], strict=True))
 
 
+def poly_area(poly):
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(poly, poly[1:] + poly[:1], strict=True))) / 2 if poly else 0.0
+
+
+def shared(subject, convex):
+    for k in range(len(convex)):
+        subject = clip(subject, convex[k], convex[(k + 1) % len(convex)]) if subject else []
+    return poly_area(subject)
+
+
 def test_setback_check_equals_clipping(spark):
+    """On a slope: trapezoids against the parcel and against two houses, one without known eaves."""
     _, edges = parcel(spark)
     rng = random.Random(8)
     boxes = []
     for i in range(20):
         x, y = rng.uniform(0, 27), rng.uniform(0, 22)
-        boxes.append((i, 1, x, y, x + rng.uniform(1, 3), y + rng.uniform(1, 3), 3.0))
-    objects = spark.createDataFrame(boxes, "obj_id long, parcel_id long, x1 double, y1 double, x2 double, y2 double, depth double")
-    got = {r.obj_id: (r.outside, r.status) for r in building.setback_check(objects, edges).collect()}
-    for i, _, x1, y1, x2, y2, d in boxes:
-        outside = 0.0
-        for a, b, c, e in ((x1, y1 - d, x2, y1), (x2, y1, x2 + d, y2), (x1, y2, x2, y2 + d), (x1 - d, y1, x1, y2)):
-            poly = [(a, b), (c, b), (c, e), (a, e)]
-            for k in range(4):
-                poly = clip(poly, RING[k], RING[(k + 1) % 4]) if poly else []
-            area = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(poly, poly[1:] + poly[:1], strict=True)) / 2 if poly else 0
-            outside += (c - a) * (e - b) - area
-        assert got[i][0] == pytest.approx(outside, abs=1e-4)
-        assert got[i][1] == ("bad" if outside > 0.05 else "ok")
+        boxes.append((i, 1, x, y, x + rng.uniform(1, 3), y + rng.uniform(1, 3), rng.uniform(2, 12), 0.0, rng.uniform(20, 85)))
+    boxes = [(*b[:7], b[6] + rng.choice([0, 2.0]), b[8]) for b in boxes]
+    objects = spark.createDataFrame(boxes, "obj_id long, parcel_id long, x1 double, y1 double, x2 double, y2 double, eaves double, ridge double, pitch double")
+    ground = {(c, r): 0.25 * c + 0.1 * r for c in range(-20, 60) for r in range(-20, 60) if c < 28}
+    terrain = spark.createDataFrame([(c, r, z) for (c, r), z in ground.items()], "col long, row_ long, z double")
+    houses = [(7, 1, 12.0, 10.0, 18.0, 15.0, 6.0, 9.0), (8, 1, 3.0, 18.0, 6.0, 20.0, None, None)]
+    own = spark.createDataFrame(houses, "obj_id long, parcel_id long, x1 double, y1 double, x2 double, y2 double, eaves double, ridge double")
+    with_cells = lambda d: building.setback_check(d, edges, terrain, own)
+    old = building.walls
+    building.walls = lambda p, t: old(p, t, 1.0)
+    try:
+        got = {r.obj_id: r for r in with_cells(objects).collect()}
+    finally:
+        building.walls = old
+    z = lambda x, y: ground.get((int(x // 1), int(y // 1)))
+    ring = lambda x1, y1, x2, y2: [(x1, y1), (x2, y1), (x2, y2), (x1, y2)]
+
+    def before(a, b, ta, tb):
+        n = ((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2) ** 0.5
+        nx, ny = (b[1] - a[1]) / n, (a[0] - b[0]) / n
+        return [a, (a[0] + nx * ta, a[1] + ny * ta), (b[0] + nx * tb, b[1] + ny * tb), b]
+
+    areas = {}
+    for i, _, x1, y1, x2, y2, eaves, ridge in houses:
+        c = ring(x1, y1, x2, y2)
+        t = max(3, 0.4 * (eaves + (ridge - eaves) / 3)) if eaves else None
+        areas[i] = (c, [before(c[k], c[(k + 1) % 4], t, t) for k in range(4)] if t else [])
+    assert len(got) == len(boxes)
+    for i, _, x1, y1, x2, y2, eaves, ridge, pitch in boxes:
+        c = ring(x1, y1, x2, y2)
+        samples = [z(p[0] + (q[0] - p[0]) * k / 8, p[1] + (q[1] - p[1]) * k / 8) for p, q in zip(c, c[1:] + c[:1], strict=True) for k in range(9)]
+        level = [z(*p) for p in c] if None not in samples else [0.0] * 4
+        top = eaves + max(level)
+        plus = 0 if ridge <= eaves else (ridge - eaves) * (1 if pitch > 70 else 1 / 3)
+        depth = [max(3, 0.4 * (top - v + plus)) for v in level]
+        mine = [before(c[k], c[(k + 1) % 4], depth[k], depth[(k + 1) % 4]) for k in range(4)]
+        assert got[i].outside == pytest.approx(max(poly_area(m) - shared(m, RING) for m in mine), abs=1e-6)
+        overlap = max(shared(a, m) for _, of in areas.values() for j, a in enumerate(of) for k, m in enumerate(mine) if (j + k) % 2 == 0)
+        assert got[i].overlap == pytest.approx(overlap, abs=1e-6)
+        in_house = any(shared(c, a) > 0.05 for _, of in areas.values() for a in of)
+        house_in = any(shared(h, m) > 0.05 or any(poly_area(m) - sum(poly_area([p, m[k], m[(k + 1) % 4]]) for k in range(4)) > -1e-9 for p in h) for h, _ in areas.values() for m in mine)
+        assert (got[i].in_house, got[i].house_in) == (in_house, house_in)
+        assert got[i].status == ("bad" if got[i].outside > 0.05 or overlap > 0.05 or in_house or house_in else "ok")
+
+
+def test_ring_clipping(spark):
+    """Rings that are not convex against convex ones: area by counting fine cells; inside; points."""
+    from plotcheck.functions import rings
+
+    rng = random.Random(5)
+    notched = [(0, 0), (10, 0), (10, 8), (6, 8), (6, 3), (4, 3), (4, 8), (0, 8)]
+    rows = []
+    for i in range(30):
+        x, y, w, h = rng.uniform(-2, 9), rng.uniform(-2, 7), rng.uniform(0.5, 6), rng.uniform(0.5, 6)
+        rows.append((i, [{"x": float(a), "y": float(b)} for a, b in notched], [{"x": x, "y": y}, {"x": x + w, "y": y}, {"x": x + w, "y": y + h}, {"x": x, "y": y + h}]))
+    df = spark.createDataFrame(rows, "i int, s array<struct<x:double,y:double>>, c array<struct<x:double,y:double>>")
+    e = rings.edges_of(F.col("c"))
+    got = df.select("i", rings.clip_area(F.col("s"), e).alias("area"), rings.inside(F.col("c"), e, F.col("s")).alias("inside"), rings.contains(rings.edges_of(F.col("s")), F.col("c")[0]).alias("held")).collect()
+    for (i, _, c), r in zip(rows, sorted(got, key=lambda r: r.i), strict=True):
+        box = [(p["x"], p["y"]) for p in c]
+        x, y, w, h = box[0][0], box[0][1], box[1][0] - box[0][0], box[2][1] - box[0][1]
+        over = lambda a, b, lo, hi: max(0.0, min(b, hi) - max(a, lo))
+        want = over(x, x + w, 0, 10) * over(y, y + h, 0, 3) + (over(x, x + w, 0, 4) + over(x, x + w, 6, 10)) * over(y, y + h, 3, 8)
+        assert r.area == pytest.approx(want, abs=1e-9), i
+        assert r.inside == (want >= w * h - 0.005)
+        assert r.held == (0 < x < 10 and 0 < y < 8 and not (4 < x < 6 and y > 3))
 
 
 def clipped_area(poly, box):
@@ -353,10 +542,10 @@ def test_placement_zones_equal_single_checks(spark):
     obstacles = spark.createDataFrame([(1, 5, *obstacle)], "parcel_id long, obj_id long, x1 double, y1 double, x2 double, y2 double")
     w, d = 4.0, 3.0
     products = spark.createDataFrame([("haus", w, d)], "product string, w double, d double")
-    zones = building.placement_zones(flat, edges, obstacles, products, 2.0, 1.0).cache()
+    zones = zones_.placement_zones(flat, edges, obstacles, products, 2.0, 1.0).cache()
     got = {(r.x, r.y): (r.colour, r.angle and round(math.degrees(r.angle), 6)) for r in zones.collect()}
     sides = list(zip(RING, RING[1:] + RING[:1], strict=True))
-    angles = building.orientations(edges).first().angles
+    angles = zones_.orientations(edges).first().angles
     wanted = [0.0]
     for (ax, ay), (bx, by) in sides:
         wanted += [math.degrees(math.atan2(by - ay, bx - ax)) % 180] * (math.hypot(bx - ax, by - ay) >= 2)
@@ -399,7 +588,7 @@ def test_placement_zones_equal_single_checks(spark):
             expected[x, y] = colour(x, y, fit or range(len(kept)))
     assert {c for c, _ in expected.values()} == {"green", "yellow", "red", "grey"}
     assert got == expected
-    fit = building.product_fit(zones, flat).collect()
+    fit = zones_.product_fit(zones, flat).collect()
     best = min((0 if c == "green" else 1, round((x**2 + y**2) ** 0.5, 6), x, y) for (x, y), (c, _) in got.items() if c in ("green", "yellow"))
     assert [(r.x, r.y, r.parcels) for r in fit] == [(best[2], best[3], 1)]
 
