@@ -64,10 +64,11 @@ def spaced_quota(points: DataFrame, quotas: DataFrame, least: float, seed: str)
     beats = materialize(_too_near(keyed, least), "beats")
     taken = materialize(open_.limit(0), "taken")
 
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+
     def full_at(rows: DataFrame) -> DataFrame:
         """(stratum, edge): the rank of the quota-th of the rows of each stratum that has so many."""
         nth = F.row_number().over(W.partitionBy("stratum").orderBy("rank"))
-        most = quotas.agg(F.max("quota")).first()[0]
         return rows.withColumn("nth", nth).filter(F.col("nth") <= most).filter("nth = quota").select("stratum", F.col("rank").alias("edge"))
 
     while not open_.isEmpty():

@@ -32,7 +32,7 @@ def tile_folder(spark: SparkSession, name: str) -> str:
 def near_windows(tiles: DataFrame, windows: DataFrame, tile_m: float) -> DataFrame:
     """Rows of a tile table (x, y, kx, ky) with each window (x1, y1, x2, y2, half-open) that they lie in, as w_*.
 
-    Windows are dealt to the tiles that they touch; the join by tile prunes the folders at run time where the windows are few.
+    Windows are dealt to the tiles that they touch, so that a row meets the windows of its own tile only.
     """
     at = lambda c: F.floor(F.col(c) / tile_m)
     end = lambda c: F.greatest(F.ceil(F.col(c) / tile_m) - 1, at(c.replace("2", "1")))

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plotcheck.operators import logs
 from plotcheck.sources.files import LOG
@@ -76,40 +77,34 @@ def prepare_windows(stream: DataFrame, ready: DataFrame, delay: str = "1 hour")
     return wanted.dropDuplicatesWithinWatermark(["client", "wx", "wy"])
 
 
-class _Limiter(StatefulProcessor):
-    """Keeps a client's window (start, requests so far); a client that stays away longer than the window is forgotten."""
-
-    def __init__(self, seconds: int, most: int, idle: int) -> None:
-        self.seconds, self.most, self.idle = seconds, most, idle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "start long, n long", self.idle * 1000)
+def limit_requests(stream: DataFrame, seconds: int = 60, most: int = 30, idle: int | None = None) -> DataFrame:
+    """Every request with its client's window and whether it is refused, as ``logs.limit_requests``.
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
-        new = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        start, n = self.window.get() if self.window.exists() else (None, 0)
+    State is one window a client (start, requests so far), dropped once the watermark, ``idle`` seconds behind the latest request
+    (twice the window, if not given), has passed it. Requests of a client are taken in order within a batch, and batches as they
+    come; what comes later than the watermark is dropped.
+    """
+    kind = dict(stream.dtypes)
+    idle = idle or 2 * seconds
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        start, n = state.get if state.exists else (None, 0)
         starts, numbers = [], []
         for at in new["at"].tolist():
-            start, n = logs.next_in_window(start, n, at, self.seconds * 1_000_000)
+            start, n = logs.next_in_window(start, n, at, seconds * 1_000_000)
             starts.append(start)
             numbers.append(n)
-        self.window.update((start, n))
+        state.update((start, n))
+        state.setTimeoutTimestamp(int(new["at"].max() // 1000) + 1000 * idle)
         yield pd.DataFrame({"client": key[0], "event_id": new["event_id"].to_numpy(), "at": new["at"].to_numpy(), "from": starts, "nth": numbers})
 
-    def close(self) -> None:
-        pass
-
-
-def limit_requests(stream: DataFrame, seconds: int = 60, most: int = 30, idle: int | None = None) -> DataFrame:
-    """Every request with its client's window and whether it is refused, as ``logs.limit_requests``; needs the RocksDB state store.
-
-    State is one window a client, dropped after ``idle`` seconds without requests (twice the window, if not given). Requests of a
-    client are taken in order within a batch, and batches as they come.
-    """
-    kind = dict(stream.dtypes)
-    rows = stream.filter("ts IS NOT NULL").select("client", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    rows = stream.filter("ts IS NOT NULL").withWatermark("ts", f"{idle} seconds").select("client", "event_id", "ts", F.unix_micros("ts").alias("at"))
     schema = f"client {kind['client']}, event_id {kind['event_id']}, at long, from long, nth long"
-    out = rows.groupBy("client").transformWithStateInPandas(_Limiter(seconds, most, idle or 2 * seconds), schema, "append", "ProcessingTime")
+    out = rows.groupBy("client").applyInPandasWithState(decide, schema, "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("client", "event_id", F.timestamp_micros("at").alias("ts"), F.timestamp_micros("from").alias("start"), "nth", (F.col("nth") > most).alias("refused"))
 
 
