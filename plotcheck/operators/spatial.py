@@ -74,18 +74,26 @@ def _meeting(left: DataFrame, right: DataFrame, size: float, reach: float) -> tu
     return a, b
 
 
-def box_join(left: DataFrame, right: DataFrame, size: float = 50.0, reach: float = 0.0) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, size: float = 50.0, reach: float = 0.0, spread: bool = False) -> DataFrame:
     """Pairs (l_*, r_*) of boxes that touch or lie within ``reach`` of each other in both directions, each once.
 
-    Boxes are dealt to cells of their own size; two of different size meet at the level of the larger, where the smaller one
-    is dealt as well. A pair counts in one of the cells that both cover. Cells with over CROWD boxes of a side are dealt out
-    in parts, which the boxes of the other side visit all. Boxes with null corners meet none.
+    Both sides are dealt to the cells that they cover; a pair counts in one of the cells that both do. With ``spread``, for boxes
+    of very different sizes and for crowded places, boxes are dealt to cells of their own size (four at most on each level in
+    use), two of different size meet at the level of the larger, and cells with over CROWD boxes of a side are dealt out in
+    parts, which the boxes of the other side visit all; both sides are then read three times, so pass written tables.
+    Boxes with null corners meet none.
     """
-    a, b = _meeting(left, right, size, reach)
-    own = lambda p, q: F.floor(F.greatest(F.col(p) - reach, F.col(q)) / (size * F.pow(F.lit(2.0), F.col("level"))))
     near = f"l_x1 - {reach!r} <= r_x2 AND r_x1 <= l_x2 + {reach!r} AND l_y1 - {reach!r} <= r_y2 AND r_y1 <= l_y2 + {reach!r}"
-    met = a.join(b, MEETING).filter("greatest(l_level, r_level) = level").filter(near).filter((F.col("cx") == own("l_x1", "r_x1")) & (F.col("cy") == own("l_y1", "r_y1")))
-    return met.drop(*MEETING, "l_level", "r_level")
+    if spread:
+        a, b = _meeting(left, right, size, reach)
+        on, width = MEETING, size * F.pow(F.lit(2.0), F.col("level"))
+    else:
+        a = with_cells(prefixed(left, "l_"), size, "l_x1", "l_y1", "l_x2", "l_y2", reach)
+        b = with_cells(prefixed(right, "r_"), size, "r_x1", "r_y1", "r_x2", "r_y2")
+        on, width = ["cx", "cy"], F.lit(size)
+    own = lambda p, q: F.floor(F.greatest(F.col(p) - reach, F.col(q)) / width)
+    met = a.join(b, on).filter("greatest(l_level, r_level) = level" if spread else "true").filter(near)
+    return met.filter((F.col("cx") == own("l_x1", "r_x1")) & (F.col("cy") == own("l_y1", "r_y1"))).drop(*on, "l_level", "r_level")
 
 
 def ring_edges(vertices: DataFrame, key: str = "parcel_id") -> DataFrame:

@@ -295,7 +295,7 @@ def test_box_join_of_all_sizes(spark, monkeypatch):
         want = sorted((p[0], q[0]) for p in a[:-1] for q in b[:-1] if p[1] - reach <= q[3] and q[1] <= p[3] + reach and p[2] - reach <= q[4] and q[2] <= p[4] + reach)
         for crowd in (spatial.CROWD, 10):
             monkeypatch.setattr(spatial, "CROWD", crowd)
-            assert sorted((r.l_id, r.r_id) for r in spatial.box_join(left, right, reach=reach).select("l_id", "r_id").collect()) == want
+            assert sorted((r.l_id, r.r_id) for r in spatial.box_join(left, right, reach=reach, spread=True).select("l_id", "r_id").collect()) == want
 
 
 def test_spaced_quota_goes_in_order(spark):
@@ -344,7 +344,7 @@ def test_large_boxes_take_few_cells_and_crowds_are_dealt(spark):
     assert spatial._in_cells(spatial._dealt(wide, "l_", 50.0, 0.0), levels, "l_", 50.0, 0.0).count() <= 4 * 12
     crowd = spark.range(100_000).selectExpr("id", "CAST(id % 45 AS DOUBLE) AS x1", "1D AS y1", "CAST(id % 45 AS DOUBLE) AS x2", "2D AS y2")
     few = spark.range(3).selectExpr("id", "0D AS x1", "0D AS y1", "0D AS x2", "5D AS y2")
-    met = spatial.box_join(few, crowd)
+    met = spatial.box_join(few, crowd, spread=True)
     assert met.count() == 3 * sum(1 for i in range(100_000) if i % 45 == 0)
     # What one task joins at once stays small on both sides.
     for side in spatial._meeting(few, crowd, 50.0, 0.0):
