@@ -199,6 +199,7 @@ def plant_zones(edges: DataFrame, res: float) -> DataFrame:
     ring = edges.groupBy("parcel_id").agg(F.collect_list(F.struct("seg", *_EDGE, F.coalesce("road", F.lit(False)).alias("road"), F.coalesce("forest", F.lit(False)).alias("forest"))).alias("ring"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(["red", "yellow", "green"])
         for batch in batches:
             for row in batch.to_pylist():
                 sides = [e for e in sorted(row["ring"], key=lambda e: e["seg"])]
@@ -209,7 +210,7 @@ def plant_zones(edges: DataFrame, res: float) -> DataFrame:
                 x, y = (col + 0.5) * res, (line + 0.5) * res
                 every, open_ = distance(x, y, of(lambda e: not e["road"])), distance(x, y, of(lambda e: not e["road"] and not e["forest"]))
                 near = lambda d, least: d + 1e-9 < least
-                colour = np.where(near(every, lim.PLANT_SMALL), "red", np.where(near(open_, lim.PLANT_TALL), "yellow", "green"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(col), row["parcel_id"])), pa.array(col), pa.array(line), pa.array(colour.tolist())], names=["parcel_id", "col", "row_", "colour"])
+                colour = np.where(near(every, lim.PLANT_SMALL), 0, np.where(near(open_, lim.PLANT_TALL), 1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(col), row["parcel_id"])), pa.array(col), pa.array(line), names.take(pa.array(colour))], names=["parcel_id", "col", "row_", "colour"])
 
     return ring.filter("parcel_id IS NOT NULL").withColumn("parcel_id", F.col("parcel_id").cast("long")).mapInArrow(run, "parcel_id long, col long, row_ long, colour string")

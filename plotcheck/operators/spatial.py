@@ -182,10 +182,12 @@ def cells_in_polygons(edges: DataFrame, key: str = "parcel_id", res: float = 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0)
-            for i, ring_ in enumerate(batch.column(1).to_pylist()):
-                col, row = row_spans(np.array([[e[c] for c in ("ax", "ay", "bx", "by_")] for e in ring_], np.float64), res, 0.5)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.full(len(col), i))), pa.array(col), pa.array(row)], names=[key, "col", "row_"])
+            keys, rings = batch.column(0), batch.column(1).to_pylist()
+            for at in range(0, len(rings), 64):
+                found = [row_spans(np.array([[e[c] for c in ("ax", "ay", "bx", "by_")] for e in r], np.float64), res, 0.5) for r in rings[at : at + 64]]
+                col, row = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                which = np.repeat(np.arange(at, at + len(found)), [len(f[0]) for f in found])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(which)), pa.array(col), pa.array(row)], names=[key, "col", "row_"])
 
     return ring.mapInArrow(run, f"{key} {kind}, col long, row_ long")
 
