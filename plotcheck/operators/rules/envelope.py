@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plotcheck.functions.grid import row_spans
 from plotcheck.operators.rules import limits as lim
+from plotcheck.storage import spread
 
 #: Edges of own buildings up to this length have no setback area.
 SHORT_EDGE = 0.3
@@ -89,6 +90,22 @@ def setback_areas(ring: np.ndarray, depth: float) -> list[np.ndarray]:
     return out
 
 
+def rectangle_gap(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Square of each point's distance to the rectangle whose edges ``ring`` holds; 0 within."""
+    ax, ay, bx, by = ring[0].tolist()
+    cx, cy = ring[1, 2:].tolist()
+    if (ax == bx and by == cy) or (ay == by and bx == cx):
+        u, v = x - min(ax, cx), y - min(ay, cy)
+        long, wide = abs(cx - ax), abs(cy - ay)
+    else:
+        long, wide = np.hypot(bx - ax, by - ay), np.hypot(cx - bx, cy - by)
+        u = ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / long
+        v = ((x - ax) * (cx - bx) + (y - ay) * (cy - by)) / wide
+    u = np.maximum(np.maximum(-u, u - long), 0.0)
+    v = np.maximum(np.maximum(-v, v - wide), 0.0)
+    return u * u + v * v
+
+
 class Model:
     """What limits walls on one parcel: ``plot``, permitted ``area``, obstacles that keep their distance, and rings that are only closed."""
 
@@ -96,7 +113,7 @@ class Model:
         edges = sorted(row["ring"], key=lambda e: e["seg"])
         self.plot = np.array([[e[c] for c in _EDGE] for e in edges], np.float64)
         self.area = moved_out(self.plot, np.array([e["shift"] for e in edges], np.float64))
-        self.obstacles, self.closed = [], []
+        self.obstacles, self.rectangles, self.closed = [], [], []
         for h in row["houses"] or ():
             ring = np.array([[e[c] for c in _EDGE] for e in sorted(h["ring"], key=lambda e: e["seg"])], np.float64)
             if not h["own"]:
@@ -104,10 +121,12 @@ class Model:
                 if inside(ring[:1, 0], ring[:1, 1], self.plot)[0]:
                     self.closed.append(ring)
                 continue
-            self.obstacles.append(ring)
+            # A point within a rectangle lies 0 from it, so that it is closed as well.
+            upright = len(ring) == 4 and (((ring[:, 0] == ring[:, 2]) != (ring[:, 1] == ring[:, 3])).all()) and abs(signed_area(ring)) == np.ptp(ring[:, 0]) * np.ptp(ring[:, 1])
+            (self.rectangles if upright else self.obstacles).append(ring)
             if h["eaves"] is not None:
                 height = h["eaves"] + max(0.0, (h["ridge"] if h["ridge"] is not None else h["eaves"]) - h["eaves"]) * ROOF_SHARE
-                self.obstacles += setback_areas(ring, max(lim.SETBACK_LEAST, lim.SETBACK_FACTOR * height))
+                self.rectangles += setback_areas(ring, max(lim.SETBACK_LEAST, lim.SETBACK_FACTOR * height))
         self.segments = np.concatenate([self.area, *self.obstacles])
 
     def heights(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -119,6 +138,11 @@ class Model:
             for ring in self.obstacles + self.closed:
                 free &= ~inside(px, py, ring)
             d = distance(px[free], py[free], self.segments)
+            if self.rectangles:
+                fx, fy, d = px[free], py[free], d * d
+                for ring in self.rectangles:
+                    np.minimum(d, rectangle_gap(fx, fy, ring), out=d)
+                d = np.sqrt(d)
             out[at : at + POINTS][free] = np.where(d >= lim.SETBACK_LEAST - 1e-9, d / lim.SETBACK_FACTOR, 0.0)
         return out
 
@@ -146,8 +170,8 @@ def models(edges: DataFrame, buildings: DataFrame | None = None, inventory: Data
     return ring.join(houses, "parcel_id", "left")
 
 
-def envelope(model: DataFrame, res: float) -> DataFrame:
-    """(parcel_id, col, row_, height) at every grid point (col * res, row_ * res) of each parcel of ``models``.
+def envelope(model: DataFrame, res: float, digits: int | None = None) -> DataFrame:
+    """(parcel_id, col, row_, height) at every grid point (col * res, row_ * res) of each parcel of ``models``, heights to ``digits`` places if given.
 
     Height: distance to the permitted area's boundary, to own buildings and to their setback areas, divided by 0.4, from 3 m on;
     else 0, as in buildings, their setback areas and confirmed inventory. An empty table gives no rows.
@@ -160,9 +184,12 @@ def envelope(model: DataFrame, res: float) -> DataFrame:
                 col, line = row_spans(m.plot, res)
                 if len(col):
                     height = m.heights(col * res, line * res)
+                    if digits is not None:
+                        height = np.floor(height * 10.0**digits + 0.5) / 10.0**digits
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(col), row["parcel_id"])), pa.array(col), pa.array(line), pa.array(height)], names=["parcel_id", "col", "row_", "height"])
 
-    return model.filter("parcel_id IS NOT NULL").select(F.col("parcel_id").cast("long").alias("parcel_id"), "ring", "houses").mapInArrow(run, "parcel_id long, col long, row_ long, height double")
+    each = spread(model.filter("parcel_id IS NOT NULL").select(F.col("parcel_id").cast("long").alias("parcel_id"), "ring", "houses"), "parcel_id")
+    return each.mapInArrow(run, "parcel_id long, col long, row_ long, height double")
 
 
 def envelope_breaches(walls: DataFrame, model: DataFrame, step: float = 0.25) -> DataFrame:
@@ -188,7 +215,7 @@ def envelope_breaches(walls: DataFrame, model: DataFrame, step: float = 0.25) ->
                 cols = [list(found), *(list(c) for c in zip(*found.values()))]  # noqa: B905
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["obj_id", "samples", "breaches", "excess"])  # noqa: B905
 
-    return model.join(held, "parcel_id").drop("parcel_id").mapInArrow(run, "obj_id long, samples long, breaches long, excess double")
+    return spread(model.join(held, "parcel_id"), "parcel_id").drop("parcel_id").mapInArrow(run, "obj_id long, samples long, breaches long, excess double")
 
 
 def plant_zones(edges: DataFrame, res: float) -> DataFrame:
@@ -213,4 +240,5 @@ def plant_zones(edges: DataFrame, res: float) -> DataFrame:
                 colour = np.where(near(every, lim.PLANT_SMALL), 0, np.where(near(open_, lim.PLANT_TALL), 1, 2))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(col), row["parcel_id"])), pa.array(col), pa.array(line), names.take(pa.array(colour))], names=["parcel_id", "col", "row_", "colour"])
 
-    return ring.filter("parcel_id IS NOT NULL").withColumn("parcel_id", F.col("parcel_id").cast("long")).mapInArrow(run, "parcel_id long, col long, row_ long, colour string")
+    each = spread(ring.filter("parcel_id IS NOT NULL").withColumn("parcel_id", F.col("parcel_id").cast("long")), "parcel_id")
+    return each.mapInArrow(run, "parcel_id long, col long, row_ long, colour string")
