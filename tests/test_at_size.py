@@ -4,7 +4,10 @@ import math
 
 import pytest
 
+from test_queries import QUERIES, SF
+
 from plotcheck.operators.rules import building
+from plotcheck.plans import fixtures
 
 EDGES = "parcel_id long, seg int, ax double, ay double, bx double, by_ double"
 
@@ -35,3 +38,30 @@ def test_start_position_keeps_a_parcel_in_one_row(spark, monkeypatch):
                     want[p.parcel_id] = min(want.get(p.parcel_id, (math.inf,)), (-gap, y, x))
     assert {r.parcel_id: (-r.gap, r.y, r.x) for r in got.collect()} == {k: pytest.approx(v) for k, v in want.items()}
     assert set(want) == {1, 3}
+
+
+@pytest.mark.parametrize("name", ["placement_zones", "envelope", "envelope_breaches", "plant_zones", "start_position", "cells_in_polygons"])
+def test_parcels_are_dealt_to_many_tasks(spark, name):
+    assert "REPARTITION_BY_NUM" in plan_of(QUERIES[name](spark, SF))
+
+
+def test_best_places_are_those_of_all_cells(spark):
+    from plotcheck.operators.rules import zones
+
+    got = {tuple(r) for r in QUERIES["product_fit"](spark, SF).collect()}
+    want = zones.product_fit(QUERIES["placement_zones"](spark, SF), fixtures.view(spark, SF, "parcel")).collect()
+    assert got == {tuple(r) for r in want}
+
+
+@pytest.mark.parametrize("turn", [0.0, math.pi / 2, 0.3, -2.0])
+def test_rectangle_gap_is_the_distance_to_the_filled_rectangle(turn):
+    import numpy as np
+
+    from plotcheck.operators.rules import envelope
+
+    rng = np.random.default_rng(1)
+    box = np.array([[0.0, 0.0], [5.0, 0.0], [5.0, 2.0], [0.0, 2.0]]) @ np.round([[math.cos(turn), math.sin(turn)], [-math.sin(turn), math.cos(turn)]], 12) + [10.0, -3.0]
+    edges = np.hstack([box, np.roll(box, -1, axis=0)])
+    x, y = rng.uniform(0, 20, 500), rng.uniform(-12, 8, 500)
+    want = np.where(envelope.inside(x, y, edges), 0.0, envelope.distance(x, y, edges))
+    assert np.allclose(np.sqrt(envelope.rectangle_gap(x, y, edges)), want, atol=1e-9)
