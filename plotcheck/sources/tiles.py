@@ -1,4 +1,4 @@
-"""Tables cut into square tiles, a folder each, so that a scan of an area lists and reads its tiles only."""
+"""Tables cut into square tiles, in folders of a column's bands, so that a scan of an area reads its tiles only."""
 
 from __future__ import annotations
 
@@ -11,17 +11,26 @@ from pyspark.sql import functions as F
 from plotcheck.storage import shared_dir
 
 
+#: Rows of tiles that share a folder: folders of single tiles take longer to make and to list than their rows to read.
+BAND = 1024
+
+
 def write_tiles(df: DataFrame, path: str, tile_m: float, x: str = "x", y: str = "y") -> None:
-    """Write ``df`` in folders kx=<column>/ky=<row> of the tiles that hold (x, y). Crowded tiles get several files; rows without a place are left out."""
+    """Write ``df`` with the tiles (kx, ky) that hold (x, y), in folders kx=<column>/band=<BAND rows>, each sorted by ky.
+
+    Crowded folders get several files; a scan skips row groups of other tiles by their least and greatest ky. Rows without a place are left out.
+    """
     at = lambda c: F.floor(F.col(c) / tile_m)
-    df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"kx": at(x), "ky": at(y)}).hint("rebalance", "kx", "ky").write.partitionBy("kx", "ky").parquet(path)
+    dealt = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"kx": at(x), "ky": at(y)}).withColumn("band", F.floor(F.col("ky") / BAND))
+    dealt.hint("rebalance", "kx", "band").sortWithinPartitions("kx", "band", "ky").write.partitionBy("kx", "band").parquet(path)
 
 
 def read_tiles(spark: SparkSession, path: str, bbox: tuple[float, float, float, float], tile_m: float) -> DataFrame:
     """Rows of the tiles that touch the half-open box; other folders are not read."""
     x1, y1, x2, y2 = bbox
     low, high = lambda v: math.floor(v / tile_m), lambda v: math.ceil(v / tile_m) - 1
-    return spark.read.parquet(path).filter(F.col("kx").between(low(x1), high(x2)) & F.col("ky").between(low(y1), high(y2)))
+    held = F.col("kx").between(low(x1), high(x2)) & F.col("band").between(low(y1) // BAND, high(y2) // BAND) & F.col("ky").between(low(y1), high(y2))
+    return spark.read.parquet(path).filter(held).drop("band")
 
 
 def tile_folder(spark: SparkSession, name: str) -> str:

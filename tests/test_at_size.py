@@ -65,3 +65,34 @@ def test_rectangle_gap_is_the_distance_to_the_filled_rectangle(turn):
     x, y = rng.uniform(0, 20, 500), rng.uniform(-12, 8, 500)
     want = np.where(envelope.inside(x, y, edges), 0.0, envelope.distance(x, y, edges))
     assert np.allclose(np.sqrt(envelope.rectangle_gap(x, y, edges)), want, atol=1e-9)
+
+
+def test_rain_lookup_keeps_a_query_in_one_row(spark):
+    from plotcheck.operators import raster
+
+    table = spark.createDataFrame([(5, 10, 1.0), (10, 10, 2.0), (20, 10, 4.0), (5, 2, 0.5)], "dauer_min int, jahre int, hn double")
+    queries = spark.createDataFrame([(1, 10, 10.0), (2, 10, 15.0), (3, 10, 3.0), (4, 2, 5.0), (5, 10, None), (6, 7, 5.0)], "q long, jahre int, dauer double")
+    got = raster.bracket_interpolate(queries, table)
+    assert {r.q: r.hn for r in got.collect()} == {1: 2.0, 2: pytest.approx(2 + 2 * math.log(1.5) / math.log(2)), 3: None, 4: 0.5, 5: None}
+    # The only aggregate is that of the table.
+    assert "q#" not in "".join(line for line in plan_of(got).splitlines() if "Aggregate" in line)
+
+
+def test_bilinear_does_not_multiply_points(spark):
+    from plotcheck.operators import raster
+
+    cells = spark.createDataFrame([(c, r, float(10 * c + r)) for c in range(3) for r in range(3) if (c, r) != (2, 2)] + [(7, 7, 1.0)], "col long, row_ long, z double")
+    points = spark.createDataFrame([("a", 10.0, 10.0), ("b", 25.0, 25.0), ("c", -5.0, 900.0)], "pt string, x double, y double")
+    got = raster.bilinear(points, cells, 10.0, 3, 3)
+    assert "pt#" not in "".join(line for line in plan_of(got).splitlines() if "Aggregate" in line or "Exchange hash" in line)
+    rows = {r.pt: (r.z, r.weight) for r in got.collect()}
+    assert rows == {"a": (5.5, 1.0), "b": (0.0, 0.0), "c": (2.0, 1.0)}
+
+
+def test_tiles_share_folders(spark, tmp_path):
+    from plotcheck.sources import tiles
+
+    path = str(tmp_path / "tiles")
+    tiles.write_tiles(spark.range(3000).selectExpr("id", "5D AS x", "CAST(id - 100 AS DOUBLE) * 10 AS y"), path, 10.0)
+    assert len(list((tmp_path / "tiles").glob("kx=*/*"))) <= 4
+    assert {r.id for r in tiles.read_tiles(spark, path, (0.0, -20.0, 10.0, 30.0), 10.0).collect()} == {98, 99, 100, 101, 102}
