@@ -96,3 +96,28 @@ def test_tiles_share_folders(spark, tmp_path):
     tiles.write_tiles(spark.range(3000).selectExpr("id", "5D AS x", "CAST(id - 100 AS DOUBLE) * 10 AS y"), path, 10.0)
     assert len(list((tmp_path / "tiles").glob("kx=*/*"))) <= 4
     assert {r.id for r in tiles.read_tiles(spark, path, (0.0, -20.0, 10.0, 30.0), 10.0).collect()} == {98, 99, 100, 101, 102}
+
+
+def test_setback_check_equals_sql_far_from_the_origin(spark, tmp_path):
+    import duckdb
+    from test_queries import SQL, plain
+
+    con = duckdb.connect()
+    for table, keys in (("customer", ["c_custkey"]), ("orders", ["o_orderkey", "o_custkey"]), ("part", ["p_partkey"])):
+        moved = ", ".join(f"CAST({k} + r * 1000000007 AS BIGINT) AS {k}" for k in keys)
+        con.execute(f"COPY (SELECT * EXCLUDE (r) REPLACE ({moved}) FROM (SELECT t.*, r FROM '{SF}/{table}.parquet' t, range(3) x(r))) TO '{tmp_path}/{table}.parquet'")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    df = QUERIES["setback_check"](spark, str(tmp_path))
+    got = sorted(tuple(map(plain, r)) for r in df.collect())
+    assert got == sorted(tuple(map(plain, r)) for r in con.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL['setback_check']})").fetchall())
+
+
+def test_parcels_that_are_not_convex_are_clipped():
+    import numpy as np
+
+    from plotcheck.functions import convex
+
+    corners = [[(0, 0), (4, 0), (4, 4), (0, 4)], [(0, 0), (0, 4), (4, 4), (4, 0)], [(0, 0), (4, 0), (1, 1), (0, 4)], [(0, 0), (2, 0), (4, 0), (4, 4)]]
+    r = convex.Rings(*(np.array([[p[k] for p in c] for c in corners], float) for k in (0, 1)), np.full(4, 4), np.arange(4))
+    assert convex.are_convex(r).tolist() == [True, False, False, True]
+    assert convex.shared_areas(r, r, np.array([0, 0]), np.array([0, 3])).tolist() == [16.0, 8.0]
