@@ -121,3 +121,19 @@ def test_parcels_that_are_not_convex_are_clipped():
     r = convex.Rings(*(np.array([[p[k] for p in c] for c in corners], float) for k in (0, 1)), np.full(4, 4), np.arange(4))
     assert convex.are_convex(r).tolist() == [True, False, False, True]
     assert convex.shared_areas(r, r, np.array([0, 0]), np.array([0, 3])).tolist() == [16.0, 8.0]
+
+
+def test_boundary_segments_keep_an_object_in_one_row_an_edge(spark):
+    import random
+
+    from plotcheck.operators import spatial as s
+
+    rng = random.Random(3)
+    boxes = spark.createDataFrame([(i, 1, (x := rng.uniform(-6, 30)), (y := rng.uniform(-6, 20)), x + rng.uniform(0.5, 9), y + rng.uniform(0.5, 9)) for i in range(300)], "obj_id long, parcel_id long, x1 double, y1 double, x2 double, y2 double")
+    edges = spark.createDataFrame(ring(1, (0, 0), (27, 0), (30, 2), (28, 18), (2, 17)), EDGES)
+    got = building.boundary_segments(boxes, edges)
+    assert "Aggregate" not in plan_of(got)
+    length = s.projected_length(s.box_corners(boxes, "parcel_id", "obj_id"), edges)
+    want = s.polygon_distance(s.as_outline(s.box_edges(boxes, "parcel_id", "obj_id"), "parcel_id", "obj_id"), edges, "parcel_id", ("obj_id", "seg")).join(length, ["obj_id", "seg"])
+    want = {(r.obj_id, r.seg): (r.distance, r.length) for r in want.collect()}
+    assert len(want) == 1500 and {(r.obj_id, r.seg): (r.distance, r.length) for r in got.collect()} == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
