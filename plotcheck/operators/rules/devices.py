@@ -121,11 +121,15 @@ def sun_places(days: DataFrame) -> DataFrame:
     return sun_position(day_times(days, "day")).filter(F.col("alt") >= lim.SUN_ALTITUDE).select("day", "t", "alt", "az")
 
 
-def lit_times(points: DataFrame, bodies: DataFrame, sun: DataFrame, reach: float | None = None) -> DataFrame:
-    """(pt, day, t) at which no body (box with height) stands across the ray from a point (pt, x, y, z) to the sun.
+#: Steps of a day that one word of bits holds.
+WORD = 48
 
-    A body reaches as far as its shadow at the lowest sun that counts, height / tan(5 degrees) above the lowest point;
-    ``reach`` bounds it to fewer metres.
+
+def lit_steps(points: DataFrame, bodies: DataFrame, sun: DataFrame, reach: float | None = None) -> DataFrame:
+    """(pt, day, word, lit): bits of the steps of the day at which no body (box with height) stands across the ray from a point (pt, x, y, z) to the sun.
+
+    Word w has the steps from w * WORD on, the first in the lowest bit; words without sun have no row. A body reaches as far as
+    its shadow at the lowest sun that counts, height / tan(5 degrees) above the lowest point; ``reach`` bounds it to fewer metres.
     """
     longest = F.greatest(F.col("height") - F.col("low"), F.lit(0.0)) / math.tan(math.radians(lim.SUN_ALTITUDE))
     far = F.least(longest, F.lit(math.inf if reach is None else reach))
@@ -133,18 +137,27 @@ def lit_times(points: DataFrame, bodies: DataFrame, sun: DataFrame, reach: float
     wide = wide.selectExpr("obj_id", "height", "far", "x1 AS bx1", "y1 AS by1", "x2 AS bx2", "y2 AS by2", "x1 - far AS x1", "y1 - far AS y1", "x2 + far AS x2", "y2 + far AS y2")
     met = s.box_join(points.selectExpr("pt", "x", "y", "z", "x AS x1", "y AS y1", "x AS x2", "y AS y2"), wide, 60.0).filter("r_height > l_z")
     near = met.selectExpr("l_pt", "l_x", "l_y", "l_z", "r_height", "r_far", "r_bx1 AS r_x1", "r_by1 AS r_y1", "r_bx2 AS r_x2", "r_by2 AS r_y2")
-    ray = near.crossJoin(F.broadcast(sun)).withColumns({"dx": F.sin(F.radians("az")), "dy": F.cos(F.radians("az"))})
+    # What depends on the sun alone is computed once a step.
+    step = F.floor((F.unix_seconds("t") - F.unix_seconds(F.col("day").cast("timestamp"))) / (60 * lim.SUN_STEP_MIN)).cast("int")
+    places = sun.withColumns({"dx": F.sin(F.radians("az")), "dy": F.cos(F.radians("az")), "slope": F.tan(F.radians("alt")), "word": F.floor(step / WORD).cast("int"), "bit": F.call_function("shiftleft", F.lit(1).cast("long"), step % WORD)})
+    ray = near.crossJoin(F.broadcast(places))
     lo = lambda a, o, c: F.expr(f"CASE WHEN abs({c}) < 1e-12 THEN CASE WHEN {o} BETWEEN r_{a}1 AND r_{a}2 THEN -1e18 ELSE 1e18 END ELSE least((r_{a}1 - {o}) / {c}, (r_{a}2 - {o}) / {c}) END")
     hi = lambda a, o, c: F.expr(f"CASE WHEN abs({c}) < 1e-12 THEN CASE WHEN {o} BETWEEN r_{a}1 AND r_{a}2 THEN 1e18 ELSE -1e18 END ELSE greatest((r_{a}1 - {o}) / {c}, (r_{a}2 - {o}) / {c}) END")
     enter = F.greatest(lo("x", "l_x", "dx"), lo("y", "l_y", "dy"), F.lit(0.05))
     leave = F.least(hi("x", "l_x", "dx"), hi("y", "l_y", "dy"), F.col("r_far"))
-    blocked = ray.filter((enter <= leave) & (F.col("l_z") + enter * F.tan(F.radians("alt")) < F.col("r_height"))).select(F.col("l_pt").alias("pt"), "day", "t").distinct()
-    return points.select("pt").crossJoin(F.broadcast(sun.select("day", "t"))).join(blocked, ["pt", "day", "t"], "left_anti")
+    blocked = ray.filter((enter <= leave) & (F.col("l_z") + enter * F.col("slope") < F.col("r_height"))).groupBy(F.col("l_pt").alias("pt"), "day", "word").agg(F.bit_or("bit").alias("blocked"))
+    up = places.groupBy("day", "word").agg(F.bit_or("bit").alias("up"))
+    lit = F.col("up").bitwiseAND(F.bitwise_not(F.coalesce("blocked", F.lit(0).cast("long"))))
+    return points.select("pt").crossJoin(F.broadcast(up)).join(blocked, ["pt", "day", "word"], "left").select("pt", "day", "word", lit.alias("lit"))
+
+
+def _hours(steps: DataFrame, key: str) -> DataFrame:
+    return steps.groupBy(key, "day").agg((F.sum(F.bit_count("lit")) * lim.SUN_STEP_MIN / 60.0).alias("hours"))
 
 
 def sun_hours(points: DataFrame, bodies: DataFrame, days: DataFrame, reach: float | None = None) -> DataFrame:
     """Hours of sun of each point and day."""
-    hours = lit_times(points, bodies, sun_places(days), reach).groupBy("pt", "day").agg((F.count("*") * lim.SUN_STEP_MIN / 60.0).alias("hours"))
+    hours = _hours(lit_steps(points, bodies, sun_places(days), reach), "pt")
     return points.select("pt").crossJoin(F.broadcast(days)).join(hours, ["pt", "day"], "left").select("pt", "day", F.coalesce("hours", F.lit(0.0)).alias("hours"))
 
 
@@ -158,8 +171,8 @@ def extra_shading(points: DataFrame, bodies: DataFrame, project: DataFrame, days
 
 def room_sun(windows: DataFrame, bodies: DataFrame, days: DataFrame, reach: float | None = None) -> DataFrame:
     """Hours of sun of each room and day: lit while any of its windows (points with room) is."""
-    lit = lit_times(windows, bodies, sun_places(days), reach).join(windows.select("pt", "room"), "pt")
-    hours = lit.groupBy("room", "day").agg((F.count_distinct("t") * lim.SUN_STEP_MIN / 60.0).alias("hours"))
+    lit = lit_steps(windows, bodies, sun_places(days), reach).join(windows.select("pt", "room"), "pt")
+    hours = _hours(lit.groupBy("room", "day", "word").agg(F.bit_or("lit").alias("lit")), "room")
     every = windows.select("room").distinct().crossJoin(F.broadcast(days))
     return every.join(hours, ["room", "day"], "left").select("room", "day", F.coalesce("hours", F.lit(0.0)).alias("hours"))
 
