@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from plotcheck.llm.common import mix, partitions, random_words, slices, texts
 from plotcheck.storage import materialize
@@ -351,11 +352,17 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     the spans once. Null texts count as empty and have no spans, as have texts of under ``length`` bytes. An empty table
     gives no rows.
     """
-    n = partitions(docs.sparkSession)
     doc_id, row_hash = _known_by(id_col, text_col)
     src = docs.select(doc_id.alias("doc_id"), row_hash.alias("row_hash"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id"))
+    spans = _spans(src.select("doc_id", "row_hash", "text"), length)
+    return src.repartition(partitions(docs.sparkSession), "doc_id", "row_hash").join(spans, ["doc_id", "row_hash"], "left")
+
+
+def _spans(src: DataFrame, length: int) -> DataFrame:
+    """(doc_id, row_hash, spans) of the rows of (doc_id, row_hash, text) that have any."""
+    n = partitions(src.sparkSession)
     ddl = "kind byte, doc_id long, row_hash long, a long, b long, p long, anchor long, content long, more long"
-    scanned = materialize(src.select("doc_id", "row_hash", "text").mapInArrow(lambda x: _scan(x, length), ddl), "stretches")
+    scanned = materialize(src.mapInArrow(lambda x: _scan(x, length), ddl), "stretches")
     to_shard = scanned.filter(f"kind = {_SHARD}")
     stretches = to_shard.count()
     shards = max(n, -(-stretches // STRETCHES))
@@ -371,15 +378,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     hot = mixed.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
     flagged = mixed.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     open_ = flagged.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("a", "b", "p", "anchor", "hot")).alias("spans"))
-    # Both joins below read the same exchange of the texts.
-    dealt = src.repartition(n, "doc_id", "row_hash")
-    cut = dealt.join(open_, ["doc_id", "row_hash"], "left").select("doc_id", "row_hash", "text", "spans")
+    cut = src.repartition(n, "doc_id", "row_hash").join(open_, ["doc_id", "row_hash"], "left").select("doc_id", "row_hash", "text", "spans")
     cut = cut.mapInArrow(lambda x: _cut(x, length), "doc_id long, row_hash long, a long, lo long, hi long, anchor long, block long, shared long, bytes binary")
     starts = mixed.agg(F.sum(F.col("b") - F.col("a") + 1)).first()[0] or 0
     cut = cut.repartition(max(n, -(-starts // STARTS)), "anchor", "block", "shared")
     partly = cut.mapInArrow(lambda x: _match(x, length), "doc_id long, row_hash long, a long, b long")
-    spans = whole.unionByName(partly).groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return dealt.join(spans, ["doc_id", "row_hash"], "left")
+    return whole.unionByName(partly).groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def removal_digest(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,16 +413,17 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     A character that a cut splits goes too. A null text stays null.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            kept = [_without(t, _runs(s, length)).decode(errors="ignore") for t, s in zip(texts(batch.column("text")), batch.column("spans").to_pylist())]  # noqa: B905
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(kept, pa.string())], names=["doc_id", "row_hash", "kept"])
+    @F.arrow_udf(StringType())
+    def kept(texts_: pa.Array, spans: pa.Array) -> pa.Array:
+        # One text at a time as bytes.
+        pairs = ((t.as_py(), s.as_py()) for t, s in zip(texts_, spans))  # noqa: B905
+        return pa.array([None if t is None or s is None else _without(t.encode(), _runs(s, length)).decode(errors="ignore") for t, s in pairs], pa.string())
 
-    done = repeated_spans(docs, length).filter("spans IS NOT NULL").mapInArrow(run, "doc_id long, row_hash long, kept string").dropDuplicates(["doc_id", "row_hash"])
-    # Rows travel as one struct: no name of theirs can clash.
+    # Rows travel as one struct, once: no name of theirs can clash, and each is cut where it meets its spans.
     doc_id, row_hash = _known_by("doc_id", "text")
     src = docs.select(F.struct(*docs.columns).alias("row"), doc_id.alias("id"), row_hash.alias("hash"))
-    out = src.join(done.toDF("id", "hash", "kept"), ["id", "hash"], "left")
-    text = F.when(F.col("row.text").isNotNull(), F.coalesce("kept", "row.text"))
+    spans = _spans(docs.select(doc_id.alias("doc_id"), row_hash.alias("row_hash"), "text"), length).toDF("id", "hash", "spans")
+    out = src.join(spans, ["id", "hash"], "left").select("row", F.coalesce(kept("row.text", "spans"), "row.text").alias("kept"))
+    text = F.col("kept")
     new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -209,3 +209,15 @@ def test_nearest_gap_looks_near_in_dense_clouds(spark, monkeypatch):
     want = {i: min(math.hypot(x - u, y - v) for _, u, v in b[:401]) for i, x, y in a}
     assert got == {i: pytest.approx(d) for i, d in want.items() if d <= 40}
     assert reaches[0] < 0.5 and reaches[-1] == 40.0
+
+
+def test_repeats_are_cut_where_texts_meet_their_spans(spark):
+    from plotcheck.llm import suffix_dedup
+
+    passage = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(260))
+    rows = [(1, "über " + passage, 9), (2, passage + " tail", 9), (2, passage + " tail", 9), (3, None, None), (None, "short", 5)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars int"))
+    plan = plan_of(got).split("== Initial Plan ==")[-1]
+    # Cut texts are not dealt again.
+    assert "kept" not in "".join(line for line in plan.splitlines() if "Aggregate" in line or "Exchange" in line)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "über ", 5), (2, "", 0), (2, "", 0), (3, None, None), (None, "short", 5)], key=str)
