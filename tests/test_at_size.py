@@ -4,6 +4,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from test_queries import QUERIES, SF
 
@@ -54,6 +55,40 @@ def test_best_places_are_those_of_all_cells(spark):
     assert got == {tuple(r) for r in want}
 
 
+def zones_of(spark, east=0.0, north=0.0, obstacles=((1, 5.0, 5.0, 9.0, 8.0), (2, 52.0, 8.0, 60.0, 11.0)), products=(("haus", 4.0, 3.0), ("carport", 6.0, 3.0))):
+    from plotcheck.operators.rules import zones
+
+    parcels = spark.createDataFrame([(1, east, north), (2, east + 50, north)], "parcel_id long, x0 double, y0 double")
+    # The first parcel is a little over as wide as a product and two distances; both products touch its sides exactly.
+    outlines = ring(1, (0, 0), (12, 0), (12, 27.5), (0, 27.5)) + ring(2, (50, 0), (82, 0), (85, 25), (50, 25))
+    edges = spark.createDataFrame([(p, i, ax + east, ay + north, bx + east, by + north) for p, i, ax, ay, bx, by in outlines], EDGES).withColumn("used", F.when(F.col("seg") == 0, 4.5))
+    held = spark.createDataFrame([(p, *(v if v is None else v + o for v, o in zip(box, (east, north) * 2, strict=True))) for p, *box in obstacles], "parcel_id long, x1 double, y1 double, x2 double, y2 double")
+    args = parcels, edges, held, spark.createDataFrame(list(products), "product string, w double, d double"), 1.0, 0.25
+    return zones.placement_zones(*args), zones.fit_of(zones.best_places(*args))
+
+
+def test_zones_leave_their_tasks_as_runs(spark):
+    got = zones_of(spark)[0]
+    plan = plan_of(got).split("== Initial Plan ==")[0]
+    # Cells are counted out of runs after Python has judged them.
+    assert re.search(r"Generate explode\(sequence[\s\S]*MapInArrow", plan)
+    assert got.count() == got.dropDuplicates(["parcel_id", "product", "x", "y"]).count()
+
+
+def test_zones_are_the_same_far_from_the_origin(spark):
+    moved = lambda rows, e, n: {(r.parcel_id, r.product, r.x - e, r.y - n, r.colour, r.angle) for r in rows}
+    e, n = 4e8, 7e8
+    for here, there in zip(zones_of(spark), zones_of(spark, e, n), strict=True):
+        want = moved(here.collect(), 0, 0)
+        assert len({r[4] for r in want}) >= 1 and moved(there.collect(), e, n) == want
+
+
+def test_obstacles_without_place_stand_nowhere(spark):
+    seen = lambda o: {tuple(r) for r in zones_of(spark, obstacles=o)[0].collect()}
+    box = (1, 5.0, 5.0, 9.0, 8.0)
+    assert seen([box, (1, None, 2.0, 3.0, 4.0), (2, 1.0, None, None, None)]) == seen([box])
+
+
 @pytest.mark.parametrize("turn", [0.0, math.pi / 2, 0.3, -2.0])
 def test_rectangle_gap_is_the_distance_to_the_filled_rectangle(turn):
     import numpy as np
